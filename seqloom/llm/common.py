@@ -19,7 +19,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 def tune(spark: SparkSession) -> None:
     """Short Arrow batches, unless the session asks for still shorter ones."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(str(spark.conf.get(key, "0") or "0").rstrip("bB") or 0)
+        now = int(str(spark.conf.get(key)).rstrip("bB"))
         if now <= 0 or now > most:
             spark.conf.set(key, str(most))
 
