@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, warc
+from . import exact, packing, warc
 from .common import LOWER, UPPER, table
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
+
+
 def op7_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
@@ -34,7 +44,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op7_warc_writer, op8_exact_dedup)}
+    return {f.__name__: f for f in (op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup)}
 
 
 def oracle_sql():

@@ -76,7 +76,7 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.lit(1).alias("part"), F.col(url_col).cast("string").alias("url"), body.alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
     metas = kinds.select("page_id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("record_type").alias("kind"), "refers_to")
     # What is known of a page travels as a row that sorts just before it, so the html is shuffled once.
-    both = rows.unionByName(metas).repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "part", "digest", "url", "html").withColumn("shard", F.spark_partition_id())
+    both = rows.unionByName(metas).repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "part", "digest", "url", "html").withColumns({"shard": F.spark_partition_id(), "page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     token = uuid.uuid4().hex[:12]
 
     def run(batches):
@@ -90,12 +90,12 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                page = None if pd.isna(row.page_id) else int(row.page_id)
+                page = row.page_id
                 if page != of:
                     known, of = {}, page
                 shard = int(row.shard)
                 if row.part == 0:
-                    known[row.digest] = (row.kind, None if pd.isna(row.refers_to) else int(row.refers_to))
+                    known[row.digest] = (row.kind, row.refers_to)
                     continue
                 data = row.html.encode("utf-8")
                 digest = hashlib.sha1(data).hexdigest()
