@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, warc
+from . import exact, mixing, packing, warc
 from .common import LOWER, UPPER, table
 
 
@@ -14,6 +14,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+
+
 def op6_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -44,7 +48,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup)}
 
 
 def oracle_sql():
