@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, warc
+from . import exact, langid, mixing, packing, warc
 from .common import LOWER, UPPER, table
 
 
+def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.cross_validated(table(spark, sf_dir, "documents"))
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -48,7 +52,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op1_curriculum_mix, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op3_kneser_ney_langid, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup)}
 
 
 def oracle_sql():
