@@ -16,7 +16,7 @@ WEIGHTS = (5, 2, 1)
 #: Each source still gets its target over the whole: the factors only move its words earlier or later.
 CURRICULUM = ((0.25, (1.0, 0.5, 0.25)), (0.75, (1.0, 1.0, 1.0)), (1.0, (1.0, 1.5, 1.75)))
 #: Rows of one bucket of a source, about; within it a running sum is one task's work.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 SEED = 20240607
 
 

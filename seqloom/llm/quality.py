@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ragged, texts_of, tune
 
 #: Hashed terms, latent dimensions, labelled documents that vote at most, neighbours, power of the similarity.
-TERMS, LATENT, LABELLED, NEIGHBOURS, POWER = 8192, 64, 3000, 15, 4.0
-#: Kinds of terms and their shares of a document's vector: the word, its shape, its length, how often the document repeats it.
-KINDS = (("word", 0.25), ("shape", 0.35), ("length", 0.1), ("repeat", 0.3))
+TERMS, LATENT, LABELLED, NEIGHBOURS, POWER = 8192, 64, 3000, 9, 20.0
+#: Kinds of terms and their shares of a document's vector: the word, its shape, its length, how often the document
+#: repeats it, whether it stands right after itself.
+KINDS = (("word", 0.2), ("shape", 0.3), ("length", 0.1), ("repeat", 0.2), ("run", 0.2))
 #: Documents whose cosines with all labelled vectors are held at once.
 BLOCK = 512
 SEED = 271828
@@ -38,9 +39,11 @@ def shape(word: bytes) -> bytes:
 class Terms:
     """Documents to sparse rows of hashed terms; what is known of a word is remembered up to a bound."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, idf: np.ndarray | None = None, most: int = 300_000):
         import xxhash
 
+        self.idf = np.ones(TERMS) if idf is None else idf
+
         self.hash, self.most = xxhash.xxh3_64_intdigest, most
         self.known: dict[bytes, int] = {}
         self.rows: list[tuple[int, int, int]] = []
@@ -65,22 +68,26 @@ class Terms:
             lengths.append(len(words))
             ids += [known[w] if w in known else learn(w) for w in words]
         owner, _ = ragged(np.array(lengths, np.int64))
-        key, counts = np.unique((owner << 32) | np.array(ids, np.int64), return_counts=True)
+        at = (owner << 32) | np.array(ids, np.int64)
+        same = at[1:][at[1:] == at[:-1]] >> 32  # documents of words that stand right after themselves
+        key, counts = np.unique(at, return_counts=True)
         doc, word = key >> 32, key & 0xFFFFFFFF
         table = np.array(self.rows, np.int64).reshape(-1, 3)
         repeats = np.array([self._term(3, b"%d" % i) for i in range(40)], np.int64)
-        level = np.minimum(np.log2(counts).astype(np.int64) * 2 + (np.log2(counts) % 1 >= 0.5), 39)
+        level = np.log2(counts).astype(np.int64)
         kinds = [table[word, 0], table[word, 1], table[word, 2], repeats[level]]
         # (document, kind, term), summed
-        full = np.concatenate([((doc * 4 + k) << 16) | kinds[k] for k in range(4)])
+        K = len(KINDS)
+        full = np.concatenate([*(((doc * K + k) << 16) | kinds[k] for k in range(4)), ((same * K + 4) << 16) | self._term(4, b"same"), ((owner * K + 4) << 16) | self._term(4, b"all")])
         cells, inverse = np.unique(full, return_inverse=True)
-        sums = np.bincount(inverse, weights=np.tile(counts, 4))
+        sums = np.bincount(inverse, weights=np.concatenate([np.tile(counts, 4), np.full(len(same), 2.0), np.ones(len(owner))]))
         group = cells >> 16
-        share = np.sqrt(np.array([w for _, w in KINDS]))[group % 4]
+        share = np.sqrt(np.array([w for _, w in KINDS]))[group % K]
         # Words dampen by logarithm; what describes the style counts in proportion, by square root.
-        weight = np.where(group % 4 == 0, np.log1p(sums), np.sqrt(sums))
-        norm = np.sqrt(np.bincount(group, weights=weight**2, minlength=4 * len(texts)))
-        bounds = np.searchsorted(group >> 2, np.arange(len(texts) + 1))
+        weight = np.where(group % K == 0, np.log1p(sums), np.where(group % K == 4, sums, np.sqrt(sums)))
+        weight *= np.where(group % K == 4, 1.0, self.idf[cells & 0xFFFF])
+        norm = np.maximum(np.sqrt(np.bincount(group, weights=weight**2, minlength=K * len(texts))), 1e-9)
+        bounds = np.searchsorted(group // K, np.arange(len(texts) + 1))
         return (cells & 0xFFFF).astype(np.int64), (share * weight / norm[group]).astype(np.float32), bounds
 
 
@@ -95,20 +102,20 @@ def project(terms, weights, bounds, basis: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, basis, vectors, labels, neighbours=NEIGHBOURS, power=POWER):
-        self.basis, self.vectors, self.labels, self.neighbours, self.power = basis, vectors, labels, neighbours, power
+    def __init__(self, idf, basis, vectors, labels, neighbours=NEIGHBOURS, power=POWER):
+        self.idf, self.basis, self.vectors, self.labels, self.neighbours, self.power = idf, basis, vectors, labels, neighbours, power
 
     @classmethod
     def fit(cls, texts: list[bytes], labels: np.ndarray, latent: int = LATENT) -> "Model":
         """Inverse document frequencies, then a truncated decomposition of the sample's term matrix by random projection
         with two power iterations."""
-        terms, weights, bounds = Terms()(texts)
         n = len(texts)
-        frequency = np.bincount(terms, minlength=TERMS)
-        idf = np.log((1 + n) / (1 + frequency)).astype(np.float32) + 0.1
+        frequency = np.bincount(Terms()(texts)[0], minlength=TERMS)
+        idf = np.log((2 + n) / (1 + frequency))
+        terms, weights, bounds = Terms(idf)(texts)
         dense = np.zeros((n, TERMS), np.float32)
         owner, _ = ragged(np.diff(bounds))
-        np.add.at(dense, (owner, terms), weights * idf[terms])
+        dense[owner, terms] = weights
         k = min(latent + 16, n)
         q = dense @ np.random.default_rng(SEED).standard_normal((TERMS, k), dtype=np.float32)
         for _ in range(2):
@@ -117,8 +124,8 @@ class Model:
             q = dense @ q
         q = np.linalg.qr(q)[0]
         _, s, vt = np.linalg.svd(q.T @ dense, full_matrices=False)
-        basis = (vt[:latent].T * idf[:, None]).astype(np.float32)
-        return cls(basis, project(terms, weights, bounds, basis), labels.astype(np.float32))
+        basis = np.ascontiguousarray(vt[:latent].T)
+        return cls(idf, basis, project(terms, weights, bounds, basis), labels.astype(np.float32))
 
     def score(self, texts: list[bytes], terms: Terms) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, each weighted by a power of its cosine. The share of
@@ -169,7 +176,8 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     names = rows.columns[:-1]
 
     def run(batches):
-        one, terms = shared.value, Terms()
+        one = shared.value
+        terms = Terms(one.idf if one is not None else None)
         for b in batches:
             texts = texts_of(b.column(b.num_columns - 1))
             score = one.score(texts, terms) if one is not None and texts else np.full(len(texts), 0.5)
