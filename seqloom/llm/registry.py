@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, mixing, packing, quality, warc
+from . import exact, langid, mixing, near, packing, quality, warc
 from .common import LOWER, UPPER, table
 
 
@@ -38,6 +38,10 @@ def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cross_validated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_dedup(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
 w AS (SELECT body, max(page_id) AS winner FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
@@ -56,7 +60,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op1_curriculum_mix, op3_kneser_ney_langid, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op3_kneser_ney_langid, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
 
 
 def oracle_sql():
