@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, mixing, near, packing, quality, warc
+from . import exact, html_extract, langid, mixing, near, packing, quality, warc
 from .common import LOWER, UPPER, table
 
 
+def op2_style_tree_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.cross_validated(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op1_curriculum_mix, op3_kneser_ney_langid, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
 
 
 def oracle_sql():
