@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, html_extract, langid, mixing, near, packing, quality, warc
+from . import exact, html_extract, langid, mixing, near, packing, quality, substring, warc
 from .common import LOWER, UPPER, table
 
 
@@ -16,6 +16,10 @@ def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.cross_validated(table(spark, sf_dir, "documents"))
 
 
+def op5_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def byte_bpe() -> str:
     import public_tokenizers
 
@@ -46,6 +50,19 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 48, 1)), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS hs FROM d),
+y AS (SELECT doc_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS s FROM x),
+f AS (SELECT h, min(doc_id) AS m FROM y GROUP BY h),
+g AS (SELECT DISTINCT y.doc_id, y.s + o.o AS k FROM y JOIN f ON y.h = f.h AND y.doc_id > f.m CROSS JOIN (SELECT unnest(range(0, 50)) AS o) AS o),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+q AS (SELECT p.doc_id, count(g.k) AS gone, string_agg(CASE WHEN g.k IS NULL THEN p.word END, ' ' ORDER BY p.k) AS kept
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.k = g.k GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(q.gone, 0) AS n_removed, sha256(coalesce(q.kept, '')) AS kept_sha256
+FROM d LEFT JOIN q ON d.doc_id = q.doc_id
+"""
+
 OP7_SQL = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
 w AS (SELECT body, max(page_id) AS winner FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
@@ -64,8 +81,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
 
 
 def oracle_sql():
-    return {"op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
