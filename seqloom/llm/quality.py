@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = F.lit(False)
     for g, n in sizes.items():
         pick = pick | ((F.col("_label") == g) & (F.col("_draw") < quota[g] / n))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(marks.where(pick), "_id").select("_text", "_label", "_draw", "_id").toArrow().sort_by([("_draw", "ascending"), ("_id", "ascending"), ("_text", "ascending")])
+    # The pick is about as large as ``labelled`` says, whatever the input: it is broadcast, and the texts stay in place.
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(marks.where(pick)), "_id").select("_text", "_label", "_draw", "_id").toArrow().sort_by([("_draw", "ascending"), ("_id", "ascending"), ("_text", "ascending")])
     if not rows.num_rows:
         return None
     return Model.fit(texts_of(rows.column("_text")), rows.column("_label").to_numpy())
