@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ragged, texts_of, tune
 
 #: Hashed terms, latent dimensions, labelled documents that vote at most, neighbours, power of the similarity.
-TERMS, LATENT, LABELLED, NEIGHBOURS, POWER = 8192, 64, 3000, 9, 20.0
+TERMS, LATENT, LABELLED, NEIGHBOURS, POWER = 4096, 64, 3000, 9, 20.0
 #: Kinds of terms and their shares of a document's vector: the word, its shape, its length, how often the document
 #: repeats it, whether it stands right after itself.
 KINDS = (("word", 0.2), ("shape", 0.3), ("length", 0.1), ("repeat", 0.2), ("run", 0.2))
