@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, html_extract, langid, mixing, near, packing, quality, substring, warc
+from . import exact, fingerprint, html_extract, langid, mixing, near, packing, quality, substring, warc
 from .common import LOWER, UPPER, table
 
 
@@ -16,6 +16,10 @@ def op3_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.cross_validated(table(spark, sf_dir, "documents"))
 
 
+def op4_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op5_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -81,7 +85,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
+    return {f.__name__: f for f in (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op4_canonical_digest, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
 
 
 def oracle_sql():
