@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, mix64, ragged, tune
 
@@ -272,7 +273,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_GRAMS
-    keep = [F.col(id_col).alias("id"), *(carry or [])]
+    keep = [F.col(id_col).alias("_id"), *(carry or [])]
     names = docs.select(*keep).columns
 
     def run(batches):
@@ -283,8 +284,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def cross_validated(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, ragged, texts_of, tune
 
@@ -184,8 +185,8 @@ def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             score = one.score(texts, terms) if one is not None and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score), pa.array((score >= least).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int").withColumnRenamed("_id", id_col)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def cross_validated(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact, fingerprint, html_extract, langid, mixing, near, packing, quality, substring, warc
@@ -85,8 +86,10 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries():
-    return {f.__name__: f for f in (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op4_canonical_digest, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)}
+    own = (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op4_canonical_digest, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    whole = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return whole | {"op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
