@@ -19,7 +19,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Candidates whose likeliest similarity is below this are dropped: six standard errors below 0.75 for 128 registers.
 FLOOR = 0.52
 #: Members of a bucket in one block when members of different components are compared.
-BLOCK = 1024
+BLOCK = 512
 #: Pairs with one partner that one task verifies, about.
 CHUNK = 256
 M = BANDS * ROWS
@@ -156,7 +156,8 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, chun
     """Pairs (a, b) whose full sets have 100 * intersection >= 75 * union.
 
     Pairs go to tasks by their partner b, in as many parts as it has pairs for; b's text goes along with each part, and
-    the rows of a part stream through, so a task holds one set of b at a time."""
+    the rows of a part stream through, so a task holds one set of b at a time. The texts join by a merge whatever their
+    number, so that the shuffle grows in proportion."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
@@ -164,7 +165,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, chun
     members = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     heads = parts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
     wanted = members.select(F.col("a").alias("id"), "b", "part", F.lit(1).alias("kind")).unionByName(heads)
-    rows = texts.join(wanted, "id").select("b", "part", "kind", F.col("id").alias("a"), "text")
+    rows = texts.hint("merge").join(wanted, "id").select("b", "part", "kind", F.col("id").alias("a"), "text")
     both = rows.repartition(partitions(spark), "b", "part").sortWithinPartitions("b", "part", "kind", "a")
 
     def run(batches):
@@ -222,40 +223,70 @@ def components(edges: DataFrame) -> DataFrame:
     return materialize(found, "components")
 
 
-def _labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    return buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def across(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of a bucket whose members lie in different components, as far as their registers allow a link.
-
-    A bucket goes out in blocks of members; each pair of blocks is one group of at most 2 * block rows, within which
-    the registers are compared in matrices. So a large bucket is many tasks' work, and only pairs that pass come out."""
-    rows = _labelled(buckets, found)
-    mixed = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("band", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(reps.select("id", "n", "sketch"), "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, M)
-        own, n, comp, ids = (pdf[c].to_numpy() for c in ("own", "n", "component", "id"))
-        same_block = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        out = []
-        for k in range(len(pdf)):
-            ok = (comp != comp[k]) & (ids > ids[k]) & (100 * np.minimum(n, n[k]) >= NUM * np.maximum(n, n[k]))
-            if not same_block:
-                ok &= own != own[k]
-            at = np.flatnonzero(ok)
-            # Equal registers are a share of at least the similarity, so few of them rule a pair out at once.
-            at = at[(regs[at] == regs[k]).sum(axis=1) >= 0.8 * FLOOR * M] if len(at) else at
-            if len(at):
-                j = likelihood(regs[at], np.broadcast_to(regs[k], (len(at), M)), n[at].astype(float), np.full(len(at), float(n[k])))
-                out += [(ids[x], ids[k]) for x in at[j >= FLOOR]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, shingles): the full sets of the documents of these ids, as bytes of sorted 64-bit hashes."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    return rows.groupBy("band", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sets, bounds = shingle_sets(texts_of(b.column(1)), hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array([sets[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "n", "shingles"])
+
+    # Always by a merge, so that the shuffle grows in proportion.
+    return texts.hint("merge").join(ids, "id").mapInArrow(run, "id long, n long, shingles binary").dropDuplicates(["id"])
+
+
+def _links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Verified links between different components in one group of members: one for each pair of components it joins."""
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    own, n, ids, comp = (pdf[c].to_numpy().copy() for c in ("own", "n", "id", "component"))
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    member = np.repeat(np.arange(len(sets)), n)
+    # Members by shingle: the intersections of one member with all others are the counts in its shingles' lists.
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    holders = member[order]
+    lists = np.searchsorted(term[order], np.arange(term.max() + 2))
+    at = np.concatenate([[0], np.cumsum(n)])
+    out = []
+    for k in np.flatnonzero(own == i):
+        other = comp != comp[k]
+        other &= (own == j) if i != j else (np.arange(len(own)) > k)
+        other &= 100 * np.minimum(n, n[k]) >= NUM * np.maximum(n, n[k])
+        if not other.any():
+            continue
+        terms = term[at[k] : at[k + 1]]
+        first, size = lists[terms], lists[terms + 1] - lists[terms]
+        _, starts = ragged(size)
+        found = holders[np.arange(starts[-1]) - np.repeat(starts[:-1] - first, size)]
+        common = np.bincount(found, minlength=len(sets))
+        for x in np.flatnonzero(other & (100 * common >= NUM * (n + n[k] - common))):
+            if comp[x] != comp[k]:
+                out.append((ids[x], ids[k]))
+                comp[comp == comp[x]] = comp[k]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def across(buckets: DataFrame, found: DataFrame, docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that lie in different components.
+
+    buckets: (band, id). Those outside a bucket's largest component are compared, on full sets, with each other and with
+    the largest. A bucket goes out in blocks of members; each pair of blocks is one group of at most 2 * block rows. So
+    a large bucket is many tasks' work, and only links come out of them, no candidates."""
+    rows = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("size")).where("size > 2 and most < size")
+    blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    mixed = mixed.select("band", "major", blocks(F.col("size") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("majors"))
+    rows = materialize(rows.join(mixed, "band"), "mixed")
+    minor = F.col("component") != F.col("major")
+    own = F.when(minor, F.pmod(F.xxhash64("id"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).cast("int")
+    last = F.when(minor, F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
+    sets = full_sets(rows.select("id").distinct(), docs, id_col, text_col)
+    return rows.join(sets, "id").select("band", "i", "j", "own", "id", "component", "n", "shingles").groupBy("band", "i", "j").applyInPandas(_links, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,8 +294,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts with equal sets are one class, by a digest of 128 bits; each class stands in the rest of the work by its
     smallest id. Classes that share a band's registers are candidates. First, each is compared with the bucket's smallest
-    id; then, where a bucket still has several components, with all members of the others (:func:`across`). Every
-    candidate that the registers allow is verified on the full sets of shingles.
+    id, if the registers allow a link, on the full sets of shingles; then, where a bucket still has several components,
+    the full sets of all members of different ones are compared (:func:`across`).
 
     A null or blank text has no set and is its own component, as is a document without links. Rows that repeat an
     id and its text are one document; an id with several texts has the links of one of them. A null id takes no part in
@@ -282,10 +313,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     first = materialize(verified(materialize(estimated(stars, reps), "pairs"), docs, id_col, text_col), "links")
     found = components(first)
-    rest = materialize(across(buckets.select("band", "id"), found, reps), "pairs")
-    links = first
-    if rest.limit(1).count():
-        links = first.unionByName(materialize(verified(rest, docs, id_col, text_col), "links"))
+    rest = materialize(across(buckets.select("band", "id"), found, docs, id_col, text_col), "links")
+    links = first.unionByName(rest)
     same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     whole = components(links.unionByName(same))
     out = made.select("id", "n").join(whole, "id", "left")
