@@ -17,6 +17,8 @@ TERMS, LATENT, LABELLED, NEIGHBOURS, POWER = 4096, 64, 3000, 9, 20.0
 KINDS = (("word", 0.2), ("shape", 0.3), ("length", 0.1), ("repeat", 0.2), ("run", 0.2))
 #: Documents whose cosines with all labelled vectors are held at once.
 BLOCK = 512
+#: Labelled documents whose terms the driver works out at once.
+FIT_DOCS = 100
 SEED = 271828
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
@@ -111,12 +113,17 @@ class Model:
         """Inverse document frequencies, then a truncated decomposition of the sample's term matrix by random projection
         with two power iterations."""
         n = len(texts)
-        frequency = np.bincount(Terms()(texts)[0], minlength=TERMS)
+        parts = [texts[i : i + FIT_DOCS] for i in range(0, n, FIT_DOCS)]  # a few at a time, for the driver's memory
+        plain = Terms(most=20_000)
+        frequency = sum(np.bincount(plain(p)[0], minlength=TERMS) for p in parts)
+        del plain
         idf = np.log((2 + n) / (1 + frequency))
-        terms, weights, bounds = Terms(idf)(texts)
+        weighted = Terms(idf, most=20_000)
+        rows = [weighted(p) for p in parts]
+        del weighted
         dense = np.zeros((n, TERMS), np.float32)
-        owner, _ = ragged(np.diff(bounds))
-        dense[owner, terms] = weights
+        for i, (terms, weights, bounds) in enumerate(rows):
+            dense[i * FIT_DOCS + ragged(np.diff(bounds))[0], terms] = weights
         k = min(latent + 16, n)
         q = dense @ np.random.default_rng(SEED).standard_normal((TERMS, k), dtype=np.float32)
         for _ in range(2):
@@ -126,7 +133,7 @@ class Model:
         q = np.linalg.qr(q)[0]
         _, s, vt = np.linalg.svd(q.T @ dense, full_matrices=False)
         basis = np.ascontiguousarray(vt[:latent].T)
-        return cls(idf, basis, project(terms, weights, bounds, basis), labels.astype(np.float32))
+        return cls(idf, basis, np.concatenate([project(*r, basis) for r in rows]), labels.astype(np.float32))
 
     def score(self, texts: list[bytes], terms: Terms) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, each weighted by a power of its cosine. The share of
