@@ -1,11 +1,658 @@
-"""Named queries over the driver tables and their DuckDB twins."""
+"""Named queries over the driver tables and their DuckDB twins.
+
+Thresholds are scaled to the tables' short sequences; the operators' own defaults are the values for whole genomes."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import reference_values as V
+from ..functions import sequence as S
+from ..operators import align, discovery, hits, kmers, proteins, pwm, tree, vectors
+from . import tables as D
+
+K, T, MIN_LEN = 8, 200, 400
+_Q: dict = {}
+_O: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql is not None:
+            _O[f.__name__] = sql
+        return f
+
+    return add
+
+
+def values(rows, names: str) -> str:
+    """A VALUES list for the oracle."""
+    lit = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else f"'{x}'" if isinstance(x, str) else repr(x)
+    return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({names})"
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+BASES = f"translate(upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')), '{D.UPPER}', '{D.AS_BASES}')"
+DNA = f"dna AS (SELECT doc_id AS seq_id, source AS grp, {BASES} AS seq FROM documents)"
+LONG = DNA + f", lng AS (SELECT * FROM dna WHERE length(seq) >= {MIN_LEN})"
+
+
+def rc(x):
+    return f"translate(reverse({x}), 'ACGTN', 'TGCAN')"
+
+
+def win(k, src="lng"):
+    return f"w AS (SELECT seq_id, grp, length, pos, substring(seq, pos + 1, {k}) AS kmer FROM (SELECT seq_id, grp, seq, length(seq) AS length, unnest(range(0, length(seq) - {k} + 1)) AS pos FROM {src}))"
+
+
+def can(k=K, src="lng"):
+    return LONG + f", {win(k, src)}, c AS (SELECT seq_id, grp, length, pos, least(kmer, {rc('kmer')}) AS kmer FROM w WHERE kmer NOT LIKE '%N%')"
+
+
+TERM = can() + f", t AS (SELECT grp, CASE WHEN pos + {K} <= {T} THEN 'left' WHEN pos >= length - {T} THEN 'right' END AS \"end\", kmer FROM c WHERE length >= {2 * T})"
+ANCH = LONG + f""", {win(K)}, anch AS (
+SELECT seq_id, grp, pos, '+' AS strand, kmer AS "window" FROM w WHERE kmer LIKE 'TTGG%' AND pos < length - {K}
+UNION ALL SELECT seq_id, grp, pos + {K - 4}, '-', {rc('kmer')} FROM w WHERE kmer LIKE '%CCAA' AND pos + {K - 4} < length - {K}),
+a AS (SELECT * FROM anch WHERE "window" NOT LIKE '%N%')"""
+
+
+def spacer_sql(m, base=5):
+    return "CASE " + " ".join(f"WHEN substring({m}, {base + s}, 2) = 'TG' THEN {s}" for s in range(1, 5)) + " END"
+
+
+def low_sql(m):
+    units = " OR ".join(f"(length({m}) % {u} = 0 AND {m} = repeat(substring({m}, 1, {u}), CAST(length({m}) / {u} AS INTEGER)))" for u in (2, 3, 4, 6))
+    return f"(len(list_distinct(string_split({m}, ''))) <= 2 OR {units})"
+
+
+def hamming_sql(a, b, n):
+    return " + ".join(f"CAST(substring({a}, {i}, 1) <> substring({b}, {i}, 1) AS INTEGER)" for i in range(1, n + 1))
+
+
+def long_dna(spark, d):
+    return D.dna(spark, d).where(F.length("seq") >= MIN_LEN)
+
+
+def anchored(spark, d):
+    return kmers.anchored_windows(long_dna(spark, d), K)
+
+
+# --- sequences ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DNA} SELECT seq_id, CAST(length(seq) AS BIGINT) AS length, CAST(n AS BIGINT) AS n_count, round(CASE WHEN length(seq) > 0 THEN n / length(seq) ELSE 0 END, 6) AS n_fraction, round(CASE WHEN length(seq) > n THEN gc / (length(seq) - n) ELSE 0 END, 6) AS gc FROM (SELECT *, length(seq) - length(replace(seq, 'N', '')) AS n, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS gc FROM dna)")
+def genome_stats(spark, d):
+    n, gc = F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit(""))), F.length("seq") - F.length(F.translate("seq", "GC", ""))
+    s = D.dna(spark, d).select("seq_id", F.length("seq").cast("long").alias("length"), n.cast("long").alias("n_count"), gc.alias("_gc"))
+    return s.select("seq_id", "length", "n_count", r6(F.when(F.col("length") > 0, F.col("n_count") / F.col("length")).otherwise(0.0)).alias("n_fraction"), r6(F.when(F.col("length") > F.col("n_count"), F.col("_gc") / (F.col("length") - F.col("n_count"))).otherwise(0.0)).alias("gc")).orderBy(F.desc("length"), "seq_id")
+
+
+def _ends(w):
+    part = {"left": f"substring(seq, 1, {w})", "right": f"right(seq, {w})"}
+    return {s: f"round((length({p}) - length(replace({p}, 'N', ''))) / {w}.0" for s, p in part.items()}
+
+
+@query(f"WITH {LONG} SELECT seq_id, {_ends(T)['left']} * 100, 6) AS n_left_pct, {_ends(T)['right']} * 100, 6) AS n_right_pct FROM lng WHERE length(seq) >= {2 * T}")
+def end_quality(spark, d):
+    return long_dna(spark, d).where(F.length("seq") >= 2 * T).select("seq_id", r6(S.n_share(F.col("seq"), T, "left") * 100).alias("n_left_pct"), r6(S.n_share(F.col("seq"), T, "right") * 100).alias("n_right_pct"))
+
+
+@query(f"WITH {DNA} SELECT seq_id, {_ends(500)['left']}, 3) AS n_left, {_ends(500)['right']}, 3) AS n_right FROM dna")
+def n_fraction(spark, d):
+    return D.dna(spark, d).select("seq_id", F.round(S.n_share(F.col("seq"), 500, "left"), 3).alias("n_left"), F.round(S.n_share(F.col("seq"), 500, "right"), 3).alias("n_right"))
+
+
+@query(f"WITH {can()} SELECT kmer, count(*) AS cnt FROM c GROUP BY kmer")
+def kmer_count(spark, d):
+    return kmers.count_kmers(long_dna(spark, d), K)
+
+
+@query(f"WITH {DNA} SELECT seq_id, seq[1:40] AS head, {rc('seq[1:40]')} AS reverse_complement FROM dna")
+def reverse_complements(spark, d):
+    h = F.substring("seq", 1, 40)
+    return D.dna(spark, d).select("seq_id", h.alias("head"), S.reverse_complement(h).alias("reverse_complement"))
+
+
+ENRICH = TERM + """, bg AS (SELECT kmer, count(*) AS bg FROM c GROUP BY kmer), bt AS (SELECT sum(bg) AS bg_total FROM bg),
+tc AS (SELECT grp, "end", kmer, count(*) AS cnt FROM t WHERE "end" IS NOT NULL GROUP BY ALL),
+tt AS (SELECT *, sum(cnt) OVER (PARTITION BY grp, "end") AS end_total FROM tc),
+e AS (SELECT grp, "end", tt.kmer, cnt AS terminal_count, (cnt / end_total) / (bg / bg_total) AS fold, (tt.kmer LIKE 'TTGG%' OR tt.kmer LIKE '%CCAA') AS anchored
+FROM tt JOIN bg ON tt.kmer = bg.kmer CROSS JOIN bt)"""
+
+
+def enriched(spark, d, least=5):
+    return kmers.terminal_enrichment(D.dna(spark, d), K, T, least, MIN_LEN)
+
+
+@query(f"WITH {ENRICH}, k AS (SELECT *, row_number() OVER (PARTITION BY grp, \"end\" ORDER BY round(fold, 9) DESC, kmer) AS rank FROM e WHERE terminal_count >= 5) SELECT grp, \"end\", kmer, terminal_count, round(fold, 6) AS fold_enrichment, anchored, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+def terminal_enrichment(spark, d):
+    top = kmers.top_per_group(enriched(spark, d), ["grp", "end"], [F.desc(F.round("fold_enrichment", 9)), "kmer"], 5)
+    return top.withColumn("fold_enrichment", r6(F.col("fold_enrichment")))
+
+
+@query(f"WITH {ENRICH} SELECT grp, \"end\", kmer, terminal_count, round(fold, 6) AS fold_enrichment, anchored FROM e WHERE terminal_count >= 3")
+def terminal_enrichment_full(spark, d):
+    return enriched(spark, d, 3).withColumn("fold_enrichment", r6(F.col("fold_enrichment")))
+
+
+INNER = TERM + f""", mid AS (SELECT grp, kmer, count(*) AS n FROM c WHERE pos >= greatest(length // 2 - 100, 0) AND pos + {K} <= length // 2 + 100 GROUP BY ALL),
+te AS (SELECT grp, kmer, count(*) AS n FROM t WHERE "end" IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {INNER}, x AS (SELECT te.grp, te.kmer, te.n, (te.n / sum(te.n) OVER (PARTITION BY te.grp)) AS share FROM te), mt AS (SELECT grp, sum(n) AS tot FROM mid GROUP BY grp), y AS (SELECT x.grp, x.kmer, x.n, round(share / ((coalesce(mid.n, 0) + 1) / greatest(coalesce(mt.tot, 1), 1)), 6) AS enrichment FROM x LEFT JOIN mid ON x.grp = mid.grp AND x.kmer = mid.kmer LEFT JOIN mt ON x.grp = mt.grp WHERE x.n >= 3 AND NOT {low_sql('x.kmer')}), z AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY enrichment DESC, kmer DESC) AS rank FROM y) SELECT grp, kmer, n, enrichment, CAST(rank AS INTEGER) AS rank FROM z WHERE rank <= 20")
+def enriched_vs_interior(spark, d):
+    seqs = long_dna(spark, d)
+    e = kmers.enriched_vs_interior(kmers.end_counts(seqs, K, T), kmers.interior_counts(seqs, K, T), 1 << 30, 3)
+    return kmers.top_per_group(e.drop("rank").withColumn("enrichment", r6(F.col("enrichment"))), ["grp"], [F.desc("enrichment"), F.desc("kmer")], 20)
+
+
+@query(f"WITH {INNER}, s AS (SELECT *, n / sum(n) OVER (PARTITION BY kmer) AS s FROM te) SELECT grp, kmer, n, round(s, 6) AS specificity FROM s WHERE n >= 5")
+def kmer_specificity(spark, d):
+    return kmers.specificity(kmers.end_counts(long_dna(spark, d), K, T)).where("n >= 5").withColumn("specificity", r6(F.col("specificity")))
+
+
+@query(f"WITH {DNA} SELECT seq_id AS id, count(DISTINCT kmer) AS n FROM (SELECT seq_id, substring(seq, pos + 1, 5) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 4)) AS pos FROM dna)) GROUP BY seq_id")
+def kmer_set_sizes(spark, d):
+    return kmers.kmer_sets(D.dna(spark, d).select("seq_id", "seq"), 5).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {DNA}, b AS (SELECT item_id AS qid, {BASES} AS seq FROM benchmark), q AS (SELECT DISTINCT qid, substring(seq, p + 1, 16) AS kmer FROM (SELECT qid, seq, unnest(range(0, length(seq) - 15)) AS p FROM b)), t AS (SELECT DISTINCT seq_id AS tid, substring(seq, p + 1, 16) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - 15)) AS p FROM dna)), s AS (SELECT qid, tid, count(*) AS shared FROM q JOIN t ON q.kmer = t.kmer GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY shared DESC, tid DESC) AS rank FROM s) SELECT qid, tid, shared, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+def shared_kmer_hits(spark, d):
+    return kmers.shared_kmers(D.benchmark_dna(spark, d), D.dna(spark, d).select("seq_id", "seq"), 16, 5)
+
+
+PATTERNS = [("anchor", "TTGGTC"), ("palindrome", "ACGCGT"), ("repeat", "TATATA"), ("long", "TTGGTCTG")]
+
+
+def patterns_sql():
+    comp = str.maketrans("ACGT", "TGCA")
+    return values([(n, m, s, p) for n, m in PATTERNS for s, p in (("+", m), ("-", m.translate(comp)[::-1]))], "name, motif, strand, pattern")
+
+
+SCAN = LONG + f", p AS (SELECT * FROM {patterns_sql()}), pos AS (SELECT seq_id, grp, seq, unnest(range(0, length(seq))) AS position FROM lng), h AS (SELECT seq_id, grp, name, motif, position, strand FROM pos JOIN p ON starts_with(substring(seq, position + 1, 8), pattern))"
+
+
+def scanned(spark, d):
+    return kmers.scan(D.dna(spark, d), spark.createDataFrame(PATTERNS, "name string, motif string"), MIN_LEN)
+
+
+@query(f"WITH {SCAN} SELECT seq_id, grp, name, motif, CAST(position AS INTEGER) AS position, strand FROM h")
+def motif_scan(spark, d):
+    return scanned(spark, d).withColumn("position", F.col("position").cast("int"))
+
+
+@query(f"WITH {SCAN} SELECT grp, " + ", ".join(f"count(*) FILTER (name = '{n}') AS \"{n}\"" for n, _ in PATTERNS) + " FROM h GROUP BY grp")
+def motif_pivot(spark, d):
+    return hits.pivot_counts(scanned(spark, d), "grp", "name", [n for n, _ in PATTERNS])
+
+
+@query(f"WITH {SCAN} SELECT name, CAST(position // 500 AS BIGINT) AS bin, count(*) AS n FROM h GROUP BY ALL")
+def motif_density(spark, d):
+    return hits.density(scanned(spark, d), ["name"], "position", 500)
+
+
+@query(f"WITH {SCAN}, g AS (SELECT name, position - lag(position) OVER (PARTITION BY seq_id, name ORDER BY position) AS gap FROM (SELECT DISTINCT seq_id, name, position FROM h)) SELECT name, CAST(gap AS INTEGER) AS gap, count(*) AS n FROM g WHERE gap < 500 GROUP BY ALL")
+def motif_gaps(spark, d):
+    g = hits.gaps(scanned(spark, d).select("seq_id", "name", "position").distinct(), ["seq_id", "name"], "position").where("gap < 500")
+    return g.groupBy("name", F.col("gap").cast("int").alias("gap")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SCAN}, l AS (SELECT name, grp, count(*) AS n FROM h WHERE strand = '+' GROUP BY ALL), r AS (SELECT name, grp, count(*) AS n FROM h WHERE strand = '-' GROUP BY ALL) SELECT coalesce(l.name, r.name) AS name, coalesce(l.grp, r.grp) AS grp, coalesce(l.n, 0) AS n_left, coalesce(r.n, 0) AS n_right FROM l FULL JOIN r ON l.name = r.name AND l.grp = r.grp")
+def strand_comparison(spark, d):
+    c = scanned(spark, d).groupBy("strand", "name", "grp").agg(F.count(F.lit(1)).alias("n"))
+    return hits.compare_counts(c.where("strand = '+'"), c.where("strand = '-'"), ["name", "grp"])
+
+
+@query(f"WITH {ANCH} SELECT seq_id, grp, CAST(pos AS INTEGER) AS pos, strand, \"window\" FROM a")
+def anchored_windows(spark, d):
+    return anchored(spark, d).withColumn("pos", F.col("pos").cast("int"))
+
+
+@query(f"WITH {ANCH} SELECT seq_id, CAST(pos AS INTEGER) AS pos, \"window\" FROM a WHERE {hamming_sql(chr(34) + 'window' + chr(34), chr(39) + 'TTGGTCAG' + chr(39), 8)} <= 2")
+def near_windows(spark, d):
+    return kmers.near_windows(anchored(spark, d), "TTGGTCAG", 2).select("seq_id", F.col("pos").cast("int").alias("pos"), "window")
+
+
+@query(f"WITH {ANCH}, m AS (SELECT grp AS home, min(\"window\") AS motif FROM a GROUP BY grp) SELECT m.home AS grp, m.motif, round(count(*) FILTER (a.grp = m.home) / count(*), 2) AS specificity FROM m JOIN a ON ({hamming_sql('m.motif', 'a.' + chr(34) + 'window' + chr(34), 8)}) <= 1 GROUP BY ALL")
+def chrom_specificity(spark, d):
+    a = anchored(spark, d)
+    return discovery.motif_specificity(a, a.groupBy("grp").agg(F.min("window").alias("motif")), K, 1)
+
+
+ORIENT = f"CASE WHEN kmer LIKE 'TTGG%' THEN kmer WHEN {rc('kmer')} LIKE 'TTGG%' THEN {rc('kmer')} END"
+
+
+def seeds_sql(parts, low):
+    return f"WITH {ENRICH}, o AS (SELECT *, {ORIENT} AS seed FROM e WHERE terminal_count >= 2 AND anchored), s AS (SELECT *, {spacer_sql('seed')} AS spacer FROM o WHERE {'TRUE' if low else 'NOT ' + low_sql('seed')}), k AS (SELECT *, row_number() OVER (PARTITION BY {parts} ORDER BY round(fold, 9) DESC, seed, \"end\") AS r FROM s WHERE spacer IS NOT NULL) SELECT grp, \"end\", seed, CAST(spacer AS INTEGER) AS spacer, round(fold, 6) AS fold_enrichment"
+
+
+@query(seeds_sql("grp", False) + " FROM k WHERE r = 1")
+def seeds_per_group(spark, d):
+    e = enriched(spark, d, 2).withColumn("fold_enrichment", F.round("fold_enrichment", 9))
+    return discovery.seeds_per_group(e).withColumn("fold_enrichment", r6(F.col("fold_enrichment")))
+
+
+@query(seeds_sql('grp, "end"', True) + ", terminal_count FROM k WHERE r = 1")
+def top_candidates(spark, d):
+    e = enriched(spark, d, 2).withColumn("fold_enrichment", F.round("fold_enrichment", 9))
+    return discovery.top_candidates(e).withColumn("fold_enrichment", r6(F.col("fold_enrichment")))
+
+
+@query(f"WITH {ANCH}, n AS (SELECT a.*, length(seq) AS length FROM a JOIN lng USING (seq_id)), f AS (SELECT grp, \"window\", count(*) AS n, min((seq_id, pos)) AS first FROM n WHERE (pos < 600 OR pos >= length - 600) AND {spacer_sql(chr(34) + 'window' + chr(34))} IS NOT NULL AND NOT {low_sql(chr(34) + 'window' + chr(34))} GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, first, \"window\") AS r FROM f) SELECT grp, \"window\" AS seed, n FROM k WHERE r = 1")
+def top_seed(spark, d):
+    return kmers.top_seed(long_dna(spark, d), K, 600)
+
+
+@query(f"WITH {can()} SELECT DISTINCT kmer, {low_sql('kmer')} AS low_complexity, {spacer_sql('kmer')} AS spacer, {ORIENT} AS oriented FROM c")
+def kmer_flags(spark, d):
+    k = kmers.canonical_windows(long_dna(spark, d), K).select("kmer").distinct()
+    c = F.col("kmer")
+    return k.select("kmer", S.low_complexity(c).alias("low_complexity"), S.framework_spacer(c).alias("spacer"), S.orient(c).alias("oriented"))
+
+
+# --- positions ---------------------------------------------------------------------------------------------------
+
+EV = "ev AS (SELECT user_id AS grp, event_type AS name, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS pos FROM events)"
+
+
+@query(f"WITH {EV}, g AS (SELECT grp, name, pos - lag(pos) OVER (PARTITION BY grp, name ORDER BY pos) AS gap FROM ev) SELECT grp, name, count(*) AS n, CASE WHEN count(*) >= 3 THEN CAST(floor(median(gap)) AS BIGINT) END AS period FROM g GROUP BY ALL")
+def tandem_spacing(spark, d):
+    return hits.median_gap(D.events(spark, d), ["grp", "name"], "pos")
+
+
+@query(f"WITH {EV} SELECT grp, pos, name, gap, coalesce(gap BETWEEN 15 AND 5000, false) AS tandem FROM (SELECT *, pos - lag(pos) OVER (PARTITION BY grp, name ORDER BY pos) AS gap FROM (SELECT DISTINCT * FROM ev))")
+def event_gaps(spark, d):
+    return hits.gaps(D.events(spark, d).distinct(), ["grp", "name"], "pos").withColumn("tandem", S.tandem(F.col("gap"))).select("grp", "pos", "name", "gap", "tandem")
+
+
+WIDTH, STEP = 10_000, 1_000
+GRID = EV + f""", m AS (SELECT grp, name, min(pos) AS mn, max(pos) AS mx FROM ev GROUP BY ALL),
+j AS (SELECT grp, name, mn, mx, unnest(range(0, greatest((mx - mn - {WIDTH}) // {STEP} + 2, 0))) AS j FROM m),
+c AS (SELECT j.grp, j.name, mn + j * {STEP} AS w0, mx, count(*) AS n FROM j JOIN ev ON j.grp = ev.grp AND j.name = ev.name AND pos >= mn + j * {STEP} AND pos < mn + j * {STEP} + {WIDTH} GROUP BY ALL)"""
+
+
+@query(f"WITH {GRID}, b AS (SELECT *, row_number() OVER (PARTITION BY grp, name ORDER BY n DESC, w0) AS r FROM c WHERE w0 < mx - {WIDTH}), z AS (SELECT grp, name, count(*) FILTER (pos BETWEEN 0 AND {WIDTH - 1}) AS n0 FROM ev GROUP BY ALL) SELECT z.grp, z.name, coalesce(w0, 0) AS w0, coalesce(n, n0) AS n FROM z LEFT JOIN (SELECT * FROM b WHERE r = 1) AS b ON z.grp = b.grp AND z.name = b.name")
+def densest_window(spark, d):
+    return hits.densest_window(D.events(spark, d), ["grp", "name"], "pos", WIDTH, STEP)
+
+
+@query(f"WITH {GRID}, k AS (SELECT grp, name FROM ev GROUP BY ALL HAVING count(*) >= 5), b AS (SELECT c.*, row_number() OVER (PARTITION BY c.grp ORDER BY n DESC, c.name, w0) AS r FROM c JOIN k ON c.grp = k.grp AND c.name = k.name WHERE w0 <= mx - {WIDTH}) SELECT grp, name, w0, n FROM b WHERE r = 1")
+def densest_window_or_none(spark, d):
+    return hits.densest_window_or_none(D.events(spark, d), ["grp"], "name", "pos", 5, WIDTH, STEP)
+
+
+@query("SELECT user_id, first(event_type ORDER BY value DESC, event_id) AS event_type, first(v ORDER BY value DESC, event_id) FILTER (v IS NOT NULL) AS v FROM (SELECT *, CASE WHEN value < 50 THEN round(value, 3) END AS v FROM events) GROUP BY user_id")
+def groupby_first_nonnull(spark, d):
+    e = D.table(spark, d, "events").withColumn("v", F.when(F.col("value") < 50, F.round("value", 3)))
+    return hits.first_non_null(e, ["user_id"], [F.desc("value"), "event_id"], ["event_type", "v"])
+
+
+@query("SELECT doc_id, 'left' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
+def seqid_diff(spark, d):
+    return hits.id_differences(D.table(spark, d, "documents"), D.table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT l_returnflag, l_linestatus, round(share, 6) AS share FROM (SELECT *, s / sum(s) OVER (PARTITION BY l_returnflag) AS share, row_number() OVER (PARTITION BY l_returnflag ORDER BY s DESC, l_linestatus) AS r FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS s FROM lineitem GROUP BY ALL)) WHERE r = 1")
+def dominant_group_share(spark, d):
+    return hits.group_share(D.table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity").withColumn("share", r6(F.col("share")))
+
+
+@query("SELECT source AS grp, doc_id, CAST(length(text) AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1")
+def longest_per_group(spark, d):
+    x = D.table(spark, d, "documents").select(F.col("source").alias("grp"), "doc_id", F.length("text").alias("n"))
+    return hits.longest_per_group(x, ["grp"], "n", "doc_id")
+
+
+@query("SELECT l_suppkey AS grp, min(l_partkey) AS lo, max(l_partkey) AS hi, (max(l_partkey) - min(l_partkey)) / 1000.0::DOUBLE AS span_kb FROM lineitem GROUP BY l_suppkey")
+def cluster_span(spark, d):
+    return hits.span(D.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "grp"), ["grp"], "l_partkey", "l_partkey")
+
+
+@query("SELECT o_orderpriority AS type, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, type LIMIT 20")
+def feature_counts(spark, d):
+    return D.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("type")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type").limit(20)
+
+
+# --- headers and attributes --------------------------------------------------------------------------------------
+
+HEAD = "concat('P', c_custkey, ' key=', c_custkey % 7, ' eq=a=b plain key=last name=', replace(c_name, ' ', '_'))"
+
+
+@query("SELECT c_custkey, concat('P', c_custkey) AS id, 'last' AS k, 'a=b' AS eq, replace(c_name, ' ', '_') AS name, 4 AS n_fields FROM customer")
+def header_parse(spark, d):
+    c = D.table(spark, d, "customer")
+    h = F.concat(F.lit("P"), "c_custkey", F.lit(" key="), F.col("c_custkey") % 7, F.lit(" eq=a=b plain key=last name="), F.replace("c_name", F.lit(" "), F.lit("_")))
+    f = S.header_fields(h)
+    return c.select("c_custkey", f["id"].alias("id"), f["key"].alias("k"), f["eq"].alias("eq"), f["name"].alias("name"), F.size(f).alias("n_fields"))
+
+
+@query("SELECT p_partkey, concat('WBGene', p_partkey) AS gene, concat('seq', p_partkey) AS seqname, '' AS missing, concat('Gene:WBGene', p_partkey) AS gene_id FROM part")
+def gff_attributes(spark, d):
+    p = D.table(spark, d, "part")
+    a = F.concat(F.lit("ID=Gene:WBGene"), "p_partkey", F.lit(";sequence_name=seq"), "p_partkey", F.lit(";biotype=x"))
+    return p.select("p_partkey", F.regexp_extract(a, r"ID=Gene:(WBGene\d+)", 1).alias("gene"), S.gff_attribute(a, "sequence_name").alias("seqname"), S.gff_attribute(a, "locus").alias("missing"), S.gene_id(a).alias("gene_id"))
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, 'econ|pr.mo', 'i') AND (contains(lower(p_name), 'widget') OR contains(lower(p_name), 'cold'))")
+def name_search(spark, d):
+    p = D.table(spark, d, "part")
+    return p.where(S.matches_any(F.col("p_type"), ["econ", "pr.mo"]) & S.names_any(F.col("p_name"), ["Widget", "COLD"])).select("p_partkey")
+
+
+PROT = f"prot AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
+
+
+@query(rf"WITH {PROT} SELECT doc_id, CAST(len(h) AS INTEGER) AS n_fingers, coalesce(array_to_string(h[1:2], ''), '') AS residues FROM (SELECT doc_id, regexp_extract_all(seq, '{V.FINGER}', 1) AS h FROM prot)")
+def zinc_fingers(spark, d):
+    p = D.spread(D.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
+    return p.select("doc_id", F.size(proteins.helices(F.col("seq"))).alias("n_fingers"), proteins.recognition_residues(F.col("seq")).alias("residues"))
+
+
+@query()
+def finger_regions(spark, d):
+    p = D.spread(D.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
+    f = proteins.with_fingers(p)
+    return f.select("doc_id", F.size("fingers").alias("n"), F.size(proteins.recognition_positions(F.col("fingers"))).alias("n_positions"), proteins.tail_region(F.col("seq"), F.col("fingers")).alias("tail"), proteins.domain(F.col("seq")).alias("domain"))
+
+
+# --- matrices ----------------------------------------------------------------------------------------------------
+
+COUNTS = ANCH + ", cnt AS (SELECT grp, CAST(i - 1 AS INTEGER) AS pos, " + ", ".join(f"count(*) FILTER (substring(\"window\", i, 1) = '{b}') AS {b.lower()}" for b in "ACGT") + f" FROM a, (SELECT unnest(range(1, {K + 1})) AS i) GROUP BY ALL)"
+MATRIX = COUNTS + ", pw AS (SELECT grp, pos, " + ", ".join(f"({b} + 0.5) / (a + c + g + t + 2.0)::DOUBLE AS {b}" for b in "acgt") + " FROM cnt)"
+IC = " + ".join(f"CASE WHEN {b} > 0 THEN {b} * log2({b}) ELSE 0 END" for b in "acgt")
+
+
+@query(f"WITH {COUNTS} SELECT grp, pos, a, c, g, t FROM cnt")
+def pwm_counts(spark, d):
+    return pwm.letter_counts(anchored(spark, d), ["grp"])
+
+
+@query(f"WITH {MATRIX}, m AS (SELECT *, greatest(a, c, g, t) AS top FROM pw) SELECT grp, string_agg(CASE WHEN a = top THEN 'A' WHEN c = top THEN 'C' WHEN g = top THEN 'G' ELSE 'T' END, '' ORDER BY pos) AS consensus FROM m GROUP BY grp")
+def pwm_consensus(spark, d):
+    return pwm.consensus(pwm.from_windows(anchored(spark, d), ["grp"]), ["grp"])
+
+
+@query(f"WITH {MATRIX} SELECT grp, round(sum(2.0 + {IC}), 6) AS bits FROM pw WHERE pos >= 4 GROUP BY grp")
+def pwm_information(spark, d):
+    return pwm.bits(pwm.from_windows(anchored(spark, d), ["grp"]), ["grp"], 4).withColumn("bits", r6(F.col("bits")))
+
+
+@query(f"WITH {MATRIX}, l AS (SELECT a.grp, seq_id, a.pos, \"window\", strand, i, substring(\"window\", i, 1) AS b FROM a, (SELECT unnest(range(1, {K + 1})) AS i)) SELECT l.grp, seq_id, CAST(l.pos AS INTEGER) AS pos, strand, \"window\", round(sum(log2(CASE b WHEN 'A' THEN pw.a WHEN 'C' THEN pw.c WHEN 'G' THEN pw.g ELSE pw.t END / 0.25)), 6) AS score FROM l JOIN pw ON l.grp = pw.grp AND pw.pos = i - 1 GROUP BY ALL")
+def pwm_score_windows(spark, d):
+    a = anchored(spark, d)
+    return pwm.score_windows(a, pwm.from_windows(a, ["grp"]), ["grp"], []).select("grp", "seq_id", F.col("pos").cast("int").alias("pos"), "strand", "window", r6(F.col("score")).alias("score"))
+
+
+OLIGO = ANCH + ", ol AS (SELECT grp, CAST(seq_id % 3 AS INTEGER) AS off, \"window\" AS oligo FROM a), oc AS (SELECT grp, CAST(off + i - 1 AS INTEGER) AS pos, " + ", ".join(f"count(*) FILTER (substring(oligo, i, 1) = '{b}') AS {b.lower()}" for b in "ACGT") + f" FROM ol, (SELECT unnest(range(1, {K + 1})) AS i) GROUP BY ALL), on_ AS (SELECT grp, count(*) AS n_seq FROM ol GROUP BY grp)"
+
+
+@query(f"WITH {OLIGO}, k AS (SELECT oc.*, a + c + g + t AS coverage FROM oc JOIN on_ USING (grp) WHERE a + c + g + t >= 0.5 * n_seq) SELECT grp, pos, CAST(row_number() OVER (PARTITION BY grp ORDER BY pos) - 1 AS INTEGER) AS col, coverage, CASE WHEN a >= greatest(c, g, t) THEN 'A' WHEN c >= greatest(g, t) THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END AS base, " + ", ".join(f"round(({b} + 0.25) / (coverage + 1.0), 6) AS {b}" for b in "acgt") + " FROM k")
+def pwm_from_oligos(spark, d):
+    o = anchored(spark, d).select("grp", (F.col("seq_id") % 3).cast("int").alias("offset"), F.col("window").alias("oligo"))
+    return pwm.build(o, ["grp"]).select("grp", "pos", "col", "coverage", "base", *[r6(F.col(b)).alias(b) for b in "acgt"])
+
+
+KNOWN = f"known AS (SELECT * FROM {values([(n, m, V.SPACERS[n]) for n, m in V.KNOWN_MOTIFS.items()], 'name, motif, spacer')})"
+WEIGHT = lambda m, i: {b: f"CASE WHEN substring({m}, {i}, 1) = '{b}' THEN 1.01 / 1.04 ELSE 0.01 / 1.04 END::DOUBLE" for b in "ACGT"}
+KCOL = KNOWN + ", kcol AS (SELECT name, spacer, CAST(i - 1 AS INTEGER) AS pos, length(motif) AS len, " + ", ".join(f"(CASE WHEN substring(motif, i, 1) = '{b}' THEN 1.01 ELSE 0.01 END / 1.04)::DOUBLE AS {b.lower()}" for b in "ACGT") + " FROM known, (SELECT unnest(range(1, 13)) AS i) WHERE i <= length(motif))"
+MOVED = KCOL + """, fr AS (SELECT s.name AS src, s.spacer AS ss, length(s.motif) AS sl, d.name AS dst, d.spacer AS ds, CAST(i AS INTEGER) AS pos FROM known s, known d, (SELECT unnest(range(0, 12)) AS i) WHERE s.name <> d.name AND i < length(d.motif)),
+mv AS (SELECT fr.src, dst, fr.ds, fr.pos, """ + ", ".join(f"coalesce(k.{b}, 0.25) AS {b}" for b in "acgt") + """ FROM fr LEFT JOIN kcol k ON k.name = fr.src AND k.pos = CASE WHEN fr.pos < 4 THEN fr.pos WHEN fr.pos - ds + ss >= 4 AND fr.pos - ds + ss < sl THEN fr.pos - ds + ss END)"""
+
+
+def _moved(spark):
+    m = D.motifs(spark)
+    s, e = m.select(F.col("name").alias("src"), F.col("spacer").alias("src_spacer"), F.length("motif").alias("src_len")), m.select(F.col("name").alias("dst"), F.col("spacer").alias("dst_spacer"), F.length("motif").alias("dst_len"))
+    pairs = s.crossJoin(e).where("src <> dst").withColumn("case", F.concat_ws(">", "src", "dst"))
+    return pairs, pwm.transfer(pairs, pwm.of_motifs(m.withColumnRenamed("name", "id"), ["id"]))
+
+
+@query(f"WITH {MOVED} SELECT src, dst, pos, " + ", ".join(f"round({b}, 6) AS {b}" for b in "acgt") + " FROM mv")
+def anchored_transfer(spark, d):
+    pairs, moved = _moved(spark)
+    return moved.join(pairs.select("case", "dst"), "case").select("src", "dst", "pos", *[r6(F.col(b)).alias(b) for b in "acgt"])
+
+
+SKILL = MOVED + ", g AS (SELECT mv.src, dst, count(*) AS n_variable, avg(sqrt(" + " + ".join(f"(mv.{b} - k.{b})^2" for b in "acgt") + ")) AS dist, avg(sqrt(" + " + ".join(f"(0.25 - k.{b})^2" for b in "acgt") + ")) AS base FROM mv JOIN kcol k ON k.name = mv.dst AND k.pos = mv.pos WHERE NOT (mv.pos < 4 OR mv.pos IN (ds + 4, ds + 5)) GROUP BY ALL)"
+
+
+def _scored(spark):
+    pairs, moved = _moved(spark)
+    truth = pwm.of_motifs(D.motifs(spark), ["name"]).withColumnRenamed("name", "dst")
+    t = pairs.select("case", "dst").join(truth, "dst").drop("dst")
+    e = pwm.evaluate(moved, t, pairs.select("case", F.col("dst_spacer").alias("spacer")), ["case"])
+    return e.join(pairs.select("case", "src", "dst"), "case")
+
+
+@query(f"WITH {SKILL} SELECT src, dst, n_variable, round(dist, 6) AS distance, round(1 - dist / base, 6) AS skill FROM g")
+def pwm_skill(spark, d):
+    return _scored(spark).select("src", "dst", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill"))
+
+
+@query(f"WITH {SKILL}, k AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY round(1 - dist / base, 9) DESC, src) AS r FROM g) SELECT dst AS \"case\", src AS name, round(1 - dist / base, 6) AS skill FROM k WHERE r = 1")
+def best_match(spark, d):
+    rank = F.row_number().over(W.partitionBy("dst").orderBy(F.desc(F.round("skill", 9)), "src"))
+    return _scored(spark).withColumn("r", rank).where("r = 1").select(F.col("dst").alias("case"), F.col("src").alias("name"), r6(F.col("skill")).alias("skill"))
+
+
+@query(f"WITH {KCOL} SELECT name, count(*) AS n_variable, round(avg(sqrt(" + " + ".join(f"(0.25 - {b})^2" for b in "acgt") + ")), 6) AS distance, 0.0::DOUBLE AS skill FROM kcol WHERE NOT (pos < 4 OR pos IN (spacer + 4, spacer + 5)) GROUP BY name")
+def floor_baseline(spark, d):
+    m = D.motifs(spark)
+    truth = pwm.of_motifs(m, ["name"])
+    flat = truth.select("name", "pos", *[F.lit(0.25).alias(b) for b in "acgt"])
+    e = pwm.evaluate(flat, truth, m.select("name", "spacer"), ["name"])
+    return e.select("name", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill"))
+
+
+SLOT = "CASE WHEN pos >= 4 AND pos < 4 + spacer THEN pos - spacer WHEN pos >= 6 + spacer AND pos < 11 + spacer THEN pos - 2 - spacer END"
+
+
+@query(f"WITH {KCOL} SELECT name, CAST({SLOT} AS INTEGER) AS slot, " + ", ".join(f"round({b}, 6) AS {b}" for b in "acgt") + f" FROM kcol WHERE {SLOT} IS NOT NULL")
+def canonical_slots(spark, d):
+    m = D.motifs(spark)
+    s = pwm.to_slots(pwm.of_motifs(m, ["name", "spacer"]))
+    return s.select("name", "slot", *[r6(F.col(b)).alias(b) for b in "acgt"])
+
+
+@query(f"WITH {KCOL} SELECT name, pos, " + ", ".join(f"round(CASE WHEN pos >= 11 + spacer THEN 0.25 ELSE {b} END, 6) AS {b}" for b in "acgt") + " FROM kcol")
+def slots_round_trip(spark, d):
+    m = D.motifs(spark)
+    full = pwm.of_motifs(m, ["name", "spacer"])
+    frames = m.select(F.col("name").alias("case"), "spacer", F.length("motif").alias("length"))
+    back = pwm.from_slots(pwm.to_slots(full).withColumnRenamed("name", "case"), frames, full.withColumnRenamed("name", "case"))
+    return back.select(F.col("case").alias("name"), "pos", *[r6(F.col(b)).alias(b) for b in "acgt"])
+
+
+def _pairs_sql():
+    return ", ".join(f"round(coalesce(sum({x} * n{y}), 0) / greatest(count(*) - 1, 1), 6)" for x in "acgt" for y in "acgt")
+
+
+@query(f"WITH {MATRIX}, n AS (SELECT *, " + ", ".join(f"lead({b}) OVER (PARTITION BY grp ORDER BY pos) AS n{b}" for b in "acgt") + " FROM pw) SELECT grp, [" + ", ".join(f"round(avg({b}), 6)" for b in "acgt") + ", " + _pairs_sql() + "] AS features FROM n GROUP BY grp")
+def factor_features(spark, d):
+    f = pwm.factor_features(pwm.from_windows(anchored(spark, d), ["grp"]), "grp")
+    return f.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
+
+
+@query(f"WITH {KCOL}, j AS (SELECT x.name AS p, y.name AS q, x.pos, " + ", ".join(f"x.{b} AS p{b}, y.{b} AS q{b}" for b in "acgt") + " FROM kcol x JOIN kcol y ON x.pos = y.pos AND x.name < y.name) SELECT p, q, round(avg((" + " + ".join(f"p{b} * log2(2 * p{b} / (p{b} + q{b})) + q{b} * log2(2 * q{b} / (p{b} + q{b}))" for b in "acgt") + ") / 2), 6) AS jsd FROM j GROUP BY ALL")
+def column_divergence(spark, d):
+    m = pwm.of_motifs(D.motifs(spark), ["name"])
+    x, y = (m.select(F.col("name").alias(n), "pos", *[F.col(b).alias(n + b) for b in "acgt"]) for n in "pq")
+    dist = S.column_distance([F.col("p" + b) for b in "acgt"], [F.col("q" + b) for b in "acgt"], "jsd")
+    return x.join(y, "pos").where("p < q").groupBy("p", "q").agg(r6(F.avg(dist)).alias("jsd"))
+
+
+# --- vectors -----------------------------------------------------------------------------------------------------
+
+EMB = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
+CENT = EMB + ", x AS (SELECT label, unnest(range(0, len(v))) AS dim, unnest(v) AS v FROM e), cen AS (SELECT label, CAST(dim AS INTEGER) AS dim, avg(v) AS v FROM x GROUP BY ALL)"
+
+
+def embeddings(spark, d):
+    return D.table(spark, d, "embeddings")
+
+
+@query(f"WITH {CENT} SELECT label, dim, round(v, 6) AS v FROM cen")
+def label_centroids(spark, d):
+    return vectors.centroids(embeddings(spark, d), "label", "embedding").withColumn("v", r6(F.col("v")))
+
+
+@query(f"WITH {EMB}, p AS (SELECT q.vec_id AS qid, t.vec_id AS tid, list_cosine_similarity(q.v, t.v) AS c FROM e q JOIN e t ON q.vec_id <> t.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, tid DESC) AS rank FROM p) SELECT qid, tid, round(c, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+def nn_cosine(spark, d):
+    v = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    n = vectors.nearest(v.where("id % 100 = 0"), v, 5)
+    return n.withColumn("cosine", r6(F.col("cosine")))
+
+
+@query(f"WITH {CENT}, s AS (SELECT dim, sum(v) AS s, count(*) AS n FROM cen GROUP BY dim), m AS (SELECT label AS held, c.dim, v, (s - v) / (n - 1) AS m FROM cen c JOIN s ON c.dim = s.dim), p AS (SELECT held, c.label AS other, sum((m.v - m.m) * (c.v - m.m)) / (sqrt(sum((m.v - m.m)^2)) * sqrt(sum((c.v - m.m)^2))) AS c FROM m JOIN cen c ON m.dim = c.dim AND c.label <> held GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY held ORDER BY c DESC, other DESC) AS r FROM p) SELECT held, other, round(c, 6) AS cosine FROM k WHERE r = 1")
+def lopo_nn(spark, d):
+    c = vectors.packed(vectors.centroids(embeddings(spark, d), "label", "embedding"), ["label"])
+    return vectors.leave_one_out_neighbours(c).withColumn("cosine", r6(F.col("cosine")))
+
+
+@query(f"WITH {EMB}, h AS (SELECT label, vec_id % 2 AS half, unnest(range(0, len(v))) AS dim, unnest(v) AS v FROM e), c AS (SELECT label, half, dim, avg(v) AS v FROM h GROUP BY ALL), l AS (SELECT label, half, list(v ORDER BY dim) AS v FROM c GROUP BY ALL), p AS (SELECT a.label AS k1, b.label AS k2, list_cosine_similarity(a.v, b.v) AS c FROM l a, l b WHERE a.half = 0 AND b.half = 1), n AS (SELECT k1, max_by(k2, (c, k2)) AS k2 FROM p GROUP BY k1) SELECT round(avg(c) FILTER (k1 = k2), 6) AS same, round(avg(c) FILTER (k1 <> k2), 6) AS other, round(avg(c) FILTER (k1 = k2) - avg(c) FILTER (k1 <> k2), 6) AS difference, (SELECT count(*) FILTER (k1 = k2) FROM n) AS nn_right, (SELECT count(*) FROM n) AS n FROM p")
+def ortholog_cosine_report(spark, d):
+    e = embeddings(spark, d)
+    half = lambda i: vectors.packed(vectors.centroids(e.where(F.col("vec_id") % 2 == i), "label", "embedding"), ["label"]).withColumnRenamed("label", "key")
+    r = vectors.separation(half(0), half(1))
+    return r.select(*[r6(F.col(c)).alias(c) for c in ("same", "other", "difference")], "nn_right", "n")
+
+
+@query(f"WITH {EMB} SELECT vec_id, CAST(len(v) AS INTEGER) AS dim, len(list_filter(v, lambda x: NOT isfinite(x))) = 0 AS finite FROM e")
+def embedding_dim(spark, d):
+    return embeddings(spark, d).select("vec_id", F.size("embedding").alias("dim"), S.finite(F.col("embedding")).alias("finite"))
+
+
+@query(f"WITH {EMB} SELECT vec_id, [round(list_avg(list_transform(range(1, 5), lambda i: v[i + 8 * j])), 6) for j in [0, 1, 2]] AS pooled FROM e")
+def region_pooling(spark, d):
+    e = embeddings(spark, d).select("vec_id", F.array(*[F.slice("embedding", 1 + 8 * j, 4) for j in range(3)]).alias("r"))
+    return e.select("vec_id", F.transform("r", lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v.cast("double")) / 4, 6)).alias("pooled"))
+
+
+@query()
+def pls_projection(spark, d):
+    e = embeddings(spark, d).select("embedding", F.array(*[(F.col("label") == i).cast("double") for i in range(4)]).alias("y"))
+    m = vectors.pls(e, "embedding", "y", 6)
+    return spark.createDataFrame([(int(m["n"]), round(m["r2"], 6), m["rotations"].shape[1])], "n long, r2 double, components int")
+
+
+@query()
+def head_leave_one_out(spark, d):
+    e = embeddings(spark, d)
+    c = vectors.packed(vectors.centroids(e, "label", "embedding"), ["label"]).withColumn("vector", F.slice("vector", 1, 8))
+    folds = c.select(F.col("label").cast("string").alias("fold"), F.col("vector").alias("x"))
+    y = F.array(*[F.when(F.col("label") % 4 == i, 1.0).otherwise(0.0) for i in range(4)])
+    train = folds.select("fold").join(c.select("label", F.col("vector").alias("x"), y.alias("y")), F.col("fold") != F.col("label").cast("string"))
+    grid = spark.createDataFrame([(0.1,), (1.0,), (10.0,)], "l2 double")
+    heads = vectors.train_heads(train.crossJoin(F.broadcast(grid)).withColumn("slot", F.lit(0)).select("fold", "l2", "slot", "x", "y"), 300)
+    return vectors.predict_heads(heads, folds).select("fold", "l2", *[r6(F.col(b)).alias(b) for b in "acgt"])
+
+
+# --- sheets ------------------------------------------------------------------------------------------------------
+
+ANCHORED_NAMES = ", ".join(x.split()[0] for x in D.ANCHORED.split(", "))
+PARA = f"para AS (SELECT * FROM {values(list(V.CHROMOSOME_PARALOG.items()), 'chromosome, paralog')})"
+
+
+@query(f"WITH {PARA}, q AS (SELECT * FROM {values(D.QX1410, ANCHORED_NAMES)}), a AS (SELECT * FROM {values(D.AF16, ANCHORED_NAMES)}), j AS (SELECT q.*, paralog, ({hamming_sql('q.discovered_motif', 'a.discovered_motif', 12)}) <= 2 AS again, q.downstream_bits >= 6 AND coalesce(q.period_bp BETWEEN 20 AND 3000, false) AS def, q.dist_from_end_kb <= 1500 AS near FROM q JOIN a USING (chromosome) JOIN para USING (chromosome)) SELECT chromosome, 'Cbr-' || paralog AS binds_protein, discovered_motif AS motif, again AS \"reproduced_on_AF16\", spacer, cluster_pos_Mb::DOUBLE AS \"cluster_Mb\", copies, period_bp, downstream_bits::DOUBLE AS downstream_bits, ce_paralog AS motif_similar_to, ce_match_skill::DOUBLE AS similarity_skill, ce_paralog = paralog AS assignment_agrees, CASE WHEN def AND again AND near THEN 'HIGH' WHEN def AND (again OR near) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM j")
+def reconcile_runs(spark, d):
+    return discovery.reconcile(spark.createDataFrame(D.QX1410, D.ANCHORED), spark.createDataFrame(D.AF16, D.ANCHORED), D.paralogs(spark))
+
+
+@query(f"WITH a AS (SELECT * FROM {values(D.QX1410, ANCHORED_NAMES)}) SELECT chromosome, CASE WHEN downstream_bits >= 6 AND period_bp BETWEEN 20 AND 3000 AND dist_from_end_kb <= 1500 AND chrom_specificity >= 0.3 THEN 'HIGH' WHEN downstream_bits >= 3.5 AND period_bp BETWEEN 20 AND 3000 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM a")
+def confidence_tiers(spark, d):
+    a = spark.createDataFrame(D.QX1410, D.ANCHORED)
+    return a.select("chromosome", S.confidence(F.col("downstream_bits"), F.col("period_bp"), F.col("dist_from_end_kb"), F.col("chrom_specificity") >= 0.3).alias("confidence"))
+
+
+def _free(spark, rows):
+    return spark.createDataFrame(rows, D.FREE)
+
+
+FREE_NAMES = "chromosome, discovered_motif, chrom_specificity, \"recovered_TTGG\""
+ADVICE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ANCHOR_ADVICE.items()) + " END"
+
+
+@query(f"WITH {PARA}, q AS (SELECT * FROM {values(D.QX1410, ANCHORED_NAMES)}), f AS (SELECT * FROM {values(D.FREE_QX1410, FREE_NAMES)}), k AS (SELECT * FROM {values(D.CONSERVATION, 'paralog, cons')}), j AS (SELECT chromosome, paralog, cons::DOUBLE AS cons, CASE WHEN cons >= 0.6 THEN 'CONSERVED' WHEN cons < 0.4 THEN 'DIVERGED' ELSE 'INTERMEDIATE' END AS status FROM para JOIN k USING (paralog)) SELECT j.chromosome, 'Cbr-' || j.paralog AS paralog, cons AS recognition_conservation, status AS anchor_status, q.discovered_motif AS anchored_motif, q.ce_match_skill::DOUBLE AS anchored_skill, q.confidence AS anchored_confidence, f.discovered_motif AS anchorfree_motif, f.chrom_specificity::DOUBLE AS anchorfree_specificity, f.\"recovered_TTGG\" AS \"anchorfree_has_TTGG\", {ADVICE} AS recommendation FROM j LEFT JOIN q ON j.chromosome = q.chromosome LEFT JOIN f ON j.chromosome = f.chromosome")
+def anchored_sheet(spark, d):
+    return discovery.anchor_sheet(D.paralogs(spark), spark.createDataFrame(D.CONSERVATION, "paralog string, recognition_conservation double"), spark.createDataFrame(D.QX1410, D.ANCHORED), _free(spark, D.FREE_QX1410))
+
+
+@query(f"WITH {PARA}, f AS (SELECT * FROM {values(D.FREE_CREM, FREE_NAMES)}), t AS (SELECT * FROM {values(D.TTGG_CREM, 'chromosome, ttgg_motif, spec, closest, skill')}) SELECT para.chromosome, f.discovered_motif AS \"ANCHOR_FREE_motif\", f.chrom_specificity::DOUBLE AS \"ANCHOR_FREE_specificity\", f.\"recovered_TTGG\" AS \"ANCHOR_FREE_has_TTGG\", ttgg_motif AS \"TTGG_motif\", spec::DOUBLE AS \"TTGG_specificity\", closest AS \"TTGG_closest_paralog\", skill::DOUBLE AS \"TTGG_match_skill\" FROM para LEFT JOIN f ON para.chromosome = f.chromosome LEFT JOIN t ON para.chromosome = t.chromosome")
+def drift_sheet(spark, d):
+    return discovery.compare_runs(D.paralogs(spark), _free(spark, D.FREE_CREM), spark.createDataFrame(D.TTGG_CREM, D.TTGG))
+
+
+CONV = [(q[9], V.CHROMOSOME_PARALOG[q[0]]) for q in D.QX1410]
+
+
+@query(f"WITH p AS (SELECT row_number() OVER () - 1 AS i, * FROM {values(CONV, 'predicted, expected')}), x AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e, f.i AS f FROM p a, p b, p c, p d, p e, p f WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i, f.i])) = 6), l AS (SELECT list(predicted ORDER BY i) AS p, list(expected ORDER BY i) AS e FROM p), m AS (SELECT (p[1] = l.e[x.a + 1])::INT + (p[2] = l.e[x.b + 1])::INT + (p[3] = l.e[x.c + 1])::INT + (p[4] = l.e[x.d + 1])::INT + (p[5] = l.e[x.e + 1])::INT + (p[6] = l.e[x.f + 1])::INT AS m FROM x, l) SELECT 6::BIGINT AS n, (SELECT count(*) FROM p WHERE predicted = expected) AS matches, round(avg(m), 6) AS mean_null, round(avg((m >= (SELECT count(*) FROM p WHERE predicted = expected))::INT), 6) AS p_value FROM m")
+def permutation_null(spark, d):
+    r = discovery.permutation_null(spark.createDataFrame(CONV, "predicted string, expected string"))
+    return r.select("n", "matches", r6(F.col("mean_null")).alias("mean_null"), r6(F.col("p_value")).alias("p_value"))
+
+
+@query("WITH c AS (SELECT l_returnflag AS qid, l_suppkey AS tid, sum(l_quantity) AS s FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) AS o FROM c), t AS (SELECT * FROM k WHERE o <= 5), x AS (SELECT a.tid AS a, b.tid AS b, c.tid AS c, a.o AS oa, b.o AS ob, c.o AS oc, a.s + b.s + c.s AS total FROM t a, t b, t c WHERE a.qid = 'A' AND b.qid = 'N' AND c.qid = 'R' AND a.tid <> b.tid AND a.tid <> c.tid AND b.tid <> c.tid ORDER BY total DESC, oa, ob, oc LIMIT 1) SELECT i AS qid, CASE i WHEN 'A' THEN a WHEN 'N' THEN b ELSE c END AS tid FROM x, (SELECT unnest(['A', 'N', 'R']) AS i)")
+def one_to_one_assignment(spark, d):
+    """The best five candidates of each query, as in the search before it, then the best distinct ones."""
+    c = D.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("qid"), F.col("l_suppkey").alias("tid")).agg(F.sum("l_quantity").alias("score"))
+    t = kmers.top_per_group(c, ["qid"], [F.desc("score"), "tid"], 5).withColumnRenamed("rank", "ord")
+    return align.assign_one_to_one(t, ["A", "N", "R"])
+
+
+@query()
+def ortholog_hits(spark, d):
+    b = D.table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    docs = D.spread(D.table(spark, d, "documents").select("doc_id", "text"))
+    t = docs.select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
+    return align.best_hits(b, t, 12, 3)
+
+
+@query()
+def pairwise_identity(spark, d):
+    b = D.table(spark, d, "benchmark").select("item_id", F.upper("text").alias("a"))
+    p = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b")), "item_id")
+    return align.with_identity(p, "a", "b").select("item_id", r6(F.col("identity")).alias("identity"))
+
+
+@query()
+def gene_tree(spark, d):
+    m = pwm.consensus(pwm.from_windows(anchored(spark, d), ["grp"]), ["grp"])
+    return tree.gene_tree(spark, m.select(F.col("grp").alias("name"), F.col("consensus").alias("aligned")), 50)
+
+
+@query()
+def anchored_discovery(spark, d):
+    seqs = D.dna(spark, d).where(F.length("seq") >= 12)
+    w = discovery.end_windows(seqs, 12, 3_000_000)
+    seeds = kmers.top_seed(seqs, 12, 3_000_000).select("grp", "seed")
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    return discovery.best_end(discovery.refine_anchored(w, seeds))
+
+
+@query()
+def anchor_free_discovery(spark, d):
+    seqs = long_dna(spark, d)
+    ends = kmers.specificity(kmers.end_counts(seqs, K, T))
+    cand = kmers.enriched_vs_interior(kmers.end_counts(seqs, K, T), kmers.interior_counts(seqs, K, T), 10, 3).join(ends.drop("n"), ["grp", "kmer"])
+    seeds = discovery.select_specific(cand, cand.select("grp", "kmer")).select("grp", F.col("kmer").alias("seed"), F.lit(0).alias("start"))
+    w = kmers.windows(seqs, K).select("grp", "pos", (F.col("length") - K).alias("last"), F.col("kmer").alias("window"))
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    return discovery.refine_free(w, seeds, K, 1)
+
+
+def _checkpoints(spark):
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
+
 
 def queries():
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(_O)
