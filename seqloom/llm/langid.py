@@ -17,10 +17,12 @@ ORDER = 5
 SAMPLE_DOCS = 400
 #: Distinct n-grams of an order over all languages that a model keeps: the most frequent.
 MODEL_GRAMS = 400_000
+#: Characters over which what no n-gram explains is spread.
+ALPHABET = 2048
 #: Languages that a model can hold.
 MAX_LANGS = 200
 #: Keeps the curve of the score finite where the calibration sees no mistake.
-RIDGE = 0.05
+RIDGE = 1.0
 SEED = 314159
 UNDETERMINED = "und"
 _BOUNDARY = ord(" ")
@@ -105,7 +107,7 @@ class Model:
 
     def __init__(self, langs, grams, logs, contexts, backoffs, floor):
         self.langs, self.grams, self.logs, self.contexts, self.backoffs, self.floor = langs, grams, logs, contexts, backoffs, floor
-        self.slope, self.offset, self.reject_above = 40.0, 0.0, np.full(len(langs), np.inf)
+        self.slope, self.offset, self.reject_above = 1.0, 0.0, np.full(len(langs), np.inf)
 
     @classmethod
     def fit(cls, counts: pd.DataFrame, most: int = MODEL_GRAMS) -> "Model":
@@ -134,8 +136,7 @@ class Model:
             np.add.at(m, at[ok], (up_m[ok] > 0).astype(np.float64))
             counts_of[n] = np.where(m > 0, m, (tables[n][1] > 0).astype(np.float64))  # at a text's begin nothing is before
         grams, logs, contexts, backoffs = [], [], [], []
-        vocabulary = np.maximum((tables[1][1] > 0).sum(axis=0) + 1, 2)
-        floor = 1.0 / vocabulary
+        floor = np.full(L, 1.0 / ALPHABET)
         lower = None
         for n in range(1, order + 1):
             gram, _, prior, suffix = tables[n]
@@ -203,37 +204,54 @@ class Model:
         out[full] = -sums / np.maximum(scored[full], 1)[:, None]
         return out, scored
 
+    def _evidence(self, ent: np.ndarray, scored: np.ndarray) -> np.ndarray:
+        """Margin between the two best languages, in bits a character, times the root of the length."""
+        if len(self.langs) < 2:
+            return np.sqrt(scored)
+        two = np.partition(ent, 1, axis=1)
+        return (two[:, 1] - two[:, 0]) * np.sqrt(scored)
+
     def calibrate(self, texts: list[str | None], langs: list[str], quantile: float = 0.995) -> None:
-        """Fits, on documents of known language, the logistic curve of the score over the margin, and for each language
-        the cross-entropy that all but 1 - quantile of its documents stay below."""
+        """Fits, on documents of known language and on short pieces of them, the logistic curve of being right over the
+        evidence; and for each language the cross-entropy that all but 1 - quantile of its documents stay below, with a
+        quarter more."""
         ent, scored = self.entropies(texts)
+        for i, g in enumerate(self.langs):
+            own = ent[(scored > 0) & (np.array(langs, object) == g), i]
+            if len(own) >= 8:
+                self.reject_above[i] = np.quantile(own, quantile) * 1.25
+        if len(self.langs) < 2:
+            return
+        pieces, truth = list(texts), list(langs)
+        for t, g in zip(texts, langs):
+            words = (t or "").split()
+            for n in (1, 2, 4, 8):
+                pieces.append(" ".join(words[n : 2 * n]))
+                truth.append(g)
+        ent, scored = self.entropies(pieces)
         ok = scored > 0
-        if not ok.any() or len(self.langs) < 2:
+        if not ok.any():
             return
-        best = ent[ok].argmin(axis=1)
-        two = np.partition(ent[ok], 1, axis=1)
-        margin, right = two[:, 1] - two[:, 0], np.array([self.langs[b] == g for b, g in zip(best, np.array(langs, object)[ok])], float)
-        target = (right * (right.sum() + 1) + (1 - right)) / (right.sum() + 2)  # Platt's targets
-        a, b = self.slope, self.offset
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-9)
-            g = np.array([(margin * (p - target)).sum() + RIDGE * a, (p - target).sum() + RIDGE * b])
-            h = np.array([[(margin * margin * w).sum() + RIDGE, (margin * w).sum()], [(margin * w).sum(), w.sum() + RIDGE]])
+        x = self._evidence(ent[ok], scored[ok])
+        right = np.array([self.langs[i] == g for i, g in zip(ent[ok].argmin(axis=1), np.array(truth, object)[ok])], float)
+        target = np.where(right > 0, (right.sum() + 1) / (right.sum() + 2), 1 / ((1 - right).sum() + 2))  # Platt's targets
+        a, b = 0.0, 0.0
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+            w = p * (1 - p)
+            g = np.array([(x * (p - target)).sum() + RIDGE * a, (p - target).sum() + RIDGE * b])
+            h = np.array([[(x * x * w).sum() + RIDGE, (x * w).sum()], [(x * w).sum(), w.sum() + RIDGE]])
             step = np.linalg.solve(h, g)
             a, b = a - step[0], b - step[1]
+            if np.abs(step).max() < 1e-9:
+                break
         self.slope, self.offset = float(max(a, 0.0)), float(b)
-        for i, g in enumerate(self.langs):
-            own = ent[ok][np.array(langs, object)[ok] == g, i]
-            if len(own) >= 20:
-                self.reject_above[i] = np.quantile(own, quantile) * 1.25
 
     def predict(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], np.ndarray]:
         ent, scored = self.entropies(texts)
         best = ent.argmin(axis=1)
         low = ent[np.arange(len(ent)), best]
-        second = np.partition(ent, 1, axis=1)[:, 1] if len(self.langs) > 1 else low + 1
-        score = np.where(scored > 0, 1 / (1 + np.exp(-np.clip(self.slope * (second - low) + self.offset, -30, 30))), 0.0)
+        score = np.where(scored > 0, 1 / (1 + np.exp(-np.clip(self.slope * self._evidence(ent, scored) + self.offset, -30, 30))), 0.0)
         out = scored == 0
         if reject:
             out = out | (low > self.reject_above[best])

@@ -25,6 +25,7 @@ EACH, SHORTEST = 8.0, 64
 #: Tokens that one dynamic program sees; the last window of a block is carried over to the next block.
 BLOCK = 1 << 19
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
 _loaded: dict[str, tuple] = {}
 
 
@@ -202,9 +203,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packer.add(doc_id, np.array([*encode(text), end_id], np.int64))
                 if packer.total >= block:
-                    yield pa.RecordBatch.from_pandas(packer.flush(False), preserve_index=False)
+                    yield pa.RecordBatch.from_pandas(packer.flush(False), SCHEMA, preserve_index=False)
         if (rest := packer.flush(True)) is not None:
-            yield pa.RecordBatch.from_pandas(rest, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(rest, SCHEMA, preserve_index=False)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, PIECE)
