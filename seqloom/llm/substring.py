@@ -191,12 +191,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     each = lone.select("id", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor")
     asked = each.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
-    found = materialize(windows(rows.join(asked, "id").select("id", "text", "shared").join(lone.select("id").distinct(), "id", "left_semi")), "windows")
+    # Not written out: the windows are made twice, from one shuffle of the texts, which takes less room than a table of them.
+    found = windows(rows.hint("merge").join(asked, "id").select("id", "text", "shared"))
     owners = found.groupBy("a", "b").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner <> last").select("a", "b", "owner")
     later = found.join(owners, ["a", "b"]).where("id > owner").groupBy("id").agg(F.collect_set("start").alias("starts"))
     later = materialize(later, "repeats")
     empty = F.array().cast("array<int>")
-    cut = _cut(rows.join(later, "id").select("id", "text", "starts"), with_text)
+    cut = _cut(rows.hint("merge").join(later, "id").select("id", "text", "starts"), with_text)
     plain = marked.join(later.select("id"), "id", "left_anti")
     none = hashlib.sha256(b"").hexdigest()
     plain = plain.select("id", "n", F.when(F.col("copy"), F.col("n")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), F.lit(none)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(F.col("copy"), F.array(F.lit(0))).otherwise(empty).alias("lo"), F.when(F.col("copy"), F.array(F.col("n").cast("int"))).otherwise(empty).alias("hi"))
