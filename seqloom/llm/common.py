@@ -53,6 +53,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df behind an exchange of its own. A join straight above an aggregate can't be split where a key is hot; above an
+    exchange it can. For aggregates, which have a row a key."""
+    return df.repartition(partitions(df.sparkSession))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import apart, materialize
 
 #: Documents of one bucket of ids, about, and buckets at most: their bounds are a literal of the plan.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 1 << 16
@@ -102,7 +102,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     each = made.select("key", "next_key", F.lit(0).alias("kind"), "a", "b").unionByName(made.select("key", "next_key", F.lit(1).alias("kind"), F.col("ea").alias("a"), F.col("eb").alias("b")))
     shared = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    need = materialize(each.join(shared, ["a", "b"]), "buckets")
+    need = materialize(each.join(apart(shared), ["a", "b"]), "buckets")
     # Texts that share a hash, by one pass over the texts: a document's own, or the two that its edited text is made of.
     own = need.where("kind = 0").select(F.col("key").alias("of"), "key", F.lit(0).alias("part"), "a", "b")
     left = need.where("kind = 1").select(F.col("key").alias("of"), "key", F.lit(1).alias("part"), "a", "b")
@@ -127,4 +127,4 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     made = made.select("key", "n_chars", "edited_sha256", print_.alias("fingerprint"), edit_.alias("edited_fingerprint"), next_.alias("next_fingerprint"))
     groups = made.groupBy("fingerprint").agg(F.min(F.when(F.col("key") != F.lit(LEAST), F.col("key"))).alias("group_id"), F.count(F.lit(1)).alias("group_size"))
     like = lambda c: F.when(F.col("fingerprint") == F.col(c), 1.0).otherwise(0.0)
-    return made.join(groups, "fingerprint").select(F.when(F.col("key") != F.lit(LEAST), F.col("key")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"), "group_id", "group_size")
+    return made.join(apart(groups), "fingerprint").select(F.when(F.col("key") != F.lit(LEAST), F.col("key")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"), "group_id", "group_size")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, partitions, ragged, texts_of, tune
+from .common import WordHashes, apart, materialize, mix64, partitions, ragged, texts_of, tune
 
 #: Words of a shingle; sets are linked at 100 * intersection >= NUM * union.
 SHINGLE, NUM = 5, 75
@@ -303,13 +303,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = materialize(sketches(docs, id_col, text_col), "sketches")
     full = made.where("n > 0 and id is not null")
     classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    member = materialize(full.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("id", "rep", "set_a", "set_b").distinct(), "classes")
+    member = materialize(full.select("id", "set_a", "set_b").join(apart(classes), ["set_a", "set_b"]).select("id", "rep", "set_a", "set_b").distinct(), "classes")
     # One row for each class; where an id has several texts, several rows.
     reps = full.join(member.where("id = rep").select("id", "set_a", "set_b"), ["id", "set_a", "set_b"]).dropDuplicates(["id"])
     reps = materialize(reps.select("id", "n", "sketch", "bands"), "representatives")
     each = reps.select("id", F.explode("bands").alias("band"))
     groups = each.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(each.join(groups, "band").select("band", "id", "lead"), "buckets")
+    buckets = materialize(each.join(apart(groups), "band").select("band", "id", "lead"), "buckets")
     stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     first = materialize(verified(materialize(estimated(stars, reps), "pairs"), docs, id_col, text_col), "links")
     found = components(first)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, ragged, texts_of, tune
+from .common import WordHashes, apart, materialize, mix64, ragged, texts_of, tune
 
 #: Words of a window that counts as a repeat, and of a gram that can be an anchor.
 WINDOW, GRAM = 50, 10
@@ -184,17 +184,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
     made = materialize(seeds(rows), "seeds")
     first = made.where(F.col("n") >= WINDOW).groupBy("whole_a", "whole_b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    marked = made.join(first, ["whole_a", "whole_b"], "left")
+    marked = made.join(apart(first), ["whole_a", "whole_b"], "left")
     copy = F.col("first").isNotNull() & (F.col("first") < F.col("id"))
     marked = materialize(marked.select("id", "n", "kept_sha256", "anchors", copy.alias("copy")), "marked")
     lone = marked.where(~F.col("copy"))
     each = lone.select("id", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor")
-    asked = each.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
+    asked = each.join(apart(shared), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
     # Not written out: the windows are made twice, from one shuffle of the texts, which takes less room than a table of them.
     found = windows(rows.hint("merge").join(asked, "id").select("id", "text", "shared"))
     owners = found.groupBy("a", "b").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner <> last").select("a", "b", "owner")
-    later = found.join(owners, ["a", "b"]).where("id > owner").groupBy("id").agg(F.collect_set("start").alias("starts"))
+    later = found.join(apart(owners), ["a", "b"]).where("id > owner").groupBy("id").agg(F.collect_set("start").alias("starts"))
     later = materialize(later, "repeats")
     empty = F.array().cast("array<int>")
     cut = _cut(rows.hint("merge").join(later, "id").select("id", "text", "starts"), with_text)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, scratch, tune
+from .common import apart, materialize, partitions, scratch, tune
 
 #: Compressed bytes after which a file is closed and the next begun.
 ROLL_BYTES = 256 << 20
@@ -40,7 +40,7 @@ def classify(pages: DataFrame, id_col: str, text_col: str, least: int = REVISIT_
     each = materialize(each, "payloads")
     first = each.where(F.col("payload_bytes") >= least).groupBy("wide").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisit = F.col("winner").isNotNull() & ~F.col("winner").eqNullSafe(F.col("page_id"))
-    return each.join(first, "wide", "left").select("page_id", "digest", "wide", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
+    return each.join(apart(first), "wide", "left").select("page_id", "digest", "wide", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("winner")).alias("refers_to"))
 
 
 def record_id(page_id, digest: str) -> str:
