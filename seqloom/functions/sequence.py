@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 BASES = "ACGT"
 
 
+#: Printable ASCII but for lower case, and what each sign is on the opposite strand.
+_SIGNS = "".join(chr(i) for i in range(32, 127) if not 97 <= i <= 122)
+_OPPOSITE = "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(c, "N") for c in _SIGNS)
+
+
 def reverse_complement(s: Column) -> Column:
-    """Reverse complement in upper case; any letter but A, C, G and T becomes N."""
-    return F.translate(F.reverse(F.regexp_replace(F.upper(s), "[^ACGT]", "N")), "ACGT", "TGCA")
+    """Reverse complement in upper case; anything but A, C, G and T becomes N. ASCII takes one table look-up a letter."""
+    plain = F.translate(F.reverse(F.upper(s)), _SIGNS, _OPPOSITE)
+    other = F.translate(F.reverse(F.regexp_replace(F.upper(s), "[^ACGT]", "N")), "ACGT", "TGCA")
+    return F.when(F.octet_length(s) == F.length(s), plain).otherwise(other)
 
 
 def canonical_kmer(k: Column) -> Column:

@@ -189,12 +189,13 @@ def reciprocal(forward: DataFrame, backward: DataFrame) -> DataFrame:
     return forward.select("qid", "tid").join(b, "tid", "left").select("qid", "tid", "back", F.coalesce(F.col("back") == F.col("qid"), F.lit(False)).alias("reciprocal"))
 
 
-def gene_coordinates(gff: DataFrame) -> DataFrame:
-    """(gene, chrom, start, end, strand, locus, seqname) of gene rows; the last row of a gene wins."""
+def gene_coordinates(gff: DataFrame, order: str | None = None) -> DataFrame:
+    """(gene, chrom, start, end, strand, locus, seqname) of gene rows; the last row of a gene wins, in file order or by a
+    column."""
     from ..functions import sequence as S
 
     a = F.col("attributes")
-    g = gff.where(F.col("type") == "gene").withColumn("ord", F.monotonically_increasing_id())
+    g = gff.where(F.col("type") == "gene").withColumn("ord", F.col(order) if order else F.monotonically_increasing_id())
     g = g.select(F.regexp_extract(a, r"ID=[Gg]ene:([^;]+)", 1).alias("gene"), F.col("seqid").alias("chrom"), "start", "end", "strand", S.gff_attribute(a, "locus").alias("locus"), S.gff_attribute(a, "sequence_name").alias("seqname"), "ord").where("gene <> ''")
     return g.groupBy("gene").agg(F.max_by(F.struct("chrom", "start", "end", "strand", "locus", "seqname"), "ord").alias("r")).select("gene", "r.*")
 

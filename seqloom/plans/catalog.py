@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from ..functions import reference_values as V
 from ..functions import sequence as S
 from ..operators import align, discovery, hits, kmers, proteins, pwm, tree, vectors
+from ..sources import readers
 from . import tables as D
 
 K, T, MIN_LEN = 8, 200, 400
@@ -603,6 +604,75 @@ def one_to_one_assignment(spark, d):
     return align.assign_one_to_one(t, ["A", "N", "R"])
 
 
+@query("SELECT qseqid, sseqid, bitscore, pident FROM (SELECT CAST(l_suppkey AS VARCHAR) AS qseqid, CAST(l_partkey % 50 AS VARCHAR) AS sseqid, l_extendedprice AS bitscore, l_discount AS pident, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_extendedprice DESC, l_discount DESC) AS r FROM lineitem) WHERE r = 1")
+def best_hit_per_pair(spark, d):
+    li = D.table(spark, d, "lineitem")
+    h = li.select(F.col("l_suppkey").cast("string").alias("qseqid"), (F.col("l_partkey") % 50).cast("string").alias("sseqid"), F.col("l_discount").alias("pident"), F.lit(0).alias("length"), F.col("l_extendedprice").alias("bitscore"), (-F.col("l_discount")).alias("evalue"))
+    return readers.best_per_pair(h).select("qseqid", "sseqid", "bitscore", "pident")
+
+
+@query("SELECT concat('WBGene', p_brand) AS gene, arg_max(CAST(p_partkey AS VARCHAR), p_partkey) AS seqname, max(p_partkey) AS \"start\", max(p_partkey) + 10 AS \"end\", '' AS locus FROM part GROUP BY p_brand")
+def gene_coordinates(spark, d):
+    p = D.table(spark, d, "part")
+    g = p.select(F.lit("I").alias("seqid"), F.lit("gene").alias("type"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + 10).alias("end"), F.lit("+").alias("strand"), F.concat(F.lit("ID=Gene:WBGene"), "p_brand", F.lit(";sequence_name="), "p_partkey").alias("attributes"))
+    return align.gene_coordinates(g, "start").select("gene", "seqname", "start", "end", "locus")
+
+
+@query("WITH h AS (SELECT l_suppkey AS qid, l_partkey AS tid, sum(l_quantity) AS s FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) AS r FROM h) SELECT qid, string_agg(concat(tid, '(', CAST(round(s) AS INTEGER), '%)'), '; ' ORDER BY r) AS top3 FROM k WHERE r <= 3 GROUP BY qid")
+def top_hits_text(spark, d):
+    h = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("tid")).agg(F.sum("l_quantity").alias("s"))
+    k = kmers.top_per_group(h, ["qid"], [F.desc("s"), "tid"], 3).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "tid", "s"))).alias("a"))
+    ids, pct = F.transform("a", lambda x: x["tid"].cast("string")), F.transform("a", lambda x: x["s"])
+    return k.select("qid", S.top_hits_text(ids, pct).alias("top3"))
+
+
+@query("SELECT o_custkey AS k, min(o_orderkey) AS ord FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY o_custkey")
+def fetch_pending(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("k"))
+    return readers.pending(o, D.table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query(f"WITH {EMB}, x AS (SELECT vec_id, v[1:4] AS z FROM e), y AS (SELECT vec_id, list_transform(z, lambda a: exp(a - list_max(z))) AS w FROM x) SELECT vec_id, list_transform(w, lambda a: round(a / list_sum(w), 6)) AS p FROM y")
+def softmax_rows(spark, d):
+    z = F.transform(F.slice("embedding", 1, 4), lambda a: a.cast("double"))
+    return embeddings(spark, d).select("vec_id", F.transform(S.softmax(z), lambda a: F.round(a, 6)).alias("p"))
+
+
+@query(f"WITH {EV}, m AS (SELECT min(pos) AS lo, max(pos) AS hi FROM ev), b AS (SELECT unnest(range(0, (hi - lo) // 1440 + 1)) AS bin FROM m), c AS (SELECT (pos - lo) // 1440 AS bin, count(*) AS n FROM ev, m GROUP BY ALL) SELECT b.bin, coalesce(c.n, 0) AS n FROM b LEFT JOIN c ON b.bin = c.bin")
+def daily_histogram(spark, d):
+    """Bins without hits are 0."""
+    e = D.events(spark, d)
+    r = e.agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    lo = F.broadcast(r)
+    c = e.crossJoin(lo).withColumn("p", F.col("pos") - F.col("lo"))
+    all_ = r.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / 1440))).alias("bin"))
+    return all_.join(hits.density(c.select("p"), [], "p", 1440), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+CAND_NAMES = "chromosome, end_, candidate_motif, spacer, fold_enrichment, chrom_specificity, median_spacing_bp, best_ce_paralog, convergent, low_complexity, tandem"
+
+
+@query(f"WITH c AS (SELECT *, fold_enrichment * chrom_specificity * CASE WHEN tandem THEN 1.0 ELSE 0.4 END AS score FROM {values(D.CANDIDATES, CAND_NAMES)} WHERE NOT low_complexity) SELECT chromosome, first(candidate_motif ORDER BY score DESC, end_) AS candidate_motif, first(median_spacing_bp ORDER BY score DESC, end_) FILTER (median_spacing_bp IS NOT NULL) AS median_spacing_bp, first(best_ce_paralog ORDER BY score DESC, end_) AS best_ce_paralog, first(convergent ORDER BY score DESC, end_) AS convergent, round(max(score), 6)::DOUBLE AS score FROM c GROUP BY chromosome")
+def best_candidates(spark, d):
+    b = discovery.best_candidates(spark.createDataFrame(D.CANDIDATES, D.CANDIDATE))
+    return b.select("chromosome", "candidate_motif", "median_spacing_bp", "best_ce_paralog", "convergent", r6(F.col("score")).alias("score"))
+
+
+@query(f"WITH u AS (SELECT chromosome, discovered_motif AS motif, 'anchored' AS run, ce_match_skill::DOUBLE AS skill FROM {values(D.QX1410, ANCHORED_NAMES)} UNION ALL SELECT chromosome, discovered_motif, 'free', NULL FROM {values(D.FREE_QX1410, FREE_NAMES)}) SELECT * FROM u")
+def stacked_sheets(spark, d):
+    """Runs of different columns, one below the other."""
+    a = spark.createDataFrame(D.QX1410, D.ANCHORED).select("chromosome", F.col("discovered_motif").alias("motif"), F.lit("anchored").alias("run"), F.col("ce_match_skill").alias("skill"))
+    f = _free(spark, D.FREE_QX1410).select("chromosome", F.col("discovered_motif").alias("motif"), F.lit("free").alias("run"))
+    return a.unionByName(f, allowMissingColumns=True)
+
+
+@query(f"WITH {DNA} SELECT seq_id, round(least(length(seq) // 3, length(seq) - length(seq) // 3) / 1000.0::DOUBLE, 3) AS from_end_kb FROM dna")
+def distance_from_end(spark, d):
+    n = F.length("seq")
+    pos = F.floor(n / 3)
+    return D.dna(spark, d).select("seq_id", F.round(F.least(pos, n - pos) / 1000.0, 3).alias("from_end_kb"))
+
+
 @query()
 def ortholog_hits(spark, d):
     b = D.table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))

@@ -72,3 +72,18 @@ FREE_CREM = [("IV", "GAAATCTTTACC", 1.0, False), ("V", "ATACCATTCGAA", 0.54, Fal
 TTGG_CREM = [("IV", "TTGGTTCTGGCAACAA", 0.69, "ZIM-1", 0.32), ("V", "TTGGCCTATGTTTCAT", 0.46, "ZIM-1", 0.14), ("X", "TTGGAGTTGCCAACAC", 0.85, "ZIM-2", -0.01), ("II", "TTGGTCTGCTAGCTCA", 0.32, "ZIM-1", 0.94), ("III", "TTGGTCTGCTAGCTCT", 0.64, "ZIM-1", 0.98), ("I", "TTGGTCACTGTAAATT", 0.47, "HIM-8", 0.56)]
 TTGG = "chromosome string, ttgg_motif string, chrom_specificity double, closest_ce_paralog string, ce_skill double"
 CONSERVATION = [("HIM-8", 0.27), ("ZIM-1", 0.79), ("ZIM-2", 0.24), ("ZIM-3", 0.53)]
+CANDIDATE = "chromosome string, end string, candidate_motif string, spacer int, fold_enrichment double, chrom_specificity double, median_spacing_bp int, best_ce_paralog string, convergent boolean, low_complexity boolean, tandem boolean"
+CANDIDATES = [
+    ("I", "left", "TTGGCTTGGCTT", 2, 9.3, 0.73, 5, "ZIM-3", True, False, False),
+    ("I", "right", "TTGGATTTGTCT", 3, 7.4, 1.0, 28555, "ZIM-3", True, False, False),
+    ("II", "left", "TTGGCTTGGCTT", 2, 25.8, 0.73, 5, "ZIM-3", False, False, False),
+    ("II", "right", "TTGGCCTTGTGG", 3, 39.0, 1.0, 3473, "ZIM-3", False, False, True),
+    ("III", "left", "TTGGCCTGCTAA", 2, 40.3, 0.81, 1298, "ZIM-1", True, False, True),
+    ("III", "right", "TTGGCTTGAAAA", 2, 6.2, 1.0, 51355, "ZIM-3", False, False, False),
+    ("IV", "left", "TTGGGGCATGAC", 4, 41.7, 1.0, 88, "ZIM-3", True, False, True),
+    ("IV", "right", "TTGGTGTTTGCA", 4, 16.3, 1.0, 1646, "HIM-8", False, False, True),
+    ("V", "left", "TTGGCTGATCCT", 1, 21.7, 1.0, 63, "ZIM-2", True, False, True),
+    ("V", "right", "TTGGTACTGCCT", 3, 45.0, 1.0, 4466, "ZIM-1", False, False, True),
+    ("X", "left", "TTGGGTAATGGG", 4, 27.4, 1.0, 138, "ZIM-3", False, False, True),
+    ("X", "right", "TTGGTAGTGGTT", 3, 40.8, 1.0, 140, "HIM-8", True, False, True),
+]
