@@ -26,14 +26,26 @@ def packed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vector"))
 
 
-def nearest(queries: DataFrame, items: DataFrame, n: int = 1) -> DataFrame:
+#: Query vectors that one task holds beside its items.
+QUERY_BLOCK = 2048
+
+
+def nearest(queries: DataFrame, items: DataFrame, n: int = 1, block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, tid, cosine, rank): the items of greatest cosine for each query, other than itself; ties to the larger id.
 
-    queries must be a stated, small set (their vectors are packed and broadcast in blocks of one row); every item is
-    compared with every query on its own task and only the best n of each task travel."""
+    Exact: all queries against all items, in blocks of queries. One block is broadcast; more are dealt out to tasks with a
+    copy of the items for each, so memory stays bounded whatever the number of queries. A task passes on its best n of a
+    query only where n is 1; ranks are then taken by query."""
     q = queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
     t = items.select(F.col("id").alias("tid"), F.col("vector").alias("tv"))
-    c = t.join(F.broadcast(q), F.col("tid") != F.col("qid")).select("qid", "tid", S.cosine(F.col("qv"), F.col("tv")).alias("cosine"))
+    blocks = -(-q.count() // block)
+    if blocks <= 1:
+        c = t.join(F.broadcast(q), F.col("tid") != F.col("qid"))
+    else:
+        q = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        t = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        c = t.join(q.hint("shuffle_hash"), "block").where("tid <> qid")
+    c = c.select("qid", "tid", S.cosine(F.col("qv"), F.col("tv")).alias("cosine"))
     if n == 1:
         g = c.groupBy("qid").agg(F.max(F.struct("cosine", "tid")).alias("b"))
         return g.select("qid", "b.tid", "b.cosine", F.lit(1).alias("rank"))

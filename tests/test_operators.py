@@ -280,3 +280,12 @@ def test_free_refinement_finds_a_planted_motif(spark):
     w = kmers.windows(df, 12).select("grp", "pos", (F.col("length") - 12).alias("last"), F.col("kmer").alias("window"))
     got = discovery.refine_free(w, spark.createDataFrame([("X", motif, 0)], "grp string, seed string, start int"), 12).first()
     assert got.motif == motif and got.copies >= 20 and got.period == 90
+
+
+def test_nearest_in_blocks_is_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)], "id long, vector array<double>")
+    q = df.where("id % 3 = 0")
+    for n in (1, 4):
+        one = sorted(vectors.nearest(q, df, n).collect())
+        assert len(one) == 20 * n and one == sorted(vectors.nearest(q, df, n, block=6).collect())
