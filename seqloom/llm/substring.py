@@ -182,13 +182,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     after all others. An empty table gives no rows. with_text adds kept_text."""
     tune(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = materialize(seeds(rows), "seeds")
+    made = materialize(seeds(rows).withColumn("row", F.monotonically_increasing_id()), "seeds")
     first = made.where(F.col("n") >= WINDOW).groupBy("whole_a", "whole_b").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    marked = made.join(apart(first), ["whole_a", "whole_b"], "left")
-    copy = F.col("first").isNotNull() & (F.col("first") < F.col("id"))
-    marked = materialize(marked.select("id", "n", "kept_sha256", "anchors", copy.alias("copy")), "marked")
-    lone = marked.where(~F.col("copy"))
-    each = lone.select("id", F.explode("anchors").alias("anchor"))
+    # Which rows are copies is worked out on narrow rows; the anchors stay in their table.
+    copies = materialize(made.select("row", "id", "whole_a", "whole_b").join(apart(first), ["whole_a", "whole_b"]).where(F.col("first") < F.col("id")).select("row"), "copies")
+    each = made.select("row", "id", "anchors").join(copies, "row", "left_anti").select("id", F.explode("anchors").alias("anchor"))
     shared = each.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor")
     asked = each.join(apart(shared), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared"))
     # Not written out: the windows are made twice, from one shuffle of the texts, which takes less room than a table of them.
@@ -198,7 +196,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wit
     later = materialize(later, "repeats")
     empty = F.array().cast("array<int>")
     cut = _cut(rows.hint("merge").join(later, "id").select("id", "text", "starts"), with_text)
-    plain = marked.join(later.select("id"), "id", "left_anti")
+    plain = made.select("row", "id", "n", "kept_sha256").join(later.select("id"), "id", "left_anti").join(copies.withColumn("copy", F.lit(True)), "row", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     none = hashlib.sha256(b"").hexdigest()
     plain = plain.select("id", "n", F.when(F.col("copy"), F.col("n")).otherwise(0).alias("n_removed"), F.when(F.col("copy"), F.lit(none)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(F.col("copy"), F.array(F.lit(0))).otherwise(empty).alias("lo"), F.when(F.col("copy"), F.array(F.col("n").cast("int"))).otherwise(empty).alias("hi"))
     if with_text:
