@@ -302,8 +302,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links: its component is null and it is kept. An empty table gives no rows."""
     made = materialize(sketches(docs, id_col, text_col), "sketches")
     full = made.where("n > 0 and id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    member = materialize(full.select("id", "set_a", "set_b").join(apart(classes), ["set_a", "set_b"]).select("id", "rep", "set_a", "set_b").distinct(), "classes")
+    classes = materialize(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")), "sets")
+    member = materialize(full.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("id", "rep", "set_a", "set_b").distinct(), "classes")
     # One row for each class; where an id has several texts, several rows.
     reps = full.join(member.where("id = rep").select("id", "set_a", "set_b"), ["id", "set_a", "set_b"]).dropDuplicates(["id"])
     reps = materialize(reps.select("id", "n", "sketch", "bands"), "representatives")
