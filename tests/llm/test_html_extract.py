@@ -41,6 +41,25 @@ def test_the_tree_removes_what_a_host_repeats(spark):
     assert got[20] == "Our site" and got[21] == "Other site"
 
 
+def test_marked_pages_feed_the_tree(spark):
+    rows = [("https://m.example/a", f"<body><div class=top><p>Our site</p></div><article><div class=box><p>Buy it</p></div><p>Story {i}</p></article></body>") for i in range(40)]
+    rows.append(("https://m.example/b", "<body><div class=top><p>Our site</p></div><div class=text><p>An unmarked story</p></div></body>"))
+    got = {r.page_id: r.text for r in H.extract(page(spark, *rows)).collect()}
+    assert [got[i] for i in range(40)] == [f"Story {i}" for i in range(40)]  # what all repeat goes, in article too
+    assert got[40] == "An unmarked story"  # m counts the marked pages
+
+
+def test_unique_text_beside_an_article_stays(spark):
+    rows = [("https://n.example/", f"<body><article><p>Story {i}</p></article><div class=more><p>And {i} more</p></div></body>") for i in range(40)]
+    assert {r.text for r in H.extract(page(spark, *rows)).collect()} == {f"Story {i} And {i} more" for i in range(40)}
+
+
+def test_the_tree_tells_deep_branches_and_all_classes_apart(spark):
+    deep = lambda x: "<div>" * 20 + x + "</div>" * 20
+    rows = [("https://d.example/", "<body>" + deep(f"<section><p>Story {i}</p></section><div class='a b c d e'><p>Same</p></div><div class='a b c d f'><p>Own {i}</p></div>") + "</body>") for i in range(20)]
+    assert {r.text for r in H.extract(page(spark, *rows)).collect()} == {f"Story {i} Own {i}" for i in range(20)}
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, None, "<article>x</article>", 1, "r")] * 3, "page_id long, url string, html string, row int, roles string")
     assert [(r.page_id, r.url, r.text) for r in H.extract(df).collect()] == [(None, None, "x")] * 3
