@@ -35,7 +35,7 @@ NOISE_NAMES = frozenset("ad ads adv advert advertisement banner sponsor sponsore
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 MAIN_TAGS = frozenset(("article", "main"))
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[a-z]+")
 HIDDEN, NOISE, INNER, NEUTRAL, MAIN = range(5)
 
@@ -45,8 +45,10 @@ def _says_noise(names: str) -> tuple[bool, bool]:
     part = False
     for name in names.split():
         noise = [w in NOISE_NAMES for w in _WORDS.findall(name)]
+        if noise and all(noise):
+            return True, True
         part = part or any(noise)
-    return part, part
+    return False, part
 
 
 def _role(tag: str, attributes: str) -> tuple[int, bool, str]:
@@ -78,7 +80,7 @@ def _under(above: int, role: int) -> int:
     if role == NOISE:
         return NOISE
     if above == NOISE:
-        return NOISE
+        return INNER if role == MAIN else NOISE
     return above if above in (INNER, MAIN) else role
 
 

@@ -60,6 +60,25 @@ def test_the_tree_tells_deep_branches_and_all_classes_apart(spark):
     assert {r.text for r in H.extract(page(spark, *rows)).collect()} == {f"Story {i} Own {i}" for i in range(20)}
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<div class='content-sidebar-wrap'><main><p>kept</p></main></div>", "kept"),
+    ("<div class='has-sidebar'><article>kept</article><div class=sidebar>no</div></div>", "kept"),
+    ("<div class=sidebar><main>kept</main><p>no</p></div>", "kept"),
+    ("<form><article>kept</article>no</form>", "kept"),
+    ("<article>kept</article><div class=comments><article>no</article></div>", "kept"),
+    ("<article><h2 id='related-work'>Related work</h2><p class='side-effects'>Side effects</p><p class='Share'>no</p></article>", "Related work Side effects"),
+    ("<article><p style='overflow: hidden'>a</p><p title=\"The hidden coast\">b</p><p data-x='role=navigation' data-hidden=1>c</p><p HIDDEN=''>no</p><p class=x hidden>no</p></article>", "a b c"),
+    ("<article><p class='cookie-notice'>no</p><p role=alert>no</p>kept</article>", "kept"),
+])
+def test_names_and_attributes(spark, source, want):
+    assert [r.text for r in H.extract(page(spark, ("https://x.example/", source))).collect()] == [want]
+
+
+def test_the_tree_decides_on_doubtful_names(spark):
+    rows = [("https://y.example/", f"<article><div class='side-box'><p>Same</p></div><div class='side-effects'><p>Effect {i}</p></div></article>") for i in range(20)]
+    assert {r.text for r in H.extract(page(spark, *rows)).collect()} == {f"Effect {i}" for i in range(20)}
+
+
 def test_repeated_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, None, "<article>x</article>", 1, "r")] * 3, "page_id long, url string, html string, row int, roles string")
     assert [(r.page_id, r.url, r.text) for r in H.extract(df).collect()] == [(None, None, "x")] * 3
