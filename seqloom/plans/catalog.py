@@ -119,6 +119,12 @@ def reverse_complements(spark, d):
     return D.dna(spark, d).select("seq_id", h.alias("head"), S.reverse_complement(h).alias("reverse_complement"))
 
 
+@query(f"WITH {DNA} SELECT seq_id, {rc('seq')} AS reverse_complement FROM dna")
+def reverse_complements_whole(spark, d):
+    """Of all letters; :func:`reverse_complements` shows the first 40."""
+    return D.dna(spark, d).select("seq_id", S.reverse_complement(F.col("seq")).alias("reverse_complement"))
+
+
 ENRICH = TERM + """, bg AS (SELECT kmer, count(*) AS bg FROM c GROUP BY kmer), bt AS (SELECT sum(bg) AS bg_total FROM bg),
 tc AS (SELECT grp, "end", kmer, count(*) AS cnt FROM t WHERE "end" IS NOT NULL GROUP BY ALL),
 tt AS (SELECT *, sum(cnt) OVER (PARTITION BY grp, "end") AS end_total FROM tc),
