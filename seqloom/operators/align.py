@@ -177,7 +177,9 @@ def best_hits(queries: DataFrame, targets: DataFrame, k: int = 5, prefilter: int
     ties keep the order of the prefilter. queries and targets: (seq_id, seq)."""
     c = kmers.shared_kmers(queries, targets, k, prefilter).withColumnRenamed("rank", "prefilter_rank")
     j = c.join(queries.select(F.col("seq_id").alias("qid"), F.col("seq").alias("qs")), "qid").join(targets.select(F.col("seq_id").alias("tid"), F.col("seq").alias("ts")), "tid")
-    s = with_local_stats(j, "qs", "ts").drop("qs", "ts")
+    # Alignments cost far more than their rows' bytes say: dealt out by number, which isn't merged again.
+    n = max(j.sparkSession.sparkContext.defaultParallelism, int(j.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    s = with_local_stats(j.repartition(n, "qid", "tid"), "qs", "ts").drop("qs", "ts")
     return kmers.top_per_group(s, ["qid"], [F.desc("score"), "prefilter_rank"], prefilter).drop("prefilter_rank")
 
 

@@ -155,13 +155,57 @@ def kmer_sets(seqs: DataFrame, k: int = 5) -> DataFrame:
     return windows(seqs.select(F.col("seq_id"), F.lit(0).alias("grp"), F.upper("seq").alias("seq")), k).select(F.col("seq_id").alias("id"), "kmer").distinct()
 
 
+#: Letters of the queries up to which their k-mers go to every task.
+INDEX_LETTERS = 1 << 20
+
+
 def shared_kmers(queries: DataFrame, targets: DataFrame, k: int = 5, top: int = 30) -> DataFrame:
     """(qid, tid, shared, rank): the targets that share most distinct k-mers with each query; ties to the larger id."""
-    q, t = kmer_sets(queries, k).withColumnRenamed("id", "qid"), kmer_sets(targets, k).withColumnRenamed("id", "tid")
-    counts = q.join(t, "kmer").groupBy("qid", "tid").agg(F.count(F.lit(1)).alias("shared"))
+    if (queries.agg(F.sum(F.length("seq")).alias("n")).first().n or 0) <= INDEX_LETTERS:
+        counts = _shared_by_index(queries, targets, k, top)
+    else:
+        q, t = kmer_sets(queries, k).withColumnRenamed("id", "qid"), kmer_sets(targets, k).withColumnRenamed("id", "tid")
+        counts = q.join(t, "kmer").groupBy("qid", "tid").agg(F.count(F.lit(1)).alias("shared"))
     return top_per_group(counts, ["qid"], [F.desc("shared"), F.desc("tid")], top)
 
 
+def _shared_by_index(queries: DataFrame, targets: DataFrame, k: int, top: int) -> DataFrame:
+    """(qid, tid, shared): of each batch of targets the ``top`` of each query, so of all targets too. Ids are distinct."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = queries.where("seq is not null").select("seq_id", F.upper("seq").alias("seq")).collect()  # INDEX_LETTERS at most
+    ids, index = [r.seq_id for r in rows], {}
+    for i, r in enumerate(rows):
+        for w in {r.seq[p : p + k] for p in range(len(r.seq) - k + 1)}:
+            index.setdefault(w, []).append(i)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, {w: np.array(x, np.int64) for w, x in index.items()}))
+    kind = to_arrow_type(queries.schema["seq_id"].dataType)
+    schema = T.StructType([T.StructField("qid", queries.schema["seq_id"].dataType), T.StructField("tid", targets.schema["seq_id"].dataType), T.StructField("shared", T.LongType())])
+
+    def run(batches):
+        names, of = shared.value
+        for b in batches:
+            tids = b.column(0).to_pylist()
+            counts = np.zeros((len(tids), len(names)), np.int64)
+            for i, s in enumerate(b.column(1).to_pylist()):
+                found = [of[w] for w in {s[p : p + k] for p in range(len(s) - k + 1)} if w in of]
+                if found:
+                    counts[i] = np.bincount(np.concatenate(found), minlength=len(names))
+            place = np.empty(len(tids), np.int64)
+            place[sorted(range(len(tids)), key=tids.__getitem__)] = np.arange(len(tids))
+            out = []
+            for j, name in enumerate(names):
+                at = np.flatnonzero(counts[:, j])
+                best = at[np.lexsort((-place[at], -counts[at, j]))[:top]]
+                out += [(name, tids[i], int(counts[i, j])) for i in best]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], b.column(0).type), pa.array([x[2] for x in out], pa.int64())], ["qid", "tid", "shared"])
+
+    return targets.where("seq is not null and seq_id is not null").select("seq_id", F.upper("seq").alias("seq")).mapInArrow(run, schema)
+
+
 def top_seed(seqs: DataFrame, k: int = 12, terminal: int = 3_000_000, anchor: str = "TTGG") -> DataFrame:
     """(grp, seed, n): the most frequent anchored k-mer of both ends that has a framework spacer and is not of low
     complexity; ties to the one seen first."""

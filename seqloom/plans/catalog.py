@@ -684,7 +684,7 @@ def ortholog_hits(spark, d):
     b = D.table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
     docs = D.spread(D.table(spark, d, "documents").select("doc_id", "text"))
     t = docs.select(F.col("doc_id").alias("seq_id"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
-    return align.best_hits(b, t, 12, 3)
+    return align.best_hits(b, t)
 
 
 @query()

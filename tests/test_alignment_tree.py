@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from seqloom.operators import align, tree
 
 
@@ -113,3 +114,23 @@ def test_bootstraps(spark):
     assert max(r.support for r in out if set(r.clade) in ({"a", "b"}, {"c", "d"})) == 1.0
     again = tree.gene_tree(spark, spark.createDataFrame(rows, "name string, aligned string"), 20).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
+
+
+def test_ortholog_hits_finds_the_best_alignment(spark, tmp_path):
+    """The winners of the registered query are those of brute force, also with no 12 letters in common and many copies."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    q = [word(120) for _ in range(3)]
+    docs = []
+    for i, s in enumerate(q):
+        far = list(s)
+        for k in range(5, 120, 8):  # seven equal letters at most
+            far[k] = "A" if far[k] != "A" else "W"
+        docs.append((10 * i, "".join(far)))
+        docs += [(10 * i + k, word(30) + s[30:54] + word(60)) for k in range(1, 6)]  # thirteen 12-mers each
+    spark.createDataFrame(list(enumerate(q)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.qid: (r.tid, r.score) for r in entry.queries()["ortholog_hits"](spark, str(tmp_path)).where("rank = 1").collect()}
+    for i, s in enumerate(q):
+        score, tid = max((align.local_stats(s, t)[0], d) for d, t in docs)
+        assert got[i] == (tid, score) and tid == 10 * i
