@@ -9,18 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, mix64, ragged, tune
+from .common import crc_mod, materialize, mix64, ragged, tune
 
 #: Longest n-gram of characters.
 ORDER = 5
 #: Training documents of one language, about: a hash of the id picks them where there are more.
 SAMPLE_DOCS = 400
-#: Distinct n-grams of an order over all languages that a model keeps: the most frequent.
+#: Distinct n-grams of an order over all languages that a model keeps: the most frequent of each language in turn.
 MODEL_GRAMS = 400_000
 #: Characters over which what no n-gram explains is spread.
 ALPHABET = 2048
-#: Languages that a model can hold.
-MAX_LANGS = 200
 #: Keeps the curve of the score finite where the calibration sees no mistake.
 RIDGE = 1.0
 SEED = 314159
@@ -158,9 +156,12 @@ class Model:
             grams_full, lower = gram, p
             keep = np.ones(len(gram), bool)
             if len(gram) > most:
-                weight = tables[n][1].sum(axis=1)
+                weight, turn = tables[n][1], np.full(len(gram), len(gram))
+                for i in range(L):  # the place of each n-gram in the language that ranks it highest
+                    order_ = np.lexsort((gram, -weight[:, i]))[: np.count_nonzero(weight[:, i])]
+                    turn[order_] = np.minimum(turn[order_], np.arange(len(order_)))
                 keep = np.zeros(len(gram), bool)
-                keep[np.lexsort((gram, -weight))[:most]] = True
+                keep[np.lexsort((gram, -weight.sum(axis=1), turn))[:most]] = True
             grams.append(gram[keep])
             logs.append(np.log2(p[keep]).astype(np.float32))
             contexts.append(context)
@@ -261,16 +262,19 @@ class Model:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, most: int = MODEL_GRAMS) -> Model | None:
     """A model of each language of labelled, from about sample_docs documents of each; None without labelled rows.
 
-    The counts are made on the executors; what the driver gets is bounded by the sample and by MAX_LANGS."""
+    Every language with a letter in its texts is in the model: its document of the lowest hash is never kept for the
+    calibration. The counts are made on the executors; what the driver gets is bounded by the sample, so it grows with the
+    number of languages."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return None
-    share = {r["lang"]: min(1.0, sample_docs / r["count"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    sample = rows.where(draw < limit)
-    fifth = F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(5)) == 0  # of the sample: for the calibration only
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("text").rlike(r"\p{L}"), draw)).alias("least"))
+    sizes = materialize(sizes.where("least is not null"), "languages")
+    if sizes.isEmpty():
+        return None
+    rows = rows.join(F.broadcast(sizes), "lang").withColumn("draw", draw)
+    sample = rows.where((F.col("draw") < F.lit(float(sample_docs)) / F.col("n")) | (F.col("draw") == F.col("least")))
+    # A fifth of the sample is for the calibration only.
+    fifth = (F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(5)) == 0) & (F.col("draw") != F.col("least"))
     counts = count_grams(sample.where(~fifth), order).toArrow().to_pandas()
     if counts.empty:
         return None

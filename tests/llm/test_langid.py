@@ -99,3 +99,19 @@ def test_odd_rows(odd_docs):
     assert len(rows) == odd_docs.count()
     assert langid.cross_validated(odd_docs.limit(0)).count() == 0
     assert all(r.lang_pred == "und" for r in langid.identify(odd_docs, None).collect())
+
+
+def test_every_language_is_learnt(spark, make_docs):
+    """One document a language, more than 200 languages: none goes to the calibration or past a cap."""
+    texts = [" ".join(chr(0x4E00 + 8 * i + k) * 3 for k in range(8)) for i in range(220)]
+    langs = [f"l{i}" for i in range(220)]
+    model = langid.train(make_docs(texts, langs=langs))
+    assert model.langs == sorted(langs) and model.predict(texts)[0] == langs
+
+
+def test_rare_languages_keep_their_share_of_the_grams(spark, make_docs):
+    rng = random.Random(3)
+    frequent = [" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(60)) for _ in range(40)]
+    model = langid.train(make_docs([*frequent, "xoz zox ozzo"], langs=["aa"] * 40 + ["cc"]), most=60)
+    assert {"aa", "cc"} == set(model.langs)
+    assert all((model.logs[n][:, 1] > model.logs[n][:, 0]).sum() >= 6 for n in range(2, 5))
