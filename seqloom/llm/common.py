@@ -6,7 +6,9 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: One word: a run of anything but ASCII white space. ``bytes.split()`` cuts at the same six bytes.
@@ -25,14 +27,14 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what was set as the checkpoint folder. Where
+    neither is set, one process that is driver and executor in one takes a folder of its own; a cluster is an error."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        own = spark.sparkContext.getCheckpointDir()
-        if own is None:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seqloom-"))
-            own = spark.sparkContext.getCheckpointDir()
-        there = own
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seqloom-"))
+        there = spark.sparkContext.getCheckpointDir()
     return there.rstrip("/")
 
 
@@ -53,6 +55,36 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: The column that numbered() adds, and bits of it for a row's place in its file.
+ROW, PLACE_BITS = "_seqloom_row", 40
+#: Up to so many files, their numbers are broadcast (about 200 bytes each).
+BROADCAST_FILES = 100_000
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is files read as they are, with nothing but columns and rows left out."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
+    """df with a long column that tells its rows apart, and stays the same whenever they are read again.
+
+    For files it is the file's number and the row's place in it, so nothing is written; other frames are written out with
+    numbers. So rows without an id, or with one that repeats, can be found again."""
+    if _is_scan(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+            files = materialize(placed.select("_path").distinct().withColumn("_file", F.row_number().over(W.orderBy("_path")).cast("long")), "files")
+            near = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+            return placed.join(near, "_path").withColumn(name, F.shiftleft("_file", PLACE_BITS) + F.col("_place")).select(*df.columns, name)
+        except AnalysisException:  # a format that doesn't tell the place of a row
+            pass
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def apart(df: DataFrame) -> DataFrame:
     """df behind an exchange of its own. A join straight above an aggregate can't be split where a key is hot; above an
     exchange it can. For aggregates, which have a row a key."""
