@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import apart, materialize
 
-#: Documents of one bucket of ids, about, and buckets at most: their bounds are a literal of the plan.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 1 << 16
+#: Documents of one bucket of neighbouring ids, about, or the root of their number if that is more; a bucket is sorted by one
+#: task, and there are as many bounds as buckets.
+BUCKET_ROWS = 2_000
 LEAST = -(2**63)
 
 
@@ -34,43 +35,48 @@ def as_text(a: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
+def _numbers(xs: list[int]) -> Column:
+    """A constant array; as text until the optimizer folds it, so a plan of many bounds stays short."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+
+
 def _bucket(key: Column, bounds: list[int]) -> Column:
-    """Number of bounds that are at most key, by a search in two steps."""
-    step = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
+    """Number of the rising bounds that are at most key, by a search in two steps."""
+    if not bounds:
         return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
     below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
-    tops = F.array(*[F.lit(g[0]) for g in groups])
-    if len(groups) == 1:
-        return below(F.array(*[F.lit(x) for x in groups[0]]))
-    nested = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups])
-    at = below(tops)
-    return F.when(at == 0, 0).otherwise((at - 1) * step + below(F.element_at(nested, F.greatest(at, F.lit(1)))))
-
-
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows (key, *carried) with next_key and next_<c>: the row that follows in falling order of keys; after the last, the first.
-
-    Rows go to buckets of neighbouring keys, each ordered by itself; the first row of the bucket that follows is
-    copied into each bucket as its end. So the texts are shuffled once, and no task holds more than a bucket."""
-    spark = rows.sparkSession
-    keys = rows.select("key")
-    n = keys.count()
+    group = below(_numbers(bounds[::step]))
+    first = F.greatest(group - 1, F.lit(0)) * step
+    return F.when(group == 0, 0).otherwise(first + below(F.slice(_numbers(bounds), first + 1, F.lit(step))))
+
+
+def with_next(rows: DataFrame, place: list[str], carried: list[str]) -> DataFrame:
+    """rows (key, *place, *carried) with next_key and next_<c> for all others: the row that follows in falling order of keys,
+    those of one key in the order of place; after the last row, the first.
+
+    Rows go to buckets of neighbouring keys, each ordered by itself; the first row of the bucket that follows is copied
+    into each bucket as its end. So the texts are shuffled once, and a task sorts one bucket."""
+    names = ["key", *place, *carried]
+    narrow = rows.select("key", *place)
+    n = narrow.count()
     if not n:
-        return rows.withColumns({f"next_{c}": F.col(c) for c in ["key", *carried]})
-    many = min(MOST_BUCKETS, -(-n // BUCKET_ROWS))
+        return rows.withColumns({f"next_{c}": F.col(c) for c in names})
+    many = -(-n // max(BUCKET_ROWS, int(n**0.5)))
     shares = [i / many for i in range(1, many)]
-    bounds = sorted(set(keys.agg(F.percentile_approx("key", shares, max(10_000, 4 * many)).alias("q")).first().q)) if shares else []
+    bounds = sorted(set(narrow.agg(F.percentile_approx("key", shares, max(10_000, 4 * many)).alias("q")).first().q)) if shares else []
     bucket = _bucket(F.col("key"), bounds).cast("int")
-    heads = sorted((r.bucket, r.head) for r in keys.select(bucket.alias("bucket"), "key").groupBy("bucket").agg(F.max("key").alias("head")).collect())  # a row a bucket
-    after = [(heads[i - 1][1], heads[i][0]) for i in range(len(heads))]  # the lowest is followed by the highest
-    ends = spark.createDataFrame(after, "key long, bucket int")
-    placed = rows.withColumn("bucket", bucket).withColumn("end", F.lit(0))
-    copies = rows.join(F.broadcast(ends), "key").select("key", *carried, "bucket", F.lit(1).alias("end"))
-    order = W.partitionBy("bucket").orderBy("end", F.desc("key"), *carried)
-    both = placed.unionByName(copies)
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in ["key", *carried]}).where("end = 0").drop("bucket", "end")
+    # A row a bucket, at most the root of the number of rows: its first row by key and place.
+    at = narrow.select(bucket.alias("bucket"), F.struct(F.bitwise_not("key").alias("k"), *place).alias("at"))
+    heads = materialize(at.groupBy("bucket").agg(F.min("at").alias("at")), "heads")
+    whole = W.partitionBy()
+    # The bucket below begins what follows; the highest bucket's head follows the lowest.
+    ends = heads.select(F.lag("bucket", -1).over(W.orderBy("bucket")).alias("up"), F.min("bucket").over(whole).alias("least"), F.max("bucket").over(whole).alias("most"), "bucket", "at")
+    ends = ends.select(F.when(F.col("bucket") == F.col("most"), F.col("least")).otherwise(F.col("up")).alias("bucket"), F.bitwise_not("at.k").alias("key"), *[F.col(f"at.{c}").alias(c) for c in place])
+    copies = rows.join(F.broadcast(ends), ["key", *place]).select(*names, "bucket", F.lit(1).alias("end"))
+    order = W.partitionBy("bucket").orderBy("end", F.desc("key"), *place)
+    both = rows.select(*names, bucket.alias("bucket"), F.lit(0).alias("end")).unionByName(copies)
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in names}).where("end = 0").drop("bucket", "end")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -87,41 +93,46 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     where canonical texts are. Likeness of such digests is 1 or 0. group_id is the smallest id with the fingerprint.
 
     Null texts are empty. A null id follows all others and has a null group only if alone. Rows that repeat an id follow
-    one another in the order of their texts. A lone row follows itself. An empty table gives no rows."""
+    one another in the order of two hashes of their texts; id and hashes are what tells rows apart, so rows that differ in
+    neither are alike in all results. A lone row follows itself. Each row of docs gives one row; an empty table gives none."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("key"), text.alias("text"))
+    rows = rows.withColumns({"p": F.xxhash64("text"), "q": F.xxhash64(F.lit(0x10CA), F.col("text"))})
 
     def hashed(df: DataFrame, source: str, *names: str) -> DataFrame:
         a, b = wide(F.col("_canonical"), bits)
         return df.withColumn("_canonical", canonical(F.col(source))).withColumns(dict(zip(names, (a, b)))).drop("_canonical")
 
-    near = with_next(hashed(rows, "text", "a", "b"), ["text", "a", "b"])
+    here, there = ["key", "p", "q"], ["next_key", "next_p", "next_q"]
+    near = with_next(hashed(rows, "text", "a", "b"), ["p", "q"], ["text", "a", "b"])
     near = near.withColumn("n_chars", F.length("text").cast("long")).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     near = near.withColumn("edited_sha256", F.sha2(F.col("edit").cast("binary"), 256)).drop("text", "next_text")
-    made = materialize(hashed(near, "edit", "ea", "eb").select("key", "next_key", "n_chars", "edited_sha256", "a", "b", "ea", "eb", F.col("next_a").alias("na"), F.col("next_b").alias("nb")), "fingerprints")
+    made = materialize(hashed(near, "edit", "ea", "eb").select(*here, *there, "n_chars", "edited_sha256", "a", "b", "ea", "eb", F.col("next_a").alias("na"), F.col("next_b").alias("nb")), "fingerprints")
 
-    each = made.select("key", "next_key", F.lit(0).alias("kind"), "a", "b").unionByName(made.select("key", "next_key", F.lit(1).alias("kind"), F.col("ea").alias("a"), F.col("eb").alias("b")))
+    # A text stands for all rows with its id and hashes; an edited text for all rows with those of both its parts.
+    none = [F.lit(None).cast("long").alias(c) for c in there]
+    each = made.select(*here, *none, F.lit(0).alias("kind"), "a", "b").unionByName(made.select(*here, *there, F.lit(1).alias("kind"), F.col("ea").alias("a"), F.col("eb").alias("b")))
     shared = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    need = materialize(each.join(apart(shared), ["a", "b"]), "buckets")
+    need = materialize(each.join(apart(shared), ["a", "b"]).distinct(), "buckets")
     # Texts that share a hash, by one pass over the texts: a document's own, or the two that its edited text is made of.
-    own = need.where("kind = 0").select(F.col("key").alias("of"), "key", F.lit(0).alias("part"), "a", "b")
-    left = need.where("kind = 1").select(F.col("key").alias("of"), "key", F.lit(1).alias("part"), "a", "b")
-    right = need.where("kind = 1").select(F.col("key").alias("of"), F.col("next_key").alias("key"), F.lit(2).alias("part"), "a", "b")
-    # Always by a merge, so that the shuffle grows in proportion.
-    fetched = rows.hint("merge").join(own.unionByName(left).unionByName(right).distinct(), "key")
+    of = F.struct(*here, *there).alias("of")
+    part = lambda kind, i, names: need.where(F.col("kind") == kind).select(of, *[F.col(c).alias(k) for c, k in zip(names, here)], F.lit(i).alias("part"), "a", "b")
+    wanted = part(0, 0, here).unionByName(part(1, 1, here)).unionByName(part(1, 2, there)).distinct()
+    # What is asked for grows with the texts, so it isn't broadcast.
+    fetched = rows.hint("merge").join(wanted, here)
     plain = fetched.where("part = 0").select("of", F.lit(0).alias("kind"), "a", "b", canonical(F.col("text")).alias("bytes"))
     halves = fetched.where("part > 0").groupBy("of", "a", "b").agg(F.max(F.when(F.col("part") == 1, F.col("text"))).alias("text"), F.max(F.when(F.col("part") == 2, F.col("text"))).alias("following"))
     joined = halves.select("of", F.lit(1).alias("kind"), "a", "b", edited(F.col("text"), F.col("following")).alias("text"))
     joined = joined.select("of", "kind", "a", "b", canonical(F.col("text")).alias("bytes"))
-    compared = plain if not need.where("kind = 1").limit(1).count() else plain.unionByName(joined)
+    compared = plain if need.where("kind = 1").isEmpty() else plain.unionByName(joined)
     collided = materialize(compared.groupBy("a", "b").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi")).where("lo <> hi").select("a", "b"), "collided")
 
     print_, edit_, next_ = as_text(F.col("a"), F.col("b")), as_text(F.col("ea"), F.col("eb")), as_text(F.col("na"), F.col("nb"))
-    if collided.limit(1).count():
+    if not collided.isEmpty():
         number = F.dense_rank().over(W.partitionBy("a", "b").orderBy("bytes"))
-        numbers = materialize(compared.join(collided, ["a", "b"]).withColumn("number", number).select("of", "kind", "number").distinct(), "numbers")
-        for kind, key, name in ((0, "key", "number"), (1, "key", "edit_number"), (0, "next_key", "next_number")):
-            made = made.join(numbers.where(F.col("kind") == kind).select(F.col("of").alias(key), F.col("number").alias(name)), key, "left")
+        numbers = materialize(compared.join(collided, ["a", "b"]).withColumn("number", number).select("of.*", "kind", "number").distinct(), "numbers")
+        for kind, by, name in ((0, dict(zip(here, here)), "number"), (1, dict(zip(here + there, here + there)), "edit_number"), (0, dict(zip(here, there)), "next_number")):
+            made = made.join(numbers.where(F.col("kind") == kind).select(*[F.col(c).alias(k) for c, k in by.items()], F.col("number").alias(name)), list(by.values()), "left")
         suffix = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("-"), F.col(c).cast("string"))).otherwise("")
         print_, edit_, next_ = F.concat(print_, suffix("number")), F.concat(edit_, suffix("edit_number")), F.concat(next_, suffix("next_number"))
     made = made.select("key", "n_chars", "edited_sha256", print_.alias("fingerprint"), edit_.alias("edited_fingerprint"), next_.alias("next_fingerprint"))

@@ -53,6 +53,22 @@ def test_buckets_of_ids(make_docs, monkeypatch):
     run(make_docs, [f"text {i % 50}" for i in range(200)])
 
 
+@pytest.mark.parametrize("bits", [1, 128])
+def test_ids_that_repeat_or_miss(make_docs, bits):
+    """Each row gives one row, and has the fingerprint of its own text."""
+    texts = ["one", "two", "two", "Two", "three", "", None, "ONE", "four", "four"]
+    ids = [7, 7, 7, 7, None, None, None, 3, 7, None]
+    rows = fingerprint.edit_likeness(make_docs(texts, ids=ids), bits=bits).collect()
+    want = {}
+    for i, t in zip(ids, texts):
+        want.setdefault((i, len(t or "")), []).append(canon(t))
+    assert len(rows) == len(texts)
+    sizes = sorted(sum(canon(u) == canon(t) for u in texts) for t in texts)
+    assert sorted(r.group_size for r in rows) == sizes and len({r.fingerprint for r in rows}) == len({canon(t) for t in texts})
+    for r in rows:
+        assert (r.near_edited, r.near_next) in ((0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (1.0, 1.0)) and (r.doc_id, r.n_chars) in want
+
+
 def test_odd_rows(odd_docs):
     rows = fingerprint.edit_likeness(odd_docs).collect()
     assert len(rows) == odd_docs.count()
