@@ -53,6 +53,29 @@ def test_removal_matches_brute_force(make_docs):
             assert sum(h - lo for lo, h in zip(r.lo, r.hi)) == r.n_removed and all(h - lo >= 50 for lo, h in zip(r.lo, r.hi))
 
 
+def test_a_hot_seed_with_many_contexts(make_docs):
+    """One passage in most texts, whole or cut on either side, with variants that leave its leader at different words."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(90)]
+    texts = []
+    for i in range(80):
+        a, z = rng.choice([(0, 90), (0, 60), (25, 90), (10, 75), (0, 49)])
+        t = passage[a:z]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            t[rng.randrange(len(t))] = rng.choice(["x", "y"])
+        texts.append(" ".join([f"u{i % 7}"] * rng.randint(0, 30) + t + [f"v{i % 5}"] * rng.randint(0, 30)))
+    rows = sorted(substring.repeats(make_docs(texts), with_text=True).collect())
+    assert [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in rows] == brute(texts)
+
+
+def test_ids_that_repeat_or_miss(make_docs):
+    body = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"z{i}" for i in range(70))
+    rows = substring.repeats(make_docs([body, body, other, body + " end", other, None, "few words"], ids=[1, 1, 1, 2, None, None, None])).collect()
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows)
+    assert got == sorted([(1, 60, 0), (1, 60, 0), (1, 70, 0), (2, 61, 60), (0, 70, 70), (0, 0, 0), (0, 2, 0)])
+
+
 def test_odd_rows(odd_docs):
     rows = substring.repeats(odd_docs).collect()
     assert len(rows) == odd_docs.count() and not any(r.n_removed for r in rows)
