@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, apart, materialize, mix64, partitions, ragged, texts_of, tune
+from .common import ROW, WordHashes, apart, materialize, mix64, numbered, partitions, ragged, texts_of, tune
 
 #: Words of a shingle; sets are linked at 100 * intersection >= NUM * union.
 SHINGLE, NUM = 5, 75
@@ -102,18 +102,19 @@ def likelihood(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     return (lo + hi) / 2
 
 
-SKETCH = "id long, n long, set_a long, set_b long, sketch binary, bands array<long>"
+SKETCH = "id long, doc long, n long, set_a long, set_b long, sketch binary, bands array<long>"
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, set_a, set_b, sketch, bands): the size of each set, a 128-bit digest of it, its registers, a hash of each band."""
+def sketches(docs: DataFrame, row_col: str, text_col: str, id_col: str) -> DataFrame:
+    """(id, doc, n, set_a, set_b, sketch, bands): the row, its document's id, the size of its set, a 128-bit digest of the
+    set, its registers, a hash of each band."""
     tune(docs.sparkSession)
 
     def run(batches):
         hashes = WordHashes()
         mark = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
         for b in batches:
-            texts = texts_of(b.column(1))
+            texts = texts_of(b.column(2))
             sets, bounds = shingle_sets(texts, hashes)
             n = np.diff(bounds)
             full = np.flatnonzero(n > 0)
@@ -130,9 +131,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 key = key.view(np.int64)
                 for i, k in enumerate(full.tolist()):
                     sketch[k], bands[k] = regs[i].tobytes(), key[i]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "n", "set_a", "set_b", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "doc", "n", "set_a", "set_b", "sketch", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(row_col).alias("id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SKETCH)
 
 
@@ -156,13 +157,13 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, chun
     """Pairs (a, b) whose full sets have 100 * intersection >= 75 * union.
 
     Pairs go to tasks by their partner b, in as many parts as it has pairs for; b's text goes along with each part, and
-    the rows of a part stream through, so a task holds one set of b at a time. The texts join by a merge whatever their
-    number, so that the shuffle grows in proportion."""
+    the rows of a part stream through, so a task holds one set of b at a time. The rows asked for grow with the input, so
+    they aren't broadcast to the texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     parts = many.select("b", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("parts"))
-    members = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    members = pairs.join(apart(parts), "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     heads = parts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"))
     wanted = members.select(F.col("a").alias("id"), "b", "part", F.lit(1).alias("kind")).unionByName(heads)
     rows = texts.hint("merge").join(wanted, "id").select("b", "part", "kind", F.col("id").alias("a"), "text")
@@ -233,15 +234,41 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
             sets, bounds = shingle_sets(texts_of(b.column(1)), hashes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array([sets[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "n", "shingles"])
 
-    # Always by a merge, so that the shuffle grows in proportion.
-    return texts.hint("merge").join(ids, "id").mapInArrow(run, "id long, n long, shingles binary").dropDuplicates(["id"])
+    # The ids grow with the input, so they aren't broadcast.
+    return texts.hint("merge").join(ids, "id").mapInArrow(run, "id long, n long, shingles binary")
+
+
+def _pairs(pdf: pd.DataFrame, k: int) -> np.ndarray:
+    """Members that member k of a group of two blocks is to be compared with: of other components, and of the other block
+    or, within one block, after k."""
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    own, comp, n = (pdf[c].to_numpy() for c in ("own", "component", "n"))
+    other = (comp != comp[k]) & ((own == j) if i != j else (np.arange(len(own)) > k))
+    return np.flatnonzero(other & (100 * np.minimum(n, n[k]) >= NUM * np.maximum(n, n[k])))
+
+
+def _possible(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of a group that the registers allow a link with another, a row each. A pair that shares a lower band
+    is that band's work."""
+    regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, M)
+    n, own, i, band = pdf["n"].to_numpy(np.float64), pdf["own"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["no"].iloc[0])
+    may = np.zeros(len(pdf), bool)
+    for k in np.flatnonzero(own == i):
+        at = _pairs(pdf, k)
+        if band and len(at):
+            at = at[~(regs[at, : band * ROWS] == regs[k, : band * ROWS]).reshape(len(at), band, ROWS).all(axis=2).any(axis=1)]
+        if len(at):
+            likely = likelihood(np.broadcast_to(regs[k], (len(at), M)), regs[at], np.full(len(at), n[k]), n[at]) >= FLOOR
+            may[at[likely]] = True
+            may[k] |= likely.any()
+    return pdf.loc[may, ["band", "i", "j", "own", "id", "component"]]
 
 
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Verified links between different components in one group of members: one for each pair of components it joins."""
+    pdf = pdf.reset_index(drop=True)
     sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-    own, n, ids, comp = (pdf[c].to_numpy().copy() for c in ("own", "n", "id", "component"))
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    n, ids, comp, own = (pdf[c].to_numpy().copy() for c in ("n", "id", "component", "own"))
     member = np.repeat(np.arange(len(sets)), n)
     # Members by shingle: the intersections of one member with all others are the counts in its shingles' lists.
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
@@ -250,73 +277,79 @@ def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     lists = np.searchsorted(term[order], np.arange(term.max() + 2))
     at = np.concatenate([[0], np.cumsum(n)])
     out = []
-    for k in np.flatnonzero(own == i):
-        other = comp != comp[k]
-        other &= (own == j) if i != j else (np.arange(len(own)) > k)
-        other &= 100 * np.minimum(n, n[k]) >= NUM * np.maximum(n, n[k])
-        if not other.any():
+    for k in np.flatnonzero(own == int(pdf["i"].iloc[0])):
+        other = _pairs(pdf, k)
+        other = other[comp[other] != comp[k]]  # what has been joined since needs no more links
+        if not len(other):
             continue
         terms = term[at[k] : at[k + 1]]
         first, size = lists[terms], lists[terms + 1] - lists[terms]
         _, starts = ragged(size)
         found = holders[np.arange(starts[-1]) - np.repeat(starts[:-1] - first, size)]
-        common = np.bincount(found, minlength=len(sets))
-        for x in np.flatnonzero(other & (100 * common >= NUM * (n + n[k] - common))):
+        common = np.bincount(found, minlength=len(sets))[other]
+        for x in other[100 * common >= NUM * (n[other] + n[k] - common)]:
             if comp[x] != comp[k]:
                 out.append((ids[x], ids[k]))
                 comp[comp == comp[x]] = comp[k]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def across(buckets: DataFrame, found: DataFrame, docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) between members of a bucket that lie in different components.
+def across(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that lie in different components: the exact way for what the
+    comparison with one leader leaves.
 
-    buckets: (band, id). Those outside a bucket's largest component are compared, on full sets, with each other and with
-    the largest. A bucket goes out in blocks of members; each pair of blocks is one group of at most 2 * block rows. So
-    a large bucket is many tasks' work, and only links come out of them, no candidates."""
+    buckets: (band, no, id), the hash of a band's registers and its number; reps: (id, n, sketch). Those outside a bucket's
+    largest component are compared with each other and with the largest. A bucket goes out in blocks of members; each pair
+    of blocks is one group of at most 2 * block rows, so a large bucket is many tasks' work. First the registers alone go
+    out, and a pair is judged by its likelihood, in the lowest band that it shares; full sets are fetched for those members
+    only that may have a link, and compared exactly. No task passes on pairs: the first step gives members, the second links."""
     rows = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("size")).where("size > 2 and most < size")
+    parts = rows.groupBy("band", "no", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("band", "no").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("size")).where("size > 2 and most < size")
     blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
-    mixed = mixed.select("band", "major", blocks(F.col("size") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("majors"))
-    rows = materialize(rows.join(mixed, "band"), "mixed")
+    mixed = mixed.select("band", "no", "major", blocks(F.col("size") - F.col("most")).alias("minors"), blocks(F.col("most")).alias("majors"))
+    rows = materialize(rows.join(mixed, ["band", "no"]), "mixed")
     minor = F.col("component") != F.col("major")
     own = F.when(minor, F.pmod(F.xxhash64("id"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).cast("int")
     last = F.when(minor, F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component")
-    sets = full_sets(rows.select("id").distinct(), docs, id_col, text_col)
-    return rows.join(sets, "id").select("band", "i", "j", "own", "id", "component", "n", "shingles").groupBy("band", "i", "j").applyInPandas(_links, "a long, b long").distinct()
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row: the connected components of links of similarity 0.75 or more.
-
-    Texts with equal sets are one class, by a digest of 128 bits; each class stands in the rest of the work by its
-    smallest id. Classes that share a band's registers are candidates. First, each is compared with the bucket's smallest
-    id, if the registers allow a link, on the full sets of shingles; then, where a bucket still has several components,
-    the full sets of all members of different ones are compared (:func:`across`).
-
-    A null or blank text has no set and is its own component, as is a document without links. Rows that repeat an
-    id and its text are one document; an id with several texts has the links of one of them. A null id takes no part in
-    links: its component is null and it is kept. An empty table gives no rows."""
-    made = materialize(sketches(docs, id_col, text_col), "sketches")
-    full = made.where("n > 0 and id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"))
-    member = materialize(full.select("id", "set_a", "set_b").join(apart(classes), ["set_a", "set_b"]).select("id", "rep", "set_a", "set_b").distinct(), "classes")
-    # One row for each class; where an id has several texts, several rows.
-    reps = full.join(member.where("id = rep").select("id", "set_a", "set_b"), ["id", "set_a", "set_b"]).dropDuplicates(["id"])
-    reps = materialize(reps.select("id", "n", "sketch", "bands"), "representatives")
-    each = reps.select("id", F.explode("bands").alias("band"))
-    groups = each.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(each.join(apart(groups), "band").select("band", "id", "lead"), "buckets")
+    rows = rows.join(reps.select("id", "n", "sketch"), "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("band", "no", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
+    group = ["band", "i", "j"]
+    may = materialize(rows.groupBy("no", *group).applyInPandas(_possible, "band long, i int, j int, own int, id long, component long"), "possible")
+    sets = full_sets(may.select("id").distinct(), docs, id_col, text_col)
+    return may.join(sets, "id").select(*group, "own", "id", "component", "n", "shingles").groupBy(*group).applyInPandas(_links, "a long, b long").distinct()
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, n_shingles, component_id, kept, and row_col if given) for each row: the connected components of links of
+    similarity 0.75 or more. row_col: a long column that tells rows apart; without it, rows are numbered.
+
+    Texts with equal sets are one class, found by a digest of 128 bits and confirmed on the full sets; each class stands in
+    the rest of the work by its least row. Classes that share a band's registers are candidates. First, each is compared
+    with the bucket's least row, if the registers allow a link, on the full sets of shingles; then, where a bucket still
+    has several components, all members of different ones are compared, by registers and then on full sets (:func:`across`).
+
+    A null or blank text has no set and is its own component, as is a document without links. Rows are documents of their
+    own, whether their id is null or repeats: a component's id is the smallest of its rows, null if all are null, and kept
+    says whether that is the row's own. An empty table gives no rows."""
+    rows = docs if row_col else numbered(docs)
+    row = row_col or ROW
+    made = materialize(sketches(rows, row, text_col, id_col), "sketches")
+    full = made.where("n > 0")
+    classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    twins = full.select("id", "set_a", "set_b").join(apart(classes), ["set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    same = materialize(verified(materialize(twins, "twins"), rows, row, text_col), "same")
+    reps = materialize(full.join(same.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "sketch", "bands"), "representatives")
+    each = reps.select("id", F.posexplode("bands").alias("no", "band"))
+    groups = each.groupBy("band", "no").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = materialize(each.join(apart(groups), ["band", "no"]).select("band", "no", "id", "lead"), "buckets")
     stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    first = materialize(verified(materialize(estimated(stars, reps), "pairs"), docs, id_col, text_col), "links")
+    first = materialize(verified(materialize(estimated(stars, reps), "pairs"), rows, row, text_col), "links")
     found = components(first)
-    rest = materialize(across(buckets.select("band", "id"), found, docs, id_col, text_col), "links")
-    links = first.unionByName(rest)
-    same = member.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    whole = components(links.unionByName(same))
-    out = made.select("id", "n").join(whole, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    rest = materialize(across(buckets.select("band", "no", "id"), found, reps, rows, row, text_col), "links")
+    whole = components(first.unionByName(rest).unionByName(same))
+    linked = made.select("id", "doc", "n").join(whole, "id", "left")
+    smallest = linked.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c"))
+    out = linked.join(apart(smallest.drop("c")), "component", "left")
+    component = F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least"))
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"), *([F.col("id").alias(row_col), F.coalesce("component", "id").alias("_group")] if row_col else []))

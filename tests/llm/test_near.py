@@ -66,10 +66,11 @@ def test_a_mixed_bucket_in_blocks(spark, make_docs):
     texts = corpus(5, 12)
     docs = make_docs(texts)
     sizes, want = brute(texts)
-    one = docs.where("text is not null and trim(text) <> ''").selectExpr("1L AS band", "doc_id AS id").where("id in (%s)" % ",".join(str(i) for i, n in enumerate(sizes) if n))
+    full = near.sketches(docs, "doc_id", "text", "doc_id").where("n > 0")
+    one = full.selectExpr("1L AS band", "0 AS no", "id")
     none = spark.createDataFrame([], "id long, component long")
     for block in (7, 512):
-        links = near.across(one, none, docs, "doc_id", "text", block)
+        links = near.across(one, none, full, docs, "doc_id", "text", block)
         found = {r.id: r.component for r in near.components(links).collect()}
         assert [found.get(i, i) for i in range(len(texts))] == want
 
