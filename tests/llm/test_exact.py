@@ -39,7 +39,7 @@ def test_groups_match_brute_force(make_docs, monkeypatch, keys, rows):
 
 def test_history_wins_and_nonmembers_group_apart(spark, make_docs):
     old = make_docs(["seen", "SEEN", "other"], ids=[100, 101, 50])
-    history = exact.winners(exact.digest_rows(old))
+    history = exact.winners(exact.digest_rows(old)).select("digest", "keep_id", "n")
     rows = {r.doc_id: r for r in exact.exact_dedup(make_docs(["Seen", "new", "NEW", "other"], ids=[1, 2, 3, 50]), history=history).collect()}
     assert (rows[1].keep_id, rows[1].kept) == (101, False) and (rows[50].keep_id, rows[50].kept) == (50, True)
     assert (rows[2].keep_id, rows[2].kept, rows[2].group_size) == (3, False, 2) and rows[3].kept
