@@ -48,6 +48,25 @@ def test_stages(spark):
     assert check(rows, {r.doc_id: r.text for r in one.collect()}) < 0.2
 
 
+def test_stages_on_null_and_repeated_ids(spark, make_docs):
+    """Rows, not ids, are kept or dropped."""
+    long_ = " ".join(f"w{i}" for i in range(80))
+    near = long_ + " end"
+    texts = ["alpha beta", "alpha beta", "ALPHA beta", "gamma delta", "alpha beta", long_, near, long_, None, "", "eps zeta"]
+    ids = [1, 1, None, 1, None, None, None, 5, None, None, 7]
+    docs = make_docs(texts, ids=ids)
+    single = C.drop_copies(spark, docs, SF).collect()
+    assert sorted(((r.doc_id, (r.text or "").lower()) for r in single), key=str) == sorted([(1, "alpha beta"), (1, "gamma delta"), (5, long_), (None, near), (None, ""), (7, "eps zeta")], key=str)
+    left = C.drop_near_copies(spark, make_docs([r.text for r in single], ids=[r.doc_id for r in single]), SF)
+    assert sorted(((r.doc_id, r.text or "") for r in left.collect()), key=str) == sorted([(1, "alpha beta"), (1, "gamma delta"), (5, long_), (None, ""), (7, "eps zeta")], key=str)
+    mixed = C.mix_sources(spark, docs, SF).collect()
+    total = sum(len((t or "").split()) for t in texts)
+    assert abs(sum(len(r.text.split()) for r in mixed) - total) <= 1  # one source: its target is its size
+    assert Counter(r.text for r in mixed) == Counter(t for t in texts if t)
+    assert C.drop_copies(spark, docs.limit(0), SF).count() == C.drop_near_copies(spark, docs.limit(0), SF).count() == C.mix_sources(spark, docs.limit(0), SF).count() == 0
+    assert C.keep_good(spark, docs, SF).columns == docs.columns
+
+
 def test_run_and_registry(spark):
     assert C.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     names = entry.queries()
