@@ -13,7 +13,7 @@ from .common import crc_mod, ragged, texts_of, tune
 #: Hashed terms, latent dimensions, labelled documents that vote at most, neighbours, power of the similarity.
 TERMS, LATENT, LABELLED, NEIGHBOURS, POWER = 4096, 64, 3000, 9, 20.0
 #: Kinds of terms and their shares of a document's vector: the word, its shape, its length, how often the document
-#: repeats it, whether it stands right after itself.
+#: repeats it, whether it stands right after itself, and whether the document has words at all.
 KINDS = (("word", 0.2), ("shape", 0.3), ("length", 0.1), ("repeat", 0.2), ("run", 0.2))
 #: Documents whose cosines with all labelled vectors are held at once.
 BLOCK = 512
@@ -32,13 +32,19 @@ def shape(word: bytes) -> bytes:
     """Runs of letters, capitals and digits as one sign each; other characters as they are, at most two of a run."""
     out = bytearray()
     run = 0
-    for c in word.translate(_AS_CLASS)[:64]:
+    for c in word.translate(_AS_CLASS):
         run = run + 1 if out and out[-1] == c else 0
         if run == 0 or (run == 1 and c not in b"aA0"):
             out.append(c)
     return bytes(out)
 
 
+def length(word: bytes) -> bytes:
+    """Bytes of a word, in steps of a quarter of a doubling from 16 on."""
+    n = len(word)
+    return b"%d" % (n if n < 16 else 16 + int(4 * np.log2(n / 16)))
+
+
 class Terms:
     """Documents to sparse rows of hashed terms; what is known of a word is remembered up to a bound."""
 
@@ -56,7 +62,7 @@ class Terms:
 
     def _learn(self, word: bytes) -> int:
         self.known[word] = at = len(self.rows)
-        self.rows.append((self._term(0, word), self._term(1, shape(word)), self._term(2, b"%d" % min(len(word), 24))))
+        self.rows.append((self._term(0, word), self._term(1, shape(word)), self._term(2, length(word))))
         return at
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +78,7 @@ class Terms:
             ids += [known[w] if w in known else learn(w) for w in words]
         owner, _ = ragged(np.array(lengths, np.int64))
         at = (owner << 32) | np.array(ids, np.int64)
+        blank = np.flatnonzero(np.array(lengths, np.int64) == 0)
         same = at[1:][at[1:] == at[:-1]] >> 32  # documents of words that stand right after themselves
         key, counts = np.unique(at, return_counts=True)
         doc, word = key >> 32, key & 0xFFFFFFFF
@@ -81,9 +88,9 @@ class Terms:
         kinds = [table[word, 0], table[word, 1], table[word, 2], repeats[level]]
         # (document, kind, term), summed
         K = len(KINDS)
-        full = np.concatenate([*(((doc * K + k) << 16) | kinds[k] for k in range(4)), ((same * K + 4) << 16) | self._term(4, b"same"), ((owner * K + 4) << 16) | self._term(4, b"all")])
+        full = np.concatenate([*(((doc * K + k) << 16) | kinds[k] for k in range(4)), ((same * K + 4) << 16) | self._term(4, b"same"), ((owner * K + 4) << 16) | self._term(4, b"all"), ((blank * K + 4) << 16) | self._term(4, b"none")])
         cells, inverse = np.unique(full, return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate([np.tile(counts, 4), np.full(len(same), 2.0), np.ones(len(owner))]))
+        sums = np.bincount(inverse, weights=np.concatenate([np.tile(counts, 4), np.full(len(same), 2.0), np.ones(len(owner) + len(blank))]))
         group = cells >> 16
         share = np.sqrt(np.array([w for _, w in KINDS]))[group % K]
         # Words dampen by logarithm; what describes the style counts in proportion, by square root.
@@ -105,11 +112,11 @@ def project(terms, weights, bounds, basis: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, idf, basis, vectors, labels, neighbours=NEIGHBOURS, power=POWER):
-        self.idf, self.basis, self.vectors, self.labels, self.neighbours, self.power = idf, basis, vectors, labels, neighbours, power
+    def __init__(self, idf, basis, vectors, labels, prior, neighbours=NEIGHBOURS, power=POWER):
+        self.idf, self.basis, self.vectors, self.labels, self.prior, self.neighbours, self.power = idf, basis, vectors, labels, prior, neighbours, power
 
     @classmethod
-    def fit(cls, texts: list[bytes], labels: np.ndarray, latent: int = LATENT) -> "Model":
+    def fit(cls, texts: list[bytes], labels: np.ndarray, latent: int = LATENT, prior: float | None = None) -> "Model":
         """Inverse document frequencies, then a truncated decomposition of the sample's term matrix by random projection
         with two power iterations."""
         n = len(texts)
@@ -133,20 +140,20 @@ class Model:
         q = np.linalg.qr(q)[0]
         _, s, vt = np.linalg.svd(q.T @ dense, full_matrices=False)
         basis = np.ascontiguousarray(vt[:latent].T)
-        return cls(idf, basis, np.concatenate([project(*r, basis) for r in rows]), labels.astype(np.float32))
+        return cls(idf, basis, np.concatenate([project(*r, basis) for r in rows]), labels.astype(np.float32), float(labels.mean()) if prior is None else prior)
 
     def score(self, texts: list[bytes], terms: Terms) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, each weighted by a power of its cosine. The share of
-        label 1 in the sample counts as one more neighbour of weight 0.01, and alone decides for a text without words."""
+        """Share of label 1 among the nearest labelled vectors, each weighted by a power of its cosine. The share of label 1
+        among all labels, as they are before the sample evens them out, counts as one more neighbour of weight 0.01. A text
+        without words is near labelled ones without words; where there are none, that share alone decides."""
         vectors = project(*terms(texts), self.basis)
         out = np.empty(len(texts))
         k = min(self.neighbours, len(self.labels))
-        prior = float(self.labels.mean())
         for a in range(0, len(texts), BLOCK):
             cosine = vectors[a : a + BLOCK] @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** self.power
-            out[a : a + BLOCK] = ((weight * self.labels[near]).sum(axis=1) + 0.01 * prior) / (weight.sum(axis=1) + 0.01)
+            out[a : a + BLOCK] = ((weight * self.labels[near]).sum(axis=1) + 0.01 * self.prior) / (weight.sum(axis=1) + 0.01)
         return np.clip(out, 0.0, 1.0)
 
 
@@ -169,14 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(F.broadcast(marks.where(pick)), "_id").select("_text", "_label", "_draw", "_id").toArrow().sort_by([("_draw", "ascending"), ("_id", "ascending"), ("_text", "ascending")])
     if not rows.num_rows:
         return None
-    return Model.fit(texts_of(rows.column("_text")), rows.column("_label").to_numpy())
+    return Model.fit(texts_of(rows.column("_text")), rows.column("_label").to_numpy(), prior=sizes.get(1, 0) / sum(sizes.values()))
 
 
 def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3, carry: list | None = None) -> DataFrame:
     """(id, *carry, score, predicted) for each row; predicted is 1 if the score is at least ``least``.
 
-    Null text is empty; a text without words has the sample's share of label 1. Rows that repeat an id are scored one
-    by one. Without a model every score is 0.5."""
+    Null text is empty; a text without words goes with labelled ones without words, or else has the share of label 1 among
+    all labels. Rows that repeat an id are scored one by one. Without a model every score is 0.5."""
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by TERMS, LATENT and LABELLED
