@@ -214,13 +214,20 @@ class Model:
 
     def calibrate(self, texts: list[str | None], langs: list[str], quantile: float = 0.995) -> None:
         """Fits, on documents of known language and on short pieces of them, the logistic curve of being right over the
-        evidence; and for each language the cross-entropy that all but 1 - quantile of its documents stay below, with a
-        quarter more."""
+        evidence; and for each language the cross-entropy above which it is rejected: its documents' mean, times what all
+        but 1 - quantile of all languages' documents stay below relative to their mean, and a quarter more. A language
+        without a document here has the mean of the others."""
         ent, scored = self.entropies(texts)
+        truth, relative = np.array(langs, object), []
+        means = np.full(len(self.langs), np.nan)
         for i, g in enumerate(self.langs):
-            own = ent[(scored > 0) & (np.array(langs, object) == g), i]
-            if len(own) >= 8:
-                self.reject_above[i] = np.quantile(own, quantile) * 1.25
+            own = ent[(scored > 0) & (truth == g), i]
+            if len(own):
+                means[i] = own.mean()
+                relative.append(own / means[i])
+        if relative:
+            means[np.isnan(means)] = np.nanmean(means)
+            self.reject_above = means * np.quantile(np.concatenate(relative), quantile) * 1.25
         if len(self.langs) < 2:
             return
         pieces, truth = list(texts), list(langs)
@@ -248,15 +255,15 @@ class Model:
                 break
         self.slope, self.offset = float(max(a, 0.0)), float(b)
 
-    def predict(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None], reject: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, whether the calibrated threshold rejects it); with reject, rejected texts are undetermined."""
         ent, scored = self.entropies(texts)
         best = ent.argmin(axis=1)
         low = ent[np.arange(len(ent)), best]
         score = np.where(scored > 0, 1 / (1 + np.exp(-np.clip(self.slope * self._evidence(ent, scored) + self.offset, -30, 30))), 0.0)
-        out = scored == 0
-        if reject:
-            out = out | (low > self.reject_above[best])
-        return [UNDETERMINED if o else self.langs[b] for o, b in zip(out, best)], score
+        rejected = (scored == 0) | (low > self.reject_above[best])
+        out = rejected if reject else scored == 0
+        return [UNDETERMINED if o else self.langs[b] for o, b in zip(out, best)], score, rejected
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, most: int = MODEL_GRAMS) -> Model | None:
@@ -286,11 +293,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject: bool = False, carry: list | None = None) -> DataFrame:
-    """(id, *carry, lang_pred, score) for each row: the language of lowest cross-entropy a character, and the calibrated
-    share of such decisions that are right.
+    """(id, *carry, lang_pred, score, rejected) for each row: the language of lowest cross-entropy a character, the
+    calibrated share of such decisions that are right, and whether the cross-entropy is above what nearly all documents of
+    that language stay below.
 
-    ``und`` with score 0 for null, and for text without a letter; with reject, also where the cross-entropy is above
-    what nearly all documents of that language stay below. Ties go to the language first by name. Rows that repeat an
+    ``und`` with score 0 and rejected for null, and for text without a letter; with reject, ``und`` for all that is rejected. Ties go to the language first by name. Rows that repeat an
     id are scored one by one. Without a model all rows are ``und``."""
     spark = docs.sparkSession
     tune(spark)
@@ -302,16 +309,16 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         one = shared.value
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            pred, score = one.predict(texts, reject) if one is not None and texts else ([UNDETERMINED] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            pred, score, out = one.predict(texts, reject) if one is not None and texts else ([UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score), pa.array(out)], [*names, "lang_pred", "score", "rejected"])
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
 def cross_validated(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learnt from the documents whose crc32(doc_id as text) is not ``held`` modulo ``mod``."""
+    """doc_id, held_out, lang_pred, score, rejected: learnt from the documents whose crc32(doc_id as text) is not ``held`` modulo ``mod``."""
     fold = crc_mod("doc_id", mod) == held
     model = train(docs.where(~fold))
-    return identify(docs, model, carry=[fold.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs, model, carry=[fold.alias("held_out")]).select("doc_id", "held_out", "lang_pred", "score", "rejected")

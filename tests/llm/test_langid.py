@@ -83,14 +83,15 @@ def test_held_out_accuracy_and_letters(make_docs, rng):
     assert 20 < len(held) < 90 and np.mean([rows[i].lang_pred == langs[i] for i in held]) > 0.97
     for i in (200, 201, 202):
         assert (rows[i].lang_pred, rows[i].score) == ("und", 0.0)
+    assert all(rows[i].rejected for i in (200, 201, 202)) and np.mean([rows[i].rejected for i in range(200)]) < 0.03
     assert rows[203].lang_pred == "aa" and all(0 <= r.score <= 1 for r in rows.values())
 
 
 def test_rejection(make_docs, rng):
     texts, langs = corpus(rng, 300)
     model = langid.train(make_docs(texts, langs=langs))
-    pred, _ = model.predict(["bada abba dab " * 5, "qqqq wwww pppp " * 5], reject=True)
-    assert pred == ["aa", "und"]
+    pred, _, rejected = model.predict(["bada abba dab " * 5, "qqqq wwww pppp " * 5], reject=True)
+    assert pred == ["aa", "und"] and rejected.tolist() == [False, True]
     assert model.predict(["qqqq"])[0] != ["und"]
 
 
