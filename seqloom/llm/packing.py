@@ -20,8 +20,9 @@ WINDOW = 1024
 PENALTY = (0.0, 2.0, 3.0, 5.0)
 #: Where nothing ends for so many tokens, windows may end at each multiple of it.
 STRIDE = 32
-#: Cost of a window by itself, and the shortest power of two that is tried as a length: both against many short windows.
-EACH, SHORTEST = 8.0, 64
+#: Cost of a window by itself, the shortest power of two that is tried as a length, and the cost of each token that such a
+#: window falls short of a full one by: it is not padded, but takes a sequence as a full one does.
+EACH, SHORTEST, UNDERFILL = 8.0, 64, 0.25
 #: Tokens that one dynamic program sees; the last window of a block is carried over to the next block.
 BLOCK = 1 << 19
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -88,7 +89,7 @@ def end_penalties(vocabulary: dict[int, bytes]) -> np.ndarray:
 def cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
     """Ends of windows that cover 0..total. at: rising positions in (0, total], the last is total; penalty: the cost of a cut there.
 
-    Minimises the sum of padding (window less length, none where the length is a power of two), penalties and EACH.
+    Minimises the sum of padding (window less length; UNDERFILL of it where the length is a power of two), penalties and EACH.
     cost(j) = penalty(j) + window - j + min over i in [j - window, j) of cost(i) + i: the minimum of a sliding window,
     kept by a queue of rising values; lengths of a power of two are looked up one by one. Where two positions are more
     than STRIDE apart, cuts at its multiples are put in between, at the dearest penalty."""
@@ -107,6 +108,7 @@ def cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = WINDOW)
     index = {0: 0}
     queue: deque = deque([(0.0, 0, 0)])  # cost(i) + i, i, its number
     powers = [1 << k for k in range(window.bit_length()) if SHORTEST <= 1 << k < window]
+    short = {p: UNDERFILL * (window - p) for p in powers}
     for k in range(1, len(places)):
         j = places[k]
         low = j - window
@@ -116,8 +118,8 @@ def cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = WINDOW)
         value += window - j
         for p in powers:
             i = index.get(j - p)
-            if i is not None and best[i] < value:
-                value, frm = best[i], i
+            if i is not None and best[i] + short[p] < value:
+                value, frm = best[i] + short[p], i
         value += costs[k - 1]
         best.append(value)
         back.append(frm)

@@ -50,6 +50,7 @@ def check(rows, texts, window=1024):
         assert 0 < at <= window
         total += at
         pad += 0 if at & (at - 1) == 0 else window - at
+    assert len(seqs) <= 1.1 * total / window + 8
     return pad / max(total, 1)
 
 
@@ -60,6 +61,10 @@ def test_pieces(make_docs):
     assert check(rows, texts) < 0.05
 
 
+def short_of(n, window):
+    return (window - n) * (packing.UNDERFILL if n & (n - 1) == 0 and n >= packing.SHORTEST else 1)
+
+
 def brute_cost(at, penalty, window):
     places = [0, *at]
     best = [0.0] + [float("inf")] * len(at)
@@ -67,8 +72,7 @@ def brute_cost(at, penalty, window):
         for i in range(k):
             n = places[k] - places[i]
             if n <= window:
-                free = n & (n - 1) == 0 and (n >= packing.SHORTEST or n == window)
-                best[k] = min(best[k], best[i] + (0 if free else window - n) + penalty[k - 1] + packing.EACH)
+                best[k] = min(best[k], best[i] + short_of(n, window) + penalty[k - 1] + packing.EACH)
     return best[-1]
 
 
@@ -84,7 +88,7 @@ def test_cuts_are_optimal(seed):
     for e in ends:
         n = e - before
         assert 0 < n <= window
-        total += (0 if n & (n - 1) == 0 and (n >= packing.SHORTEST or n == window) else window - n) + cost[e] + packing.EACH
+        total += short_of(n, window) + cost[e] + packing.EACH
         before = e
     assert before == at[-1] and total == pytest.approx(brute_cost(at.tolist(), penalty.tolist(), window))
 
