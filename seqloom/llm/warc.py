@@ -8,6 +8,7 @@ import json
 import uuid
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from .common import apart, materialize, partitions, scratch, tune
 
 #: Compressed bytes after which a file is closed and the next begun.
 ROLL_BYTES = 256 << 20
+#: Tasks that read archives, at most; each reads its files one after the other.
+READ_TASKS = 20_000
 #: Payloads below this size are always written whole.
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -26,8 +29,6 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 def open_store(uri: str):
     """A file system that driver and executors both reach, and the path in it."""
-    from pyarrow import fs
-
     return fs.FileSystem.from_uri(uri)
 
 
@@ -64,9 +65,10 @@ def render(page_id, url, body: bytes, digest: str, kind: str, refers_to) -> byte
 def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> str:
     """Write every page as a record into gzip-per-record WARC files under the folder ``to``; returns the manifest's URI.
 
-    Records are range-sorted by page id, so a shard is a span of ids. Tasks write under temporary names; the driver
-    gives the files of the tasks that succeeded their final names and then writes the manifest, so what a lost task
-    left behind is never read. Null html is an empty payload; a null page id sorts first and has no id header; repeated
+    Records are range-sorted by page id, so a shard is a span of ids. Tasks write under temporary names and tell them by a
+    table, which holds those of the tasks that succeeded; other tasks then give these files their final names, and may do
+    so again if they are lost. The driver writes the manifest, a line a file, and deletes what lost tasks left behind; if
+    any is left later, it is never read. Null html is an empty payload; a null page id sorts first and has no id header; repeated
     rows are written once each, all of them as their page id's payload is classified. Page ids may share payloads and
     payloads may share a page id."""
     spark = pages.sparkSession
@@ -114,12 +116,22 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
 
     store, root = open_store(to)
     store.create_dir(root, recursive=True)
-    made = both.mapInPandas(run, "shard int, part int, temporary string, records long, bytes long")
-    files = []
-    for row in sorted(made.collect()):  # a row for each file
-        final = f"part-{row.shard:05d}-{row.part:05d}.warc.gz"
-        store.move(f"{root}/{row.temporary}", f"{root}/{final}")
-        files.append({"file": final, "records": row.records, "bytes": row.bytes})
+    made = materialize(both.mapInPandas(run, "shard int, part int, temporary string, records long, bytes long"), "written")
+
+    def rename(batches):
+        there, folder = open_store(to)
+        for pdf in batches:
+            names = [f"part-{s:05d}-{p:05d}.warc.gz" for s, p in zip(pdf["shard"], pdf["part"])]
+            for name, final in zip(pdf["temporary"], names):
+                if there.get_file_info(f"{folder}/{name}").is_file:  # else a lost attempt has renamed it
+                    there.move(f"{folder}/{name}", f"{folder}/{final}")
+            yield pdf.assign(file=names)[["file", "records", "bytes"]]
+
+    named = materialize(made.repartition(partitions(spark), "temporary").mapInPandas(rename, "file string, records long, bytes long"), "named")
+    files = [r.asDict() for r in sorted(named.collect())]  # a row for each file of ROLL_BYTES
+    for left in store.get_file_info(fs.FileSelector(root)):
+        if left.base_name.startswith(f"_{token}-"):
+            store.delete_file(left.path)
     with store.open_output_stream(f"{root}/_manifest.tmp", compression=None) as f:
         f.write(json.dumps({"format": "WARC/1.1", "files": files}).encode())
     store.move(f"{root}/_manifest.tmp", f"{root}/manifest.json")
@@ -192,7 +204,7 @@ def read(spark: SparkSession, manifest: str, with_payload: bool = False) -> Data
     schema = RECORD + ", html string" * with_payload
     if not files:
         return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(x["file"],) for x in files], "file string").repartition(len(files))
+    listed = spark.createDataFrame([(x["file"],) for x in files], "file string").repartition(min(len(files), READ_TASKS))
     return listed.mapInPandas(run, schema)
 
 

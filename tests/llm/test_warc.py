@@ -48,6 +48,7 @@ def test_round_trip(spark):
             data = raw.read()
         assert len(data) == f["bytes"]
         assert len(list(warc.parse(io.BytesIO(gzip.decompress(data))))) == f["records"]
+    assert not [x for x in store.get_file_info(warc.fs.FileSelector(path)) if x.base_name.endswith(".tmp")]
     again = warc.write(df, scratch(spark, "w"), roll_bytes=2000, shards=3)
     with warc.open_store(again)[0].open_input_stream(warc.open_store(again)[1]) as f:
         assert json.loads(f.read())["files"] == files
