@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from seqloom.llm import html_extract as H
@@ -41,6 +44,60 @@ def test_the_tree_removes_what_a_host_repeats(spark):
     assert got[20] == "Our site" and got[21] == "Other site"
 
 
+def brute_importance(pages):
+    """(host, path) to importance, by probabilities: pages of one host with the same blocks count once."""
+    out, hosts = {}, {}
+    for url, source in pages:
+        host = url.split("/")[2]
+        found, styles = H.blocks(source)
+        hosts.setdefault(host, {})[repr([(p, t) for _, _, p, t in found])] = (found, styles)
+    entropy = lambda counts: -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+    for host, own in hosts.items():
+        where = {}
+        for k, (found, _) in enumerate(own.values()):
+            for _, _, path, _ in found:
+                where.setdefault(path, set()).add(k)
+        for path, having in where.items():
+            m = len(having)
+            if m < 2:
+                continue
+            texts, layouts = {}, {}
+            for k, (found, styles) in enumerate(own.values()):
+                for _, _, p, t in found:
+                    if p == path:
+                        texts.setdefault(t, {}).setdefault(k, 0)
+                        texts[t][k] += 1
+                for p, s in styles if k in having else ():
+                    if p == path:
+                        layouts[s] = layouts.get(s, 0) + 1
+            content = 1 - sum(entropy(c.values()) for c in texts.values()) / len(texts) / math.log(m)
+            layout = entropy(layouts.values()) / math.log(m) if layouts else 0.0
+            measured = min(max(content, layout, 0.0), 1.0)
+            out[host, path] = (measured * m + H.UNSEEN * H.UNSEEN_PAGES) / (m + H.UNSEEN_PAGES)
+    return out
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(2)
+    pages = []
+    for i in range(60):
+        parts = [f"<div class={rng.choice('abc')}>" + "".join(f"<{t}>{rng.choice(['Same', 'Other', f'Own {i}'])}</{t}>" for t in rng.choices(["p", "h2", "li"], k=rng.randint(1, 4))) + "</div>" for _ in range(rng.randint(1, 4))]
+        pages.append((f"https://h{i % 3}.example/{i}", "<body>" + "".join(parts) + "</body>"))
+    pages += pages[:5]  # repeated pages
+    made = H.parsed(page(spark, *pages), "page_id", "url", "html").cache()
+    got = {(r.host, r.path): r.importance for r in H.style_tree(made).collect()}
+    want = brute_importance(pages)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 10
+
+
+def test_long_pages_ties_and_nulls(spark):
+    long_ = "<article>" + "".join(f"<p>Line {i}</p>" for i in range(30_000)) + "</article>"
+    same = "<body><div class=x><p>One</p></div></body>"
+    rows = [("https://l.example/1", long_), ("https://l.example/2", same), ("https://l.example/3", same), (None, None)]
+    got = [r.text for r in H.extract(page(spark, *rows)).orderBy("page_id").collect()]
+    assert got == [" ".join(f"Line {i}" for i in range(30_000)), "One", "One", ""]
+
+
 def test_marked_pages_feed_the_tree(spark):
     rows = [("https://m.example/a", f"<body><div class=top><p>Our site</p></div><article><div class=box><p>Buy it</p></div><p>Story {i}</p></article></body>") for i in range(40)]
     rows.append(("https://m.example/b", "<body><div class=top><p>Our site</p></div><div class=text><p>An unmarked story</p></div></body>"))
