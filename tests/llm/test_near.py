@@ -106,3 +106,13 @@ def test_odd_rows(spark, odd_docs):
         by.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
     assert by[None] == {(None, True)} and by[7] == {(6, False)} and by[6] == {(6, True)} and by[1] == {(1, True)}
     assert near.near_dedup(odd_docs.limit(0)).count() == 0
+
+
+def test_recall_on_the_driver_s_documents(spark):
+    """All components of the smaller tables, by comparing all pairs of sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    sizes, want = brute([texts[i] for i in ids])
+    rows = {r.doc_id: r for r in near.near_dedup(docs).collect()}
+    assert [rows[i].n_shingles for i in ids] == sizes and [rows[i].component_id for i in ids] == [ids[k] for k in want]
