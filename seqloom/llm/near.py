@@ -338,16 +338,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = made.where("n > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     twins = full.select("id", "set_a", "set_b").join(apart(classes), ["set_a", "set_b"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    same = materialize(verified(materialize(twins, "twins"), rows, row, text_col), "same")
-    reps = materialize(full.join(same.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "sketch", "bands"), "representatives")
-    each = reps.select("id", F.posexplode("bands").alias("no", "band"))
-    groups = each.groupBy("band", "no").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = materialize(each.join(apart(groups), ["band", "no"]).select("band", "no", "id", "lead"), "buckets")
-    stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    first = materialize(verified(materialize(estimated(stars, reps), "pairs"), rows, row, text_col), "links")
-    found = components(first)
+    twins = materialize(twins, "twins")
+    while True:
+        reps = materialize(full.join(twins.select(F.col("a").alias("id")), "id", "left_anti").select("id", "n", "sketch", "bands"), "representatives")
+        each = reps.select("id", F.posexplode("bands").alias("no", "band"))
+        groups = each.groupBy("band", "no").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        buckets = materialize(each.join(apart(groups), ["band", "no"]).select("band", "no", "id", "lead"), "buckets")
+        stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+        first = materialize(verified(materialize(estimated(stars, reps).unionByName(twins), "pairs"), rows, row, text_col), "links")
+        same = materialize(twins.join(first, ["a", "b"], "left_semi"), "same")
+        if same.count() == twins.count():
+            break
+        twins = same  # sets of one digest that differ: they stand for themselves
+    found = components(first.join(twins.select("a"), "a", "left_anti"))
     rest = materialize(across(buckets.select("band", "no", "id"), found, reps, rows, row, text_col), "links")
-    whole = components(first.unionByName(rest).unionByName(same))
+    whole = components(first.unionByName(rest))
     linked = made.select("id", "doc", "n").join(whole, "id", "left")
     smallest = linked.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c"))
     out = linked.join(apart(smallest.drop("c")), "component", "left")
