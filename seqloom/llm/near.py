@@ -74,12 +74,12 @@ def registers(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def likelihood(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """The likeliest similarity of pairs of sketches, jointly from the registers that are larger, smaller and equal.
+def _joint(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray):
+    """(log-likelihood as a function of the similarity, its upper end) of pairs of sketches, jointly from the registers that
+    are larger, smaller and equal; sizes are exact.
 
-    With u and v the shares of the union that only one set has, a register of the left set is larger with odds
-    p(u - v*J'), where p(x) = -log_b(1 - x (b - 1) / b), u, v are the sets' shares of their sum of sizes. A search by
-    golden section over J in [0, min(u/v, v/u)] finds the maximum; sizes are exact here."""
+    With u and v the sets' shares of the sum of their sizes, a register of the left set is larger with odds p(u - v*J),
+    where p(x) = -log_b(1 - x (b - 1) / b); J is at most min(u/v, v/u)."""
     more = (left > right).sum(axis=1).astype(np.float64)
     less = (left < right).sum(axis=1).astype(np.float64)
     same = left.shape[1] - more - less
@@ -93,7 +93,13 @@ def likelihood(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
         up, down = p(u - v * j), p(v - u * j)
         return more * np.log(np.maximum(up, 1e-12)) + less * np.log(np.maximum(down, 1e-12)) + same * np.log(np.maximum(1 - up - down, 1e-12))
 
-    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
+    return value, np.minimum(u / v, v / u)
+
+
+def likelihood(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """The likeliest similarity of pairs of sketches: the maximum, by a search by golden section."""
+    value, hi = _joint(left, right, n_left, n_right)
+    lo = np.zeros(len(hi))
     g = (5**0.5 - 1) / 2
     for _ in range(24):
         c, d = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -102,6 +108,13 @@ def likelihood(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     return (lo + hi) / 2
 
 
+def likely(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, floor: float = FLOOR) -> np.ndarray:
+    """Whether the likeliest similarity is at least floor: the likelihood has one maximum, so it still rises there. Sizes
+    must allow the floor."""
+    value, _ = _joint(left, right, n_left, n_right)
+    return value(floor + 1e-4) >= value(floor - 1e-4)
+
+
 SKETCH = "id long, doc long, n long, set_a long, set_b long, sketch binary, bands array<long>"
 
 
@@ -147,7 +160,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, floor: float = FLOOR) -> DataFr
         for pdf in batches:
             if len(pdf):
                 a, b = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(-1, M) for c in ("sa", "sb"))
-                ok = likelihood(a, b, pdf["na"].to_numpy(np.float64), pdf["nb"].to_numpy(np.float64)) >= floor
+                ok = likely(a, b, pdf["na"].to_numpy(np.float64), pdf["nb"].to_numpy(np.float64), floor)
                 yield pdf.loc[ok, ["a", "b"]]
 
     return both.mapInPandas(run, "a long, b long")
@@ -258,9 +271,9 @@ def _possible(pdf: pd.DataFrame) -> pd.DataFrame:
         if band and len(at):
             at = at[~(regs[at, : band * ROWS] == regs[k, : band * ROWS]).reshape(len(at), band, ROWS).all(axis=2).any(axis=1)]
         if len(at):
-            likely = likelihood(np.broadcast_to(regs[k], (len(at), M)), regs[at], np.full(len(at), n[k]), n[at]) >= FLOOR
-            may[at[likely]] = True
-            may[k] |= likely.any()
+            ok = likely(regs[k : k + 1], regs[at], np.full(len(at), n[k]), n[at])
+            may[at[ok]] = True
+            may[k] |= ok.any()
     return pdf.loc[may, ["band", "i", "j", "own", "id", "component"]]
 
 
@@ -315,6 +328,8 @@ def across(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFram
     rows = rows.join(reps.select("id", "n", "sketch"), "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("band", "no", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
     group = ["band", "i", "j"]
+    # Dealt out by number: comparing costs far more than the rows' bytes say, so tasks aren't merged by these.
+    rows = rows.repartition(partitions(docs.sparkSession), "no", *group)
     may = materialize(rows.groupBy("no", *group).applyInPandas(_possible, "band long, i int, j int, own int, id long, component long"), "possible")
     sets = full_sets(may.select("id").distinct(), docs, id_col, text_col)
     return may.join(sets, "id").select(*group, "own", "id", "component", "n", "shingles").groupBy(*group).applyInPandas(_links, "a long, b long").distinct()

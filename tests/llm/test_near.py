@@ -95,6 +95,12 @@ def test_registers_merge_and_estimate():
     n = np.diff(bounds).astype(float)
     true = len(np.intersect1d(sets[: bounds[1]], sets[bounds[1] :])) / len(np.unique(sets))
     assert abs(near.likelihood(regs[:1], regs[1:], n[:1], n[1:])[0] - true) < 0.12
+    many = np.stack([near.registers(np.unique(rng2.integers(0, 2**63, 400 + k, dtype=np.uint64)), np.array([0, 400 + k]))[0] for k in range(2)] * 20) if (rng2 := np.random.default_rng(1)) else None
+    left, right = np.repeat(regs[:1], len(many) + 2, axis=0), np.vstack([regs, many])
+    right[1, :40] = regs[0, :40]
+    n = np.full(len(left), 1496.0)
+    for floor in (0.3, 0.52, 0.7):
+        assert (near.likely(left, right, n, n, floor) == (near.likelihood(left, right, n, n) >= floor)).all()
     assert rng
 
 
