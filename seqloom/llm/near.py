@@ -251,6 +251,72 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
     return texts.hint("merge").join(ids, "id").mapInArrow(run, "id long, n long, shingles binary")
 
 
+POSSIBLE = "band long, i int, j int, own int, id long, component long"
+#: Pairs whose registers are held side by side.
+PAIRS = 16_384
+
+
+def possible(rows: DataFrame) -> DataFrame:
+    """rows (no, band, i, j, own, id, component, n, sketch), each group of the first four together and in order, to the
+    members (POSSIBLE) that the registers allow a link with another one of a different component, a row each.
+
+    Pairs are of the two blocks or, where i = j, within one. A pair that shares a lower band is that band's work. Groups
+    stream through: a task holds one batch and one group beside it."""
+
+    def flagged(t: pa.Table) -> pa.RecordBatch:
+        no, band, i, j, own, ids, comp, n = (t.column(k).to_numpy() for k in range(8))
+        regs = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, M)
+        edge = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        may = np.zeros(len(ids), bool)
+        held: list[tuple] = []
+        waiting = 0
+
+        def judge():
+            x, y = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            for at in range(0, len(x), PAIRS):
+                a, b = x[at : at + PAIRS], y[at : at + PAIRS]
+                lower = np.arange(BANDS)[None, :] < no[a][:, None]
+                fresh = ~((regs[a] == regs[b]).reshape(len(a), BANDS, ROWS).all(axis=2) & lower).any(axis=1)
+                a, b = a[fresh], b[fresh]
+                ok = likely(regs[a], regs[b], n[a].astype(np.float64), n[b].astype(np.float64))
+                may[a[ok]] = may[b[ok]] = True
+
+        for s, e in zip(edge[:-1], edge[1:]):
+            if i[s] == j[s]:
+                x, y = np.triu_indices(e - s, 1)
+                x, y = x + s, y + s
+            else:
+                first, second = s + np.flatnonzero(own[s:e] == i[s]), s + np.flatnonzero(own[s:e] == j[s])
+                x, y = np.repeat(first, len(second)), np.tile(second, len(first))
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y]))
+            held.append((x[ok], y[ok]))
+            waiting += int(ok.sum())
+            if waiting >= PAIRS:
+                judge()
+                waiting = 0
+        if held:
+            judge()
+        return pa.RecordBatch.from_arrays([pa.array(c[may]) for c in (band, i, j, own, ids, comp)], [x.split()[0] for x in POSSIBLE.split(", ")])
+
+    def run(batches):
+        left = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if left is None else pa.concat_tables([left, t])
+            keys = [t.column(k).to_numpy() for k in range(1, 4)]
+            last = len(t) - 1
+            other = np.flatnonzero(np.logical_or.reduce([k != k[last] for k in keys]))
+            begin = int(other[-1]) + 1 if len(other) else 0
+            left = t.slice(begin).combine_chunks()
+            if begin:
+                yield flagged(t.slice(0, begin))
+        if left is not None and len(left):
+            yield flagged(left)
+
+    return rows.mapInArrow(run, POSSIBLE)
+
+
 def _pairs(pdf: pd.DataFrame, k: int) -> np.ndarray:
     """Members that member k of a group of two blocks is to be compared with: of other components, and of the other block
     or, within one block, after k."""
@@ -260,23 +326,6 @@ def _pairs(pdf: pd.DataFrame, k: int) -> np.ndarray:
     return np.flatnonzero(other & (100 * np.minimum(n, n[k]) >= NUM * np.maximum(n, n[k])))
 
 
-def _possible(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The members of a group that the registers allow a link with another, a row each. A pair that shares a lower band
-    is that band's work."""
-    regs = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, M)
-    n, own, i, band = pdf["n"].to_numpy(np.float64), pdf["own"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["no"].iloc[0])
-    may = np.zeros(len(pdf), bool)
-    for k in np.flatnonzero(own == i):
-        at = _pairs(pdf, k)
-        if band and len(at):
-            at = at[~(regs[at, : band * ROWS] == regs[k, : band * ROWS]).reshape(len(at), band, ROWS).all(axis=2).any(axis=1)]
-        if len(at):
-            ok = likely(regs[k : k + 1], regs[at], np.full(len(at), n[k]), n[at])
-            may[at[ok]] = True
-            may[k] |= ok.any()
-    return pdf.loc[may, ["band", "i", "j", "own", "id", "component"]]
-
-
 def _links(pdf: pd.DataFrame) -> pd.DataFrame:
     """Verified links between different components in one group of members: one for each pair of components it joins."""
     pdf = pdf.reset_index(drop=True)
@@ -326,11 +375,11 @@ def across(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFram
     own = F.when(minor, F.pmod(F.xxhash64("id"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("id"), F.col("majors"))).cast("int")
     last = F.when(minor, F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1).cast("int")
     rows = rows.join(reps.select("id", "n", "sketch"), "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    rows = rows.select("band", "no", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sketch")
     group = ["band", "i", "j"]
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     # Dealt out by number: comparing costs far more than the rows' bytes say, so tasks aren't merged by these.
-    rows = rows.repartition(partitions(docs.sparkSession), "no", *group)
-    may = materialize(rows.groupBy("no", *group).applyInPandas(_possible, "band long, i int, j int, own int, id long, component long"), "possible")
+    rows = rows.select("no", *group, "own", "id", "component", "n", "sketch").repartition(partitions(docs.sparkSession), "no", *group)
+    may = materialize(possible(rows.sortWithinPartitions("no", *group)), "possible")
     sets = full_sets(may.select("id").distinct(), docs, id_col, text_col)
     return may.join(sets, "id").select(*group, "own", "id", "component", "n", "shingles").groupBy(*group).applyInPandas(_links, "a long, b long").distinct()
 
