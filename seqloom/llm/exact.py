@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import apart, materialize, mix64, texts_of, tune
 
-#: Keys of one index shard (about 2.5 MB of slots), rows looked up by one task against it.
-SHARD_KEYS, TASK_ROWS = 50_000, 100_000
+#: Keys of one index shard (about 125 kB of slots), rows looked up at once against it: a shard that more ask for, as that of a
+#: text with many copies, is copied.
+SHARD_KEYS, TASK_ROWS = 2_500, 5_000
 #: Bits per key of one level of the cascade.
 GAMMA = 2.0
 #: Up to so many shards, their row counts are broadcast (12 bytes each); beyond, they are joined by a shuffle.
