@@ -208,3 +208,13 @@ def top_hits_text(ids: Column, percents: Column, n: int = 3) -> Column:
     """``id(p%); id(p%)`` of the first n hits."""
     parts = F.transform(F.arrays_zip(ids.alias("i"), percents.alias("p")), lambda x: F.concat(x["i"], F.lit("("), F.round(x["p"]).cast("int").cast("string"), F.lit("%)")))
     return F.array_join(F.slice(parts, 1, n), "; ")
+
+
+def tip_label(species: Column, name: Column) -> Column:
+    """Label of a sequence in a tree: species, then the name in lower case."""
+    return F.concat(species, F.lit("_"), F.lower(name))
+
+
+def support_text(count: Column, replicates: int) -> Column:
+    """``n/replicates``, or that a clade was not found."""
+    return F.when(count.isNull(), "not recovered").otherwise(F.format_string(f"%d/{replicates}", count))

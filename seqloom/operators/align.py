@@ -9,49 +9,35 @@ from pyspark.sql import functions as F
 
 from . import kmers
 
+# The BLOSUM62 matrix as published (S. and J. Henikoff, 1992), rows and columns in the order of RESIDUES.
 RESIDUES = "ARNDCQEGHILKMFPSTWYVBZX*"
-# BLOSUM62 (S. and J. Henikoff, 1992), the lower triangle over the twenty residues.
 _BLOSUM62 = """
-A  4
-R -1  5
-N -2  0  6
-D -2 -2  1  6
-C  0 -3 -3 -3  9
-Q -1  1  0  0 -3  5
-E -1  0  0  2 -4  2  5
-G  0 -2  0 -1 -3 -2 -2  6
-H -2  0  1 -1 -3  0  0 -2  8
-I -1 -3 -3 -3 -1 -3 -3 -4 -3  4
-L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4
-K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5
-M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5
-F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6
-P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7
-S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4
-T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5
-W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11
-Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7
-V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4
+ 4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+-1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+-2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+-2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+ 0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+-1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+-1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+-2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+-1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+-1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+-1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+-1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+-2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+-1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+ 1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+ 0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+-3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+-2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+ 0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+-2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+-1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+ 0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
-
-
-def _substitutions() -> np.ndarray:
-    """The whole matrix. B and Z score as the mean of the two residues that they stand for, rounded; X scores -1 with
-    every residue, a stop 1 with itself and -4 otherwise."""
-    m = np.full((24, 24), -1.0)
-    for i, line in enumerate(_BLOSUM62.split("\n")[1:21]):
-        m[i, : i + 1] = m[: i + 1, i] = [float(x) for x in line.split()[1:]]
-    for at, pair in ((20, "ND"), (21, "QE")):
-        x, y = (RESIDUES.index(c) for c in pair)
-        m[at, :at] = m[:at, at] = np.round((m[x, :at] + m[y, :at]) / 2)
-        m[at, at] = np.round((m[x, at] + m[y, at]) / 2)
-    m[22, :] = m[:, 22] = -1
-    m[23, :] = m[:, 23] = -4
-    m[23, 23] = 1
-    return m
-
-
-BLOSUM62 = _substitutions()
+BLOSUM62 = np.array([[int(x) for x in line.split()] for line in _BLOSUM62.split("\n") if line.strip()], float)
 _INDEX = np.full(256, RESIDUES.index("X"), np.int64)
 for _i, _c in enumerate(RESIDUES):
     _INDEX[ord(_c)] = _i
@@ -220,3 +206,32 @@ def with_distance(hits: DataFrame, coords: DataFrame, to: tuple[str, int]) -> Da
     """hits (gene, ...) with coordinates (empty where unknown) and the distance in Mb to a place on the same chromosome."""
     j = hits.join(coords, "gene", "left")
     return j.withColumn("distance_mb", F.when(F.col("chrom") == to[0], F.round(F.abs(F.col("start") - to[1]) / 1e6, 3)))
+
+
+def with_locus(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """hits (qid, ...) with the locus of their query (qid, locus); hits of unknown queries have none."""
+    return hits.join(queries.select("qid", "locus"), "qid", "left")
+
+
+def without_gene(candidates: DataFrame, genes: DataFrame) -> DataFrame:
+    """candidates (gene, ...) but those of the listed genes; a candidate without a gene stays."""
+    return candidates.join(genes.select("gene").distinct(), "gene", "left_anti").select(*candidates.columns)
+
+
+def genes_of_names(names: DataFrame, coords: DataFrame) -> DataFrame:
+    """(seqname, gene): the gene of each sequence name; the first by name where several genes have one."""
+    one = coords.where("seqname <> ''").groupBy("seqname").agg(F.min("gene").alias("gene"))
+    return names.select("seqname").distinct().join(one, "seqname")
+
+
+def collect_proteins(queries: DataFrame, orthologs: DataFrame, proteome: DataFrame, prefixes: tuple[str, str] = ("Cel_", "Cbr_")) -> DataFrame:
+    """(label, paralog, protein, seq): the query proteins (paralog, protein, seq), and below them the proteins that a table of
+    orthologs (paralog, protein) names, with their sequences (protein, seq); those without one are left out."""
+    own = queries.select(F.concat(F.lit(prefixes[0]), "paralog").alias("label"), "paralog", "protein", "seq")
+    other = orthologs.join(proteome, "protein").select(F.concat(F.lit(prefixes[1]), "paralog").alias("label"), "paralog", "protein", "seq")
+    return own.unionByName(other)
+
+
+def training_rows(factors: DataFrame, sequences: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(key, features, vector) of factors (key, features) that have a sequence (key) and an embedding (key, vector)."""
+    return factors.join(sequences.select("key").distinct(), "key", "left_semi").join(embedded.select("key", "vector"), "key").select("key", "features", "vector")

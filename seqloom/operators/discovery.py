@@ -73,6 +73,16 @@ def best_end(found: DataFrame) -> DataFrame:
     return kmers.top_per_group(found, ["grp"], [F.desc("score"), "end"], 1).drop("rank")
 
 
+def located(seqs: DataFrame, candidates: DataFrame, k: int, terminal: int, width: int = WIDTH, step: int = STEP, least: int = 5) -> DataFrame:
+    """(grp, kmer, end, w0, n): where the exact hits of each candidate (grp, kmer), on either strand, are densest in the ends
+    of its group's sequences; positions from an end's begin. Candidates without a window of ``least`` hits are left out."""
+    pieces = kmers.end_pieces(seqs, k, terminal)
+    w = kmers.known(kmers.windows(pieces, k, ["grp", "end"])).withColumn("kmer", S.canonical_kmer(F.col("kmer")))
+    wanted = candidates.select("grp", "kmer")
+    found = w.join(F.broadcast(wanted) if _small(wanted) else wanted, ["grp", "kmer"]).select("grp", "kmer", "end", "pos")
+    return hits.densest_window_or_none(found, ["grp", "kmer"], "end", "pos", least, width, step)
+
+
 def refine_free(windows: DataFrame, seeds: DataFrame, length: int, most: int = 3, least: int = 8, width: int = WIDTH) -> DataFrame:
     """Anchor-free refinement for all groups at once: (grp, motif, copies, period, info_bits).
 
@@ -125,8 +135,9 @@ def motif_specificity(windows: DataFrame, motifs: DataFrame, core: int = 12, mos
     """(grp, motif, specificity): share of the windows within ``most`` mismatches of a motif that its own group holds; 0.0
     without any. Found by shared parts, not by comparing all windows with all motifs."""
     cores = motifs.select(F.col("grp").alias("home"), "motif", F.substring("motif", 1, core).alias("core"))
-    near = kmers.similar_pairs(windows.select("grp", F.substring("window", 1, core).alias("window")), cores.select("core").distinct(), most, core)
-    c = near.groupBy("core", "grp").agg(F.count(F.lit(1)).alias("n"))
+    counts = windows.groupBy("grp", F.substring("window", 1, core).alias("window")).agg(F.count(F.lit(1)).alias("n"))
+    near = kmers.similar_pairs(counts, cores.select("core").distinct(), most, core)
+    c = near.groupBy("core", "grp").agg(F.sum("n").alias("n"))
     j = cores.join(c, "core", "left").groupBy("home", "motif").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("grp") == F.col("home"), F.col("n"))).alias("own"))
     return j.select(F.col("home").alias("grp"), "motif", F.round(F.coalesce(F.col("own") / F.col("total"), F.lit(0.0)), 2).alias("specificity"))
 
@@ -144,18 +155,22 @@ def reconcile(first: DataFrame, second: DataFrame, paralogs: DataFrame) -> DataF
     return out.orderBy(S.tier_order(F.col("confidence")), "chromosome")
 
 
-def anchor_sheet(chromosomes: DataFrame, conservation: DataFrame, anchored: DataFrame, free: DataFrame) -> DataFrame:
+#: What to do at each status of an anchor.
+ADVICE = {"CONSERVED": "keep the anchored motif", "DIVERGED": "test the anchor-free motif", "INTERMEDIATE": "test both motifs"}
+
+
+def anchor_sheet(chromosomes: DataFrame, conservation: DataFrame, anchored: DataFrame, free: DataFrame, advice: dict[str, str] | None = None) -> DataFrame:
     """Each chromosome's anchored and anchor-free motifs, with the status that its protein's conservation gives the anchor.
 
     chromosomes: (chromosome, paralog); conservation: (paralog, recognition_conservation)."""
     j = chromosomes.join(conservation, "paralog")
     k = F.col("recognition_conservation")
     status = F.when(k >= V.CONSERVED, "CONSERVED").when(k < V.DIVERGED, "DIVERGED").otherwise("INTERMEDIATE")
-    advice = F.create_map(*[F.lit(x) for kv in V.ANCHOR_ADVICE.items() for x in kv])
+    say = F.create_map(*[F.lit(x) for kv in (advice or ADVICE).items() for x in kv])
     a = anchored.select("chromosome", F.col("discovered_motif").alias("anchored_motif"), F.col("ce_match_skill").alias("anchored_skill"), F.col("confidence").alias("anchored_confidence"))
     f = free.select("chromosome", F.col("discovered_motif").alias("anchorfree_motif"), F.col("chrom_specificity").alias("anchorfree_specificity"), F.col("recovered_TTGG").alias("anchorfree_has_TTGG"))
     j = j.withColumn("anchor_status", status).join(a, "chromosome", "left").join(f, "chromosome", "left")
-    return j.select("chromosome", F.concat(F.lit("Cbr-"), "paralog").alias("paralog"), "recognition_conservation", "anchor_status", "anchored_motif", "anchored_skill", "anchored_confidence", "anchorfree_motif", "anchorfree_specificity", "anchorfree_has_TTGG", advice[F.col("anchor_status")].alias("recommendation")).orderBy(F.desc("recognition_conservation"), "chromosome")
+    return j.select("chromosome", F.concat(F.lit("Cbr-"), "paralog").alias("paralog"), "recognition_conservation", "anchor_status", "anchored_motif", "anchored_skill", "anchored_confidence", "anchorfree_motif", "anchorfree_specificity", "anchorfree_has_TTGG", say[F.col("anchor_status")].alias("recommendation")).orderBy(F.desc("recognition_conservation"), "chromosome")
 
 
 def compare_runs(chromosomes: DataFrame, free: DataFrame, anchored: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     a null of the best candidate is filled from the next."""
     c = candidates.where(~F.col("low_complexity"))
     c = c.withColumn("score", F.col("fold_enrichment") * F.col("chrom_specificity") * F.when(F.col("tandem"), 1.0).otherwise(0.4))
-    return hits.first_non_null(c, ["chromosome"], [F.desc("score"), "end"], ["end", "candidate_motif", "spacer", "fold_enrichment", "chrom_specificity", "median_spacing_bp", "best_ce_paralog", "convergent", "score"])
+    return hits.first_non_null(c, ["chromosome"], [("score", True), ("end", False)], ["end", "candidate_motif", "spacer", "fold_enrichment", "chrom_specificity", "median_spacing_bp", "best_ce_paralog", "convergent", "score"])
 
 
 def permutation_null(pairs: DataFrame, observed: int | None = None) -> DataFrame:

@@ -67,9 +67,10 @@ def densest_window_or_none(hits: DataFrame, keys: list[str], end: str, pos: str,
 
 def first_non_null(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
     """One row a group: of each column the first value in the order that is not null, so a null of the best row is filled
-    from the next."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return df.select(*keys, *[F.first(c, ignorenulls=True).over(w).alias(c) for c in columns]).distinct()
+    from the next. order: (column, whether it falls) pairs of numbers or, rising only, of text. An aggregate: a group is
+    never held."""
+    at = F.struct(*[(-F.col(c) if falls else F.col(c)).alias(f"o{i}") for i, (c, falls) in enumerate(order)])
+    return df.groupBy(*keys).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in columns])
 
 
 def compare_counts(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
@@ -103,3 +104,9 @@ def longest_per_group(df: DataFrame, keys: list[str], length: str, order: str) -
     rest = [c for c in df.columns if c not in keys]
     one = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(length), -F.col(order))).alias("r"))
     return one.select(*keys, "r.*")
+
+
+def first_match(df: DataFrame, keys: list[str], order: str, found) -> DataFrame:
+    """Of each group, the first row in order that the condition holds for; groups without one are left out."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.where(found).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")

@@ -44,22 +44,38 @@ def count_kmers(seqs: DataFrame, k: int = 12) -> DataFrame:
     return canonical_windows(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def terminal_windows(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
-    """Canonical windows that lie in either end; sequences shorter than both ends together have none."""
-    w = canonical_windows(seqs, k).where(F.col("length") >= 2 * terminal)
-    end = F.when(F.col("pos") + k <= terminal, "left").when(F.col("pos") >= F.col("length") - terminal, "right")
-    return w.withColumn("end", end).where("end is not null")
+def end_of(k: int, terminal: int):
+    """The end that a window at pos lies in, null for others; sequences shorter than both ends together have none."""
+    at = F.when(F.col("pos") + k <= terminal, "left").when(F.col("pos") >= F.col("length") - terminal, "right")
+    return F.when(F.col("length") >= 2 * terminal, at)
+
+
+def end_pieces(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
+    """(seq_id, grp, end, seq): both ends of the sequences that are long enough for them, in upper case. What lies between is
+    cut off before any window is made."""
+    n = F.length("seq")
+    end = F.explode(F.array(F.struct(F.lit("left").alias("end"), F.substring("seq", F.lit(1), F.lit(terminal)).alias("seq")), F.struct(F.lit("right").alias("end"), F.right("seq", F.lit(terminal)).alias("seq"))))
+    return seqs.where(n >= 2 * terminal).select("seq_id", "grp", end.alias("_p")).select("seq_id", "grp", "_p.end", F.upper("_p.seq").alias("seq"))
+
+
+def piece_windows(pieces: DataFrame, k: int, carried: list[str]) -> DataFrame:
+    """(carried, kmer): canonical windows without N."""
+    return known(windows(pieces, k, carried)).withColumn("kmer", S.canonical_kmer(F.col("kmer"))).select(*carried, "kmer")
 
 
 def terminal_enrichment(seqs: DataFrame, k: int = 12, terminal: int = 2_000_000, min_count: int = 10, min_length: int = 1_000_000, anchor: str = "TTGG") -> DataFrame:
     """(grp, end, kmer, terminal_count, fold_enrichment, anchored): share of a k-mer at an end over its share in all of
-    the sequences of at least min_length, ends included. Shares are of all k-mers, not only of those that are frequent."""
+    the sequences of at least min_length, ends included. Shares are of all k-mers, not only of those that are frequent.
+
+    One pass makes the windows; counts by (grp, end, kmer) are the only shuffle of any size, the background and the totals
+    are sums of them."""
     long_ = seqs.where(F.length("seq") >= min_length)
-    bg = count_kmers(long_, k)
-    total = bg.agg(F.sum("cnt").alias("bg_total"))
-    t = terminal_windows(long_, k, terminal).groupBy("grp", "end", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
-    t = t.withColumn("end_total", F.sum("cnt").over(W.partitionBy("grp", "end"))).where(F.col("cnt") >= min_count)
-    j = t.join(bg.withColumnRenamed("cnt", "bg"), "kmer").crossJoin(F.broadcast(total))
+    counts = canonical_windows(long_, k).withColumn("end", end_of(k, terminal)).groupBy("grp", "end", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    bg = counts.groupBy("kmer").agg(F.sum("cnt").alias("bg"))
+    total = counts.agg(F.sum("cnt").alias("bg_total"))
+    ends = counts.where("end is not null")
+    totals = ends.groupBy(F.col("grp").alias("_grp"), F.col("end").alias("_end")).agg(F.sum("cnt").alias("end_total"))  # two rows a group
+    j = ends.where(F.col("cnt") >= min_count).join(bg, "kmer").join(totals, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("end") == F.col("_end"))).crossJoin(F.broadcast(total))
     fold = (F.col("cnt") / F.col("end_total")) / (F.col("bg") / F.col("bg_total"))
     return j.select("grp", "end", "kmer", F.col("cnt").alias("terminal_count"), fold.alias("fold_enrichment"), S.starts_either_strand(F.col("kmer"), anchor).alias("anchored"))
 
@@ -71,24 +87,23 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
 
 def end_counts(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
     """(grp, kmer, n): canonical counts over both ends together."""
-    return terminal_windows(seqs, k, terminal).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return piece_windows(end_pieces(seqs, k, terminal), k, ["grp"]).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def interior_counts(seqs: DataFrame, k: int, interior: int) -> DataFrame:
-    """(grp, kmer, n): canonical counts in the middle ``interior`` letters of each sequence."""
-    mid = F.floor(F.col("length") / 2)
-    lo, hi = mid - interior // 2, mid + interior // 2
-    w = canonical_windows(seqs, k).where((F.col("pos") >= F.greatest(lo, F.lit(0))) & (F.col("pos") + k <= hi))
-    return w.groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """(grp, kmer, n): canonical counts in the middle ``interior`` letters of each sequence, cut out before windows are made."""
+    lo = F.greatest(F.floor(F.length("seq") / 2) - interior // 2, F.lit(0))
+    hi = F.floor(F.length("seq") / 2) + interior // 2
+    mid = seqs.select("seq_id", "grp", F.upper(F.substring("seq", (lo + 1).cast("int"), (hi - lo).cast("int"))).alias("seq"))
+    return piece_windows(mid, k, ["grp"]).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
 def enriched_vs_interior(ends: DataFrame, middle: DataFrame, top: int = 60, min_count: int = 10) -> DataFrame:
     """(grp, kmer, n, enrichment, rank): share at the ends over the share inside, the latter's count raised by one; the
-    most enriched of each group that are frequent and not of low complexity."""
-    tt = ends.withColumn("t_total", F.sum("n").over(W.partitionBy("grp")))
-    it = middle.groupBy("grp").agg(F.sum("n").alias("i_total"))
+    most enriched of each group that are frequent and not of low complexity. Totals are a row a group."""
+    tt, it = ends.groupBy("grp").agg(F.sum("n").alias("t_total")), middle.groupBy("grp").agg(F.sum("n").alias("i_total"))
     inner = middle.withColumnRenamed("n", "inside")
-    j = tt.where(F.col("n") >= min_count).where(~S.low_complexity(F.col("kmer"))).join(inner, ["grp", "kmer"], "left").join(it, "grp", "left")
+    j = ends.where(F.col("n") >= min_count).where(~S.low_complexity(F.col("kmer"))).join(tt, "grp").join(inner, ["grp", "kmer"], "left").join(it, "grp", "left")
     enrichment = (F.col("n") / F.col("t_total")) / ((F.coalesce("inside", F.lit(0)) + 1) / F.greatest(F.coalesce("i_total", F.lit(1)), F.lit(1)))
     j = j.select("grp", "kmer", "n", enrichment.alias("enrichment"))
     return top_per_group(j, ["grp"], [F.desc("enrichment"), F.desc("kmer")], top)
@@ -113,13 +128,19 @@ def anchored_windows(seqs: DataFrame, length: int = 16, anchor: str = "TTGG") ->
     return known(fwd.unionByName(rev), "window")
 
 
+#: Patterns that a scan takes: they are broadcast.
+PATTERNS = 10_000
+
+
 def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> DataFrame:
     """(seq_id, grp, name, motif, position, strand): exact hits of patterns (name, motif), overlapping ones too; a
     palindrome is reported on both strands. Positions are starts on the forward strand.
 
     Both strands of a pattern are rows of a small table that joins the windows of its length."""
     spark = seqs.sparkSession
-    pats = [(r["name"], r["motif"]) for r in patterns.select("name", "motif").collect()]  # a handful of motifs by contract
+    pats = [(r["name"], r["motif"]) for r in patterns.select("name", "motif").limit(PATTERNS + 1).collect()]
+    if len(pats) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns")
     comp = str.maketrans("ACGTN", "TGCAN")
     rows = [(n, m, s, p.upper()) for n, m in pats for s, p in (("+", m), ("-", "".join(c if c in "ACGTN" else "N" for c in m.upper()).translate(comp)[::-1]))]
     both = spark.createDataFrame(rows, "name string, motif string, strand string, pattern string")
@@ -140,14 +161,24 @@ def near_windows(w: DataFrame, core: str, most: int, column: str = "window") ->
 def similar_pairs(windows_: DataFrame, cores: DataFrame, most: int, length: int) -> DataFrame:
     """Windows (window, ...) joined with cores (core, ...) at most ``most`` mismatches away, over the first ``length`` letters.
 
-    Split in most + 1 parts, two such words agree in one at least: an equi-join on the parts, not a cross join."""
-    step = -(-length // (most + 1))
-    cuts = [(i, min(step, length - i)) for i in range(0, length, step)]
-    seeds = lambda c: F.explode(F.array(*[F.concat(F.lit(f"{i}:"), F.substring(c, i + 1, n)) for i, n in cuts]))
-    left = windows_.withColumn("_row", F.monotonically_increasing_id()).withColumn("_seed", seeds(F.col("window")))
-    right = cores.withColumn("_seed", seeds(F.col("core")))
+    Split in most + 1 parts, two such words agree in one at least: an equi-join of the distinct words on the parts, not a
+    cross join; the other columns come back by the words."""
+    if length <= most:
+        raise ValueError("words of so few letters differ anyhow")
+    edges = [length * i // (most + 1) for i in range(most + 2)]
+    cuts = [(a, b - a) for a, b in zip(edges, edges[1:])]
+    part = lambda c, i, n: F.substring(c, i + 1, n)
+    seeds = lambda c: F.posexplode(F.array(*[part(c, i, n) for i, n in cuts])).alias("_part", "_seed")
+    words = windows_.select("window").distinct()
+    right = cores.select("core").distinct()
     far = S.hamming(F.substring("window", 1, length), F.substring("core", 1, length))
-    return left.join(right, "_seed").withColumn("mismatches", far).where(F.col("mismatches") <= most).dropDuplicates(["_row", "core"]).drop("_seed", "_row")
+    # A pair counts at the first part in which it agrees, so no row is doubled and none needs a number.
+    first = F.lit(len(cuts))
+    for k in reversed(range(len(cuts))):
+        first = F.when(part("window", *cuts[k]) == part("core", *cuts[k]), k).otherwise(first)
+    near = words.select("window", seeds(F.col("window"))).join(right.select("core", seeds(F.col("core"))), ["_part", "_seed"])
+    near = near.where(first == F.col("_part")).withColumn("mismatches", far).where(F.col("mismatches") <= most).select("window", "core", "mismatches")
+    return windows_.join(near, "window").join(cores, "core")
 
 
 def kmer_sets(seqs: DataFrame, k: int = 5) -> DataFrame:

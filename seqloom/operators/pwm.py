@@ -142,11 +142,17 @@ def factor_features(matrix: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.array(*[F.col(f"m_{b}") for b in ACGT], *[F.col(f"d_{x}{y}") for x, y in pairs]).alias("features"))
 
 
+#: Known motifs that a case is compared with.
+KNOWN = 1_000
+
+
 def best_match(cases: DataFrame, known: DataFrame, columns: int | None = 12) -> DataFrame:
     """The known motif that a case's matrix resembles most, after transfer of the known one into the case's frame.
 
     cases: (case, spacer, pos, a..t); known: rows (name, motif, spacer). Returns (case, name, skill), best first by skill and
-    name. The known motifs are a fixed handful, so the cross join is by a constant."""
+    name. The known motifs are KNOWN at most, so each case has a bounded number of rows."""
+    if known.count() > KNOWN:
+        raise ValueError(f"more than {KNOWN} known motifs")
     c = cases if columns is None else cases.where(F.col("pos") < columns)
     frame = c.groupBy("case", "spacer").agg((F.max("pos") + 1).alias("dst_len"))
     k = F.broadcast(known.select(F.col("name"), "motif", F.col("spacer").alias("src_spacer"), F.length("motif").alias("src_len")))

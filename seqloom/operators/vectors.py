@@ -26,31 +26,51 @@ def packed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vector"))
 
 
-#: Query vectors that one task holds beside its items.
+#: Query vectors that one task holds beside a batch of items.
 QUERY_BLOCK = 2048
 
 
 def nearest(queries: DataFrame, items: DataFrame, n: int = 1, block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, tid, cosine, rank): the items of greatest cosine for each query, other than itself; ties to the larger id.
 
-    Exact: all queries against all items, in blocks of queries. One block is broadcast; more are dealt out to tasks with a
-    copy of the items for each, so memory stays bounded whatever the number of queries. A task passes on its best n of a
-    query only where n is 1; ranks are then taken by query."""
-    q = queries.select(F.col("id").alias("qid"), F.col("vector").alias("qv"))
-    t = items.select(F.col("id").alias("tid"), F.col("vector").alias("tv"))
-    blocks = -(-q.count() // block)
-    if blocks <= 1:
-        c = t.join(F.broadcast(q), F.col("tid") != F.col("qid"))
-    else:
-        q = q.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-        t = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        c = t.join(q.hint("shuffle_hash"), "block").where("tid <> qid")
-    c = c.select("qid", "tid", S.cosine(F.col("qv"), F.col("tv")).alias("cosine"))
-    if n == 1:
-        g = c.groupBy("qid").agg(F.max(F.struct("cosine", "tid")).alias("b"))
-        return g.select("qid", "b.tid", "b.cosine", F.lit(1).alias("rank"))
+    Exact: all queries against all items. Each block of queries is one broadcast and one pass over the items, which stay
+    where they are; a batch of items gives one matrix product, and of it the best n of each query go on, so the shuffle has
+    n rows a query and batch. Queries are a stated set: their number is a factor of the work, not of a task's memory."""
+    spark = queries.sparkSession
+    q = queries.select(F.col("id").alias("qid"), F.col("vector").cast("array<double>").alias("qv"))
+    blocks = max(1, -(-q.count() // block))
+    q = q.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("tid", items.schema["id"].dataType), T.StructField("cosine", T.DoubleType())])
+    out = None
+    for i in range(blocks):
+        held = q.where(F.col("_block") == i).select("qid", "qv").toPandas()  # about QUERY_BLOCK vectors
+        if not len(held):
+            continue
+        qv = np.array(held["qv"].tolist(), float)
+        shared = spark.sparkContext.broadcast((held["qid"].to_numpy(), qv / np.linalg.norm(qv, axis=1, keepdims=True)))
+
+        def best(batches, shared=shared):
+            ids, unit = shared.value
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                t = np.array(pdf["vector"].tolist(), float)
+                tid = pdf["id"].to_numpy()
+                order = np.argsort(tid, kind="stable")
+                t, tid = t[order], tid[order]
+                cosine = unit @ (t / np.linalg.norm(t, axis=1, keepdims=True)).T
+                cosine[ids[:, None] == tid[None, :]] = -np.inf
+                rank = np.lexsort((np.broadcast_to(-np.arange(len(tid)), cosine.shape), -cosine))[:, :n]
+                rows = np.repeat(np.arange(len(ids)), rank.shape[1])
+                found = pd.DataFrame({"qid": ids[rows], "tid": tid[rank.ravel()], "cosine": cosine[rows, rank.ravel()]})
+                yield found[np.isfinite(found["cosine"])]
+
+        some = items.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(best, schema)
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), F.desc("tid")))
-    return c.withColumn("rank", rank).where(F.col("rank") <= n)
+    return out.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def leave_one_out_neighbours(labels: DataFrame, center: bool = True) -> DataFrame:
@@ -68,10 +88,16 @@ def leave_one_out_neighbours(labels: DataFrame, center: bool = True) -> DataFram
     return best.select("held", "b.other", "b.cosine")
 
 
+#: Rows of a labelled set that is compared with all of another.
+LABELS = 10_000
+
+
 def separation(left: DataFrame, right: DataFrame) -> DataFrame:
     """(same, other, difference, nn_right, n): mean cosine of rows (key, vector) of equal keys and of different keys, and
     for how many of the left rows the nearest right row has their key. Both sides are small labelled sets."""
     a = left.select(F.col("key").alias("k1"), F.col("vector").alias("v1"))
+    if right.count() > LABELS:
+        raise ValueError(f"more than {LABELS} labelled rows")
     b = F.broadcast(right.select(F.col("key").alias("k2"), F.col("vector").alias("v2")))
     c = a.crossJoin(b).select("k1", "k2", S.cosine(F.col("v1"), F.col("v2")).alias("c"))
     means = c.agg(F.avg(F.when(F.col("k1") == F.col("k2"), F.col("c"))).alias("same"), F.avg(F.when(F.col("k1") != F.col("k2"), F.col("c"))).alias("other"))
@@ -125,6 +151,69 @@ def predict_heads(heads: DataFrame, features: DataFrame, classes: int = 4) -> Da
     return j.withColumn("p", S.softmax(z)).select("fold", "l2", "slot", *[F.get("p", F.lit(i)).alias(b) for i, b in enumerate("acgt")])
 
 
+def build_examples(features: DataFrame, motifs: DataFrame) -> DataFrame:
+    """(name, slot, x, y) of features (name, x) and motifs (name, motif, spacer): for each slot of the common frame that a
+    motif has a letter in, that letter as a distribution."""
+    from . import pwm
+
+    slots = pwm.to_slots(pwm.of_motifs(motifs, ["name", "spacer"]))
+    top = F.greatest(*[F.col(b) for b in pwm.ACGT])
+    first = F.array_position(F.array(*[F.col(b) == top for b in pwm.ACGT]), True)
+    y = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(i == first, 1.0).otherwise(0.0))
+    return features.join(slots.select("name", "slot", y.alias("y")), "name").select("name", "slot", "x", "y")
+
+
+def held_out_features(vectors_: DataFrame, projection: np.ndarray | None = None) -> DataFrame:
+    """(held, name, x) for each of the labelled vectors (name, vector) held out: all vectors less the mean of the others,
+    projected if a matrix (dimensions, components) is given, and divided by the others' mean norm."""
+    if vectors_.count() > LABELS:
+        raise ValueError(f"more than {LABELS} labelled rows")
+    each = long_form(vectors_, ["name"], "vector")
+    total = each.groupBy("dim").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    mean = each.join(total, "dim").select(F.col("name").alias("held"), "dim", ((F.col("s") - F.col("v")) / (F.col("n") - 1)).alias("m"))
+    centred = mean.join(each, "dim").select("held", "name", "dim", (F.col("v") - F.col("m")).alias("v"))
+    x = packed(centred, ["held", "name"]).withColumnRenamed("vector", "x")
+    if projection is not None:
+        columns = [F.array(*[F.lit(float(v)) for v in c]) for c in projection.T]
+        x = x.withColumn("x", F.array(*[S.dot(F.col("x"), c) for c in columns]))
+    x = x.withColumn("norm", F.sqrt(S.dot(F.col("x"), F.col("x"))))
+    scale = x.where("held <> name").groupBy("held").agg((F.avg("norm") + 1e-8).alias("scale"))
+    return x.join(scale, "held").select("held", "name", F.transform("x", lambda v: v / F.col("scale")).alias("x"))
+
+
+def lopo_head(vectors_: DataFrame, motifs: DataFrame, l2s: list[float], projection: np.ndarray | None = None, steps: int = 1500) -> DataFrame:
+    """(name, l2, n_variable, distance, skill): the matrix that heads trained on the other names predict for each name that
+    is held out, graded against its motif.
+
+    vectors_: (name, vector); motifs: (name, motif, spacer). Slots that no other name has are 0.25 throughout; the anchors
+    are the held motif's own."""
+    from . import pwm
+
+    spark = vectors_.sparkSession
+    features = held_out_features(vectors_, projection)
+    train = features.where("held <> name")
+    examples = build_examples(train.select("name", F.struct("held", "x").alias("x")), motifs).select(F.col("x.held").alias("fold"), "slot", F.col("x.x").alias("x"), "y")
+    grid = spark.createDataFrame([(float(v),) for v in l2s], "l2 double")
+    heads = train_heads(examples.crossJoin(F.broadcast(grid)).select("fold", "l2", "slot", "x", "y"), steps)
+    predicted = predict_heads(heads, features.where("held = name").select(F.col("held").alias("fold"), "x"))
+    cases = motifs.crossJoin(F.broadcast(grid)).withColumn("case", F.concat_ws("|", "name", "l2"))
+    full = pwm.of_motifs(cases, ["case", "name", "l2", "spacer"])
+    slots = predicted.select(F.concat_ws("|", "fold", "l2").alias("case"), "slot", *pwm.ACGT)
+    made = pwm.from_slots(slots, cases.select("case", "spacer", F.length("motif").alias("length")), full.select("case", "pos", *pwm.ACGT))
+    graded = pwm.evaluate(made, full.select("case", "pos", *pwm.ACGT), cases.select("case", "spacer"), ["case"])
+    return graded.join(cases.select("case", "name", "l2"), "case").select("name", "l2", "n_variable", "distance", "skill")
+
+
+def centred_neighbours(known: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, other, cosine): the known label (label, vector) nearest to each target (label, vector), all less the mean of
+    the known ones; ties to the larger name."""
+    k, t = long_form(known, ["label"], "vector"), long_form(targets, ["label"], "vector")
+    mean = k.groupBy("dim").agg(F.avg("v").alias("m"))
+    less = lambda df: packed(df.join(F.broadcast(mean), "dim").select("label", "dim", (F.col("v") - F.col("m")).alias("v")), ["label"])
+    found = nearest(less(t).select(F.concat(F.lit("t"), "label").alias("id"), "vector"), less(k).select(F.concat(F.lit("k"), "label").alias("id"), "vector"))
+    return found.select(F.substring("qid", 2, 1 << 20).alias("target"), F.substring("tid", 2, 1 << 20).alias("other"), "cosine")
+
+
 def pls(df: DataFrame, x: str, y: str, components: int = 12, iterations: int = 500, tol: float = 1e-9) -> dict:
     """Partial least squares of y on x, centred and not scaled, by deflation of cross-products.
 

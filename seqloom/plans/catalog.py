@@ -4,13 +4,16 @@ Thresholds are scaled to the tables' short sequences; the operators' own default
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import reference_values as V
 from ..functions import sequence as S
 from ..operators import align, discovery, hits, kmers, proteins, pwm, tree, vectors
-from ..sources import readers
+from ..sources import readers, writers
+from . import runs
 from . import tables as D
 
 K, T, MIN_LEN = 8, 200, 400
@@ -113,15 +116,8 @@ def kmer_count(spark, d):
     return kmers.count_kmers(long_dna(spark, d), K)
 
 
-@query(f"WITH {DNA} SELECT seq_id, seq[1:40] AS head, {rc('seq[1:40]')} AS reverse_complement FROM dna")
-def reverse_complements(spark, d):
-    h = F.substring("seq", 1, 40)
-    return D.dna(spark, d).select("seq_id", h.alias("head"), S.reverse_complement(h).alias("reverse_complement"))
-
-
 @query(f"WITH {DNA} SELECT seq_id, {rc('seq')} AS reverse_complement FROM dna")
-def reverse_complements_whole(spark, d):
-    """Of all letters; :func:`reverse_complements` shows the first 40."""
+def reverse_complements(spark, d):
     return D.dna(spark, d).select("seq_id", S.reverse_complement(F.col("seq")).alias("reverse_complement"))
 
 
@@ -296,7 +292,7 @@ def densest_window_or_none(spark, d):
 @query("SELECT user_id, first(event_type ORDER BY value DESC, event_id) AS event_type, first(v ORDER BY value DESC, event_id) FILTER (v IS NOT NULL) AS v FROM (SELECT *, CASE WHEN value < 50 THEN round(value, 3) END AS v FROM events) GROUP BY user_id")
 def groupby_first_nonnull(spark, d):
     e = D.table(spark, d, "events").withColumn("v", F.when(F.col("value") < 50, F.round("value", 3)))
-    return hits.first_non_null(e, ["user_id"], [F.desc("value"), "event_id"], ["event_type", "v"])
+    return hits.first_non_null(e, ["user_id"], [("value", True), ("event_id", False)], ["event_type", "v"])
 
 
 @query("SELECT doc_id, 'left' AS only_in FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)")
@@ -440,10 +436,16 @@ def pwm_skill(spark, d):
     return _scored(spark).select("src", "dst", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill"))
 
 
-@query(f"WITH {SKILL}, k AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY round(1 - dist / base, 9) DESC, src) AS r FROM g) SELECT dst AS \"case\", src AS name, round(1 - dist / base, 6) AS skill FROM k WHERE r = 1")
+MATCH = MATRIX + ", " + KCOL + """, fr AS (SELECT DISTINCT grp FROM pw), al AS (SELECT grp, name, spacer AS ss, len FROM fr, (SELECT DISTINCT name, spacer, len FROM kcol)),
+tr AS (SELECT al.grp, al.name, pw.pos, pw.a AS ta, pw.c AS tc, pw.g AS tg, pw.t AS tt, """ + ", ".join(f"coalesce(k.{b}, 0.25) AS {b}" for b in "acgt") + """ FROM al JOIN pw ON pw.grp = al.grp LEFT JOIN kcol k ON k.name = al.name AND k.pos = CASE WHEN pw.pos < 4 THEN pw.pos WHEN pw.pos - 2 + ss >= 4 AND pw.pos - 2 + ss < al.len THEN pw.pos - 2 + ss END),
+sk AS (SELECT grp, name, 1 - avg(sqrt(""" + " + ".join(f"({b} - t{b})^2" for b in "acgt") + """)) / avg(sqrt(""" + " + ".join(f"(0.25 - t{b})^2" for b in "acgt") + """)) AS skill FROM tr WHERE NOT (pos < 4 OR pos IN (6, 7)) GROUP BY ALL)"""
+
+
+@query(f"WITH {MATCH}, k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY skill DESC, name) AS r FROM sk) SELECT grp AS \"case\", name, round(skill, 6) AS skill FROM k WHERE r = 1")
 def best_match(spark, d):
-    rank = F.row_number().over(W.partitionBy("dst").orderBy(F.desc(F.round("skill", 9)), "src"))
-    return _scored(spark).withColumn("r", rank).where("r = 1").select(F.col("dst").alias("case"), F.col("src").alias("name"), r6(F.col("skill")).alias("skill"))
+    """Each source's matrix of anchored windows against the known motifs, in a frame of spacer 2."""
+    m = pwm.from_windows(anchored(spark, d), ["grp"]).select(F.col("grp").alias("case"), F.lit(2).alias("spacer"), "pos", *"acgt")
+    return pwm.best_match(m, D.motifs(spark)).withColumn("skill", r6(F.col("skill")))
 
 
 @query(f"WITH {KCOL} SELECT name, count(*) AS n_variable, round(avg(sqrt(" + " + ".join(f"(0.25 - {b})^2" for b in "acgt") + ")), 6) AS distance, 0.0::DOUBLE AS skill FROM kcol WHERE NOT (pos < 4 OR pos IN (spacer + 4, spacer + 5)) GROUP BY name")
@@ -533,10 +535,14 @@ def embedding_dim(spark, d):
     return embeddings(spark, d).select("vec_id", F.size("embedding").alias("dim"), S.finite(F.col("embedding")).alias("finite"))
 
 
-@query(f"WITH {EMB} SELECT vec_id, [round(list_avg(list_transform(range(1, 5), lambda i: v[i + 8 * j])), 6) for j in [0, 1, 2]] AS pooled FROM e")
+@query(f"WITH {EMB}, r AS (SELECT vec_id, list_transform(range(0, 16), lambda i: v[i * 4 + 1 : i * 4 + 4]) AS rows FROM e) SELECT vec_id, list_transform(range(1, 5), lambda j: round((rows[3][j] + rows[4][j] + rows[5][j] + rows[6][j] + rows[7][j]) / 5, 6)) AS pooled, list_transform(range(1, 5), lambda j: round(list_avg(list_transform(rows, lambda x: x[j])), 6)) AS whole FROM r")
 def region_pooling(spark, d):
-    e = embeddings(spark, d).select("vec_id", F.array(*[F.slice("embedding", 1 + 8 * j, 4) for j in range(3)]).alias("r"))
-    return e.select("vec_id", F.transform("r", lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v.cast("double")) / 4, 6)).alias("pooled"))
+    """Vectors as 16 residues of 4 values each: the mean over residues 2 to 6, and over all."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
+    e = embeddings(spark, d).select("vec_id", rows.alias("rows"), F.lit(2).alias("start"), F.lit(7).alias("stop"))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    part = vectors.pool(e, "rows", "start", "stop").withColumnRenamed("pooled", "part")
+    return vectors.pool(part, "rows").select("vec_id", rounded("part").alias("pooled"), rounded("pooled").alias("whole"))
 
 
 @query()
@@ -546,59 +552,98 @@ def pls_projection(spark, d):
     return spark.createDataFrame([(int(m["n"]), round(m["r2"], 6), m["rotations"].shape[1])], "n long, r2 double, components int")
 
 
+def _four(spark, d):
+    """The centroids of four groups of labels under the names of the known motifs."""
+    name = F.element_at(F.array(*[F.lit(n) for n in V.KNOWN_MOTIFS]), (F.col("label") % 4 + 1).cast("int"))
+    return vectors.packed(vectors.centroids(embeddings(spark, d).withColumn("name", name), "name", "embedding"), ["name"])
+
+
+L2S = [0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0]
+
+
 @query()
 def head_leave_one_out(spark, d):
-    e = embeddings(spark, d)
-    c = vectors.packed(vectors.centroids(e, "label", "embedding"), ["label"]).withColumn("vector", F.slice("vector", 1, 8))
-    folds = c.select(F.col("label").cast("string").alias("fold"), F.col("vector").alias("x"))
-    y = F.array(*[F.when(F.col("label") % 4 == i, 1.0).otherwise(0.0) for i in range(4)])
-    train = folds.select("fold").join(c.select("label", F.col("vector").alias("x"), y.alias("y")), F.col("fold") != F.col("label").cast("string"))
-    grid = spark.createDataFrame([(0.1,), (1.0,), (10.0,)], "l2 double")
-    heads = vectors.train_heads(train.crossJoin(F.broadcast(grid)).withColumn("slot", F.lit(0)).select("fold", "l2", "slot", "x", "y"), 300)
-    return vectors.predict_heads(heads, folds).select("fold", "l2", *[r6(F.col(b)).alias(b) for b in "acgt"])
+    """Both settings: whole vectors, and projected by least squares on the labels."""
+    e = embeddings(spark, d).select("embedding", F.array(*[(F.col("label") == i).cast("double") for i in range(4)]).alias("y"))
+    four, m = _four(spark, d), D.motifs(spark)
+    runs = [("whole", None), ("projected", vectors.pls(e, "embedding", "y", 4)["rotations"])]
+    out = [vectors.lopo_head(four, m, L2S, p).select(F.lit(n).alias("setting"), "name", "l2", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill")) for n, p in runs]
+    return out[0].unionByName(out[1])
 
 
-# --- sheets ------------------------------------------------------------------------------------------------------
+FOURS = EMB + ", nm AS (SELECT ['" + "', '".join(V.KNOWN_MOTIFS) + "'][label % 4 + 1] AS name, vec_id, v FROM e), nx AS (SELECT name, unnest(range(0, len(v))) AS dim, unnest(v) AS v FROM nm), cn AS (SELECT name, dim, avg(v) AS v FROM nx GROUP BY ALL)"
 
-ANCHORED_NAMES = ", ".join(x.split()[0] for x in D.ANCHORED.split(", "))
-PARA = f"para AS (SELECT * FROM {values(list(V.CHROMOSOME_PARALOG.items()), 'chromosome, paralog')})"
 
+@query(f"WITH {FOURS}, s AS (SELECT dim, sum(v) AS s, count(*) AS n FROM cn GROUP BY dim), m AS (SELECT c.name AS held, c.dim, (s - v) / (n - 1) AS m FROM cn c JOIN s ON c.dim = s.dim), x AS (SELECT held, c.name, c.dim, c.v - m AS v FROM m JOIN cn c ON m.dim = c.dim), z AS (SELECT held, avg(norm) + 1e-8 AS scale FROM (SELECT held, name, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL) WHERE held <> name GROUP BY held) SELECT x.held, x.name, CAST(dim AS INTEGER) AS dim, round(v / scale, 6) AS v FROM x JOIN z ON x.held = z.held")
+def held_out_features(spark, d):
+    f = vectors.held_out_features(_four(spark, d))
+    return f.select("held", "name", F.posexplode("x").alias("dim", "v")).withColumn("v", r6(F.col("v")))
 
-@query(f"WITH {PARA}, q AS (SELECT * FROM {values(D.QX1410, ANCHORED_NAMES)}), a AS (SELECT * FROM {values(D.AF16, ANCHORED_NAMES)}), j AS (SELECT q.*, paralog, ({hamming_sql('q.discovered_motif', 'a.discovered_motif', 12)}) <= 2 AS again, q.downstream_bits >= 6 AND coalesce(q.period_bp BETWEEN 20 AND 3000, false) AS def, q.dist_from_end_kb <= 1500 AS near FROM q JOIN a USING (chromosome) JOIN para USING (chromosome)) SELECT chromosome, 'Cbr-' || paralog AS binds_protein, discovered_motif AS motif, again AS \"reproduced_on_AF16\", spacer, cluster_pos_Mb::DOUBLE AS \"cluster_Mb\", copies, period_bp, downstream_bits::DOUBLE AS downstream_bits, ce_paralog AS motif_similar_to, ce_match_skill::DOUBLE AS similarity_skill, ce_paralog = paralog AS assignment_agrees, CASE WHEN def AND again AND near THEN 'HIGH' WHEN def AND (again OR near) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM j")
-def reconcile_runs(spark, d):
-    return discovery.reconcile(spark.createDataFrame(D.QX1410, D.ANCHORED), spark.createDataFrame(D.AF16, D.ANCHORED), D.paralogs(spark))
 
+@query(f"WITH {KCOL} SELECT name, CAST({SLOT} AS INTEGER) AS slot, CASE WHEN a > 0.5 THEN 'A' WHEN c > 0.5 THEN 'C' WHEN g > 0.5 THEN 'G' ELSE 'T' END AS letter FROM kcol WHERE {SLOT} IS NOT NULL")
+def slot_examples(spark, d):
+    m = D.motifs(spark)
+    e = vectors.build_examples(m.select("name", F.lit(0).alias("x")), m)
+    return e.select("name", "slot", F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), F.array_position("y", 1.0).cast("int")).alias("letter"))
 
-@query(f"WITH a AS (SELECT * FROM {values(D.QX1410, ANCHORED_NAMES)}) SELECT chromosome, CASE WHEN downstream_bits >= 6 AND period_bp BETWEEN 20 AND 3000 AND dist_from_end_kb <= 1500 AND chrom_specificity >= 0.3 THEN 'HIGH' WHEN downstream_bits >= 3.5 AND period_bp BETWEEN 20 AND 3000 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM a")
-def confidence_tiers(spark, d):
-    a = spark.createDataFrame(D.QX1410, D.ANCHORED)
-    return a.select("chromosome", S.confidence(F.col("downstream_bits"), F.col("period_bp"), F.col("dist_from_end_kb"), F.col("chrom_specificity") >= 0.3).alias("confidence"))
 
+@query(f"WITH {EMB}, k AS (SELECT label, vec_id % 2 AS half, unnest(range(0, len(v))) AS dim, unnest(v) AS v FROM e), c AS (SELECT label, half, dim, avg(v) AS v FROM k GROUP BY ALL), m AS (SELECT dim, avg(v) AS m FROM c WHERE half = 0 GROUP BY dim), l AS (SELECT label, half, list(v - m ORDER BY c.dim) AS v FROM c JOIN m ON c.dim = m.dim GROUP BY ALL), p AS (SELECT a.label AS target, b.label AS other, list_cosine_similarity(a.v, b.v) AS c FROM l a, l b WHERE a.half = 1 AND b.half = 0), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY c DESC, CAST(other AS VARCHAR) DESC) AS r FROM p) SELECT CAST(target AS VARCHAR) AS target, CAST(other AS VARCHAR) AS other, round(c, 6) AS cosine FROM r WHERE r = 1")
+def predicted_by_nearest(spark, d):
+    """The labels of one half of the vectors by those of the other, less the mean of the known ones."""
+    half = lambda i: vectors.packed(vectors.centroids(embeddings(spark, d).where(F.col("vec_id") % 2 == i), "label", "embedding"), ["label"]).withColumn("label", F.col("label").cast("string"))
+    return vectors.centred_neighbours(half(0), half(1)).withColumn("cosine", r6(F.col("cosine")))
 
-def _free(spark, rows):
-    return spark.createDataFrame(rows, D.FREE)
 
+@query(f"WITH {CENT}, j AS (SELECT e.label, unnest(range(0, len(v))) AS dim, unnest(v) AS t FROM e), q AS (SELECT j.dim, sum((t - c.v)^2) AS sse, sum(t * t) - sum(t) * sum(t) / count(*) AS sst FROM j JOIN cen c ON j.label = c.label AND j.dim = c.dim GROUP BY ALL) SELECT round(1 - sum(sse) / sum(sst), 6) AS r2 FROM q")
+def r_squared(spark, d):
+    """Of the vectors by their labels' centroids."""
+    c = vectors.packed(vectors.centroids(embeddings(spark, d), "label", "embedding"), ["label"])
+    j = embeddings(spark, d).select("label", F.col("embedding").cast("array<double>").alias("truth")).join(c, "label")
+    return vectors.r_squared(j, "truth", "vector").select(r6(F.col("r2")).alias("r2"))
 
-FREE_NAMES = "chromosome, discovered_motif, chrom_specificity, \"recovered_TTGG\""
-ADVICE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ANCHOR_ADVICE.items()) + " END"
 
+@query(f"WITH {DNA} SELECT seq_id, [length(seq) * 1.0::DOUBLE, (length(seq) - length(replace(seq, 'A', ''))) * 1.0::DOUBLE] AS vector FROM dna WHERE length(seq) >= 40 AND seq_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def embedded_pending(spark, d):
+    """A stand-in for a model: length and number of A; those of one label are in the cache."""
+    cached = D.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("seq_id"))
+    return vectors.embed_pending(D.dna(spark, d), cached, "seq_id", lambda seqs: [(len(s), s.count("A")) for s in seqs])
 
-@query(f"WITH {PARA}, q AS (SELECT * FROM {values(D.QX1410, ANCHORED_NAMES)}), f AS (SELECT * FROM {values(D.FREE_QX1410, FREE_NAMES)}), k AS (SELECT * FROM {values(D.CONSERVATION, 'paralog, cons')}), j AS (SELECT chromosome, paralog, cons::DOUBLE AS cons, CASE WHEN cons >= 0.6 THEN 'CONSERVED' WHEN cons < 0.4 THEN 'DIVERGED' ELSE 'INTERMEDIATE' END AS status FROM para JOIN k USING (paralog)) SELECT j.chromosome, 'Cbr-' || j.paralog AS paralog, cons AS recognition_conservation, status AS anchor_status, q.discovered_motif AS anchored_motif, q.ce_match_skill::DOUBLE AS anchored_skill, q.confidence AS anchored_confidence, f.discovered_motif AS anchorfree_motif, f.chrom_specificity::DOUBLE AS anchorfree_specificity, f.\"recovered_TTGG\" AS \"anchorfree_has_TTGG\", {ADVICE} AS recommendation FROM j LEFT JOIN q ON j.chromosome = q.chromosome LEFT JOIN f ON j.chromosome = f.chromosome")
-def anchored_sheet(spark, d):
-    return discovery.anchor_sheet(D.paralogs(spark), spark.createDataFrame(D.CONSERVATION, "paralog string, recognition_conservation double"), spark.createDataFrame(D.QX1410, D.ANCHORED), _free(spark, D.FREE_QX1410))
 
+# --- sheets ------------------------------------------------------------------------------------------------------
+
+@query(f"WITH {D.PARALOGS_SQL}, {D.anchored_sql('q', 0)}, {D.anchored_sql('a', 1)}, j AS (SELECT q.*, paralog, ({hamming_sql('q.discovered_motif', 'a.discovered_motif', 12)}) <= 2 AS again, q.downstream_bits >= 6 AND coalesce(q.period_bp <> 0 AND q.period_bp BETWEEN 20 AND 3000, false) AS def, q.dist_from_end_kb <= 1500 AS near FROM q JOIN a USING (chromosome) JOIN para USING (chromosome)) SELECT chromosome, 'Cbr-' || paralog AS binds_protein, discovered_motif AS motif, again AS \"reproduced_on_AF16\", spacer, \"cluster_pos_Mb\" AS \"cluster_Mb\", copies, period_bp, downstream_bits, ce_paralog AS motif_similar_to, ce_match_skill AS similarity_skill, ce_paralog = paralog AS assignment_agrees, CASE WHEN def AND again AND near THEN 'HIGH' WHEN def AND (again OR near) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM j")
+def reconcile_runs(spark, d):
+    return discovery.reconcile(D.anchored_run(spark, d, 0), D.anchored_run(spark, d, 1), D.paralogs(spark, d))
+
+
+@query(f"WITH {D.anchored_sql('q', 0)} SELECT chromosome, confidence FROM q")
+def confidence_tiers(spark, d):
+    return D.anchored_run(spark, d, 0).select("chromosome", "confidence")
 
-@query(f"WITH {PARA}, f AS (SELECT * FROM {values(D.FREE_CREM, FREE_NAMES)}), t AS (SELECT * FROM {values(D.TTGG_CREM, 'chromosome, ttgg_motif, spec, closest, skill')}) SELECT para.chromosome, f.discovered_motif AS \"ANCHOR_FREE_motif\", f.chrom_specificity::DOUBLE AS \"ANCHOR_FREE_specificity\", f.\"recovered_TTGG\" AS \"ANCHOR_FREE_has_TTGG\", ttgg_motif AS \"TTGG_motif\", spec::DOUBLE AS \"TTGG_specificity\", closest AS \"TTGG_closest_paralog\", skill::DOUBLE AS \"TTGG_match_skill\" FROM para LEFT JOIN f ON para.chromosome = f.chromosome LEFT JOIN t ON para.chromosome = t.chromosome")
-def drift_sheet(spark, d):
-    return discovery.compare_runs(D.paralogs(spark), _free(spark, D.FREE_CREM), spark.createDataFrame(D.TTGG_CREM, D.TTGG))
 
+KEPT = "k AS (SELECT name AS paralog, round(avg(share), 2) AS cons FROM (SELECT p.paralog AS name, s_nationkey / 24.0::DOUBLE AS share FROM supplier JOIN para p ON p.chromosome = concat('C', s_suppkey)) GROUP BY name)"
+ADVICE = "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in discovery.ADVICE.items()) + " END"
 
-CONV = [(q[9], V.CHROMOSOME_PARALOG[q[0]]) for q in D.QX1410]
 
+@query(f"WITH {D.PARALOGS_SQL}, {D.anchored_sql('q', 0)}, {D.FREE_SQL}, {KEPT}, j AS (SELECT chromosome, paralog, cons, CASE WHEN cons >= 0.6 THEN 'CONSERVED' WHEN cons < 0.4 THEN 'DIVERGED' ELSE 'INTERMEDIATE' END AS status FROM para JOIN k USING (paralog)) SELECT j.chromosome, 'Cbr-' || j.paralog AS paralog, cons AS recognition_conservation, status AS anchor_status, q.discovered_motif AS anchored_motif, q.ce_match_skill AS anchored_skill, q.confidence AS anchored_confidence, f.discovered_motif AS anchorfree_motif, f.chrom_specificity AS anchorfree_specificity, f.\"recovered_TTGG\" AS \"anchorfree_has_TTGG\", {ADVICE} AS recommendation FROM j LEFT JOIN q ON j.chromosome = q.chromosome LEFT JOIN f ON j.chromosome = f.chromosome")
+def anchored_sheet(spark, d):
+    para = D.paralogs(spark, d)
+    share = D.table(spark, d, "supplier").select(F.concat(F.lit("C"), "s_suppkey").alias("chromosome"), (F.col("s_nationkey") / 24.0).alias("share"))
+    kept = para.join(share, "chromosome").groupBy("paralog").agg(F.round(F.avg("share"), 2).alias("recognition_conservation"))
+    return discovery.anchor_sheet(para, kept, D.anchored_run(spark, d, 0), D.free_run(spark, d))
+
+
+@query(f"WITH {D.PARALOGS_SQL}, {D.FREE_SQL}, {D.anchored_sql('t', 1)} SELECT para.chromosome, f.discovered_motif AS \"ANCHOR_FREE_motif\", f.chrom_specificity AS \"ANCHOR_FREE_specificity\", f.\"recovered_TTGG\" AS \"ANCHOR_FREE_has_TTGG\", t.discovered_motif AS \"TTGG_motif\", t.chrom_specificity AS \"TTGG_specificity\", ce_paralog AS \"TTGG_closest_paralog\", ce_match_skill AS \"TTGG_match_skill\" FROM para LEFT JOIN f ON para.chromosome = f.chromosome LEFT JOIN t ON para.chromosome = t.chromosome")
+def drift_sheet(spark, d):
+    t = D.anchored_run(spark, d, 1).select("chromosome", F.col("discovered_motif").alias("ttgg_motif"), "chrom_specificity", F.col("ce_paralog").alias("closest_ce_paralog"), F.col("ce_match_skill").alias("ce_skill"))
+    return discovery.compare_runs(D.paralogs(spark, d), D.free_run(spark, d), t)
 
-@query(f"WITH p AS (SELECT row_number() OVER () - 1 AS i, * FROM {values(CONV, 'predicted, expected')}), x AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e, f.i AS f FROM p a, p b, p c, p d, p e, p f WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i, f.i])) = 6), l AS (SELECT list(predicted ORDER BY i) AS p, list(expected ORDER BY i) AS e FROM p), m AS (SELECT (p[1] = l.e[x.a + 1])::INT + (p[2] = l.e[x.b + 1])::INT + (p[3] = l.e[x.c + 1])::INT + (p[4] = l.e[x.d + 1])::INT + (p[5] = l.e[x.e + 1])::INT + (p[6] = l.e[x.f + 1])::INT AS m FROM x, l) SELECT 6::BIGINT AS n, (SELECT count(*) FROM p WHERE predicted = expected) AS matches, round(avg(m), 6) AS mean_null, round(avg((m >= (SELECT count(*) FROM p WHERE predicted = expected))::INT), 6) AS p_value FROM m")
+
+@query(f"WITH {D.PARALOGS_SQL}, {D.anchored_sql('q', 0)}, p AS (SELECT row_number() OVER (ORDER BY copies DESC, chromosome) - 1 AS i, ce_paralog AS predicted, paralog AS expected FROM q JOIN para USING (chromosome) ORDER BY copies DESC, chromosome LIMIT 6), x AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e, f.i AS f FROM p a, p b, p c, p d, p e, p f WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i, f.i])) = 6), l AS (SELECT list(predicted ORDER BY i) AS p, list(expected ORDER BY i) AS e FROM p), m AS (SELECT (p[1] = l.e[x.a + 1])::INT + (p[2] = l.e[x.b + 1])::INT + (p[3] = l.e[x.c + 1])::INT + (p[4] = l.e[x.d + 1])::INT + (p[5] = l.e[x.e + 1])::INT + (p[6] = l.e[x.f + 1])::INT AS m FROM x, l) SELECT 6::BIGINT AS n, (SELECT count(*) FROM p WHERE predicted = expected) AS matches, round(avg(m), 6) AS mean_null, round(avg((m >= (SELECT count(*) FROM p WHERE predicted = expected))::INT), 6) AS p_value FROM m")
 def permutation_null(spark, d):
-    r = discovery.permutation_null(spark.createDataFrame(CONV, "predicted string, expected string"))
+    """Of the six chromosomes with most copies: as many as the test enumerates."""
+    p = D.anchored_run(spark, d, 0).join(D.paralogs(spark, d), "chromosome").orderBy(F.desc("copies"), "chromosome").limit(6)
+    r = discovery.permutation_null(p.select(F.col("ce_paralog").alias("predicted"), F.col("paralog").alias("expected")))
     return r.select("n", "matches", r6(F.col("mean_null")).alias("mean_null"), r6(F.col("p_value")).alias("p_value"))
 
 
@@ -638,9 +683,9 @@ def fetch_pending(spark, d):
     return readers.pending(o, D.table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").alias("k")), "k")
 
 
-@query(f"WITH {EMB}, x AS (SELECT vec_id, v[1:4] AS z FROM e), y AS (SELECT vec_id, list_transform(z, lambda a: exp(a - list_max(z))) AS w FROM x) SELECT vec_id, list_transform(w, lambda a: round(a / list_sum(w), 6)) AS p FROM y")
+@query(f"WITH {EMB}, x AS (SELECT vec_id, v AS z FROM e), y AS (SELECT vec_id, list_transform(z, lambda a: exp(a - list_max(z))) AS w FROM x) SELECT vec_id, list_transform(w, lambda a: round(a / list_sum(w), 6)) AS p FROM y")
 def softmax_rows(spark, d):
-    z = F.transform(F.slice("embedding", 1, 4), lambda a: a.cast("double"))
+    z = F.transform("embedding", lambda a: a.cast("double"))
     return embeddings(spark, d).select("vec_id", F.transform(S.softmax(z), lambda a: F.round(a, 6)).alias("p"))
 
 
@@ -655,20 +700,16 @@ def daily_histogram(spark, d):
     return all_.join(hits.density(c.select("p"), [], "p", 1440), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-CAND_NAMES = "chromosome, end_, candidate_motif, spacer, fold_enrichment, chrom_specificity, median_spacing_bp, best_ce_paralog, convergent, low_complexity, tandem"
-
-
-@query(f"WITH c AS (SELECT *, fold_enrichment * chrom_specificity * CASE WHEN tandem THEN 1.0 ELSE 0.4 END AS score FROM {values(D.CANDIDATES, CAND_NAMES)} WHERE NOT low_complexity) SELECT chromosome, first(candidate_motif ORDER BY score DESC, end_) AS candidate_motif, first(median_spacing_bp ORDER BY score DESC, end_) FILTER (median_spacing_bp IS NOT NULL) AS median_spacing_bp, first(best_ce_paralog ORDER BY score DESC, end_) AS best_ce_paralog, first(convergent ORDER BY score DESC, end_) AS convergent, round(max(score), 6)::DOUBLE AS score FROM c GROUP BY chromosome")
+@query(f"WITH {D.CANDIDATES_SQL}, c AS (SELECT *, fold_enrichment * chrom_specificity * CASE WHEN tandem THEN 1.0 ELSE 0.4 END AS score FROM cand WHERE NOT low_complexity) SELECT chromosome, first(candidate_motif ORDER BY score DESC, end_) AS candidate_motif, first(median_spacing_bp ORDER BY score DESC, end_) FILTER (median_spacing_bp IS NOT NULL) AS median_spacing_bp, first(best_ce_paralog ORDER BY score DESC, end_) AS best_ce_paralog, first(convergent ORDER BY score DESC, end_) AS convergent, round(max(score), 6)::DOUBLE AS score FROM c GROUP BY chromosome")
 def best_candidates(spark, d):
-    b = discovery.best_candidates(spark.createDataFrame(D.CANDIDATES, D.CANDIDATE))
-    return b.select("chromosome", "candidate_motif", "median_spacing_bp", "best_ce_paralog", "convergent", r6(F.col("score")).alias("score"))
+    return discovery.best_candidates(D.candidates(spark, d)).select("chromosome", "candidate_motif", "median_spacing_bp", "best_ce_paralog", "convergent", r6(F.col("score")).alias("score"))
 
 
-@query(f"WITH u AS (SELECT chromosome, discovered_motif AS motif, 'anchored' AS run, ce_match_skill::DOUBLE AS skill FROM {values(D.QX1410, ANCHORED_NAMES)} UNION ALL SELECT chromosome, discovered_motif, 'free', NULL FROM {values(D.FREE_QX1410, FREE_NAMES)}) SELECT * FROM u")
+@query(f"WITH {D.anchored_sql('q', 0)}, {D.FREE_SQL}, u AS (SELECT chromosome, discovered_motif AS motif, 'anchored' AS run, ce_match_skill AS skill FROM q UNION ALL SELECT chromosome, discovered_motif, 'free', NULL FROM f) SELECT * FROM u")
 def stacked_sheets(spark, d):
     """Runs of different columns, one below the other."""
-    a = spark.createDataFrame(D.QX1410, D.ANCHORED).select("chromosome", F.col("discovered_motif").alias("motif"), F.lit("anchored").alias("run"), F.col("ce_match_skill").alias("skill"))
-    f = _free(spark, D.FREE_QX1410).select("chromosome", F.col("discovered_motif").alias("motif"), F.lit("free").alias("run"))
+    a = D.anchored_run(spark, d, 0).select("chromosome", F.col("discovered_motif").alias("motif"), F.lit("anchored").alias("run"), F.col("ce_match_skill").alias("skill"))
+    f = D.free_run(spark, d).select("chromosome", F.col("discovered_motif").alias("motif"), F.lit("free").alias("run"))
     return a.unionByName(f, allowMissingColumns=True)
 
 
@@ -697,7 +738,7 @@ def pairwise_identity(spark, d):
 @query()
 def gene_tree(spark, d):
     m = pwm.consensus(pwm.from_windows(anchored(spark, d), ["grp"]), ["grp"])
-    return tree.gene_tree(spark, m.select(F.col("grp").alias("name"), F.col("consensus").alias("aligned")), 50)
+    return tree.gene_tree(spark, m.select(F.col("grp").alias("name"), F.col("consensus").alias("aligned")))
 
 
 @query()
@@ -709,21 +750,225 @@ def anchored_discovery(spark, d):
     return discovery.best_end(discovery.refine_anchored(w, seeds))
 
 
+FREE_WIDTH, FREE_STEP = 100, 10
+
+
 @query()
 def anchor_free_discovery(spark, d):
+    """Candidates of both ends, the densest window of each one's exact hits, the most specific that has a window, refined
+    from there."""
     seqs = long_dna(spark, d)
-    ends = kmers.specificity(kmers.end_counts(seqs, K, T))
-    cand = kmers.enriched_vs_interior(kmers.end_counts(seqs, K, T), kmers.interior_counts(seqs, K, T), 10, 3).join(ends.drop("n"), ["grp", "kmer"])
-    seeds = discovery.select_specific(cand, cand.select("grp", "kmer")).select("grp", F.col("kmer").alias("seed"), F.lit(0).alias("start"))
-    w = kmers.windows(seqs, K).select("grp", "pos", (F.col("length") - K).alias("last"), F.col("kmer").alias("window"))
     spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_checkpoints(spark))
-    return discovery.refine_free(w, seeds, K, 1)
+    ends = kmers.end_counts(seqs, K, T).checkpoint()
+    cand = kmers.enriched_vs_interior(ends, kmers.interior_counts(seqs, K, T), 60, 3).join(kmers.specificity(ends).drop("n"), ["grp", "kmer"]).checkpoint()
+    located = discovery.located(seqs, cand, K, T, FREE_WIDTH, FREE_STEP)
+    seeds = discovery.select_specific(cand, located).select("grp", F.col("kmer").alias("seed"), F.col("w0").alias("start"))
+    w = kmers.windows(seqs, K).select("grp", "pos", (F.col("length") - K).alias("last"), F.col("kmer").alias("window"))
+    return discovery.refine_free(w, seeds, K, 1, width=FREE_WIDTH)
 
 
-def _checkpoints(spark):
-    import tempfile
+@query(f"WITH {INNER}, x AS (SELECT te.grp, te.kmer, te.n, (te.n / sum(te.n) OVER (PARTITION BY te.grp)) AS share FROM te), mt AS (SELECT grp, sum(n) AS tot FROM mid GROUP BY grp), y AS (SELECT x.grp, x.kmer, x.n, share / ((coalesce(mid.n, 0) + 1) / greatest(coalesce(mt.tot, 1), 1)) AS enrichment FROM x LEFT JOIN mid ON x.grp = mid.grp AND x.kmer = mid.kmer LEFT JOIN mt ON x.grp = mt.grp WHERE x.n >= 3 AND NOT {low_sql('x.kmer')}), z AS (SELECT grp, kmer FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(enrichment, 9) DESC, kmer DESC) AS rank FROM y) WHERE rank <= 60), "
+       f"h AS (SELECT c.grp, c.kmer, CASE WHEN pos + {K} <= {T} THEN 'left' ELSE 'right' END AS e, CASE WHEN pos + {K} <= {T} THEN pos ELSE pos - length + {T} END AS pos FROM c JOIN z ON c.grp = z.grp AND c.kmer = z.kmer WHERE length >= {2 * T} AND (pos + {K} <= {T} OR pos >= length - {T})), "
+       f"m AS (SELECT grp, kmer, e, min(pos) AS mn, max(pos) AS mx FROM h GROUP BY ALL HAVING count(*) >= 5), j AS (SELECT *, unnest(range(0, greatest((mx - mn - {FREE_WIDTH}) // {FREE_STEP} + 1, 0))) AS j FROM m), n AS (SELECT j.grp, j.kmer, j.e, mn + j * {FREE_STEP} AS w0, count(*) AS n FROM j JOIN h ON j.grp = h.grp AND j.kmer = h.kmer AND j.e = h.e AND pos >= mn + j * {FREE_STEP} AND pos < mn + j * {FREE_STEP} + {FREE_WIDTH} WHERE mn + j * {FREE_STEP} <= mx - {FREE_WIDTH} GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY grp, kmer ORDER BY n DESC, e, w0) AS r FROM n) SELECT grp, kmer, e AS \"end\", w0, n FROM b WHERE r = 1")
+def located_candidates(spark, d):
+    """The densest window of each candidate's hits, within the end that has it."""
+    seqs = long_dna(spark, d)
+    e = kmers.enriched_vs_interior(kmers.end_counts(seqs, K, T), kmers.interior_counts(seqs, K, T), 1 << 30, 3)
+    cand = kmers.top_per_group(e.drop("rank").withColumn("enrichment", F.round("enrichment", 9)), ["grp"], [F.desc("enrichment"), F.desc("kmer")], 60)
+    return discovery.located(seqs, cand, K, T, FREE_WIDTH, FREE_STEP)
+
+
+@query(f"WITH {SCAN}, {ENRICH.removeprefix(LONG + ', ').replace('WITH ', '')}, st AS (SELECT grp, count(*) AS sequences, sum(length(seq)) AS letters FROM lng GROUP BY grp), hh AS (SELECT grp, count(*) AS hits FROM h GROUP BY grp), tk AS (SELECT grp, kmer, row_number() OVER (PARTITION BY grp ORDER BY round(fold, 9) DESC, kmer, \"end\") AS r FROM e WHERE terminal_count >= 5) SELECT st.grp, sequences, CAST(letters AS BIGINT) AS letters, coalesce(hits, 0) AS hits, tk.kmer AS top_kmer FROM st LEFT JOIN hh ON st.grp = hh.grp LEFT JOIN tk ON st.grp = tk.grp AND r = 1")
+def exploration_run(spark, d):
+    """One sheet of a whole run: sizes, motif hits and the most enriched k-mer of each source."""
+    return runs.explore(D.dna(spark, d), spark.createDataFrame(PATTERNS, "name string, motif string"), K, T, 5, MIN_LEN)
+
+
+# --- files -------------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark, name):
+    """A folder of its own below the shared one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _checkpoints(spark)
+    return f"{root.rstrip('/')}/seqloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="seqloom-")
+
+def _bases(text, n):
+    return F.substring(F.translate(F.md5(text.cast("string").cast("binary")), "0123456789abcdef", "ACGT" * 4), 1, n)
+
+
+def _bases_sql(text, n):
+    return f"substring(translate(md5(CAST({text} AS VARCHAR)), '0123456789abcdef', '{'ACGT' * 4}'), 1, {n})"
+
+
+@query(f"SELECT concat('P', c_custkey) AS seq_id, {_bases_sql('c_custkey', 30)} AS seq, concat('P', c_custkey, ' gene=G', c_nationkey) AS header, CAST(c_nationkey AS VARCHAR) AS nation FROM (SELECT *, c_nationkey AS k FROM customer)")
+def fasta_round_trip(spark, d):
+    """Written as FASTA, read as records, headers and fields."""
+    to = _scratch(spark, "fasta")
+    c = D.table(spark, d, "customer")
+    writers.write_fasta(c.select(F.concat(F.lit("P"), "c_custkey", F.lit(" gene=G"), "c_nationkey").alias("seq_id"), _bases(F.col("c_custkey"), 30).alias("seq")), to)
+    f = readers.read_header_fields(spark, to).select("seq_id", F.substring(F.col("fields")["gene"], 2, 20).alias("nation"))
+    return readers.read_fasta(spark, to).select("seq_id", "seq").join(readers.read_fasta_headers(spark, to), "seq_id").join(f, "seq_id")
+
+
+@query("SELECT concat('WBGene', p_partkey) AS gene, 'I' AS chrom, p_partkey AS \"start\", p_partkey + 10 AS \"end\", '+' AS strand, concat('loc-', p_size) AS locus, concat('s', p_partkey) AS seqname FROM part")
+def gff_round_trip(spark, d):
+    """Written as GFF3 lines with comments, read as typed columns, the genes' places taken."""
+    to = _scratch(spark, "gff")
+    p = D.table(spark, d, "part")
+    line = lambda kind: F.concat_ws("\t", F.lit("I"), F.lit("x"), F.lit(kind), "p_partkey", F.col("p_partkey") + 10, F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=Gene:WBGene"), "p_partkey", F.lit(";locus=loc-"), "p_size", F.lit(";sequence_name=s"), "p_partkey"))
+    lines = p.select(F.explode(F.array(line("gene"), line("mRNA"), F.lit("# note"))).alias("value"))
+    lines.write.text(to)
+    return align.gene_coordinates(readers.read_gff(spark, to), "start").select("gene", "chrom", "start", "end", "strand", "locus", "seqname")
+
+
+@query(f"SELECT CAST(s_suppkey % 5 AS INTEGER) AS \"offset\", {_bases_sql('s_suppkey', 12)} AS oligo, count(*) AS n, CAST(sum(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM supplier GROUP BY ALL")
+def oligo_round_trip(spark, d):
+    """Aligned lines of oligos, some with a second run of bases."""
+    to = _scratch(spark, "oligos")
+    s = D.table(spark, d, "supplier")
+    s.select(F.concat(F.repeat(F.lit(" "), (F.col("s_suppkey") % 5).cast("int")), _bases(F.col("s_suppkey"), 12), F.when(F.col("s_suppkey") % 3 == 0, F.lit(" 12 acgt")).otherwise(F.lit(""))).alias("value")).write.text(to)
+    return readers.read_oligos(spark, to).groupBy("offset", "oligo").agg(F.count(F.lit(1)).alias("n"), F.sum("skipped").alias("skipped"))
+
+
+@query("SELECT qseqid, sseqid, bitscore, pident FROM (SELECT CAST(l_suppkey AS VARCHAR) AS qseqid, CAST(l_partkey % 50 AS VARCHAR) AS sseqid, l_extendedprice AS bitscore, l_discount AS pident, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 50 ORDER BY l_extendedprice DESC, l_discount DESC) AS r FROM lineitem) WHERE r = 1")
+def hits_round_trip(spark, d):
+    """Tabular hits as text, the best of each pair."""
+    to = _scratch(spark, "hits")
+    li = D.table(spark, d, "lineitem")
+    li.select((F.col("l_suppkey")).alias("q"), (F.col("l_partkey") % 50).alias("s"), "l_discount", F.lit(10), F.lit(80), F.col("l_extendedprice"), -F.col("l_discount")).toDF("qseqid", "sseqid", "pident", "length", "qcovs", "bitscore", "evalue").select(*V.HIT_COLUMNS).write.csv(to, sep="\t")
+    return readers.read_hits(spark, to).select("qseqid", "sseqid", "bitscore", "pident")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, d):
+    to = _scratch(spark, "csv")
+    writers.write_csv(D.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), to)
+    return readers.read_table(spark, to, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query(f"WITH {EMB} SELECT CAST(vec_id AS VARCHAR) AS name, round(list_sum(v), 4) AS total, CAST(len(v) AS INTEGER) AS dim FROM e")
+def vectors_round_trip(spark, d):
+    to = _scratch(spark, "vectors")
+    writers.write_vectors(embeddings(spark, d), to, "vec_id", "embedding")
+    return readers.read_vectors(spark, to).select("name", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("vector").alias("dim"))
+
+
+@query("SELECT 'mean' AS pooling, count(*) AS n FROM embeddings")
+def metadata_round_trip(spark, d):
+    to = _scratch(spark, "meta")
+    writers.write_metadata(spark, to, pooling="mean", n=embeddings(spark, d).count())
+    return spark.read.schema("pooling string, n long").json(to)
+
+
+@query(f"SELECT concat('F', s_suppkey) AS matrix_id, concat('Q', s_suppkey) AS uniprot, s_acctbal AS first FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0")
+def factors_round_trip(spark, d):
+    """Factor records as JSON; those without an accession, or of an excluded species, are left out."""
+    to = _scratch(spark, "factors")
+    k = F.col("s_suppkey")
+    row = F.array(F.col("s_acctbal").cast("double"), F.lit(1.0))
+    D.table(spark, d, "supplier").select(F.concat(F.lit("F"), k).alias("matrix_id"), F.lit("x").alias("name"), F.when(k % 4 != 0, F.concat(F.lit("Q"), k)).alias("uniprot"), F.when(k % 5 == 0, "Some Worm").otherwise("fly").alias("species"), F.struct(*[row.alias(b) for b in "ACGT"]).alias("pfm")).write.json(to)
+    return readers.read_factors(spark, to, ("worm",)).select("matrix_id", "uniprot", F.col("pfm.A")[0].alias("first"))
+
+
+@query(f"SELECT concat('P', c_custkey) AS name, concat({_bases_sql('c_custkey', 20)}, '--') AS aligned FROM customer")
+def alignment_round_trip(spark, d):
+    """Aligned FASTA, through a compressed copy."""
+    packed, to = _scratch(spark, "packed"), _scratch(spark, "alignment")
+    c = D.table(spark, d, "customer").select(F.concat(F.lit(">P"), "c_custkey", F.lit("\n"), F.lower(_bases(F.col("c_custkey"), 20)), F.lit("..")).alias("value"))
+    c.write.option("compression", "gzip").text(packed)
+    writers.gunzip(spark, packed, to)
+    return readers.read_alignment(spark, to)
+
+
+# --- proteins ----------------------------------------------------------------------------------------------------
+
+
+@query("WITH h AS (SELECT l_suppkey AS q, l_partkey AS t, sum(l_quantity) AS s FROM lineitem GROUP BY ALL), f AS (SELECT q, t FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, t) AS r FROM h) WHERE r = 1), b AS (SELECT t, q AS back FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, q) AS r FROM h) WHERE r = 1) SELECT f.q AS qid, f.t AS tid, back, coalesce(back = f.q, false) AS reciprocal FROM f LEFT JOIN b ON f.t = b.t")
+def reciprocal_hits(spark, d):
+    h = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("q"), F.col("l_partkey").alias("t")).agg(F.sum("l_quantity").alias("s"))
+    forward = kmers.top_per_group(h.select(F.col("q").alias("qid"), F.col("t").alias("tid"), "s"), ["qid"], [F.desc("s"), "tid"], 1)
+    backward = kmers.top_per_group(h.select(F.col("t").alias("qid"), F.col("q").alias("tid"), "s"), ["qid"], [F.desc("s"), "tid"], 1)
+    return align.reciprocal(forward, backward)
+
+
+@query("SELECT o_orderkey AS hit, o_custkey AS qid, c_name AS locus FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey < 20) ON o_custkey = c_custkey")
+def query_loci(spark, d):
+    q = D.table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("qid"), F.col("c_name").alias("locus"))
+    return align.with_locus(D.table(spark, d, "orders").select(F.col("o_orderkey").alias("hit"), F.col("o_custkey").alias("qid")), q).select("hit", "qid", "locus")
+
+
+@query("SELECT p_partkey AS id, p_brand AS gene FROM part WHERE p_brand NOT IN (SELECT min(p_brand) FROM part)")
+def candidates_without_gene(spark, d):
+    p = D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("gene"))
+    return align.without_gene(p, p.agg(F.min("gene").alias("gene")))
+
+
+@query("SELECT seqname, min(concat('G', p_partkey)) AS gene FROM (SELECT p_partkey, p_brand AS seqname FROM part) GROUP BY seqname")
+def genes_of_names(spark, d):
+    c = D.table(spark, d, "part").select(F.concat(F.lit("G"), "p_partkey").alias("gene"), F.col("p_brand").alias("seqname"))
+    return align.genes_of_names(c.select("seqname"), c)
+
+
+COLLECT = "q AS (SELECT concat('p', c_custkey) AS paralog, concat('A', c_custkey) AS protein, c_name AS seq FROM customer), o AS (SELECT concat('p', c_custkey) AS paralog, concat('B', c_nationkey) AS protein FROM customer), y AS (SELECT concat('B', n_nationkey) AS protein, n_name AS seq FROM nation WHERE n_regionkey <> 1)"
+
+
+@query(f"WITH {COLLECT} SELECT 'Cel_' || paralog AS label, paralog, protein, seq FROM q UNION ALL SELECT 'Cbr_' || paralog, paralog, o.protein, y.seq FROM o JOIN y ON o.protein = y.protein")
+def collected_proteins(spark, d):
+    c = D.table(spark, d, "customer")
+    n = D.table(spark, d, "nation").where("n_regionkey <> 1").select(F.concat(F.lit("B"), "n_nationkey").alias("protein"), F.col("n_name").alias("seq"))
+    q = c.select(F.concat(F.lit("p"), "c_custkey").alias("paralog"), F.concat(F.lit("A"), "c_custkey").alias("protein"), F.col("c_name").alias("seq"))
+    return align.collect_proteins(q, c.select(F.concat(F.lit("p"), "c_custkey").alias("paralog"), F.concat(F.lit("B"), "c_nationkey").alias("protein")), n)
+
+
+@query(f"WITH {EMB}, {DNA} SELECT seq_id AS key, length(seq) AS features, round(list_sum(v), 4) AS total FROM dna JOIN e ON seq_id = vec_id WHERE seq_id IN (SELECT doc_id FROM labels)")
+def training_rows(spark, d):
+    f = D.dna(spark, d).select(F.col("seq_id").alias("key"), F.length("seq").alias("features"))
+    e = embeddings(spark, d).select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
+    r = align.training_rows(f, D.table(spark, d, "labels").select(F.col("doc_id").alias("key")), e)
+    return r.select("key", "features", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query()
+def recognition_conservation(spark, d):
+    """Of the fingers that neighbouring documents have, by alignment."""
+    p = D.spread(D.table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
+    p = p.where(F.size(proteins.helices(F.col("seq"))) > 0)
+    pairs = p.select("id", F.col("seq").alias("left")).join(p.select((F.col("id") - 1).alias("id"), F.col("seq").alias("right")), "id")
+    return proteins.conservation(pairs.select(F.col("id").cast("string").alias("paralog"), "left", "right"))
+
+
+@query("SELECT concat('Cel_', lower(n_name)) AS label, CASE WHEN n_regionkey = 0 THEN 'not recovered' ELSE concat(n_nationkey, '/100') END AS support FROM nation")
+def tree_labels(spark, d):
+    n = D.table(spark, d, "nation")
+    return n.select(S.tip_label(F.lit("Cel"), F.col("n_name")).alias("label"), S.support_text(F.when(F.col("n_regionkey") != 0, F.col("n_nationkey")), 100).alias("support"))
+
+
+@query("SELECT c_nationkey AS grp, arg_min(c_name, c_custkey) AS name FROM customer WHERE c_acctbal < 0 GROUP BY c_nationkey")
+def first_match(spark, d):
+    c = D.table(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), "c_custkey", F.col("c_name").alias("name"), "c_acctbal")
+    return hits.first_match(c, ["grp"], "c_custkey", F.col("c_acctbal") < 0).select("grp", "name")
+
+
+@query(f"WITH {DNA} SELECT count(*) AS sequences, CAST(sum(length(seq)) AS BIGINT) AS letters, max(length(seq)) AS longest, round(avg(length(seq)), 6) AS mean_length FROM dna")
+def summary_totals(spark, d):
+    n = F.length("seq")
+    return D.dna(spark, d).agg(F.count(F.lit(1)).alias("sequences"), F.sum(n).alias("letters"), F.max(n).alias("longest"), r6(F.avg(n)).alias("mean_length"))
+
+
+@query(f"WITH {KNOWN}, p AS (SELECT name, spacer, length(motif) AS len, CAST(unnest(range(0, length(motif))) AS INTEGER) AS pos FROM known) SELECT name, pos, CASE WHEN pos < 4 THEN 'anchor' WHEN pos < 4 + spacer THEN 'spacer' WHEN pos < 6 + spacer THEN 'second' ELSE 'tail' END AS part, round(CASE WHEN pos < 4 THEN CASE WHEN substring('TTGG', pos + 1, 1) = 'T' THEN 1.01 / 1.04 ELSE 0.01 / 1.04 END ELSE 0.25 END::DOUBLE, 6) AS t FROM p")
+def framework_frames(spark, d):
+    """The parts of each known motif, and the weight of T where the anchor alone is known."""
+    rows = [(n, pos, part, S.framework_columns(len(m))[pos][3]) for n, m in V.KNOWN_MOTIFS.items() for part, at in S.motif_frame(V.SPACERS[n], len(m)).items() for pos in at]
+    return spark.createDataFrame(rows, "name string, pos int, part string, t double").withColumn("t", r6(F.col("t")))
+
+
+def _checkpoints(spark):
+    """The shared folder of the session; a cluster without one is an error."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return there or "file://" + tempfile.mkdtemp(prefix="seqloom-")
 
 
 def queries():

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reference_values as V
+from ..functions import sequence as S
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Letters to bases: A, C, G and T in turn, three letters to N.
@@ -44,46 +45,63 @@ def motifs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, m, V.SPACERS[n]) for n, m in V.KNOWN_MOTIFS.items()], "name string, motif string, spacer int")
 
 
-def paralogs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(V.CHROMOSOME_PARALOG.items()), "chromosome string, paralog string")
-
-
-# Result sheets of published runs, as inputs of the queries that join and tier them.
-ANCHORED = "chromosome string, discovered_motif string, spacer int, cluster_pos_Mb double, dist_from_end_kb int, copies int, period_bp int, downstream_bits double, chrom_specificity double, ce_paralog string, ce_match_skill double, confidence string"
-QX1410 = [
-    ("I", "TTGGGTTGGAAGAAAT", 2, 14.25, 1290, 103, 288, 2.3, 0.18, "ZIM-3", 0.03, "LOW"),
-    ("II", "TTGGTCTTGTGGACCA", 3, 15.05, 1546, 34, 931, 8.5, 0.34, "ZIM-3", 0.3, "MEDIUM"),
-    ("III", "TTGGTCTGCTAATTAT", 2, 0.49, 489, 102, 44, 15.5, 0.58, "ZIM-1", 0.86, "HIGH"),
-    ("IV", "TTGGGTCATGACCTAG", 4, 0.59, 593, 113, 22, 19.2, 0.38, "ZIM-3", -0.02, "MEDIUM"),
-    ("V", "TTGGTACTGCTTAGCA", 3, 18.9, 1037, 47, 163, 14.9, 0.66, "ZIM-1", 0.3, "HIGH"),
-    ("X", "TTGGTAGTGGTTCCGC", 3, 20.98, 1242, 39, 140, 18.2, 0.37, "HIM-8", 0.03, "MEDIUM"),
-]
-AF16 = [
-    ("I", "TTGGATTGGAAGAAAT", 2, 14.13, 1323, 97, 340, 2.3, 0.17, "ZIM-3", 0.04, "LOW"),
-    ("II", "TTGGCCTTGTGGACCA", 3, 15.16, 1471, 19, 750, 10.5, 0.47, "ZIM-3", 0.33, "MEDIUM"),
-    ("III", "TTGGTCTGCTAATTAT", 2, 0.48, 483, 92, 54, 15.4, 0.59, "ZIM-1", 0.86, "HIGH"),
-    ("IV", "TTGGGTCATGACCTAG", 4, 0.33, 332, 93, 22, 17.7, 0.35, "ZIM-3", -0.07, "MEDIUM"),
-    ("V", "TTGGTACTGCTTAGCA", 3, 18.42, 1079, 50, 162, 14.1, 0.69, "ZIM-1", 0.31, "HIGH"),
-    ("X", "TTGGTAGTGGTTCCGC", 3, 20.54, 1001, 60, 140, 20.7, 0.45, "HIM-8", 0.01, "MEDIUM"),
-]
-FREE = "chromosome string, discovered_motif string, chrom_specificity double, recovered_TTGG boolean"
-FREE_QX1410 = [("X", "GTGATAGTTGAA", 1.0, False), ("V", "GTCGTGGTCTCA", 1.0, False), ("IV", "AATATGAGGATT", 0.98, False), ("II", "CAGAAATTCAGA", 0.99, False), ("I", "ATTTTGGACCAT", 0.99, True), ("III", "TCCAGGATTCCA", 0.97, False)]
-FREE_CREM = [("IV", "GAAATCTTTACC", 1.0, False), ("V", "ATACCATTCGAA", 0.54, False), ("X", "GATAGGTAAGCC", 1.0, False), ("II", "CATAGCTTCCGC", 0.89, False), ("III", "GTTCGGTATTAA", 1.0, False), ("I", "CCTGCGGCGCTA", 1.0, False)]
-TTGG_CREM = [("IV", "TTGGTTCTGGCAACAA", 0.69, "ZIM-1", 0.32), ("V", "TTGGCCTATGTTTCAT", 0.46, "ZIM-1", 0.14), ("X", "TTGGAGTTGCCAACAC", 0.85, "ZIM-2", -0.01), ("II", "TTGGTCTGCTAGCTCA", 0.32, "ZIM-1", 0.94), ("III", "TTGGTCTGCTAGCTCT", 0.64, "ZIM-1", 0.98), ("I", "TTGGTCACTGTAAATT", 0.47, "HIM-8", 0.56)]
-TTGG = "chromosome string, ttgg_motif string, chrom_specificity double, closest_ce_paralog string, ce_skill double"
-CONSERVATION = [("HIM-8", 0.27), ("ZIM-1", 0.79), ("ZIM-2", 0.24), ("ZIM-3", 0.53)]
-CANDIDATE = "chromosome string, end string, candidate_motif string, spacer int, fold_enrichment double, chrom_specificity double, median_spacing_bp int, best_ce_paralog string, convergent boolean, low_complexity boolean, tandem boolean"
-CANDIDATES = [
-    ("I", "left", "TTGGCTTGGCTT", 2, 9.3, 0.73, 5, "ZIM-3", True, False, False),
-    ("I", "right", "TTGGATTTGTCT", 3, 7.4, 1.0, 28555, "ZIM-3", True, False, False),
-    ("II", "left", "TTGGCTTGGCTT", 2, 25.8, 0.73, 5, "ZIM-3", False, False, False),
-    ("II", "right", "TTGGCCTTGTGG", 3, 39.0, 1.0, 3473, "ZIM-3", False, False, True),
-    ("III", "left", "TTGGCCTGCTAA", 2, 40.3, 0.81, 1298, "ZIM-1", True, False, True),
-    ("III", "right", "TTGGCTTGAAAA", 2, 6.2, 1.0, 51355, "ZIM-3", False, False, False),
-    ("IV", "left", "TTGGGGCATGAC", 4, 41.7, 1.0, 88, "ZIM-3", True, False, True),
-    ("IV", "right", "TTGGTGTTTGCA", 4, 16.3, 1.0, 1646, "HIM-8", False, False, True),
-    ("V", "left", "TTGGCTGATCCT", 1, 21.7, 1.0, 63, "ZIM-2", True, False, True),
-    ("V", "right", "TTGGTACTGCCT", 3, 45.0, 1.0, 4466, "ZIM-1", False, False, True),
-    ("X", "left", "TTGGGTAATGGG", 4, 27.4, 1.0, 138, "ZIM-3", False, False, True),
-    ("X", "right", "TTGGTAGTGGTT", 3, 40.8, 1.0, 140, "HIM-8", True, False, True),
-]
+def paralogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chromosome, paralog): one of the known names for each supplier."""
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("C"), "s_suppkey").alias("chromosome"), _name((F.col("s_suppkey") * 5 + F.floor(F.col("s_suppkey") / 4)) % 4).alias("paralog"))
+
+
+def _name(i):
+    return F.element_at(F.array(*[F.lit(n) for n in V.KNOWN_MOTIFS]), i.cast("int") + 1)
+
+
+def _letters(text, n: int):
+    return F.substring(F.translate(F.md5(text.cast("binary")), "0123456789abcdef", "ACGT" * 4), 1, n)
+
+
+def anchored_run(spark: SparkSession, sf_dir: str, assembly: int) -> DataFrame:
+    """The sheet of an anchored run: a row a supplier, made up from its key; the assemblies differ in every third motif."""
+    k = F.col("s_suppkey")
+    kind = F.when((k % 3 == 0) & F.lit(assembly == 1), "n").otherwise("m")
+    s = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("C"), k).alias("chromosome"), F.concat(F.lit("TTGG"), _letters(F.concat(k.cast("string"), kind), 12)).alias("discovered_motif"), (k % 4 + 1).cast("int").alias("spacer"),
+        (k * 37 % 2000 / 100.0).alias("cluster_pos_Mb"), (k * 53 % 3000).cast("int").alias("dist_from_end_kb"), (k * 7 % 120 + 1).cast("int").alias("copies"),
+        F.when(k % 11 != 0, k * 29 % 4000).cast("int").alias("period_bp"), (k * 13 % 200 / 10.0).alias("downstream_bits"), (k * 17 % 101 / 100.0).alias("chrom_specificity"),
+        _name(k % 4).alias("ce_paralog"), (k * 19 % 200 / 100.0).alias("ce_match_skill"))
+    specific = F.col("chrom_specificity") >= 0.3
+    return s.withColumn("confidence", S.confidence(F.col("downstream_bits"), F.col("period_bp"), F.col("dist_from_end_kb"), specific))
+
+
+def free_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet of an anchor-free run, for two suppliers of three."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").where(k % 3 != 1)
+    return s.select(F.concat(F.lit("C"), k).alias("chromosome"), _letters(F.concat(k.cast("string"), F.lit("f")), 12).alias("discovered_motif"), (k * 23 % 101 / 100.0).alias("chrom_specificity"), (k % 5 == 0).alias("recovered_TTGG"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of both ends of each supplier."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(F.lit("left"), F.lit("right"))).alias("end"))
+    s = s.withColumn("j", F.col("k") * 2 + (F.col("end") == "right").cast("int"))
+    j = F.col("j")
+    return s.select(F.concat(F.lit("C"), "k").alias("chromosome"), "end", F.concat(F.lit("TTGG"), _letters(F.concat(j.cast("string"), F.lit("c")), 8)).alias("candidate_motif"), (j % 4 + 1).cast("int").alias("spacer"), (j * 31 % 450 / 10.0).alias("fold_enrichment"), (j * 43 % 101 / 100.0).alias("chrom_specificity"), F.when(j % 7 != 0, j * 61 % 30000).cast("int").alias("median_spacing_bp"), _name(j % 4).alias("best_ce_paralog"), (j % 3 == 0).alias("convergent"), (j % 10 == 3).alias("low_complexity"), (j % 2 == 0).alias("tandem"))
+
+
+# The same rows for the oracle.
+_SQL_NAME = "[" + ", ".join(f"'{n}'" for n in V.KNOWN_MOTIFS) + "]"
+
+
+def _sql_letters(text: str, n: int) -> str:
+    return f"substring(translate(md5({text}), '0123456789abcdef', '{'ACGT' * 4}'), 1, {n})"
+
+
+PARALOGS_SQL = f"para AS (SELECT concat('C', s_suppkey) AS chromosome, {_SQL_NAME}[(s_suppkey * 5 + s_suppkey // 4) % 4 + 1] AS paralog FROM supplier)"
+
+
+def anchored_sql(name: str, assembly: int) -> str:
+    kind = "CASE WHEN k % 3 = 0 THEN 'n' ELSE 'm' END" if assembly == 1 else "'m'"
+    return f"""{name}_ AS (SELECT k, concat('C', k) AS chromosome, 'TTGG' || {_sql_letters(f"concat(k, {kind})", 12)} AS discovered_motif, CAST(k % 4 + 1 AS INTEGER) AS spacer, k * 37 % 2000 / 100.0::DOUBLE AS "cluster_pos_Mb", CAST(k * 53 % 3000 AS INTEGER) AS dist_from_end_kb, CAST(k * 7 % 120 + 1 AS INTEGER) AS copies, CASE WHEN k % 11 <> 0 THEN CAST(k * 29 % 4000 AS INTEGER) END AS period_bp, k * 13 % 200 / 10.0::DOUBLE AS downstream_bits, k * 17 % 101 / 100.0::DOUBLE AS chrom_specificity, {_SQL_NAME}[k % 4 + 1] AS ce_paralog, k * 19 % 200 / 100.0::DOUBLE AS ce_match_skill FROM (SELECT s_suppkey AS k FROM supplier)),
+{name} AS (SELECT *, CASE WHEN downstream_bits >= 6 AND coalesce(period_bp BETWEEN 20 AND 3000, false) AND dist_from_end_kb <= 1500 AND chrom_specificity >= 0.3 THEN 'HIGH' WHEN downstream_bits >= 3.5 AND coalesce(period_bp BETWEEN 20 AND 3000, false) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM {name}_)"""
+
+
+FREE_SQL = f"f AS (SELECT concat('C', k) AS chromosome, {_sql_letters("concat(k, 'f')", 12)} AS discovered_motif, k * 23 % 101 / 100.0::DOUBLE AS chrom_specificity, k % 5 = 0 AS \"recovered_TTGG\" FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 3 <> 1)"
+CANDIDATES_SQL = f"cand AS (SELECT concat('C', k) AS chromosome, \"end\" AS end_, 'TTGG' || {_sql_letters("concat(j, 'c')", 8)} AS candidate_motif, j * 31 % 450 / 10.0::DOUBLE AS fold_enrichment, j * 43 % 101 / 100.0::DOUBLE AS chrom_specificity, CASE WHEN j % 7 <> 0 THEN CAST(j * 61 % 30000 AS INTEGER) END AS median_spacing_bp, {_SQL_NAME}[j % 4 + 1] AS best_ce_paralog, j % 3 = 0 AS convergent, j % 10 = 3 AS low_complexity, j % 2 = 0 AS tandem FROM (SELECT k, \"end\", k * 2 + CASE WHEN \"end\" = 'right' THEN 1 ELSE 0 END AS j FROM (SELECT s_suppkey AS k, unnest(['left', 'right']) AS \"end\" FROM supplier)))"

@@ -19,9 +19,12 @@ def read_fasta(spark: SparkSession, path: str, partitions: int | None = None) ->
 
     Records are split by the reader itself, so a plain file of any size is read in parallel; gzip is one task a file, so
     its rows are dealt out afterwards. Text before the first header is lost; an empty header is an error."""
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("file_ord", F.monotonically_increasing_id())
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.monotonically_increasing_id().alias("file_ord"), F.col("_metadata.file_path").alias("_file"))
+    # What comes first in a file has its header mark still, or else it is text before any header. A row a file.
+    ahead = raw.groupBy("_file").agg(F.min("file_ord").alias("file_ord")).select("file_ord", F.lit(True).alias("ahead"))
+    raw = raw.join(ahead, "file_ord", "left").withColumn("ahead", F.coalesce("ahead", F.lit(False)))
     first = F.regexp_replace("value", r"^\s*>", "")
-    has_header = F.regexp_like(F.col("value"), F.lit(r"^\s*>")) | (F.col("file_ord") > 0)
+    has_header = F.regexp_like(F.col("value"), F.lit(r"^\s*>")) | ~F.col("ahead")
     head = F.trim(F.regexp_extract(first, r"^([^\n]*)", 1))
     rows = raw.where(has_header & (F.length(F.trim("value")) > 0)).select("file_ord", head.alias("header"), F.regexp_replace(F.regexp_replace(first, r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
     rows = rows.withColumn("seq_id", F.when(F.length("header") > 0, S.header_id(F.col("header"))).otherwise(F.raise_error(F.lit("empty FASTA header"))))
@@ -40,6 +43,14 @@ def read_header_fields(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta(spark, path).select("seq_id", S.header_fields(F.col("header")).alias("fields"))
 
 
+def read_alignment(spark: SparkSession, path: str) -> DataFrame:
+    """(name, aligned) of aligned FASTA in upper case, with - for a gap; rows of different lengths are an error."""
+    rows = read_fasta(spark, path).select(F.col("seq_id").alias("name"), F.translate(F.upper("seq"), ".~", "--").alias("aligned"))
+    width = rows.agg(F.max(F.length("aligned")).alias("width"))
+    checked = rows.crossJoin(F.broadcast(width)).withColumn("aligned", F.when(F.length("aligned") == F.col("width"), F.col("aligned")).otherwise(F.raise_error(F.concat(F.lit("not aligned: "), "name"))))
+    return checked.select("name", "aligned")
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """GFF3 with declared types; a # ends a line wherever it stands."""
     lines = spark.read.text(path).select(F.regexp_replace("value", "#.*", "").alias("line")).where(F.trim("line") != "")

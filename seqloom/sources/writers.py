@@ -20,6 +20,11 @@ def write_metadata(spark, path: str, **values) -> None:
     spark.createDataFrame([values]).coalesce(1).write.mode("overwrite").json(path)
 
 
+def gunzip(spark, source: str, to: str) -> None:
+    """Lines of compressed files as plain text, so that later readers can split them."""
+    spark.read.text(source).write.mode("overwrite").option("compression", "none").text(to)
+
+
 def write_fasta(df: DataFrame, path: str, seq_id: str = "seq_id", seq: str = "seq") -> None:
     df.select(F.concat(F.lit(">"), F.col(seq_id), F.lit("\n"), F.col(seq)).alias("value")).write.mode("overwrite").text(path)
 

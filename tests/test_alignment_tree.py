@@ -55,6 +55,9 @@ def test_statistics():
 
 def test_matrix_is_symmetric():
     assert align.BLOSUM62.shape == (24, 24) and (align.BLOSUM62 == align.BLOSUM62.T).all()
+    cell = lambda a, b: align.BLOSUM62[align.RESIDUES.index(a), align.RESIDUES.index(b)]
+    published = {"XA": 0, "XS": 0, "XT": 0, "XC": -2, "XP": -2, "XW": -2, "XX": -1, "BN": 3, "BD": 4, "ZQ": 3, "ZE": 4, "BZ": 1, "*A": -4, "**": 1, "WW": 11}
+    assert {k: cell(*k) for k in published} == published
 
 
 def test_best_hits_assignment_and_reciprocity(spark):
@@ -112,6 +115,8 @@ def test_bootstraps(spark):
     out = tree.gene_tree(spark, spark.createDataFrame(rows, "name string, aligned string"), 20).collect()
     assert all(r.n_tips == 4 for r in out)
     assert max(r.support for r in out if set(r.clade) in ({"a", "b"}, {"c", "d"})) == 1.0
+    assert out[0].consensus.replace(":0.00000", "") in ("((c,d)#,a,b);".replace("#", ""), "((b,c,d),a);", "(a,b,(c,d));", "(a,(b,(c,d)));", "((c,d),a,b);")
+    assert sorted(x.split("- ")[-1] for x in out[0].picture.split("\n")) == ["a", "b", "c", "d"]
     again = tree.gene_tree(spark, spark.createDataFrame(rows, "name string, aligned string"), 20).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
 

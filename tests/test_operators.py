@@ -128,7 +128,7 @@ def test_densest_windows(spark):
 
 def test_first_non_null_and_median(spark):
     df = spark.createDataFrame([("a", 2, None, "x"), ("a", 1, 5, "y"), ("b", 1, None, None)], "k string, s int, v int, w string")
-    got = {r.k: (r.v, r.w) for r in hits.first_non_null(df, ["k"], [F.desc("s")], ["v", "w"]).collect()}
+    got = {r.k: (r.v, r.w) for r in hits.first_non_null(df, ["k"], [("s", True)], ["v", "w"]).collect()}
     assert got == {"a": (5, "x"), "b": (None, None)}
     p = spark.createDataFrame([("a", 0), ("a", 2), ("a", 7), ("b", 1), ("b", 9)], "k string, p int")
     assert {r.k: r.period for r in hits.median_gap(p, ["k"], "p").collect()} == {"a": 3, "b": None}
@@ -183,15 +183,16 @@ def test_best_match_recovers_the_known_motif(spark):
     assert {r.case: r.name for r in pwm.best_match(cases, m).collect()} == {n: n for n in V.KNOWN_MOTIFS}
 
 
-def test_reconciled_sheet(spark):
-    rows = discovery.reconcile(spark.createDataFrame(D.QX1410, D.ANCHORED), spark.createDataFrame(D.AF16, D.ANCHORED), D.paralogs(spark)).collect()
-    assert [(r.chromosome, r.confidence, r.reproduced_on_AF16, r.assignment_agrees) for r in rows] == [("III", "HIGH", True, True), ("IV", "HIGH", True, True), ("V", "HIGH", True, False), ("X", "HIGH", True, True), ("II", "MEDIUM", True, False), ("I", "LOW", True, True)]
+RUN = "chromosome string, discovered_motif string, spacer int, cluster_pos_Mb double, dist_from_end_kb int, copies int, period_bp int, downstream_bits double, chrom_specificity double, ce_paralog string, ce_match_skill double, confidence string"
 
 
-def test_null_period_is_not_well_defined(spark):
-    q = [(*D.QX1410[2][:6], None, *D.QX1410[2][7:])]
-    r = discovery.reconcile(spark.createDataFrame(q, D.ANCHORED), spark.createDataFrame(D.AF16, D.ANCHORED), D.paralogs(spark)).first()
-    assert r.confidence == "LOW"
+def test_reconciled_sheet(spark):
+    row = lambda c, motif, kb, period, bits, near: (c, motif, 2, 1.0, kb, 50, period, bits, 0.5, near, 0.1, "LOW")
+    one = [row("c1", "TTGGAAAAAAAA", 100, 50, 9.0, "P1"), row("c2", "TTGGCCCCCCCC", 2000, 50, 9.0, "P1"), row("c3", "TTGGAAAAAAAA", 100, 50, 2.0, "P3"), row("c4", "TTGGAAAAAAAA", 100, None, 9.0, "P1"), row("c5", "TTGGAAAAAAAA", 2000, 50, 9.0, "P1")]
+    two = [row("c1", "TTGGAAAAAACC", 100, 50, 9.0, "P1"), row("c2", "TTGGCCCCCCCC", 100, 50, 9.0, "P1"), row("c3", "TTGGAAAAAAAA", 100, 50, 9.0, "P1"), row("c4", "TTGGAAAAAAAA", 100, 50, 9.0, "P1"), row("c5", "TTGGGGGGGGGG", 1, 50, 9.0, "P1")]
+    para = spark.createDataFrame([(f"c{i}", f"P{i}") for i in range(1, 6)], "chromosome string, paralog string")
+    rows = discovery.reconcile(spark.createDataFrame(one, RUN), spark.createDataFrame(two, RUN), para).collect()
+    assert [(r.chromosome, r.confidence, r.reproduced_on_AF16, r.assignment_agrees) for r in rows] == [("c1", "HIGH", True, True), ("c2", "MEDIUM", True, False), ("c3", "LOW", True, True), ("c4", "LOW", True, False), ("c5", "LOW", False, False)]
 
 
 def test_permutation_null_is_exact(spark):
@@ -289,3 +290,42 @@ def test_nearest_in_blocks_is_the_same(spark):
     for n in (1, 4):
         one = sorted(vectors.nearest(q, df, n).collect())
         assert len(one) == 20 * n and one == sorted(vectors.nearest(q, df, n, block=6).collect())
+
+
+def test_lopo_head_against_plain_loops(spark):
+    """Centring, projection, scaling, descent and grading, one held-out name after the other."""
+    rng = np.random.default_rng(4)
+    names = list(V.KNOWN_MOTIFS)
+    x = {n: rng.normal(size=6) for n in names}
+    m = D.motifs(spark)
+    df = spark.createDataFrame([(n, [float(v) for v in x[n]]) for n in names], "name string, vector array<double>")
+    projection = rng.normal(size=(6, 3))
+    weights = lambda motif: np.array([[1.01 / 1.04 if b == c else 0.01 / 1.04 for b in "ACGT"] for c in motif])
+
+    def slots(n):
+        s, w = V.SPACERS[n], weights(V.KNOWN_MOTIFS[n])
+        at = {p: p - s if 4 <= p < 4 + s else 4 + p - 6 - s for p in range(len(w)) if 4 <= p < 4 + s or 6 + s <= p < 11 + s}
+        return w, at
+
+    for p in (None, projection):
+        got = {(r.name, r.l2): r.skill for r in vectors.lopo_head(df, m, [1.0, 30.0], p, 200).collect()}
+        for l2 in (1.0, 30.0):
+            for held in names:
+                rest = [n for n in names if n != held]
+                f = {n: x[n] - np.mean([x[k] for k in rest], axis=0) for n in names}
+                f = f if p is None else {n: p.T @ v for n, v in f.items()}
+                f = {n: v / (np.mean([np.linalg.norm(f[k]) for k in rest]) + 1e-8) for n, v in f.items()}
+                w, at = slots(held)
+                far = flat = 0.0
+                for pos, slot in at.items():
+                    have = [(f[n], slots(n)[0][q].argmax()) for n in rest for q, s in slots(n)[1].items() if s == slot]
+                    W, b = np.zeros((4, len(f[held]))), np.zeros(4)
+                    for _ in range(200 if have else 0):
+                        X, Y = np.array([h[0] for h in have]), np.eye(4)[[h[1] for h in have]]
+                        z = np.exp(X @ W.T + b)
+                        g = z / z.sum(axis=1, keepdims=True) - Y
+                        W, b = W - (g.T @ X / len(X) + l2 * W) / (1 + l2), b - g.mean(axis=0) / (1 + l2)
+                    z = np.exp(W @ f[held] + b)
+                    far += np.linalg.norm(z / z.sum() - w[pos])
+                    flat += np.linalg.norm(0.25 - w[pos])
+                assert got[held, l2] == pytest.approx(1 - far / flat, abs=1e-6)

@@ -25,6 +25,22 @@ def test_fasta(spark, tmp_path):
         readers.read_fasta(spark, str(bad)).collect()
 
 
+def test_text_before_the_header_of_any_file(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    for i in range(4):
+        (tmp_path / "x" / f"{i}.fa").write_text(f"lost {i}\n>s{i}\nAC\n>t{i}\nGT\n" if i % 2 else f">s{i}\nAC\n>t{i}\nGT\n")
+    assert {(r.seq_id, r.seq) for r in readers.read_fasta(spark, str(tmp_path / "x")).collect()} == {(f"{a}{i}", s) for i in range(4) for a, s in (("s", "AC"), ("t", "GT"))}
+
+
+def test_alignments_have_one_width(spark, tmp_path):
+    p = tmp_path / "a.fa"
+    p.write_text(">a\nAC.g\n>b\nA--G\n")
+    assert {(r.name, r.aligned) for r in readers.read_alignment(spark, str(p)).collect()} == {("a", "AC-G"), ("b", "A--G")}
+    p.write_text(">a\nACG\n>b\nA\n")
+    with pytest.raises(Exception, match="not aligned"):
+        readers.read_alignment(spark, str(p)).collect()
+
+
 def test_gff_oligos_hits_factors(spark, tmp_path):
     g = tmp_path / "a.gff3"
     g.write_text("##gff\nI\tW\tgene\t10\t20\t.\t+\t.\tID=Gene:WBGene1;locus=him-8 # note\n# c\nI\tW\tmRNA\t11\t19\t.\t-\t0\tID=x\n")
