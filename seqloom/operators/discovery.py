@@ -133,9 +133,10 @@ def top_candidates(enriched: DataFrame) -> DataFrame:
 
 def motif_specificity(windows: DataFrame, motifs: DataFrame, core: int = 12, most: int = 1) -> DataFrame:
     """(grp, motif, specificity): share of the windows within ``most`` mismatches of a motif that its own group holds; 0.0
-    without any. Found by shared parts, not by comparing all windows with all motifs."""
+    without any. Found by shared parts, not by comparing all windows with all motifs. windows: (grp, window), or counts of
+    them (grp, window, n)."""
     cores = motifs.select(F.col("grp").alias("home"), "motif", F.substring("motif", 1, core).alias("core"))
-    counts = windows.groupBy("grp", F.substring("window", 1, core).alias("window")).agg(F.count(F.lit(1)).alias("n"))
+    counts = windows.groupBy("grp", F.substring("window", 1, core).alias("window")).agg((F.sum("n") if "n" in windows.columns else F.count(F.lit(1))).alias("n"))
     near = kmers.similar_pairs(counts, cores.select("core").distinct(), most, core)
     c = near.groupBy("core", "grp").agg(F.sum("n").alias("n"))
     j = cores.join(c, "core", "left").groupBy("home", "motif").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("grp") == F.col("home"), F.col("n"))).alias("own"))

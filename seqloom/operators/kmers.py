@@ -44,12 +44,6 @@ def count_kmers(seqs: DataFrame, k: int = 12) -> DataFrame:
     return canonical_windows(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def end_of(k: int, terminal: int):
-    """The end that a window at pos lies in, null for others; sequences shorter than both ends together have none."""
-    at = F.when(F.col("pos") + k <= terminal, "left").when(F.col("pos") >= F.col("length") - terminal, "right")
-    return F.when(F.col("length") >= 2 * terminal, at)
-
-
 def end_pieces(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
     """(seq_id, grp, end, seq): both ends of the sequences that are long enough for them, in upper case. What lies between is
     cut off before any window is made."""
@@ -67,13 +61,12 @@ def terminal_enrichment(seqs: DataFrame, k: int = 12, terminal: int = 2_000_000,
     """(grp, end, kmer, terminal_count, fold_enrichment, anchored): share of a k-mer at an end over its share in all of
     the sequences of at least min_length, ends included. Shares are of all k-mers, not only of those that are frequent.
 
-    One pass makes the windows; counts by (grp, end, kmer) are the only shuffle of any size, the background and the totals
-    are sums of them."""
+    The background is one count of all windows, a row a k-mer; the ends are cut out before their windows are made. Totals
+    are sums of the counts."""
     long_ = seqs.where(F.length("seq") >= min_length)
-    counts = canonical_windows(long_, k).withColumn("end", end_of(k, terminal)).groupBy("grp", "end", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
-    bg = counts.groupBy("kmer").agg(F.sum("cnt").alias("bg"))
-    total = counts.agg(F.sum("cnt").alias("bg_total"))
-    ends = counts.where("end is not null")
+    bg = count_kmers(long_, k).withColumnRenamed("cnt", "bg")
+    total = bg.agg(F.sum("bg").alias("bg_total"))
+    ends = piece_windows(end_pieces(long_, k, terminal), k, ["grp", "end"]).groupBy("grp", "end", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
     totals = ends.groupBy(F.col("grp").alias("_grp"), F.col("end").alias("_end")).agg(F.sum("cnt").alias("end_total"))  # two rows a group
     j = ends.where(F.col("cnt") >= min_count).join(bg, "kmer").join(totals, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("end") == F.col("_end"))).crossJoin(F.broadcast(total))
     fold = (F.col("cnt") / F.col("end_total")) / (F.col("bg") / F.col("bg_total"))
@@ -103,7 +96,9 @@ def enriched_vs_interior(ends: DataFrame, middle: DataFrame, top: int = 60, min_
     most enriched of each group that are frequent and not of low complexity. Totals are a row a group."""
     tt, it = ends.groupBy("grp").agg(F.sum("n").alias("t_total")), middle.groupBy("grp").agg(F.sum("n").alias("i_total"))
     inner = middle.withColumnRenamed("n", "inside")
-    j = ends.where(F.col("n") >= min_count).where(~S.low_complexity(F.col("kmer"))).join(tt, "grp").join(inner, ["grp", "kmer"], "left").join(it, "grp", "left")
+    # One condition on the count, so that it stays above the aggregate, whose shuffle then serves the totals as well.
+    frequent = ends.where(F.when(F.col("n") >= min_count, ~S.low_complexity(F.col("kmer"))).otherwise(F.lit(False)))
+    j = frequent.join(tt, "grp").join(inner, ["grp", "kmer"], "left").join(it, "grp", "left")
     enrichment = (F.col("n") / F.col("t_total")) / ((F.coalesce("inside", F.lit(0)) + 1) / F.greatest(F.coalesce("i_total", F.lit(1)), F.lit(1)))
     j = j.select("grp", "kmer", "n", enrichment.alias("enrichment"))
     return top_per_group(j, ["grp"], [F.desc("enrichment"), F.desc("kmer")], top)

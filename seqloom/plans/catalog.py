@@ -223,7 +223,7 @@ def near_windows(spark, d):
 
 @query(f"WITH {ANCH}, m AS (SELECT grp AS home, min(\"window\") AS motif FROM a GROUP BY grp) SELECT m.home AS grp, m.motif, round(count(*) FILTER (a.grp = m.home) / count(*), 2) AS specificity FROM m JOIN a ON ({hamming_sql('m.motif', 'a.' + chr(34) + 'window' + chr(34), 8)}) <= 1 GROUP BY ALL")
 def chrom_specificity(spark, d):
-    a = anchored(spark, d)
+    a = anchored(spark, d).groupBy("grp", "window").agg(F.count(F.lit(1)).alias("n"))
     return discovery.motif_specificity(a, a.groupBy("grp").agg(F.min("window").alias("motif")), K, 1)
 
 

@@ -42,7 +42,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motifs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, m, V.SPACERS[n]) for n, m in V.KNOWN_MOTIFS.items()], "name string, motif string, spacer int")
+    """The known motifs, as constants of the plan: the optimizer knows how few they are."""
+    rows = ", ".join(f"('{n}', '{m}', {V.SPACERS[n]})" for n, m in V.KNOWN_MOTIFS.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, motif, spacer)")
 
 
 def paralogs(spark: SparkSession, sf_dir: str) -> DataFrame:
