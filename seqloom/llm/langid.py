@@ -17,6 +17,8 @@ ORDER = 5
 SAMPLE_DOCS = 400
 #: Distinct n-grams of an order over all languages that a model keeps: the most frequent of each language in turn.
 MODEL_GRAMS = 400_000
+#: Probabilities of an order that a model holds at most, n-grams times languages: what the broadcast and the workers bear.
+MODEL_CELLS = 6_400_000
 #: Characters over which what no n-gram explains is spread.
 ALPHABET = 2048
 #: Keeps the curve of the score finite where the calibration sees no mistake.
@@ -108,65 +110,55 @@ class Model:
         self.slope, self.offset, self.reject_above = 1.0, 0.0, np.full(len(langs), np.inf)
 
     @classmethod
-    def fit(cls, counts: pd.DataFrame, most: int = MODEL_GRAMS) -> "Model":
+    def fit(cls, counts: pd.DataFrame, most: int = MODEL_GRAMS, cells: int = MODEL_CELLS) -> "Model":
+        """From (lang, n, gram, prior, suffix, cnt). Counts stay sparse, and one language is worked out at a time over the
+        n-grams of all; of an order, the model holds ``most`` n-grams and contexts, or fewer of many languages, so that it
+        has ``cells`` numbers."""
         langs = sorted(counts["lang"].unique())
-        of = {g: i for i, g in enumerate(langs)}
-        order = int(counts["n"].max())
-        L = len(langs)
-        tables = {}
+        order, L = int(counts["n"].max()), len(langs)
+        most = max(1, min(most, cells // L))
+        of_lang = counts["lang"].map({g: i for i, g in enumerate(langs)}).to_numpy()
+        of_n, columns = counts["n"].to_numpy(), {c: counts[c].to_numpy(np.int64) for c in ("gram", "prior", "suffix", "cnt")}
+        grams, contexts, place, below, own, kept, kept_contexts = ({} for _ in range(7))
         for n in range(1, order + 1):
-            c = counts[counts["n"] == n]
-            gram, inv = np.unique(c["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-            m = np.zeros((len(gram), L))
-            np.add.at(m, (inv, c["lang"].map(of).to_numpy()), c["cnt"].to_numpy(np.float64))
-            prior, suffix = np.zeros(len(gram), np.uint64), np.zeros(len(gram), np.uint64)
-            prior[inv] = c["prior"].to_numpy(np.int64).view(np.uint64)
-            suffix[inv] = c["suffix"].to_numpy(np.int64).view(np.uint64)
-            tables[n] = (gram, m, prior, suffix)
-        # Below the top order, counts are continuation counts: distinct characters before the n-gram.
-        counts_of = {order: tables[order][1]}
-        for n in range(order - 1, 0, -1):
-            gram = tables[n][0]
-            m = np.zeros((len(gram), L))
-            up_gram, up_m, _, up_suffix = tables[n + 1]
-            at = np.minimum(np.searchsorted(gram, up_suffix), len(gram) - 1)
-            ok = gram[at] == up_suffix
-            np.add.at(m, at[ok], (up_m[ok] > 0).astype(np.float64))
-            counts_of[n] = np.where(m > 0, m, (tables[n][1] > 0).astype(np.float64))  # at a text's begin nothing is before
-        grams, logs, contexts, backoffs = [], [], [], []
-        floor = np.full(L, 1.0 / ALPHABET)
-        lower = None
-        for n in range(1, order + 1):
-            gram, _, prior, suffix = tables[n]
-            m = counts_of[n]
-            ones, twos = (m == 1).sum(axis=0), (m == 2).sum(axis=0)
-            discount = np.clip(ones / np.maximum(ones + 2 * twos, 1), 0.1, 0.95)
-            context, inv = np.unique(prior, return_inverse=True)
-            total, kinds = np.zeros((len(context), L)), np.zeros((len(context), L))
-            np.add.at(total, inv, m)
-            np.add.at(kinds, inv, (m > 0).astype(np.float64))
-            gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            if n == 1:
-                below = np.broadcast_to(floor, m.shape)
-            else:
-                at = np.minimum(np.searchsorted(grams_full, suffix), len(grams_full) - 1)
-                found = grams_full[at] == suffix
-                below = np.where(found[:, None], lower[at], floor)
-            p = np.where(total[inv] > 0, np.maximum(m - discount, 0) / np.maximum(total[inv], 1), 0) + gamma[inv] * below
-            grams_full, lower = gram, p
-            keep = np.ones(len(gram), bool)
-            if len(gram) > most:
-                weight, turn = tables[n][1], np.full(len(gram), len(gram))
-                for i in range(L):  # the place of each n-gram in the language that ranks it highest
-                    order_ = np.lexsort((gram, -weight[:, i]))[: np.count_nonzero(weight[:, i])]
-                    turn[order_] = np.minimum(turn[order_], np.arange(len(order_)))
-                keep = np.zeros(len(gram), bool)
-                keep[np.lexsort((gram, -weight.sum(axis=1), turn))[:most]] = True
-            grams.append(gram[keep])
-            logs.append(np.log2(p[keep]).astype(np.float32))
-            contexts.append(context)
-            backoffs.append(np.log2(gamma).astype(np.float32))
-        return cls(langs, grams, logs, contexts, backoffs, np.log2(floor).astype(np.float32))
+            at = np.flatnonzero(of_n == n)
+            grams[n], row = np.unique(columns["gram"][at].view(np.uint64), return_inverse=True)
+            prior, suffix = np.zeros(len(grams[n]), np.uint64), np.zeros(len(grams[n]), np.uint64)
+            prior[row], suffix[row] = columns["prior"][at].view(np.uint64), columns["suffix"][at].view(np.uint64)
+            contexts[n], place[n] = np.unique(prior, return_inverse=True)
+            if n > 1:  # the row of the next shorter n-gram, -1 where a text's begin has none
+                found = np.minimum(np.searchsorted(grams[n - 1], suffix), len(grams[n - 1]) - 1)
+                below[n] = np.where(grams[n - 1][found] == suffix, found, -1)
+            cnt = columns["cnt"][at]
+            own[n] = [(row[mine], cnt[mine]) for mine in (np.flatnonzero(of_lang[at] == i) for i in range(L))]
+            weight, turn = np.bincount(row, weights=cnt), np.full(len(grams[n]), len(grams[n]))
+            for rows, c in own[n]:  # the place of each n-gram in the language that ranks it highest
+                ranked = rows[np.lexsort((grams[n][rows], -c))]
+                turn[ranked] = np.minimum(turn[ranked], np.arange(len(ranked)))
+            kept[n] = np.sort(np.lexsort((grams[n], -weight, turn))[:most])
+            kept_contexts[n] = np.sort(np.lexsort((contexts[n], -np.bincount(place[n], weights=weight)))[:most])
+        logs = [np.empty((len(kept[n]), L), np.float32) for n in range(1, order + 1)]
+        backoffs = [np.empty((len(kept_contexts[n]), L), np.float32) for n in range(1, order + 1)]
+        floor = 1.0 / ALPHABET
+        for i in range(L):
+            lower = None
+            for n in range(1, order + 1):
+                rows, value = own[n][i]
+                if n < order:  # below the top order, counts are of distinct characters before; 1 at a text's begin
+                    longer = below[n + 1][own[n + 1][i][0]]
+                    value = np.maximum(np.bincount(longer[longer >= 0], minlength=len(grams[n]))[rows], 1)
+                ones, twos = (value == 1).sum(), (value == 2).sum()
+                discount = float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
+                total = np.bincount(place[n][rows], weights=value, minlength=len(contexts[n]))
+                kinds = np.bincount(place[n][rows], minlength=len(contexts[n]))
+                gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+                shorter = floor if n == 1 else np.where(below[n] >= 0, lower[below[n]], floor)
+                p = gamma[place[n]] * shorter
+                p[rows] += np.maximum(value - discount, 0) / total[place[n][rows]]
+                logs[n - 1][:, i], backoffs[n - 1][:, i] = np.log2(p[kept[n]]), np.log2(gamma[kept_contexts[n]])
+                lower = p
+        pick = lambda of, at: [of[n][at[n]] for n in range(1, order + 1)]
+        return cls(langs, pick(grams, kept), logs, pick(contexts, kept_contexts), backoffs, np.full(L, np.log2(floor), np.float32))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy in bits a character, by text and language; characters scored by text)."""
