@@ -48,70 +48,87 @@ def _codes(s: str) -> np.ndarray:
     return _INDEX[np.frombuffer(s.upper().encode("latin-1", "replace"), np.uint8)]
 
 
+#: Cells of one alignment: a byte each is kept for the way back.
+CELLS = 1 << 31
+
+
 def align(a: str, b: str, local: bool, open_: float, extend: float, matrix: np.ndarray | None = None) -> tuple[float, list[tuple[int, int]]]:
     """(score, aligned pairs of places) by affine gaps; a gap's first letter costs open_, each more extend. Without a matrix,
     equal letters score 1 and others 0.
 
-    Row by row over b, each row as a vector: a gap along the row is a running maximum once the extensions are taken out."""
+    Row by row over a, each row as a vector: a gap along the row is a running maximum once the extensions are taken out.
+    Scores are kept for two rows; of each cell a byte says where its three states come from. Longer pairs than CELLS are an
+    error, not a cut alignment."""
     n, m = len(a), len(b)
     if not n or not m:
         return (0.0 if local else (open_ + extend * (max(n, m) - 1) if max(n, m) else 0.0)), []
+    if (n + 1) * (m + 1) > CELLS:
+        raise ValueError(f"an alignment of {n} and {m} letters has more than {CELLS} cells")
     if matrix is None:
         ca, cb = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b))
-        sub = (ca[:, None] == cb[None, :]).astype(float)
+        row_of = lambda c: (cb == c).astype(float)
     else:
-        sub = matrix[np.ix_(_codes(a), _codes(b))]
-    cols = np.arange(m + 1)
-    border = lambda k: open_ + extend * (k - 1)
-    M = np.full((n + 1, m + 1), LOW)
-    X = np.full((n + 1, m + 1), LOW)  # a's letter against a gap
-    Y = np.full((n + 1, m + 1), LOW)  # b's letter against a gap
-    M[0, 0] = 0.0
+        ca, cb = _codes(a), _codes(b)
+        profile = matrix[:, cb]
+        row_of = profile.__getitem__
+    cols, eps, near = np.arange(m + 1), 1e-9, 1e-6
+    # Bits 0-1 of a cell: the state before a pair (3: the alignment begins with it); 2-3: before a letter of a against a
+    # gap; 4-5: before a letter of b against a gap. States are 0 a pair, 1 and 2 the gaps.
+    came = np.zeros((n + 1, m + 1), np.uint8)
+    M, X, Y = np.full(m + 1, LOW), np.full(m + 1, LOW), np.full(m + 1, LOW)
     if local:
-        M[0, :] = M[:, 0] = 0.0
+        M[:] = 0.0
     else:
-        X[1:, 0] = border(np.arange(1, n + 1))
-        Y[0, 1:] = border(cols[1:])
+        M[0] = 0.0
+        Y[1:] = open_ + extend * (cols[1:] - 1)
+        came[0, 2:] = 2 << 4
+    top = (0.0, 0, 0)
     for i in range(1, n + 1):
-        best = np.maximum(np.maximum(M[i - 1], X[i - 1]), Y[i - 1])
-        M[i, 1:] = best[:-1] + sub[i - 1]
+        best = np.maximum(np.maximum(M, X), Y)[:-1]
+        pair = np.where(best - M[:-1] <= near, 0, np.where(best - X[:-1] <= near, 1, 2))
+        new = np.full(m + 1, LOW)
+        new[1:] = best + row_of(ca[i - 1])
         if local:
-            M[i, 1:] = np.maximum(M[i, 1:], 0.0)
-        X[i] = np.maximum(np.maximum(np.maximum(M[i - 1], Y[i - 1]) + open_, X[i - 1] + extend), X[i] if not local and i else LOW)
-        start = np.maximum(M[i], X[i]) + open_
-        run = np.maximum.accumulate(start - extend * cols)
-        Y[i, 1:] = run[:-1] + extend * (cols[1:] - 1)
+            pair = np.where((np.abs(best) <= eps) & (M[:-1] <= eps), 3, pair)
+            new = np.maximum(new, 0.0)
+        down = np.maximum(np.maximum(M, Y) + open_, X + extend)
+        gap = np.where((down - (X + extend) <= near) & (i > 1), 1, np.where(down - (M + open_) <= near, 0, 2))
+        start = np.maximum(new, down) + open_
+        along = np.full(m + 1, LOW)
+        along[1:] = np.maximum.accumulate(start - extend * cols)[:-1] + extend * (cols[1:] - 1)
+        longer = (np.abs(along[:-1] + extend - along[1:]) <= near) & (cols[1:] > 1)
+        side = np.where(longer, 2, np.where(np.abs(new[:-1] + open_ - along[1:]) <= near, 0, 1))
+        came[i] = gap << 2
+        came[i, 1:] |= (pair | side << 4).astype(np.uint8)
+        M, X, Y = new, down, along
+        if local:
+            j = int(M.argmax())
+            if M[j] > top[0]:
+                top = (float(M[j]), i, j)
     if local:
-        i, j = np.unravel_index(int(M.argmax()), M.shape)
-        score, state = M[i, j], 0
+        score, i, j = top
+        state = 0
+        if score <= eps:
+            return 0.0, []
     else:
         i, j = n, m
-        ends = (M[n, m], X[n, m], Y[n, m])
+        ends = (M[m], X[m], Y[m])
         state = int(np.argmax(ends))
         score = ends[state]
     pairs = []
-    eps = 1e-9
     while i > 0 or j > 0:
+        cell = int(came[i, j])
         if state == 0:
-            if local and M[i, j] <= eps:
-                break
             if i == 0 or j == 0:
                 break
             pairs.append((i - 1, j - 1))
-            want = M[i, j] - sub[i - 1, j - 1]
-            i, j = i - 1, j - 1
-            options = (M[i, j], X[i, j], Y[i, j])
-            if local and abs(want) <= eps and M[i, j] <= eps:
+            i, j, state = i - 1, j - 1, cell & 3
+            if state == 3:
                 break
-            state = next((s for s, v in enumerate(options) if abs(v - want) <= 1e-6), 0)
         elif state == 1:
-            want = X[i, j]
-            i -= 1
-            state = 1 if i and abs(X[i, j] + extend - want) <= 1e-6 else (0 if abs(M[i, j] + open_ - want) <= 1e-6 else (2 if abs(Y[i, j] + open_ - want) <= 1e-6 else 1))
+            i, state = i - 1, cell >> 2 & 3
         else:
-            want = Y[i, j]
-            j -= 1
-            state = 2 if j and abs(Y[i, j] + extend - want) <= 1e-6 else (0 if abs(M[i, j] + open_ - want) <= 1e-6 else (1 if abs(X[i, j] + open_ - want) <= 1e-6 else 2))
+            j, state = j - 1, cell >> 4 & 3
     return float(score), pairs[::-1]
 
 
