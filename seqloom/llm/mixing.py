@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,16 @@ def water_fill(sources: DataFrame, total: int, repeats: float = MAX_REPEATS) ->
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
+#: Bits of the hash that documents of a source are ordered by.
+HASH_BITS = 60
+
+
+def drawn(id_: Column, seed: int) -> Column:
+    """A hash of an id, of HASH_BITS bits, that SQL can give as well; null counts as empty."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def phases(curriculum, weights) -> tuple[list[float], list[list[float]]]:
     """(ends of the phases in curriculum time, for each weight of the cycle the shares of its words in the phases)."""
     ends = [0.0] + [float(e) for e, _ in curriculum]
@@ -78,10 +88,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     carried = [row_col] if row_col else []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *carried).withColumn("h", F.xxhash64(F.lit(seed), "id")), "sizes")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *carried).withColumn("h", drawn(F.col("id"), seed)), "sizes")
     n_rows = rows.count()
+    # Buckets are ranges of the hash, so their order is that of the hash.
     buckets = max(1, -(-n_rows // max(bucket_rows, int(n_rows**0.5))))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftright("h", 3), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.shiftright("h", HASH_BITS - (buckets - 1).bit_length()))
     parts = materialize(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "buckets")
     totals = parts.groupBy("source").agg(F.sum("words").alias("source_size"))
     n = len(weights)

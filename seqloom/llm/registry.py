@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact, fingerprint, html_extract, langid, mixing, near, packing, quality, substring, warc
 from .common import LOWER, UPPER, table
@@ -32,7 +33,8 @@ def byte_bpe() -> str:
 
 
 def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.transform("positions", lambda x: F.round(x, 6)).alias("positions"))
 
 
 def op6_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +57,8 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"))
 
 
+_SHARES = ", ".join(f"({i}, {k}, {x!r}::DOUBLE)" for i, own in enumerate(mixing.phases(mixing.CURRICULUM, mixing.WEIGHTS)[1]) for k, x in enumerate(own))
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 x AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 48, 1)), lambda i: md5(array_to_string(w[i:i + 49], ' '))) AS hs FROM d),
@@ -85,6 +89,42 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id > b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.b, d.doc_id) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = m.a
+"""
+
+#: A source's share of the targets: sources become full in the order of their repeats' size by weight, so with the first k
+#: full the level is what is left by the weight left; the first k whose next source stays below it gives the right one.
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, CAST(('0x' || substring(md5(concat('{mixing.SEED}:', doc_id)), 1, 15)) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][turn + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, turn, source NULLS LAST) AS k FROM w),
+f AS (SELECT *, ((SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+v AS (SELECT coalesce(arg_min(level, k) FILTER (cap / weight >= level), max(cap / weight)) AS level FROM f),
+t AS (SELECT source, source_size, turn, least(cap, weight * v.level) AS target FROM w, v),
+g AS (SELECT turn, sum(target) AS due FROM t GROUP BY turn),
+c AS (SELECT turn, k, share, sum(share) OVER (PARTITION BY turn ORDER BY k) - share AS begun FROM (VALUES {_SHARES}) AS x(turn, k, share)),
+q AS (SELECT k, sum(share * due) / (SELECT sum(due) FROM g) AS width FROM c JOIN g USING (turn) GROUP BY k),
+z AS (SELECT k, width, sum(width) OVER (ORDER BY k) - width AS low FROM q),
+a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.turn, floor(t.target)::BIGINT AS goal, (coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS rounds FROM a),
+e AS (SELECT *, least(greatest(goal - rounds * source_size - off, 0), size) AS rest FROM b),
+u AS (SELECT doc_id, turn, target, unnest(range(0, rounds + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS copy, (off + copy * source_size) / target AS share FROM e WHERE size > 0),
+p AS (SELECT doc_id, list(round(least(low + (u.share - begun) * width / c.share, least(low + width, 1.0)), 6) ORDER BY copy) AS positions FROM u JOIN c ON c.turn = u.turn AND u.share >= c.begun AND c.share > 0 AND NOT EXISTS (SELECT 1 FROM c y WHERE y.turn = u.turn AND y.k > c.k AND y.share > 0 AND u.share >= y.begun) JOIN z ON z.k = c.k GROUP BY doc_id)
+SELECT e.doc_id, size, source_size, round(target, 6) AS target, size * rounds + rest AS taken, coalesce(p.positions, CAST([] AS DOUBLE[])) AS positions FROM e LEFT JOIN p ON e.doc_id = p.doc_id
+"""
+
+
 def queries():
     own = (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op4_canonical_digest, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
@@ -92,4 +132,4 @@ def queries():
 
 def oracle_sql():
     whole = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return whole | {"op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return whole | {"op1_curriculum_mix": OP1_SQL, "op10_setsketch_near_dedup": OP10_SQL, "op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
