@@ -51,12 +51,22 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(group == 0, 0).otherwise(first + below(F.slice(_numbers(bounds), first + 1, F.lit(step))))
 
 
+def _part(bucket: Column, key: Column, place: Column, bounds: list[int], parts: list[int]) -> Column:
+    """0, or for keys that are the bound of so many buckets a number from 1 on, rising with the hash place."""
+    if not parts:
+        return F.lit(0)
+    many = F.when(F.get(_numbers(bounds), bucket - 1) == key, F.get(_numbers(parts), bucket - 1)).otherwise(1)
+    share = F.floor((place / F.lit(2.0**64) + 0.5) * many)
+    return F.when(many > 1, F.least(share, many - 1) + 1).otherwise(0).cast("int")
+
+
 def with_next(rows: DataFrame, place: list[str], carried: list[str]) -> DataFrame:
     """rows (key, *place, *carried) with next_key and next_<c> for all others: the row that follows in falling order of keys,
     those of one key in the order of place; after the last row, the first.
 
-    Rows go to buckets of neighbouring keys, each ordered by itself; the first row of the bucket that follows is copied
-    into each bucket as its end. So the texts are shuffled once, and a task sorts one bucket."""
+    Rows go to buckets of neighbouring keys, each ordered by itself; a key that fills several (null ids do) has as many of
+    its own, by ranges of the first column of place, which must be a hash. The first row of the bucket that follows is
+    copied into each bucket as its end. So the texts are shuffled once, and a task sorts one bucket."""
     names = ["key", *place, *carried]
     narrow = rows.select("key", *place)
     n = narrow.count()
@@ -64,19 +74,21 @@ def with_next(rows: DataFrame, place: list[str], carried: list[str]) -> DataFram
         return rows.withColumns({f"next_{c}": F.col(c) for c in names})
     many = -(-n // max(BUCKET_ROWS, int(n**0.5)))
     shares = [i / many for i in range(1, many)]
-    bounds = sorted(set(narrow.agg(F.percentile_approx("key", shares, max(10_000, 4 * many)).alias("q")).first().q)) if shares else []
-    bucket = _bucket(F.col("key"), bounds).cast("int")
+    cuts = narrow.agg(F.percentile_approx("key", shares, max(10_000, 4 * many)).alias("q")).first().q if shares else []
+    bounds = sorted(set(cuts))
+    bucket = _bucket(F.col("key"), bounds).cast("int").alias("bucket")
+    part = _part(bucket, F.col("key"), F.col(place[0]), bounds, [cuts.count(x) for x in bounds] if len(bounds) < len(cuts) else []).alias("part")
     # A row a bucket, at most the root of the number of rows: its first row by key and place.
-    at = narrow.select(bucket.alias("bucket"), F.struct(F.bitwise_not("key").alias("k"), *place).alias("at"))
-    heads = materialize(at.groupBy("bucket").agg(F.min("at").alias("at")), "heads")
-    whole = W.partitionBy()
-    # The bucket below begins what follows; the highest bucket's head follows the lowest.
-    ends = heads.select(F.lag("bucket", -1).over(W.orderBy("bucket")).alias("up"), F.min("bucket").over(whole).alias("least"), F.max("bucket").over(whole).alias("most"), "bucket", "at")
-    ends = ends.select(F.when(F.col("bucket") == F.col("most"), F.col("least")).otherwise(F.col("up")).alias("bucket"), F.bitwise_not("at.k").alias("key"), *[F.col(f"at.{c}").alias(c) for c in place])
-    copies = rows.join(F.broadcast(ends), ["key", *place]).select(*names, "bucket", F.lit(1).alias("end"))
-    order = W.partitionBy("bucket").orderBy("end", F.desc("key"), *place)
-    both = rows.select(*names, bucket.alias("bucket"), F.lit(0).alias("end")).unionByName(copies)
-    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in names}).where("end = 0").drop("bucket", "end")
+    at = narrow.select(bucket, part, F.struct(F.bitwise_not("key").alias("k"), *place).alias("at"))
+    heads = materialize(at.groupBy("bucket", "part").agg(F.min("at").alias("at")), "heads")
+    # Each bucket's end is the head of the one that follows; the last one's is the first head.
+    falling = W.orderBy(F.desc("bucket"), "part")
+    before = lambda c: F.coalesce(F.lag(c).over(falling), F.last(c).over(falling.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    ends = heads.select(before("bucket").alias("bucket"), before("part").alias("part"), F.bitwise_not("at.k").alias("key"), *[F.col(f"at.{c}").alias(c) for c in place])
+    copies = rows.join(F.broadcast(ends), ["key", *place]).select(*names, "bucket", "part", F.lit(1).alias("end")).dropDuplicates(["bucket", "part"])  # one of rows alike
+    order = W.partitionBy("bucket", "part").orderBy("end", F.desc("key"), *place)
+    both = rows.select(*names, bucket, part, F.lit(0).alias("end")).unionByName(copies)
+    return both.withColumns({f"next_{c}": F.lead(c).over(order) for c in names}).where("end = 0").drop("bucket", "part", "end")
 
 
 def edited(text: Column, following: Column) -> Column:

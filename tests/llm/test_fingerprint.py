@@ -53,6 +53,24 @@ def test_buckets_of_ids(make_docs, monkeypatch):
     run(make_docs, [f"text {i % 50}" for i in range(200)])
 
 
+@pytest.mark.parametrize("hot", [-(2**63), 40, 2**63 - 1])
+def test_a_key_of_many_rows_has_buckets_of_its_own(spark, monkeypatch, hot):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(hot if i % 3 else rng.randrange(100), rng.randrange(-(2**63), 2**63) if i % 4 else 5, i // 12, f"t{i}") for i in range(400)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "key long, p long, q long, text string")
+    order = sorted(rows, key=lambda r: (-r[0], r[1], r[2]))
+    want = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
+    found = fingerprint.with_next(df, ["p", "q"], ["text"])
+    assert {tuple(r[:4]): (r.next_key, r.next_p, r.next_q, r.next_text) for r in found.collect()} == want and found.count() == len(rows)
+    bounds, parts = [0, hot] if hot > 0 else [hot, 0], [1, 20] if hot > 0 else [20, 1]
+    key, p = fingerprint.F.col("key"), fingerprint.F.col("p")
+    bucket = fingerprint._bucket(key, bounds)
+    sizes = df.groupBy(bucket.alias("b"), fingerprint._part(bucket, key, p, bounds, parts).alias("i")).count().collect()
+    assert max(r["count"] for r in sizes if r.i) < 130 and len({r.i for r in sizes}) == 21  # a quarter of the rows have one p
+
+
 @pytest.mark.parametrize("bits", [1, 128])
 def test_ids_that_repeat_or_miss(make_docs, bits):
     """Each row gives one row, and has the fingerprint of its own text."""
