@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, fingerprint, html_extract, langid, mixing, near, packing, quality, substring, warc
+from . import clustering, exact, fingerprint, html_extract, langid, mixing, near, packing, quality, substring, tokens, warc
 from .common import LOWER, UPPER, table
 
 
@@ -57,6 +57,16 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_plain_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.lloyd(table(spark, sf_dir, "embeddings"))
+
+
 _SHARES = ", ".join(f"({i}, {k}, {x!r}::DOUBLE)" for i, own in enumerate(mixing.phases(mixing.CURRICULUM, mixing.WEIGHTS)[1]) for k, x in enumerate(own))
 
 OP5_SQL = r"""
@@ -125,11 +135,26 @@ SELECT e.doc_id, size, source_size, round(target, 6) AS target, size * rounds +
 """
 
 
+def op12_sql() -> str:
+    """The rounds are spelt out: c0 to c3 are the centroids (c, x), a0 to a3 the vectors with their distances to each."""
+    steps = [f"""k AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda v: floor({clustering.STEPS} * v::DOUBLE)::BIGINT) AS x FROM embeddings
+WHERE len(embedding) = {clustering.DIMENSIONS} AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = {clustering.DIMENSIONS}),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT x, sha256(concat('{clustering.SEED}:', vec_id)) AS h FROM k ORDER BY h, x LIMIT {clustering.CLUSTERS}))"""]
+    for n in range(clustering.ROUNDS + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT i, vec_id, k.x, min((list_sum(list_transform(list_zip(k.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, m.c)) AS b FROM k CROSS JOIN c{n} AS m GROUP BY ALL)")
+        if n < clustering.ROUNDS:
+            steps.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(w.x, o.x) AS x FROM c{n} AS o LEFT JOIN (SELECT c, list(CAST(CASE WHEN s >= 0 THEN s // m ELSE -((m - 1 - s) // m) END AS BIGINT) ORDER BY d) AS x FROM (SELECT b[2] AS c, d, sum(v) AS s, count(*) AS m FROM (SELECT b, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS d FROM a{n}) GROUP BY ALL) GROUP BY c) AS w ON w.c = o.c)")
+    n = clustering.ROUNDS
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(b[2] AS INTEGER) AS cluster, b[1] AS distance, CAST(sum(b[1]) OVER (PARTITION BY b[2]) AS BIGINT) AS cluster_inertia, CAST(sum(b[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.x, ',')) AS centroid_sha256
+FROM a{n} JOIN c{n} AS z ON z.c = b[2]"""
+
+
 def queries():
-    own = (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op4_canonical_digest, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup)
+    own = (op1_curriculum_mix, op2_style_tree_extract, op3_kneser_ney_langid, op4_canonical_digest, op5_seed_and_extend, op6_order_preserving_packing, op7_warc_writer, op8_exact_dedup, op9_neighbour_quality, op10_setsketch_near_dedup, op11_pretoken_counts, op12_plain_lloyd)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
     whole = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return whole | {"op1_curriculum_mix": OP1_SQL, "op10_setsketch_near_dedup": OP10_SQL, "op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return whole | {"op1_curriculum_mix": OP1_SQL, "op10_setsketch_near_dedup": OP10_SQL, "op12_plain_lloyd": op12_sql(), "op5_seed_and_extend": OP5_SQL, "op7_warc_writer": OP7_SQL, "op8_exact_dedup": OP8_SQL}
