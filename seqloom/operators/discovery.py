@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from fractions import Fraction
+from math import comb, factorial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -12,25 +13,25 @@ from ..functions import reference_values as V
 from ..functions import sequence as S
 from . import hits, kmers, pwm
 
-KEY = ["grp", "end"]
+KEY = ["grp", "seq_id", "end"]
 WIDTH, STEP = 50_000, 5_000
 
 
 def end_windows(seqs: DataFrame, length: int, terminal: int, anchor: str = "TTGG") -> DataFrame:
-    """(grp, end, pos, window): anchored windows of both ends, positions from the end's begin; ends of short sequences overlap
-    and are counted twice."""
+    """(grp, seq_id, end, begin, length, pos, window): anchored windows of both ends of each sequence, with positions from
+    the end's begin and the sequence's length; ends of short sequences overlap and are counted twice."""
     n = F.length("seq")
-    left = seqs.select("seq_id", F.col("grp"), F.lit("left").alias("end"), F.substring("seq", F.lit(1), F.lit(terminal)).alias("seq"))
-    right = seqs.select("seq_id", F.col("grp"), F.lit("right").alias("end"), F.substring("seq", F.greatest(n - terminal, F.lit(0)) + 1, F.lit(terminal)).alias("seq"))
-    both = left.unionByName(right).withColumn("grp", F.struct("grp", "end"))
-    w = kmers.anchored_windows(both, length, anchor)
-    return w.select(F.col("grp.grp").alias("grp"), F.col("grp.end").alias("end"), "pos", "window")
+    begin = F.greatest(n - terminal, F.lit(0))
+    left = seqs.select("seq_id", F.struct("grp", F.lit("left").alias("end"), F.lit(0).alias("begin"), n.alias("length")).alias("grp"), F.substring("seq", F.lit(1), F.lit(terminal)).alias("seq"))
+    right = seqs.select("seq_id", F.struct("grp", F.lit("right").alias("end"), begin.alias("begin"), n.alias("length")).alias("grp"), F.substring("seq", begin + 1, F.lit(terminal)).alias("seq"))
+    return kmers.anchored_windows(left.unionByName(right), length, anchor).select("grp.grp", "seq_id", "grp.end", "grp.begin", "grp.length", "pos", "window")
 
 
 def refine_anchored(windows: DataFrame, seeds: DataFrame, rounds: int = 3, near: int = 2, core: int = 12, least: int = 10, keep_score: float = 4.8, width: int = WIDTH, step: int = STEP) -> DataFrame:
-    """Anchored discovery for all (grp, end) at once: (grp, end, w0, motif, copies, period, downstream_bits, score).
+    """Anchored discovery for both ends of all sequences at once: (grp, seq_id, end, w0, from_end_kb, motif, copies, period,
+    downstream_bits, score), w0 from the sequence's begin.
 
-    windows: (grp, end, pos, window); seeds: (grp, seed). Windows near the seed locate the densest span; the windows of that
+    windows: as of :func:`end_windows`; seeds: (grp, seed). Positions of different sequences never meet. Windows near the seed locate the densest span; the windows of that
     span with a framework are the pool, and keys with fewer than ``least`` are left out. The first matrix is of the near
     windows in the pool, or of the pool where there are none; each round scores the pool and keeps the windows above
     ``keep_score``, or, where fewer than ``least`` pass, the best max(20, first set) by score, window and position. The
@@ -44,7 +45,7 @@ def refine_anchored(windows: DataFrame, seeds: DataFrame, rounds: int = 3, near:
     big = pool.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pool_n"), F.count_if("near").alias("near_n")).where(F.col("pool_n") >= least)
     pool = pool.join(big, KEY).withColumn("first", F.when(F.col("near_n") > 0, F.col("near")).otherwise(F.lit(True)))
     pool = pool.withColumn("n_seed", F.when(F.col("near_n") > 0, F.col("near_n")).otherwise(F.col("pool_n")))
-    pool = pool.select(*KEY, "pos", "window", "w0", "first", "n_seed").checkpoint()
+    pool = pool.select(*KEY, "begin", "length", "pos", "window", "w0", "first", "n_seed").checkpoint()
     kept = pool.where("first").select(*KEY, "pos", "window")
     for _ in range(rounds):
         matrix = pwm.from_windows(kept, KEY)
@@ -59,8 +60,9 @@ def refine_anchored(windows: DataFrame, seeds: DataFrame, rounds: int = 3, near:
     out = out.join(hits.median_gap(kept, KEY, "pos"), KEY).withColumnRenamed("n", "copies")
     out = out.join(pwm.bits(matrix, KEY, 4).withColumn("downstream_bits", F.round("bits", 1)).drop("bits"), KEY)
     out = out.where(~S.low_complexity(F.substring("motif", 1, core)) & ~F.coalesce(F.col("period") < 15, F.lit(False)))
-    out = out.join(pool.groupBy(*KEY).agg(F.first("w0").alias("w0")), KEY)
-    return out.withColumn("score", F.col("downstream_bits") * F.log1p("copies")).select(*KEY, "w0", "motif", "copies", "period", "downstream_bits", "score")
+    place = F.col("begin") + F.col("w0")
+    at = pool.groupBy(*KEY).agg(F.first(place).alias("w0"), F.first(F.round(F.least(place, F.col("length") - place) / 1000)).cast("int").alias("from_end_kb"))
+    return out.join(at, KEY).withColumn("score", F.col("downstream_bits") * F.log1p("copies")).select(*KEY, "w0", "from_end_kb", "motif", "copies", "period", "downstream_bits", "score")
 
 
 def _small(df: DataFrame, most: int = 1 << 20) -> bool:
@@ -69,45 +71,74 @@ def _small(df: DataFrame, most: int = 1 << 20) -> bool:
 
 
 def best_end(found: DataFrame) -> DataFrame:
-    """The end of each group with the better score; left wins ties."""
-    return kmers.top_per_group(found, ["grp"], [F.desc("score"), "end"], 1).drop("rank")
+    """The end of each sequence with the better score; left wins ties."""
+    return kmers.top_per_group(found, ["grp", "seq_id"], [F.desc("score"), "end"], 1).drop("rank")
+
+
+def end_hits(seqs: DataFrame, candidates: DataFrame, k: int, terminal: int) -> DataFrame:
+    """(grp, kmer, seq_id, end, pos): exact hits of each candidate (grp, kmer), on either strand, in both ends of its group's
+    sequences, from the sequence's begin. A candidate that is its own reverse complement hits a place twice."""
+    pieces = kmers.end_pieces(seqs.withColumn("seq_id", F.struct("seq_id", (F.length("seq") - terminal).alias("begin"))), k, terminal)
+    w = kmers.known(kmers.windows(pieces, k, ["grp", "seq_id", "end"])).withColumn("kmer", S.canonical_kmer(F.col("kmer")))
+    wanted = candidates.select("grp", "kmer", F.explode(F.when(F.col("kmer") == S.reverse_complement(F.col("kmer")), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_strand"))
+    found = w.join(F.broadcast(wanted) if _small(wanted) else wanted, ["grp", "kmer"])
+    return found.select("grp", "kmer", "seq_id.seq_id", "end", (F.col("pos") + F.when(F.col("end") == "right", F.col("seq_id.begin")).otherwise(0)).alias("pos"))
 
 
 def located(seqs: DataFrame, candidates: DataFrame, k: int, terminal: int, width: int = WIDTH, step: int = STEP, least: int = 5) -> DataFrame:
-    """(grp, kmer, end, w0, n): where the exact hits of each candidate (grp, kmer), on either strand, are densest in the ends
-    of its group's sequences; positions from an end's begin. Candidates without a window of ``least`` hits are left out."""
-    pieces = kmers.end_pieces(seqs, k, terminal)
-    w = kmers.known(kmers.windows(pieces, k, ["grp", "end"])).withColumn("kmer", S.canonical_kmer(F.col("kmer")))
-    wanted = candidates.select("grp", "kmer")
-    found = w.join(F.broadcast(wanted) if _small(wanted) else wanted, ["grp", "kmer"]).select("grp", "kmer", "end", "pos")
-    return hits.densest_window_or_none(found, ["grp", "kmer"], "end", "pos", least, width, step)
+    """(grp, kmer, seq_id, end, w0, n): where the exact hits of each candidate (grp, kmer) are densest in an end of a sequence
+    of its group, w0 from the sequence's begin. Ties go to the smaller seq_id, then to the left end. Candidates without a
+    window in an end of ``least`` hits are left out."""
+    found = end_hits(seqs, candidates, k, terminal).withColumn("place", F.struct("seq_id", "end"))
+    return hits.densest_window_or_none(found, ["grp", "kmer"], "place", "pos", least, width, step).select("grp", "kmer", "place.seq_id", "place.end", "w0", "n")
+
+
+def region_windows(seqs: DataFrame, seeds: DataFrame, length: int, width: int = WIDTH) -> DataFrame:
+    """(grp, seq_id, pos, window): windows of ``length`` letters, free of N, of the ``width`` letters from each seed's start
+    (grp, seq_id, start). The region is cut out before windows are made; its last window is never visited."""
+    cut = seqs.join(F.broadcast(seeds) if _small(seeds) else seeds, ["grp", "seq_id"]).select("grp", F.struct("seq_id", "start").alias("seq_id"), F.substring("seq", (F.col("start") + 1).cast("int"), F.lit(width)).alias("seq"))
+    w = kmers.known(kmers.windows(cut, length)).where(F.col("pos") < F.col("length") - length)
+    return w.select("grp", "seq_id.seq_id", (F.col("pos") + F.col("seq_id.start")).alias("pos"), F.col("kmer").alias("window"))
 
 
-def refine_free(windows: DataFrame, seeds: DataFrame, length: int, most: int = 3, least: int = 8, width: int = WIDTH) -> DataFrame:
+def refine_free(windows: DataFrame, seeds: DataFrame, length: int, most: int = 3, least: int = 8) -> DataFrame:
     """Anchor-free refinement for all groups at once: (grp, motif, copies, period, info_bits).
 
-    windows: (grp, pos, last, window) of the seed's length on the forward strand, where last is the position that is never
-    visited; seeds: (grp, seed, start). In each group's span, windows within ``most`` mismatches count as they are, or
-    else reversed. From at least ``least``, a matrix; those that score above 0.2 a letter, or all, make a second one,
-    which is cut to the columns of at least 0.15 bits. The period is that of all windows, kept or not."""
-    j = windows.join(seeds, "grp").where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + width) & (F.col("pos") < F.col("last")))
+    windows: as of :func:`region_windows`, in upper case; seeds: (grp, seed), one a group. Windows within ``most`` mismatches
+    count as they are, or else reversed. From at least ``least``, a matrix; those that score above 0.2 a letter, or all, make
+    a second one, which is cut to the columns of at least 0.15 bits. The period is that of all windows, kept or not."""
+    j = windows.join(F.broadcast(seeds) if _small(seeds) else seeds, "grp")
     rc = S.reverse_complement(F.col("window"))
     word = F.when(S.hamming(F.col("window"), F.col("seed")) <= most, F.col("window")).when(S.hamming(rc, F.col("seed")) <= most, rc)
     j = j.withColumn("window", word).where("window is not null")
     enough = j.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("grp")
     j = j.join(enough, "grp", "left_semi").select("grp", "pos", "window").checkpoint()
     scored = pwm.score_windows(j, pwm.from_windows(j, ["grp"]), ["grp"], [])
-    scored = scored.withColumn("n_keep", F.count_if(F.col("score") > 0.2 * length).over(W.partitionBy("grp")))
-    kept = scored.where((F.col("score") > 0.2 * length) | (F.col("n_keep") == 0)).select("grp", "pos", "window")
+    passing = scored.groupBy("grp").agg(F.count_if(F.col("score") > 0.2 * length).alias("n_keep"))
+    kept = scored.join(passing, "grp").where((F.col("score") > 0.2 * length) | (F.col("n_keep") == 0)).select("grp", "pos", "window")
     m = pwm.from_windows(kept, ["grp"]).withColumn("ic", S.information(*[F.col(b) for b in pwm.ACGT]))
-    edge = m.where(F.col("ic") >= 0.15).groupBy("grp").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    m = m.join(edge, "grp").where(F.col("pos").between(F.col("lo"), F.col("hi")))
+    edge = m.groupBy("grp").agg(F.min(F.when(F.col("ic") >= 0.15, F.col("pos"))).alias("lo"), F.max(F.when(F.col("ic") >= 0.15, F.col("pos"))).alias("hi"))
+    m = m.join(edge, "grp").where(F.coalesce(F.col("pos").between(F.col("lo"), F.col("hi")), F.lit(True)))
     out = pwm.consensus(m, ["grp"]).withColumnRenamed("consensus", "motif")
     out = out.join(kept.groupBy("grp").agg(F.count(F.lit(1)).alias("copies")), "grp")
     out = out.join(hits.median_gap(j, ["grp"], "pos").select("grp", "period"), "grp")
     return out.join(m.groupBy("grp").agg(F.round(F.sum("ic"), 1).alias("info_bits")), "grp")
 
 
+def anchor_free(seqs: DataFrame, k: int, terminal: int, interior: int, top: int = 60, min_count: int = 10, most: int = 3, width: int = WIDTH, step: int = STEP) -> DataFrame:
+    """(grp, seq_id, end, start, seed, motif, copies, period, info_bits): the whole anchor-free run, a row a group that has a
+    motif. The candidates most enriched at the ends, the densest window of each one's hits in one end of one sequence, the
+    most specific candidate that has a window, refined from there. The session needs a checkpoint folder."""
+    ends = kmers.end_counts(seqs, k, terminal).checkpoint()
+    # Every candidate is ranked by a rounded enrichment, so that ties are ties whatever the order of sums.
+    every = kmers.enriched_vs_interior(ends, kmers.interior_counts(seqs, k, interior), 1 << 30, min_count).drop("rank").withColumn("enrichment", F.round("enrichment", 9))
+    cand = kmers.top_per_group(every, ["grp"], [F.desc("enrichment"), F.desc("kmer")], top).drop("rank")
+    cand = cand.join(kmers.specificity(ends).drop("n"), ["grp", "kmer"]).checkpoint()
+    seeds = select_specific(cand, located(seqs, cand, k, terminal, width, step).drop("n")).select("grp", "seq_id", "end", F.col("kmer").alias("seed"), F.col("w0").alias("start")).checkpoint()
+    w = region_windows(seqs.withColumn("seq", F.upper("seq")), seeds.select("grp", "seq_id", "start"), k, width)
+    return seeds.join(refine_free(w, seeds.select("grp", "seed"), k, most), "grp")
+
+
 def select_specific(candidates: DataFrame, windows_found: DataFrame) -> DataFrame:
     """The most specific candidate (grp, kmer, enrichment, specificity) that has a window (grp, kmer, ...); ties to the more
     enriched."""
@@ -191,15 +222,48 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
 
 def permutation_null(pairs: DataFrame, observed: int | None = None) -> DataFrame:
     """(n, matches, mean_null, p_value): how often a random assignment of the expected labels matches the predicted ones as
-    often as the true one does. pairs: (predicted, expected), at most 8 rows; all orders are enumerated, none is drawn."""
-    rows = [(r["predicted"], r["expected"]) for r in pairs.select("predicted", "expected").limit(9).collect()]
-    if len(rows) > 8:
-        raise ValueError("too many rows to enumerate")
-    n = len(rows)
-    spark = pairs.sparkSession
-    perms = spark.createDataFrame([(i, list(p)) for i, p in enumerate(permutations(range(n)))], "perm long, at array<int>")
-    predicted, expected = (F.array(*[F.lit(r[k]) for r in rows]) for k in (0, 1))
-    count = lambda at: F.aggregate(F.transform(at, lambda e, i: (F.get(predicted, i) == F.get(expected, e)).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    seen = sum(p == e for p, e in rows) if observed is None else observed
-    d = perms.withColumn("m", count(F.col("at")))
-    return d.agg(F.lit(n).cast("long").alias("n"), F.lit(seen).cast("long").alias("matches"), F.avg("m").alias("mean_null"), F.avg((F.col("m") >= seen).cast("double")).alias("p_value"))
+    often as the true one does, exactly. pairs: (predicted, expected), any number of rows; null matches null.
+
+    Only the labels' counts matter: a label that a rows predict and b rows expect is an a x b board, on which k rooks that
+    attack none other stand in C(a, k) C(b, k) k! ways. The boards' polynomials multiply; k rooks in r_k ways, and any order of
+    the other n - k rows, give by inclusion and exclusion the orders with exactly m matches:
+    sum over k of (-1)^(k - m) C(k, m) r_k (n - k)!. Whole numbers throughout; what comes to the driver is a row a label that
+    both sides have. The product is taken by halves, so its cost is that of multiplying numbers of n digits. No rows: no
+    matches, so every order has as many."""
+    seen = pairs.where(F.col("predicted").eqNullSafe(F.col("expected"))).count() if observed is None else observed
+    n = pairs.count()
+    side = lambda c, name: pairs.groupBy(F.col(c).alias("label")).agg(F.count(F.lit(1)).alias(name))
+    a, b = side("predicted", "a"), side("expected", "b")
+    boards = a.join(b, a["label"].eqNullSafe(b["label"])).select("a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).collect()
+    r = rooks([(x.a, x.b) for x in boards for _ in range(x.times)])
+    orders = factorial(n)
+    at_least = sum(_matches(r, n, seen)) if seen > 0 else orders
+    mean = Fraction(r[1] * factorial(n - 1), orders) if n and len(r) > 1 else Fraction(0)
+    return pairs.sparkSession.createDataFrame([(n, seen, float(mean), float(Fraction(at_least, orders)))], "n long, matches long, mean_null double, p_value double")
+
+
+def rooks(boards: list[tuple[int, int]]) -> list[int]:
+    """The rook polynomial of disjoint boards of a x b squares: ways of 0, 1, 2... rooks."""
+    made = [[comb(a, k) * comb(b, k) * factorial(k) for k in range(min(a, b) + 1)] for a, b in boards] or [[1]]
+    while len(made) > 1:
+        made = [_product(*made[i : i + 2]) for i in range(0, len(made), 2)]
+    return made[0]
+
+
+def _product(p: list[int], q: list[int] | None = None) -> list[int]:
+    """Coefficients of p q, read off one product of two long numbers; those are not negative."""
+    if q is None:
+        return p
+    width = (max(p) * max(q) * min(len(p), len(q))).bit_length() // 8 + 1
+    pack = lambda c: int.from_bytes(b"".join(x.to_bytes(width, "little") for x in c), "little")
+    size = len(p) + len(q) - 1
+    raw = (pack(p) * pack(q)).to_bytes(width * (size + 1), "little")
+    return [int.from_bytes(raw[width * i : width * (i + 1)], "little") for i in range(size)]
+
+
+def _matches(r: list[int], n: int, least: int):
+    """Signed terms that sum to the orders with at least ``least`` matches: k rooks count (-1)^(k - least) C(k - 1, least - 1)."""
+    left = factorial(n - least) if least <= n else 0
+    for k in range(least, len(r)):
+        yield (-1) ** (k - least) * comb(k - 1, least - 1) * r[k] * left
+        left = left // (n - k) if n > k else 0

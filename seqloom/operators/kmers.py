@@ -123,29 +123,59 @@ def anchored_windows(seqs: DataFrame, length: int = 16, anchor: str = "TTGG") ->
     return known(fwd.unionByName(rev), "window")
 
 
-#: Patterns that a scan takes: they are broadcast.
-PATTERNS = 10_000
+#: Patterns that a scan takes: they go to every task. Hits that a task gathers before it passes them on.
+PATTERNS, HITS = 10_000, 50_000
+
+
+def opposite(motif: str) -> str:
+    """Reverse complement in upper case; anything but A, C, G and T becomes N."""
+    return "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(c, "N") for c in reversed(motif.upper()))
 
 
 def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> DataFrame:
     """(seq_id, grp, name, motif, position, strand): exact hits of patterns (name, motif), overlapping ones too; a
     palindrome is reported on both strands. Positions are starts on the forward strand.
 
-    Both strands of a pattern are rows of a small table that joins the windows of its length."""
-    spark = seqs.sparkSession
-    pats = [(r["name"], r["motif"]) for r in patterns.select("name", "motif").limit(PATTERNS + 1).collect()]
-    if len(pats) > PATTERNS:
+    One automaton with failure links holds both strands of all patterns, whatever their lengths; it reads each sequence
+    once and only hits leave it. Null sequences and empty motifs have no hits; repeated patterns are reported each."""
+    found = patterns.where("length(motif) > 0").select("name", "motif").limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} patterns")
-    comp = str.maketrans("ACGTN", "TGCAN")
-    rows = [(n, m, s, p.upper()) for n, m in pats for s, p in (("+", m), ("-", "".join(c if c in "ACGTN" else "N" for c in m.upper()).translate(comp)[::-1]))]
-    both = spark.createDataFrame(rows, "name string, motif string, strand string, pattern string")
-    out = None
-    up = seqs.where(F.length("seq") >= min_length).withColumn("seq", F.upper("seq"))
-    for k in sorted({len(m) for _, m in pats}):
-        hit = windows(up, k).join(F.broadcast(both.where(F.length("motif") == k)), F.col("kmer") == F.col("pattern"))
-        hit = hit.select("seq_id", "grp", "name", "motif", F.col("pos").alias("position"), "strand")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    words: dict[str, list[tuple]] = {}
+    for name, motif in found:
+        words.setdefault(motif.upper(), []).append((name, motif, "+"))
+        words.setdefault(opposite(motif), []).append((name, motif, "-"))
+    seq_id, grp = (seqs.schema[c].dataType.simpleString() for c in ("seq_id", "grp"))
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for word, meant in words.items():
+            automaton.add_word(word, (len(word), meant))
+        automaton.make_automaton()
+
+        def rows(batch, at, hits):
+            names, motifs, places, strands = zip(*hits)
+            where = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(names, pa.string()), pa.array(motifs, pa.string()), pa.array(places, pa.int64()), pa.array(strands, pa.string())], ["seq_id", "grp", "name", "motif", "position", "strand"])
+
+        for batch in batches if words else ():
+            at, hits = [], []
+            for i, seq in enumerate(batch.column(2).to_pylist()):
+                for last, (size, meant) in automaton.iter(seq):
+                    for name, motif, strand in meant:
+                        at.append(i)
+                        hits.append((name, motif, last - size + 1, strand))
+                    if len(at) >= HITS:
+                        yield rows(batch, at, hits)
+                        at, hits = [], []
+            if at:
+                yield rows(batch, at, hits)
+
+    up = seqs.where((F.length("seq") >= min_length) & F.col("seq").isNotNull()).select("seq_id", "grp", F.upper("seq").alias("seq"))
+    return up.mapInArrow(run, f"seq_id {seq_id}, grp {grp}, name string, motif string, position long, strand string")
 
 
 def near_windows(w: DataFrame, core: str, most: int, column: str = "window") -> DataFrame:

@@ -639,11 +639,18 @@ def drift_sheet(spark, d):
     return discovery.compare_runs(D.paralogs(spark, d), D.free_run(spark, d), t)
 
 
-@query(f"WITH {D.PARALOGS_SQL}, {D.anchored_sql('q', 0)}, p AS (SELECT row_number() OVER (ORDER BY copies DESC, chromosome) - 1 AS i, ce_paralog AS predicted, paralog AS expected FROM q JOIN para USING (chromosome) ORDER BY copies DESC, chromosome LIMIT 6), x AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e, f.i AS f FROM p a, p b, p c, p d, p e, p f WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i, f.i])) = 6), l AS (SELECT list(predicted ORDER BY i) AS p, list(expected ORDER BY i) AS e FROM p), m AS (SELECT (p[1] = l.e[x.a + 1])::INT + (p[2] = l.e[x.b + 1])::INT + (p[3] = l.e[x.c + 1])::INT + (p[4] = l.e[x.d + 1])::INT + (p[5] = l.e[x.e + 1])::INT + (p[6] = l.e[x.f + 1])::INT AS m FROM x, l) SELECT 6::BIGINT AS n, (SELECT count(*) FROM p WHERE predicted = expected) AS matches, round(avg(m), 6) AS mean_null, round(avg((m >= (SELECT count(*) FROM p WHERE predicted = expected))::INT), 6) AS p_value FROM m")
+@query(f"""WITH RECURSIVE {D.PARALOGS_SQL}, {D.anchored_sql('q', 0)}, p AS (SELECT concat(ce_paralog, '/', s_nationkey % 5) AS predicted, concat(paralog, '/', s_suppkey % 5) AS expected FROM q JOIN para USING (chromosome) JOIN supplier ON s_suppkey = q.k),
+tot AS (SELECT count(*) AS n, count(*) FILTER (predicted = expected) AS seen FROM p),
+bd AS (SELECT row_number() OVER (ORDER BY predicted) AS i, a, b FROM (SELECT predicted, count(*) AS a FROM p GROUP BY ALL) JOIN (SELECT expected, count(*) AS b FROM p GROUP BY ALL) ON predicted = expected),
+po AS (SELECT i, unnest(range(0, least(a, b) + 1)) AS k, a, b FROM bd), ro AS (SELECT i, k, exp(lgamma(a + 1) - lgamma(a - k + 1) + lgamma(b + 1) - lgamma(b - k + 1) - lgamma(k + 1)) AS ways FROM po),
+pr AS (SELECT 0::BIGINT AS i, 0::BIGINT AS k, 1::DOUBLE AS ways UNION ALL SELECT pr.i + 1, pr.k + ro.k, sum(pr.ways * ro.ways) FROM pr JOIN ro ON ro.i = pr.i + 1 GROUP BY 1, 2),
+r AS (SELECT k, ways * exp(lgamma(n - k + 1) - lgamma(n + 1)) AS e FROM pr, tot WHERE i = (SELECT count(*) FROM bd))
+SELECT n, seen AS matches, round(coalesce((SELECT e FROM r WHERE k = 1), 0), 6) AS mean_null, round(CASE WHEN seen = 0 THEN 1.0 ELSE coalesce((SELECT sum(CASE WHEN (k - seen) % 2 = 0 THEN e ELSE -e END * exp(lgamma(k) - lgamma(seen) - lgamma(k - seen + 1))) FROM r WHERE k >= seen), 0) END, 6) AS p_value FROM tot""")
 def permutation_null(spark, d):
-    """Of the six chromosomes with most copies: as many as the test enumerates."""
-    p = D.anchored_run(spark, d, 0).join(D.paralogs(spark, d), "chromosome").orderBy(F.desc("copies"), "chromosome").limit(6)
-    r = discovery.permutation_null(p.select(F.col("ce_paralog").alias("predicted"), F.col("paralog").alias("expected")))
+    """Over all suppliers: the known name and a fifth of the nations, as an anchored run has them and as they are expected."""
+    s = D.table(spark, d, "supplier").select(F.concat(F.lit("C"), "s_suppkey").alias("chromosome"), (F.col("s_nationkey") % 5).alias("nation"), (F.col("s_suppkey") % 5).alias("fifth"))
+    p = D.anchored_run(spark, d, 0).join(D.paralogs(spark, d), "chromosome").join(s, "chromosome")
+    r = discovery.permutation_null(p.select(F.concat_ws("/", "ce_paralog", "nation").alias("predicted"), F.concat_ws("/", "paralog", "fifth").alias("expected")))
     return r.select("n", "matches", r6(F.col("mean_null")).alias("mean_null"), r6(F.col("p_value")).alias("p_value"))
 
 
@@ -743,35 +750,55 @@ def gene_tree(spark, d):
 
 @query()
 def anchored_discovery(spark, d):
+    """The better end of each sequence in which the motif of its source's seed is found."""
     seqs = D.dna(spark, d).where(F.length("seq") >= 12)
     w = discovery.end_windows(seqs, 12, 3_000_000)
     seeds = kmers.top_seed(seqs, 12, 3_000_000).select("grp", "seed")
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+    _with_checkpoints(spark)
     return discovery.best_end(discovery.refine_anchored(w, seeds))
 
 
+#: Scaled to ends of T letters as the operator's 50,000 and 5,000 are to its ends of two million.
 FREE_WIDTH, FREE_STEP = 100, 10
+#: Mismatches of a window with its seed of K letters.
+FREE_NEAR = 2
+#: Candidates of each source with the densest window of each one's hits, and the most specific of those with a window.
+CANDIDATES = f"""{INNER}, x AS (SELECT te.grp, te.kmer, te.n, (te.n / sum(te.n) OVER (PARTITION BY te.grp)) AS share, te.n / sum(te.n) OVER (PARTITION BY te.kmer) AS specificity FROM te), mt AS (SELECT grp, sum(n) AS tot FROM mid GROUP BY grp),
+y AS (SELECT x.grp, x.kmer, specificity, round(share / ((coalesce(mid.n, 0) + 1) / greatest(coalesce(mt.tot, 1), 1)), 9) AS enrichment FROM x LEFT JOIN mid ON x.grp = mid.grp AND x.kmer = mid.kmer LEFT JOIN mt ON x.grp = mt.grp WHERE x.n >= 3 AND NOT {low_sql('x.kmer')}),
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY enrichment DESC, kmer DESC) AS rank FROM y) WHERE rank <= 60),
+h AS (SELECT c.grp, c.kmer, seq_id, CASE WHEN pos + {K} <= {T} THEN 'left' ELSE 'right' END AS e, pos FROM c JOIN z ON c.grp = z.grp AND c.kmer = z.kmer, (SELECT unnest([1, 2]) AS strand) WHERE length >= {2 * T} AND (pos + {K} <= {T} OR pos >= length - {T}) AND (strand = 1 OR c.kmer = {rc('c.kmer')})),
+m AS (SELECT grp, kmer, seq_id, e, min(pos) AS mn, max(pos) AS mx FROM h GROUP BY ALL HAVING count(*) >= 5), j AS (SELECT *, unnest(range(0, greatest((mx - mn - {FREE_WIDTH}) // {FREE_STEP} + 1, 0))) AS j FROM m),
+n AS (SELECT j.grp, j.kmer, j.seq_id, j.e, mn + j * {FREE_STEP} AS w0, count(*) AS n FROM j JOIN h ON j.grp = h.grp AND j.kmer = h.kmer AND j.seq_id = h.seq_id AND j.e = h.e AND pos >= mn + j * {FREE_STEP} AND pos < mn + j * {FREE_STEP} + {FREE_WIDTH} WHERE mn + j * {FREE_STEP} <= mx - {FREE_WIDTH} GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, kmer ORDER BY n DESC, seq_id, e, w0) AS r FROM n) WHERE r = 1),
+seed AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.grp ORDER BY specificity DESC, enrichment DESC, b.kmer DESC) AS place FROM b JOIN z ON b.grp = z.grp AND b.kmer = z.kmer) WHERE place = 1)"""
+
+
+def matrix_sql(words):
+    """(grp, i, a, c, g, t, bits): weights of the columns of words (grp, word)."""
+    p = {x: f"(count(*) FILTER (substring(word, i, 1) = '{x.upper()}') + 0.5) / (count(*) + 2)" for x in pwm.ACGT}
+    return f"(SELECT *, 2 + a * log2(a) + c * log2(c) + g * log2(g) + t * log2(t) AS bits FROM (SELECT grp, i, {', '.join(f'{v} AS {x}' for x, v in p.items())} FROM {words}, (SELECT unnest(range(1, {K + 1})) AS i) GROUP BY grp, i))"
+
+
+@query(f"""WITH {CANDIDATES}, g AS (SELECT seed.grp, seed.kmer, w0, substring(seq, w0 + 1, {FREE_WIDTH}) AS region FROM seed JOIN lng ON seed.seq_id = lng.seq_id),
+rw AS (SELECT grp, kmer, w0 + i AS pos, substring(region, i + 1, {K}) AS word FROM (SELECT *, unnest(range(0, length(region) - {K})) AS i FROM g)),
+nw AS (SELECT grp, pos, CASE WHEN {hamming_sql('word', 'kmer', K)} <= {FREE_NEAR} THEN word WHEN {hamming_sql(rc('word'), 'kmer', K)} <= {FREE_NEAR} THEN {rc('word')} END AS word FROM rw WHERE word NOT LIKE '%N%'),
+inst AS (SELECT * FROM nw WHERE word IS NOT NULL AND grp IN (SELECT grp FROM nw WHERE word IS NOT NULL GROUP BY grp HAVING count(*) >= 8)),
+m1 AS {matrix_sql('inst')}, sc AS (SELECT inst.grp, pos, word, sum(log2(CASE substring(word, i, 1) WHEN 'A' THEN a WHEN 'C' THEN c WHEN 'G' THEN g ELSE t END / 0.25)) AS score FROM inst JOIN m1 ON inst.grp = m1.grp GROUP BY ALL),
+kept AS (SELECT * FROM (SELECT *, count(*) FILTER (score > {0.2 * K}) OVER (PARTITION BY grp) AS nk FROM sc) WHERE score > {0.2 * K} OR nk = 0),
+m2 AS {matrix_sql('kept')}, ed AS (SELECT grp, min(i) FILTER (bits >= 0.15) AS lo, max(i) FILTER (bits >= 0.15) AS hi FROM m2 GROUP BY grp),
+core AS (SELECT m2.*, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS base FROM m2 JOIN ed ON m2.grp = ed.grp AND coalesce(i BETWEEN lo AND hi, true)),
+mo AS (SELECT grp, string_agg(base, '' ORDER BY i) AS motif, round(sum(bits), 1) AS info_bits FROM core GROUP BY grp),
+pe AS (SELECT grp, CASE WHEN count(*) >= 3 THEN CAST(floor(median(gap)) AS BIGINT) END AS period FROM (SELECT grp, pos - lag(pos) OVER (PARTITION BY grp ORDER BY pos) AS gap FROM inst) GROUP BY grp)
+SELECT seed.grp, seed.seq_id, e AS "end", w0 AS start, kmer AS seed, motif, (SELECT count(*) FROM kept WHERE kept.grp = seed.grp) AS copies, period, info_bits FROM seed JOIN mo ON seed.grp = mo.grp JOIN pe ON seed.grp = pe.grp""")
+def anchor_free_discovery(spark, d):
+    """The most specific candidate of each source, refined in the densest window of its hits."""
+    _with_checkpoints(spark)
+    return discovery.anchor_free(long_dna(spark, d), K, T, T, 60, 3, FREE_NEAR, FREE_WIDTH, FREE_STEP)
 
 
-@query()
-def anchor_free_discovery(spark, d):
-    """Candidates of both ends, the densest window of each one's exact hits, the most specific that has a window, refined
-    from there."""
-    seqs = long_dna(spark, d)
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_checkpoints(spark))
-    ends = kmers.end_counts(seqs, K, T).checkpoint()
-    cand = kmers.enriched_vs_interior(ends, kmers.interior_counts(seqs, K, T), 60, 3).join(kmers.specificity(ends).drop("n"), ["grp", "kmer"]).checkpoint()
-    located = discovery.located(seqs, cand, K, T, FREE_WIDTH, FREE_STEP)
-    seeds = discovery.select_specific(cand, located).select("grp", F.col("kmer").alias("seed"), F.col("w0").alias("start"))
-    w = kmers.windows(seqs, K).select("grp", "pos", (F.col("length") - K).alias("last"), F.col("kmer").alias("window"))
-    return discovery.refine_free(w, seeds, K, 1, width=FREE_WIDTH)
-
-
-@query(f"WITH {INNER}, x AS (SELECT te.grp, te.kmer, te.n, (te.n / sum(te.n) OVER (PARTITION BY te.grp)) AS share FROM te), mt AS (SELECT grp, sum(n) AS tot FROM mid GROUP BY grp), y AS (SELECT x.grp, x.kmer, x.n, share / ((coalesce(mid.n, 0) + 1) / greatest(coalesce(mt.tot, 1), 1)) AS enrichment FROM x LEFT JOIN mid ON x.grp = mid.grp AND x.kmer = mid.kmer LEFT JOIN mt ON x.grp = mt.grp WHERE x.n >= 3 AND NOT {low_sql('x.kmer')}), z AS (SELECT grp, kmer FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(enrichment, 9) DESC, kmer DESC) AS rank FROM y) WHERE rank <= 60), "
-       f"h AS (SELECT c.grp, c.kmer, CASE WHEN pos + {K} <= {T} THEN 'left' ELSE 'right' END AS e, CASE WHEN pos + {K} <= {T} THEN pos ELSE pos - length + {T} END AS pos FROM c JOIN z ON c.grp = z.grp AND c.kmer = z.kmer WHERE length >= {2 * T} AND (pos + {K} <= {T} OR pos >= length - {T})), "
-       f"m AS (SELECT grp, kmer, e, min(pos) AS mn, max(pos) AS mx FROM h GROUP BY ALL HAVING count(*) >= 5), j AS (SELECT *, unnest(range(0, greatest((mx - mn - {FREE_WIDTH}) // {FREE_STEP} + 1, 0))) AS j FROM m), n AS (SELECT j.grp, j.kmer, j.e, mn + j * {FREE_STEP} AS w0, count(*) AS n FROM j JOIN h ON j.grp = h.grp AND j.kmer = h.kmer AND j.e = h.e AND pos >= mn + j * {FREE_STEP} AND pos < mn + j * {FREE_STEP} + {FREE_WIDTH} WHERE mn + j * {FREE_STEP} <= mx - {FREE_WIDTH} GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY grp, kmer ORDER BY n DESC, e, w0) AS r FROM n) SELECT grp, kmer, e AS \"end\", w0, n FROM b WHERE r = 1")
+@query(f'WITH {CANDIDATES} SELECT grp, kmer, seq_id, e AS "end", w0, n FROM b')
 def located_candidates(spark, d):
-    """The densest window of each candidate's hits, within the end that has it."""
+    """The densest window of each candidate's hits, within the end of the sequence that has it."""
     seqs = long_dna(spark, d)
     e = kmers.enriched_vs_interior(kmers.end_counts(seqs, K, T), kmers.interior_counts(seqs, K, T), 1 << 30, 3)
     cand = kmers.top_per_group(e.drop("rank").withColumn("enrichment", F.round("enrichment", 9)), ["grp"], [F.desc("enrichment"), F.desc("kmer")], 60)
@@ -971,6 +998,11 @@ def _checkpoints(spark):
     return there or "file://" + tempfile.mkdtemp(prefix="seqloom-")
 
 
+def _with_checkpoints(spark):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_checkpoints(spark))
+
+
 def queries():
     return dict(_Q)
 
