@@ -21,16 +21,60 @@ def density(hits: DataFrame, keys: list[str], pos: str, bin_size: int, lo: int =
     return hits.groupBy(*keys, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Bits of a position that one task orders: a key's hits are split into stretches of so many places, those into stretches of
+#: as many, and so on up to the whole.
+STRETCH_BITS, LEVELS = 20, 3
+
+
+def _same(left: str, right: str, columns: list[str]):
+    """Equality of columns of two aliased tables; null equals null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return out
+
+
+def previous(hits: DataFrame, keys: list[str], pos: str, name: str = "previous", levels: int = LEVELS, bits: int = STRETCH_BITS) -> DataFrame:
+    """Rows with the position before theirs in their group, null for the first.
+
+    A hot group is many tasks' work: rows are ordered within stretches of 2^bits places, and the first of a stretch takes the
+    last position of the stretch before, which is found the same way among the stretches' last positions, a row a stretch.
+    So a task orders 2^bits places at most, times the rows at each. Stretches follow from the positions alone: nothing is
+    sampled and a task that is run again gives the same rows. The last level is one stretch a group, of 2^(bits levels) places."""
+    if levels == 1:
+        return hits.withColumn(name, F.lag(pos).over(W.partitionBy(*keys).orderBy(pos)))
+    stretch, last, before = (f"{c}{levels}" for c in ("_stretch", "_last", "_before"))
+    rows = hits.withColumn(stretch, F.floor(F.col(pos) / (1 << bits)))
+    own_rows = rows.withColumn("_own", F.lag(pos).over(W.partitionBy(*keys, stretch).orderBy(pos)))
+    ends = rows.where(F.col(pos).isNotNull()).groupBy(*keys, stretch).agg(F.max(pos).alias(last))
+    # Stretches are numbered by their place, so the one before is the previous number that there is.
+    above = previous(ends.select(*keys, stretch), keys, stretch, before, levels - 1, bits)
+    carried = above.alias("b").join(ends.alias("e"), _same("b", "e", keys) & (F.col(f"b.{before}") == F.col(f"e.{stretch}")))
+    carried = carried.select(*[F.col(f"b.{c}").alias(c) for c in [*keys, stretch]], F.col(f"e.{last}").alias("_carried"))
+    columns = [F.col(f"r.{c}").alias(c) for c in hits.columns]
+    value = F.coalesce("r._own", F.when(F.col(f"r.{pos}").isNotNull(), F.col("l._carried")))
+    return own_rows.alias("r").join(carried.alias("l"), _same("r", "l", [*keys, stretch]), "left").select(*columns, value.alias(name))
+
+
 def gaps(hits: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Rows with the distance to the hit before, null for the first of each group."""
-    return hits.withColumn("gap", F.col(pos) - F.lag(pos).over(W.partitionBy(*keys).orderBy(pos)))
+    """Rows with the distance to the hit before, null for the first of each group; a group may be of any size."""
+    return previous(hits, keys, pos, "_previous").withColumn("gap", F.col(pos) - F.col("_previous")).drop("_previous")
 
 
 def median_gap(hits: DataFrame, keys: list[str], pos: str, least: int = 3) -> DataFrame:
     """(keys, n, period): the median gap, averaged between the middle two and cut to a whole number; null for fewer than
-    ``least`` positions."""
-    g = gaps(hits, keys, pos).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.floor(F.median("gap")).alias("m"))
-    return g.select(*keys, "n", F.when(F.col("n") >= least, F.col("m")).alias("period"))
+    ``least`` positions.
+
+    Gaps are counted by value before they are shuffled, and the middle is found by running counts over values. Gaps sum to
+    the group's span, so a span of R places has at most sqrt(2 R) different ones: what one task orders is small."""
+    each = gaps(hits, keys, pos).groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy(*keys)
+    known = F.when(F.col("gap").isNotNull(), F.col("_n"))
+    ranked = each.withColumn("_all", F.sum("_n").over(whole)).withColumn("_gaps", F.sum(known).over(whole)).withColumn("_upto", F.sum(known).over(whole.orderBy("gap")))
+    at = lambda rank: F.min(F.when(F.col("gap").isNotNull() & (F.col("_upto") >= rank), F.col("gap")))
+    lower, upper = at(F.floor((F.col("_gaps") + 1) / 2)), at(F.floor(F.col("_gaps") / 2) + 1)
+    out = ranked.groupBy(*keys).agg(F.max("_all").alias("n"), F.floor((lower + upper) / 2).alias("m"))
+    return out.select(*keys, "n", F.when(F.col("n") >= least, F.col("m")).alias("period"))
 
 
 def window_counts(hits: DataFrame, keys: list[str], pos: str, width: int, step: int, close: bool) -> DataFrame:

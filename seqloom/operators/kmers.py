@@ -4,9 +4,13 @@ Sequences are (seq_id, grp, seq): grp is the unit that results are about, a chro
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sequence as S
 
@@ -39,9 +43,86 @@ def canonical_windows(seqs: DataFrame, k: int) -> DataFrame:
     return w.withColumn("kmer", S.canonical_kmer(F.col("kmer")))
 
 
+def _with(df: DataFrame, keys: list[str], made: str) -> T.StructType:
+    """The schema of columns of df and of what a task makes beside them."""
+    own = [T.StructField(c, df.schema[c].dataType) for c in keys]
+    return T.StructType(own + T.StructType.fromDDL(made).fields)
+
+
+#: Letters that are packed at a time, and the longest word that a long holds at two bits a letter.
+PIECE, PACKED = 1 << 20, 31
+#: A, C, G, T, N, anything else.
+_CODES = np.full(256, 5, np.int64)
+_CODES[list(b"ACGTN")] = range(5)
+
+
+def packed_windows(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of k letters from each place of codes 0 to 3, and their reverse complements, at two bits a letter. Words of
+    twice the letters are made of two, so there are about log k passes."""
+    if k == 1:
+        return c, 3 - c
+    h = k // 2
+    f, r = packed_windows(c, h)
+    f, r = (f[:-h] << 2 * h) | f[h:], r[:-h] | (r[h:] << 2 * h)
+    if k % 2:
+        last = c[2 * h :]
+        f, r = (f[: len(last)] << 2) | last, r[: len(last)] | ((3 - last) << 4 * h)
+    return f, r
+
+
+def _counted(seqs: list[str], k: int) -> tuple[list, list, list]:
+    """(codes, words, counts) of the canonical windows without N: packed, or as text where a letter is no base."""
+    codes, odd = [], {}
+    for seq in seqs:
+        for at in range(0, len(seq) - k + 1, PIECE):
+            text = seq[at : at + PIECE + k - 1]
+            c = _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+            bad = np.concatenate([[0], np.cumsum(c > 3)])
+            f, r = packed_windows(np.minimum(c, 3), k)
+            codes.append(np.minimum(f, r)[bad[k:] == bad[:-k]])
+            if (c == 5).any():
+                n = np.concatenate([[0], np.cumsum(c == 4)])
+                for i in np.flatnonzero((bad[k:] > bad[:-k]) & (n[k:] == n[:-k])).tolist():
+                    word = min(text[i : i + k], opposite(text[i : i + k]))
+                    odd[word] = odd.get(word, 0) + 1
+    values, counts = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
+    return [*values.tolist(), *[-1] * len(odd)], [*[""] * len(values), *odd], [*counts.tolist(), *odd.values()]
+
+
+def packed_counts(seqs: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    """(keys, code, word, n): canonical k-mers without N of upper-case sequences (keys, seq), as numbers of two bits a letter;
+    a window with a letter other than a base is a word, with code -1.
+
+    A task counts a batch of sequences by sorting numbers; counts add up before the shuffle, whose rows are numbers."""
+    if not 1 <= k <= PACKED:
+        raise ValueError(f"k is not between 1 and {PACKED}")
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(keys))))) if keys else ():
+                of.setdefault(key, []).append(i)
+            texts = batch.column(len(keys)).to_pylist()
+            for rows in of.values() if keys else [range(len(texts))]:
+                codes, words, counts = _counted([texts[i] for i in rows], k)
+                same = pa.array([rows[0]] * len(codes), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in range(len(keys))), pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
+
+    whole = seqs.where("seq is not null").select(*keys, "seq")
+    return whole.mapInArrow(run, _with(whole, keys, "code long, word string, n long")).groupBy(*keys, "code", "word").agg(F.sum("n").alias("n"))
+
+
+def unpacked(k: int):
+    """The letters of (code, word)."""
+    return F.when(F.col("code") < 0, F.col("word")).otherwise(F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 4), k, "0"), "0123", "ACGT"))
+
+
 def count_kmers(seqs: DataFrame, k: int = 12) -> DataFrame:
     """(kmer, cnt): canonical k-mers without N."""
-    return canonical_windows(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    if k > PACKED:
+        return canonical_windows(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    return packed_counts(seqs.select(F.upper("seq").alias("seq")), k, []).select(unpacked(k).alias("kmer"), F.col("n").alias("cnt"))
 
 
 def end_pieces(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
@@ -52,25 +133,21 @@ def end_pieces(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
     return seqs.where(n >= 2 * terminal).select("seq_id", "grp", end.alias("_p")).select("seq_id", "grp", "_p.end", F.upper("_p.seq").alias("seq"))
 
 
-def piece_windows(pieces: DataFrame, k: int, carried: list[str]) -> DataFrame:
-    """(carried, kmer): canonical windows without N."""
-    return known(windows(pieces, k, carried)).withColumn("kmer", S.canonical_kmer(F.col("kmer"))).select(*carried, "kmer")
-
-
 def terminal_enrichment(seqs: DataFrame, k: int = 12, terminal: int = 2_000_000, min_count: int = 10, min_length: int = 1_000_000, anchor: str = "TTGG") -> DataFrame:
     """(grp, end, kmer, terminal_count, fold_enrichment, anchored): share of a k-mer at an end over its share in all of
     the sequences of at least min_length, ends included. Shares are of all k-mers, not only of those that are frequent.
 
     The background is one count of all windows, a row a k-mer; the ends are cut out before their windows are made. Totals
-    are sums of the counts."""
+    are sums of the counts. K-mers are numbers until the last step; k is at most 31."""
     long_ = seqs.where(F.length("seq") >= min_length)
-    bg = count_kmers(long_, k).withColumnRenamed("cnt", "bg")
+    bg = packed_counts(long_.select(F.upper("seq").alias("seq")), k, []).withColumnRenamed("n", "bg")
     total = bg.agg(F.sum("bg").alias("bg_total"))
-    ends = piece_windows(end_pieces(long_, k, terminal), k, ["grp", "end"]).groupBy("grp", "end", "kmer").agg(F.count(F.lit(1)).alias("cnt"))
+    ends = packed_counts(end_pieces(long_, k, terminal), k, ["grp", "end"]).withColumnRenamed("n", "cnt")
     totals = ends.groupBy(F.col("grp").alias("_grp"), F.col("end").alias("_end")).agg(F.sum("cnt").alias("end_total"))  # two rows a group
-    j = ends.where(F.col("cnt") >= min_count).join(bg, "kmer").join(totals, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("end") == F.col("_end"))).crossJoin(F.broadcast(total))
+    j = ends.where(F.col("cnt") >= min_count).join(bg, ["code", "word"]).join(totals, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("end") == F.col("_end"))).crossJoin(F.broadcast(total))
     fold = (F.col("cnt") / F.col("end_total")) / (F.col("bg") / F.col("bg_total"))
-    return j.select("grp", "end", "kmer", F.col("cnt").alias("terminal_count"), fold.alias("fold_enrichment"), S.starts_either_strand(F.col("kmer"), anchor).alias("anchored"))
+    j = j.select("grp", "end", unpacked(k).alias("kmer"), F.col("cnt").alias("terminal_count"), fold.alias("fold_enrichment"))
+    return j.withColumn("anchored", S.starts_either_strand(F.col("kmer"), anchor))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -78,17 +155,20 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, n: int) -> DataFr
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def _by_group(pieces: DataFrame, k: int) -> DataFrame:
+    return packed_counts(pieces, k, ["grp"]).select("grp", unpacked(k).alias("kmer"), "n")
+
+
 def end_counts(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
     """(grp, kmer, n): canonical counts over both ends together."""
-    return piece_windows(end_pieces(seqs, k, terminal), k, ["grp"]).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return _by_group(end_pieces(seqs, k, terminal), k)
 
 
 def interior_counts(seqs: DataFrame, k: int, interior: int) -> DataFrame:
     """(grp, kmer, n): canonical counts in the middle ``interior`` letters of each sequence, cut out before windows are made."""
     lo = F.greatest(F.floor(F.length("seq") / 2) - interior // 2, F.lit(0))
     hi = F.floor(F.length("seq") / 2) + interior // 2
-    mid = seqs.select("seq_id", "grp", F.upper(F.substring("seq", (lo + 1).cast("int"), (hi - lo).cast("int"))).alias("seq"))
-    return piece_windows(mid, k, ["grp"]).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return _by_group(seqs.select("grp", F.upper(F.substring("seq", (lo + 1).cast("int"), (hi - lo).cast("int"))).alias("seq")), k)
 
 
 def enriched_vs_interior(ends: DataFrame, middle: DataFrame, top: int = 60, min_count: int = 10) -> DataFrame:
@@ -113,14 +193,48 @@ def anchored_windows(seqs: DataFrame, length: int = 16, anchor: str = "TTGG") ->
     """(seq_id, grp, pos, strand, window): windows that start with the anchor on either strand, free of N.
 
     A forward window is reported at its start; a reverse one at its last letters, where the reverse anchor stands. The
-    anchor's place is never the last possible window start; a place that reads both ways counts as forward."""
-    n = len(anchor)
-    back = anchor.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-    w = windows(seqs, length)
-    fwd = w.where(F.col("kmer").startswith(anchor) & (F.col("pos") < F.col("length") - length)).select("seq_id", "grp", "pos", F.lit("+").alias("strand"), F.col("kmer").alias("window"))
-    at = F.col("pos") + length - n
-    rev = w.where(F.col("kmer").endswith(back) & (at < F.col("length") - length)).select("seq_id", "grp", at.alias("pos"), F.lit("-").alias("strand"), S.reverse_complement(F.col("kmer")).alias("window"))
-    return known(fwd.unionByName(rev), "window")
+    anchor's place is never the last possible window start; a place that reads both ways counts as forward. Sequences are
+    searched for the anchor and only its windows leave the search."""
+    n, back = len(anchor), opposite(anchor)
+    both = re.compile(f"(?=({re.escape(anchor)}|{re.escape(back)}))")
+
+    def found(seq: str):
+        for m in both.finditer(seq):
+            p = m.start()
+            if p >= len(seq) - length:
+                return
+            if m.group(1) == anchor:
+                window = seq[p : p + length]
+                strand = "+"
+            elif p + n >= length:
+                window, strand = opposite(seq[p + n - length : p + n]), "-"
+            else:
+                continue
+            if "N" not in window:
+                yield p, strand, window
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(batch, at, hits):
+            places, strands, windows_ = zip(*hits)
+            where = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(places, pa.int64()), pa.array(strands, pa.string()), pa.array(windows_, pa.string())], ["seq_id", "grp", "pos", "strand", "window"])
+
+        for batch in batches:
+            at, hits = [], []
+            for i, seq in enumerate(batch.column(2).to_pylist()):
+                for hit in found(seq):
+                    at.append(i)
+                    hits.append(hit)
+                    if len(at) >= HITS:
+                        yield rows(batch, at, hits)
+                        at, hits = [], []
+            if at:
+                yield rows(batch, at, hits)
+
+    whole = seqs.where(F.length("seq") >= length).select("seq_id", "grp", "seq")
+    return whole.mapInArrow(run, _with(whole, ["seq_id", "grp"], "pos long, strand string, window string"))
 
 
 #: Patterns that a scan takes: they go to every task. Hits that a task gathers before it passes them on.
@@ -145,7 +259,6 @@ def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> D
     for name, motif in found:
         words.setdefault(motif.upper(), []).append((name, motif, "+"))
         words.setdefault(opposite(motif), []).append((name, motif, "-"))
-    seq_id, grp = (seqs.schema[c].dataType.simpleString() for c in ("seq_id", "grp"))
 
     def run(batches):
         import ahocorasick
@@ -175,7 +288,7 @@ def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> D
                 yield rows(batch, at, hits)
 
     up = seqs.where((F.length("seq") >= min_length) & F.col("seq").isNotNull()).select("seq_id", "grp", F.upper("seq").alias("seq"))
-    return up.mapInArrow(run, f"seq_id {seq_id}, grp {grp}, name string, motif string, position long, strand string")
+    return up.mapInArrow(run, _with(up, ["seq_id", "grp"], "name string, motif string, position long, strand string"))
 
 
 def near_windows(w: DataFrame, core: str, most: int, column: str = "window") -> DataFrame:
@@ -227,9 +340,7 @@ def shared_kmers(queries: DataFrame, targets: DataFrame, k: int = 5, top: int =
 
 def _shared_by_index(queries: DataFrame, targets: DataFrame, k: int, top: int) -> DataFrame:
     """(qid, tid, shared): of each batch of targets the ``top`` of each query, so of all targets too. Ids are distinct."""
-    import numpy as np
     import pyarrow as pa
-    from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
     rows = queries.where("seq is not null").select("seq_id", F.upper("seq").alias("seq")).collect()  # INDEX_LETTERS at most

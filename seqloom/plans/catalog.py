@@ -814,10 +814,14 @@ def exploration_run(spark, d):
 # --- files -------------------------------------------------------------------------------------------------------
 
 
+def shared(spark):
+    """The session's shared folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _checkpoints(spark)
+
+
 def _scratch(spark, name):
     """A folder of its own below the shared one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _checkpoints(spark)
-    return f"{root.rstrip('/')}/seqloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared(spark).rstrip('/')}/seqloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def _bases(text, n):

@@ -278,8 +278,8 @@ def test_free_refinement_finds_a_planted_motif(spark):
     for i in range(20):
         s[500 + 90 * i : 512 + 90 * i] = motif if i % 2 else rc(motif)
     df = seqs(spark, ("X", "".join(s)))
-    w = kmers.windows(df, 12).select("grp", "pos", (F.col("length") - 12).alias("last"), F.col("kmer").alias("window"))
-    got = discovery.refine_free(w, spark.createDataFrame([("X", motif, 0)], "grp string, seed string, start int"), 12).first()
+    w = discovery.region_windows(df, spark.createDataFrame([("X", 0, 0)], "grp string, seq_id long, start long"), 12)
+    got = discovery.refine_free(w, spark.createDataFrame([("X", motif)], "grp string, seed string"), 12).first()
     assert got.motif == motif and got.copies >= 20 and got.period == 90
 
 
@@ -329,3 +329,119 @@ def test_lopo_head_against_plain_loops(spark):
                     far += np.linalg.norm(z / z.sum() - w[pos])
                     flat += np.linalg.norm(0.25 - w[pos])
                 assert got[held, l2] == pytest.approx(1 - far / flat, abs=1e-6)
+
+
+def test_packed_counts_are_those_of_text(spark):
+    rng = random.Random(8)
+    rows = [("a" if i % 3 else "b", rand_dna(rng, rng.randint(0, 80), "ACGTNacgtR")) for i in range(40)] + [(None, "ACGTACGTAC")]
+    for k in (1, 4, 12, 31):
+        want = Counter((g, min(w, rc(w))) for g, s in rows for w in (s.upper()[i : i + k] for i in range(len(s) - k + 1)) if "N" not in w)
+        up = seqs(spark, *rows).withColumn("seq", F.upper("seq"))
+        got = {(r.grp, r.kmer): r.n for r in kmers.packed_counts(up, k, ["grp"]).select("grp", kmers.unpacked(k).alias("kmer"), "n").collect()}
+        assert got == dict(want)
+    with pytest.raises(ValueError):
+        kmers.packed_counts(up, 32, [])
+
+
+def test_scan_with_ten_thousand_patterns(spark):
+    rng = random.Random(9)
+    text = rand_dna(rng, 20_000, "ACGT")
+    words = {rand_dna(rng, rng.randint(6, 14), "ACGT") for _ in range(9_990)} | {text[i : i + 30] for i in range(0, 100, 10)}
+    pats = spark.createDataFrame([(str(i), w) for i, w in enumerate(sorted(words))], "name string, motif string")
+    got = Counter((r.motif, r.strand, r.position) for r in kmers.scan(seqs(spark, ("a", text)), pats, 0).collect())
+    at = {}
+    for w in words:
+        at.setdefault(w, []).append((w, "+"))
+        at.setdefault(rc(w), []).append((w, "-"))
+    want = Counter((w, s, i) for n in {len(w) for w in words} for i in range(len(text) - n + 1) for w, s in at.get(text[i : i + n], ()))
+    assert got == want
+
+
+def test_gaps_across_stretches(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([rng.randint(-40, 40), rng.randint(0, 5000), rng.randint(0, 10**9)])) for _ in range(400)] + [("a", None), ("c", 5)]
+    df = spark.createDataFrame(rows, "k string, p long")
+    want, last = Counter(), {}
+    for k, p in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1])):
+        want[k, p, None if k not in last else p - last[k]] += 1
+        last[k] = p
+    for levels, bits in ((3, 2), (2, 6), (3, 20), (1, 20)):
+        got = hits.previous(df, ["k"], "p", "before", levels, bits).where("p is not null")
+        assert Counter((r.k, r.p, None if r.before is None else r.p - r.before) for r in got.collect()) == want
+
+
+def test_median_of_gaps(spark):
+    rng = random.Random(11)
+    rows = [(k, p) for k in range(12) for p in [rng.randint(0, 60 if k % 2 else 10**7) for _ in range(k)]]
+    got = {r.k: (r.n, r.period) for r in hits.median_gap(spark.createDataFrame(rows, "k long, p long"), ["k"], "p").collect()}
+    for k in range(1, 12):
+        at = sorted(p for g, p in rows if g == k)
+        assert got[k] == (k, int(np.median(np.diff(at))) if k > 2 else None)
+
+
+def test_a_hot_key_is_many_tasks_work(spark):
+    """One key of all rows: no task of the ordered windows holds more than its stretch."""
+    df = spark.range(0, 40_000, 2).select(F.lit("one").alias("k"), F.col("id").alias("p"))
+    stretch = F.floor(F.col("p") / 4096)
+    most = df.groupBy("k", stretch).count().agg(F.max("count")).first()[0]
+    assert most == 2048
+    got = hits.previous(df, ["k"], "p", "before", 3, 12)
+    assert got.where("p - before = 2").count() == 19_999 and got.where("before is null").count() == 1
+
+
+def test_anchor_free_run_finds_planted_motifs_at_either_end(spark):
+    """Two sources: one array at a right end, one at a left end, each in the second of two sequences."""
+    rng = random.Random(12)
+    motif, other = "GTGATAGTTGAA", "CCTGAGACTTCA"
+
+    def planted(word, begin):
+        s = list(rand_dna(rng, 6000, "ACGT"))
+        for i in range(15):
+            s[begin + 40 * i : begin + 40 * i + 12] = word
+        return "".join(s)
+
+    df = seqs(spark, ("X", rand_dna(rng, 6000, "ACGT")), ("X", planted(motif, 5200)), ("Y", rand_dna(rng, 6000, "ACGT")), ("Y", planted(other, 300)))
+    got = {r.grp: r for r in discovery.anchor_free(df, 12, 1000, 1000, 60, 10, 1, 500, 50).collect()}
+    assert set(got) == {"X", "Y"}
+    for g, word, i, end, lo in (("X", motif, 1, "right", 5200), ("Y", other, 3, "left", 300)):
+        r = got[g]
+        # A candidate may be the word or the word moved by a letter, which the array repeats too; each lies on the array.
+        assert (r.seq_id, r.end, r.period) == (i, end, 40) and lo - 12 <= r.start <= lo + 600
+        assert any(r.seed in c for c in ((word + "N" * 28) * 2, rc((word + "N" * 28) * 2))) or r.copies >= 8
+
+
+def test_regions_skip_n_and_the_last_window(spark):
+    df = seqs(spark, ("X", "ACGTNACGTACGTACG"))
+    at = spark.createDataFrame([("X", 0, 4)], "grp string, seq_id long, start long")
+    # Letters 4 to 13 are NACGTACGTA: seven windows of four, the first with N, the last never visited.
+    assert sorted((r.pos, r.window) for r in discovery.region_windows(df, at, 4, 10).collect()) == [(5, "ACGT"), (6, "CGTA"), (7, "GTAC"), (8, "TACG"), (9, "ACGT")]
+
+
+def test_anchored_discovery_keeps_sequences_apart(spark):
+    rng = random.Random(13)
+    words = ["TTGGTCTGCTAA", "TTGGACTGAATC"]
+
+    def planted(word, begin, every):
+        s = list(rand_dna(rng, 6000, "ACGT"))
+        for i in range(25):
+            s[begin + every * i : begin + every * i + 12] = word
+        return "".join(s)
+
+    df = seqs(spark, ("X", planted(words[0], 200, 60)), ("X", planted(words[0], 4000, 70)))
+    found = discovery.best_end(discovery.refine_anchored(discovery.end_windows(df, 12, 2500), spark.createDataFrame([("X", words[0])], "grp string, seed string")))
+    got = {r.seq_id: (r.end, r.motif, r.period) for r in found.collect()}
+    assert got == {0: ("left", words[0], 60), 1: ("right", words[0], 70)}
+
+
+def test_match_null_of_any_number_of_rows(spark):
+    rng = random.Random(14)
+    for n in (1, 4, 7):
+        p = [(rng.choice("abc"), rng.choice(["a", "b", "d", None])) for _ in range(n)]
+        r = discovery.permutation_null(spark.createDataFrame(p, "predicted string, expected string")).first()
+        counts = [sum(a == p[j][1] for (a, _), j in zip(p, o)) for o in permutations(range(n))]
+        seen = sum(a == b for a, b in p)
+        assert (r.n, r.matches) == (n, seen) and r.mean_null == pytest.approx(np.mean(counts)) and r.p_value == pytest.approx(np.mean([c >= seen for c in counts]))
+    many = spark.createDataFrame([(str(i % 5), str(i % 7 % 5)) for i in range(300)], "predicted string, expected string")
+    r = discovery.permutation_null(many).first()
+    assert r.n == 300 and 0 < r.p_value < 1
+    assert discovery.permutation_null(many.limit(0)).first().p_value == 1.0
