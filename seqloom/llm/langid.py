@@ -15,10 +15,8 @@ from .common import crc_mod, materialize, mix64, ragged, tune
 ORDER = 5
 #: Training documents of one language, about: a hash of the id picks them where there are more.
 SAMPLE_DOCS = 400
-#: Distinct n-grams of an order over all languages that a model keeps: the most frequent of each language in turn.
-MODEL_GRAMS = 400_000
-#: Probabilities of an order that a model holds at most, n-grams times languages: what the broadcast and the workers bear.
-MODEL_CELLS = 6_400_000
+#: Languages whose n-grams share one set of arrays; each further set is for as many more. Results don't depend on it.
+SHARD = 8
 #: Characters over which what no n-gram explains is spread.
 ALPHABET = 2048
 #: Keeps the curve of the score finite where the calibration sees no mistake.
@@ -99,27 +97,31 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return each.groupBy("lang", "n", "gram").agg(F.first("prior").alias("prior"), F.first("suffix").alias("suffix"), F.sum("cnt").alias("cnt"))
 
 
-class Model:
-    """Per order: sorted hashes of the n-grams of all languages, and the log2 probability of each under each language.
+def groups(names, size: int = SHARD) -> list[list]:
+    """The names in order, ``size`` at a time."""
+    known = sorted(names)
+    return [known[i : i + size] for i in range(0, len(known), size)]
+
 
-    Probabilities are interpolated Kneser-Ney, worked out in full for the n-grams held; for others the next shorter
-    n-gram's, times the weight that the context leaves to it (a sorted hash array of contexts)."""
+class Shard:
+    """Of some languages, per order: sorted hashes of their n-grams, and the log2 probability of each under each language.
+
+    Probabilities are interpolated Kneser-Ney, worked out in full for the n-grams held, which are all that were counted; for
+    others the next shorter n-gram's, times the weight that the context leaves to it (a sorted hash array of contexts). A
+    context that a language never had leaves all to the shorter one, so each language's probabilities sum to one."""
 
     def __init__(self, langs, grams, logs, contexts, backoffs, floor):
         self.langs, self.grams, self.logs, self.contexts, self.backoffs, self.floor = langs, grams, logs, contexts, backoffs, floor
-        self.slope, self.offset, self.reject_above = 1.0, 0.0, np.full(len(langs), np.inf)
 
     @classmethod
-    def fit(cls, counts: pd.DataFrame, most: int = MODEL_GRAMS, cells: int = MODEL_CELLS) -> "Model":
+    def fit(cls, counts: pd.DataFrame) -> "Shard":
         """From (lang, n, gram, prior, suffix, cnt). Counts stay sparse, and one language is worked out at a time over the
-        n-grams of all; of an order, the model holds ``most`` n-grams and contexts, or fewer of many languages, so that it
-        has ``cells`` numbers."""
+        n-grams of all."""
         langs = sorted(counts["lang"].unique())
         order, L = int(counts["n"].max()), len(langs)
-        most = max(1, min(most, cells // L))
         of_lang = counts["lang"].map({g: i for i, g in enumerate(langs)}).to_numpy()
         of_n, columns = counts["n"].to_numpy(), {c: counts[c].to_numpy(np.int64) for c in ("gram", "prior", "suffix", "cnt")}
-        grams, contexts, place, below, own, kept, kept_contexts = ({} for _ in range(7))
+        grams, contexts, place, below, own = ({} for _ in range(5))
         for n in range(1, order + 1):
             at = np.flatnonzero(of_n == n)
             grams[n], row = np.unique(columns["gram"][at].view(np.uint64), return_inverse=True)
@@ -131,14 +133,8 @@ class Model:
                 below[n] = np.where(grams[n - 1][found] == suffix, found, -1)
             cnt = columns["cnt"][at]
             own[n] = [(row[mine], cnt[mine]) for mine in (np.flatnonzero(of_lang[at] == i) for i in range(L))]
-            weight, turn = np.bincount(row, weights=cnt), np.full(len(grams[n]), len(grams[n]))
-            for rows, c in own[n]:  # the place of each n-gram in the language that ranks it highest
-                ranked = rows[np.lexsort((grams[n][rows], -c))]
-                turn[ranked] = np.minimum(turn[ranked], np.arange(len(ranked)))
-            kept[n] = np.sort(np.lexsort((grams[n], -weight, turn))[:most])
-            kept_contexts[n] = np.sort(np.lexsort((contexts[n], -np.bincount(place[n], weights=weight)))[:most])
-        logs = [np.empty((len(kept[n]), L), np.float32) for n in range(1, order + 1)]
-        backoffs = [np.empty((len(kept_contexts[n]), L), np.float32) for n in range(1, order + 1)]
+        logs = [np.empty((len(grams[n]), L), np.float32) for n in range(1, order + 1)]
+        backoffs = [np.empty((len(contexts[n]), L), np.float32) for n in range(1, order + 1)]
         floor = 1.0 / ALPHABET
         for i in range(L):
             lower = None
@@ -155,23 +151,14 @@ class Model:
                 shorter = floor if n == 1 else np.where(below[n] >= 0, lower[below[n]], floor)
                 p = gamma[place[n]] * shorter
                 p[rows] += np.maximum(value - discount, 0) / total[place[n][rows]]
-                logs[n - 1][:, i], backoffs[n - 1][:, i] = np.log2(p[kept[n]]), np.log2(gamma[kept_contexts[n]])
+                logs[n - 1][:, i], backoffs[n - 1][:, i] = np.log2(p), np.log2(gamma)
                 lower = p
-        pick = lambda of, at: [of[n][at[n]] for n in range(1, order + 1)]
-        return cls(langs, pick(grams, kept), logs, pick(contexts, kept_contexts), backoffs, np.full(L, np.log2(floor), np.float32))
+        each = lambda of: [of[n] for n in range(1, order + 1)]
+        return cls(langs, each(grams), logs, each(contexts), backoffs, np.full(L, np.log2(floor), np.float32))
 
-    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy in bits a character, by text and language; characters scored by text)."""
-        codes, lengths = letters(texts)
-        L, n_texts = len(self.langs), len(texts)
-        out, scored = np.zeros((n_texts, L)), np.maximum(lengths - 1, 0)
-        if not len(codes):
-            return out, scored
-        full = lengths > 0
-        owner, starts = ragged(lengths[full])
-        place = np.arange(len(codes)) - starts[owner]
-        hashes = gram_hashes(codes, len(self.grams))
-        value = np.zeros((len(codes), L), np.float32)
+    def values(self, hashes: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        """log2 of each character's probability, by language; the first of a text is context only."""
+        value = np.zeros((len(place), len(self.langs)), np.float32)
         todo = np.flatnonzero(place > 0)
         for n in range(len(self.grams), 0, -1):
             near = place[todo] < n - 1  # too near the begin for an n-gram: go on with a shorter one
@@ -192,8 +179,34 @@ class Model:
             if n == 1:
                 value[miss] += self.floor
             todo = np.concatenate([miss, later])
+        return value
+
+
+class Model:
+    """The shards of all languages, and what calibration tells of them."""
+
+    def __init__(self, shards: list[Shard]):
+        self.shards = shards
+        self.langs = [g for s in shards for g in s.langs]
+        self.slope, self.offset, self.reject_above = 1.0, 0.0, np.full(len(self.langs), np.inf)
+
+    @classmethod
+    def fit(cls, counts: pd.DataFrame, size: int = SHARD) -> "Model":
+        """From (lang, n, gram, prior, suffix, cnt), languages by name, ``size`` to a shard."""
+        return cls([Shard.fit(counts[counts["lang"].isin(some)]) for some in groups(counts["lang"].unique(), size)])
+
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(cross-entropy in bits a character, by text and language; characters scored by text)."""
+        codes, lengths = letters(texts)
+        out, scored = np.zeros((len(texts), len(self.langs))), np.maximum(lengths - 1, 0)
+        if not len(codes):
+            return out, scored
+        full = lengths > 0
+        owner, starts = ragged(lengths[full])
+        place = np.arange(len(codes)) - starts[owner]
+        hashes = gram_hashes(codes, max(len(s.grams) for s in self.shards))
         # float64 sums, text by text
-        sums = np.add.reduceat(value, starts[:-1], axis=0, dtype=np.float64)
+        sums = np.hstack([np.add.reduceat(s.values(hashes, place), starts[:-1], axis=0, dtype=np.float64) for s in self.shards])
         out[full] = -sums / np.maximum(scored[full], 1)[:, None]
         return out, scored
 
@@ -258,26 +271,27 @@ class Model:
         return [UNDETERMINED if o else self.langs[b] for o, b in zip(out, best)], score, rejected
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, most: int = MODEL_GRAMS) -> Model | None:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, size: int = SHARD) -> Model | None:
     """A model of each language of labelled, from about sample_docs documents of each; None without labelled rows.
 
     Every language with a letter in its texts is in the model: its document of the lowest hash is never kept for the
-    calibration. The counts are made on the executors; what the driver gets is bounded by the sample, so it grows with the
-    number of languages."""
+    calibration; and every n-gram of the sample is. The counts are made on the executors and written; the driver takes those
+    of ``size`` languages at a time. The model grows with the number of languages, by what a language's sample has."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     draw = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("text").rlike(r"\p{L}"), draw)).alias("least"))
     sizes = materialize(sizes.where("least is not null"), "languages")
     if sizes.isEmpty():
         return None
-    rows = rows.join(F.broadcast(sizes), "lang").withColumn("draw", draw)
+    rows = rows.join(sizes, "lang").withColumn("draw", draw)
     sample = rows.where((F.col("draw") < F.lit(float(sample_docs)) / F.col("n")) | (F.col("draw") == F.col("least")))
     # A fifth of the sample is for the calibration only.
     fifth = (F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(5)) == 0) & (F.col("draw") != F.col("least"))
-    counts = count_grams(sample.where(~fifth), order).toArrow().to_pandas()
-    if counts.empty:
+    counts = materialize(count_grams(sample.where(~fifth), order), "grams")
+    known = [r.lang for r in counts.select("lang").distinct().collect()]  # a row a language
+    if not known:
         return None
-    model = Model.fit(counts, most)
+    model = Model([Shard.fit(counts.where(F.col("lang").isin(some)).toArrow().to_pandas()) for some in groups(known, size)])
     held = sample.where(fifth).select("text", "lang").toArrow().to_pandas()
     if len(held):
         model.calibrate(held["text"].tolist(), held["lang"].tolist())
@@ -293,7 +307,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     id are scored one by one. Without a model all rows are ``und``."""
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MODEL_GRAMS
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample and the number of languages
     keep = [F.col(id_col).alias("_id"), *(carry or [])]
     names = docs.select(*keep).columns
 

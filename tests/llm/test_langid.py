@@ -110,9 +110,42 @@ def test_every_language_is_learnt(spark, make_docs):
     assert model.langs == sorted(langs) and model.predict(texts)[0] == langs
 
 
-def test_rare_languages_keep_their_share_of_the_grams(spark, make_docs):
+def test_rare_languages_keep_their_grams(spark, make_docs):
     rng = random.Random(3)
     frequent = [" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(60)) for _ in range(40)]
-    model = langid.train(make_docs([*frequent, "xoz zox ozzo"], langs=["aa"] * 40 + ["cc"]), most=60)
-    assert {"aa", "cc"} == set(model.langs)
-    assert all((model.logs[n][:, 1] > model.logs[n][:, 0]).sum() >= 6 for n in range(2, 5))
+    model = langid.train(make_docs([*frequent, "xoz zox ozzo"], langs=["aa"] * 40 + ["cc"]))
+    assert ["aa", "cc"] == model.langs and len(model.shards) == 1
+    assert all((model.shards[0].logs[n][:, 1] > model.shards[0].logs[n][:, 0]).sum() >= 6 for n in range(2, 5))
+
+
+def test_shards_do_not_change_entropies(spark, rng):
+    texts, langs = corpus(rng)
+    counts = langid.count_grams(spark.createDataFrame(list(zip(langs, texts)), "lang string, text string"), 4).toPandas()
+    whole, single = langid.Model.fit(counts), langid.Model.fit(counts, 1)
+    assert (len(whole.shards), len(single.shards)) == (1, 3) and whole.langs == single.langs
+    some = [*texts[:20], "q", "", None]
+    assert np.allclose(whole.entropies(some)[0], single.entropies(some)[0], atol=1e-5)
+
+
+def test_probabilities_sum_to_one_after_any_context(spark, rng):
+    texts, langs = corpus(rng)
+    shard = langid.Shard.fit(langid.count_grams(spark.createDataFrame(list(zip(langs, texts)), "lang string, text string"), 4).toPandas())
+    known = sorted(set("".join(texts).replace(" ", ""))) + [" "]
+    for context in ("ba", "b", "é", "xq", "zo", "qqq", " da"):
+        total = np.zeros(3)
+        for c, times in [*((c, 1) for c in known), ("\u4e00", langid.ALPHABET - len(known))]:
+            codes = np.array([ord(x) for x in " " + context + c], np.uint32)
+            total += times * 2.0 ** shard.values(langid.gram_hashes(codes, 4), np.arange(len(codes)))[-1]
+        assert np.allclose(total, 1, atol=1e-3), context
+
+
+def test_a_hundred_languages(spark, make_docs):
+    """Languages of the same letters that differ in their syllables alone."""
+    rng = random.Random(5)
+    syllables = [[rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice(["", "n", "s"]) for _ in range(14)] for _ in range(100)]
+    words = lambda i, n: " ".join("".join(rng.choices(syllables[i], k=rng.randint(2, 3))) for _ in range(n))
+    texts, langs = zip(*[(words(i, 60), f"l{i:02d}") for i in range(100) for _ in range(12)])
+    model = langid.train(make_docs(list(texts), langs=list(langs)))
+    assert len(model.langs) == 100 and len(model.shards) == 13
+    held = [(words(i, 40), f"l{i:02d}") for i in range(100) for _ in range(3)]
+    assert np.mean([p == g for p, (_, g) in zip(model.predict([t for t, _ in held])[0], held)]) > 0.97
