@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,8 +80,9 @@ def numbered(df: DataFrame, name: str = ROW) -> DataFrame:
             files = materialize(placed.select("_path").distinct().withColumn("_file", F.row_number().over(W.orderBy("_path")).cast("long")), "files")
             near = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
             return placed.join(near, "_path").withColumn(name, F.shiftleft("_file", PLACE_BITS) + F.col("_place")).select(*df.columns, name)
-        except AnalysisException:  # a format that doesn't tell the place of a row
-            pass
+        except AnalysisException as error:  # a format that doesn't tell the place of a row
+            if not (error.getCondition() or "").startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
+                raise
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
@@ -100,6 +101,22 @@ def crc_mod(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def numbers(xs: list[int]) -> Column:
+    """A constant array; as text until the optimizer folds it, so a plan of many bounds stays short."""
+    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+
+
+def bucket_of(key: Column, bounds: list[int]) -> Column:
+    """Number of the rising bounds that are at most key, by a search in two steps."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    group = below(numbers(bounds[::step]))
+    first = F.greatest(group - 1, F.lit(0)) * step
+    return F.when(group == 0, 0).otherwise(first + below(F.slice(numbers(bounds), first + 1, F.lit(step))))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply and xor-shift), for uint64 arrays."""
     x = x ^ (x >> np.uint64(33))

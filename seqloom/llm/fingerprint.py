@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import apart, materialize
+from .common import apart, bucket_of, materialize, numbers
 
 #: Documents of one bucket of neighbouring ids, about, or the root of their number if that is more; a bucket is sorted by one
 #: task, and there are as many bounds as buckets.
@@ -35,27 +37,11 @@ def as_text(a: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-def _numbers(xs: list[int]) -> Column:
-    """A constant array; as text until the optimizer folds it, so a plan of many bounds stays short."""
-    return F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-
-
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """Number of the rising bounds that are at most key, by a search in two steps."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    below = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
-    group = below(_numbers(bounds[::step]))
-    first = F.greatest(group - 1, F.lit(0)) * step
-    return F.when(group == 0, 0).otherwise(first + below(F.slice(_numbers(bounds), first + 1, F.lit(step))))
-
-
 def _part(bucket: Column, key: Column, place: Column, bounds: list[int], parts: list[int]) -> Column:
     """0, or for keys that are the bound of so many buckets a number from 1 on, rising with the hash place."""
     if not parts:
         return F.lit(0)
-    many = F.when(F.get(_numbers(bounds), bucket - 1) == key, F.get(_numbers(parts), bucket - 1)).otherwise(1)
+    many = F.when(F.get(numbers(bounds), bucket - 1) == key, F.get(numbers(parts), bucket - 1)).otherwise(1)
     share = F.floor((place / F.lit(2.0**64) + 0.5) * many)
     return F.when(many > 1, F.least(share, many - 1) + 1).otherwise(0).cast("int")
 
@@ -75,9 +61,10 @@ def with_next(rows: DataFrame, place: list[str], carried: list[str]) -> DataFram
     many = -(-n // max(BUCKET_ROWS, int(n**0.5)))
     shares = [i / many for i in range(1, many)]
     cuts = narrow.agg(F.percentile_approx("key", shares, max(10_000, 4 * many)).alias("q")).first().q if shares else []
-    bounds = sorted(set(cuts))
-    bucket = _bucket(F.col("key"), bounds).cast("int").alias("bucket")
-    part = _part(bucket, F.col("key"), F.col(place[0]), bounds, [cuts.count(x) for x in bounds] if len(bounds) < len(cuts) else []).alias("part")
+    times = Counter(cuts)
+    bounds = sorted(times)
+    bucket = bucket_of(F.col("key"), bounds).cast("int").alias("bucket")
+    part = _part(bucket, F.col("key"), F.col(place[0]), bounds, [times[x] for x in bounds] if len(bounds) < len(cuts) else []).alias("part")
     # A row a bucket, at most the root of the number of rows: its first row by key and place.
     at = narrow.select(bucket, part, F.struct(F.bitwise_not("key").alias("k"), *place).alias("at"))
     heads = materialize(at.groupBy("bucket", "part").agg(F.min("at").alias("at")), "heads")

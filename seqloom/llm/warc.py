@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import apart, materialize, partitions, scratch, tune
+from .common import apart, bucket_of, materialize, partitions, scratch, tune
 
 #: Compressed bytes after which a file is closed and the next begun.
 ROLL_BYTES = 256 << 20
@@ -62,10 +62,29 @@ def render(page_id, url, body: bytes, digest: str, kind: str, refers_to) -> byte
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def exact_bounds(ids: DataFrame, shards: int) -> list[int]:
+    """Ids at which shards 1, 2... begin, so that each has about as many rows of ids (one column). They are the ids of exact
+    ranks, so they are the same in every run, however a sort samples. At most a row a shard comes to the driver; ids that
+    fill several shards give fewer bounds."""
+    c = ids.columns[0]
+    ranked = materialize(ids.repartitionByRange(shards, c).sortWithinPartitions(c).withColumn("place", F.monotonically_increasing_id()), "ids")
+    parts = sorted((r.part, r.n) for r in ranked.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    total, before, places = sum(n for _, n in parts), 0, []
+    wanted = [i * total // shards for i in range(1, shards)]
+    for part, n in parts:
+        places += [(part << 33) + rank - before for rank in wanted if before <= rank < before + n]
+        before += n
+    if not places:
+        return []
+    found = ranked.join(F.broadcast(ids.sparkSession.createDataFrame([(x,) for x in places], "place long")), "place", "left_semi")
+    return sorted({r[0] for r in found.select(c).collect()} - {None})
+
+
 def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", roll_bytes: int = ROLL_BYTES, shards: int | None = None) -> str:
     """Write every page as a record into gzip-per-record WARC files under the folder ``to``; returns the manifest's URI.
 
-    Records are range-sorted by page id, so a shard is a span of ids. Tasks write under temporary names and tell them by a
+    Records are range-sorted by page id, so a shard is a span of ids; the spans are cut at exact ranks, so files and manifest
+    are the same, byte for byte, in every run over the same rows. Tasks write under temporary names and tell them by a
     table, which holds those of the tasks that succeeded; other tasks then give these files their final names, and may do
     so again if they are lost. The driver writes the manifest, a line a file, and deletes what lost tasks left behind; if
     any is left later, it is never read. Null html is an empty payload; a null page id sorts first and has no id header; repeated
@@ -78,7 +97,9 @@ def write(pages: DataFrame, to: str, id_col: str = "page_id", url_col: str = "ur
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.lit(1).alias("part"), F.col(url_col).cast("string").alias("url"), body.alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
     metas = kinds.select("page_id", F.lit(0).alias("part"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.col("record_type").alias("kind"), "refers_to")
     # What is known of a page travels as a row that sorts just before it, so the html is shuffled once.
-    both = rows.unionByName(metas).repartitionByRange(shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "part", "digest", "url", "html").withColumns({"shard": F.spark_partition_id(), "page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
+    shards = shards or partitions(spark)
+    shard = bucket_of(F.col("page_id"), exact_bounds(rows.select("page_id"), shards)).cast("int")
+    both = rows.unionByName(metas).withColumn("shard", shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("page_id", "part", "digest", "url", "html").withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})
     token = uuid.uuid4().hex[:12]
 
     def run(batches):

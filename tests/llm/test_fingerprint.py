@@ -66,7 +66,7 @@ def test_a_key_of_many_rows_has_buckets_of_its_own(spark, monkeypatch, hot):
     assert {tuple(r[:4]): (r.next_key, r.next_p, r.next_q, r.next_text) for r in found.collect()} == want and found.count() == len(rows)
     bounds, parts = [0, hot] if hot > 0 else [hot, 0], [1, 20] if hot > 0 else [20, 1]
     key, p = fingerprint.F.col("key"), fingerprint.F.col("p")
-    bucket = fingerprint._bucket(key, bounds)
+    bucket = fingerprint.bucket_of(key, bounds)
     sizes = df.groupBy(bucket.alias("b"), fingerprint._part(bucket, key, p, bounds, parts).alias("i")).count().collect()
     assert max(r["count"] for r in sizes if r.i) < 130 and len({r.i for r in sizes}) == 21  # a quarter of the rows have one p
 

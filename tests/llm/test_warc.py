@@ -78,3 +78,27 @@ def test_damage_is_found(spark):
 
 def test_empty_table(spark):
     assert warc.write_and_read(pages(spark, [])).count() == 0
+
+
+def test_two_writes_give_equal_bytes(spark):
+    """More rows than a range sort samples, dealt out differently, in one session."""
+    rows = [(i * 7919 % 30_011, f"http://h/{i}", f"page {i % 400} " * (1 + i % 3), 1, "k") for i in range(6000)] + [(None, None, "x", 1, "k"), (None, "u", None, 1, "k")]
+    made = []
+    for df in (pages(spark, rows), pages(spark, rows[::-1]).repartition(7)):
+        to = scratch(spark, "w")
+        warc.write(df, to, roll_bytes=40_000, shards=4)
+        store, path = warc.open_store(to)
+        files = {}
+        for x in store.get_file_info(warc.fs.FileSelector(path)):
+            with store.open_input_stream(x.path, compression=None) as f:
+                files[x.base_name] = f.read()
+        made.append(files)
+    assert made[0] == made[1] and len(made[0]) > 8 and "manifest.json" in made[0]
+
+
+def test_bounds_are_exact_ranks(spark):
+    ids = [5] * 50 + list(range(100, 150)) + [None] * 3
+    df = spark.createDataFrame([(i,) for i in ids], "page_id long").repartition(5)
+    order = sorted(ids, key=lambda i: (i is not None, i))
+    assert warc.exact_bounds(df, 8) == sorted({order[i * len(ids) // 8] for i in range(1, 8)} - {None})
+    assert warc.exact_bounds(df.limit(0), 8) == [] and warc.exact_bounds(df, 1) == []
