@@ -88,7 +88,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     carried = [row_col] if row_col else []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *carried).withColumn("h", drawn(F.col("id"), seed)), "sizes")
+    # Rows without an id are spread by their texts, or by what tells them apart.
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), F.col(row_col).cast("string") if row_col else F.xxhash64(F.col(text_col)).cast("string")))
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), drawn(own, seed).alias("h"), *carried), "sizes")
     n_rows = rows.count()
     # Buckets are ranges of the hash, so their order is that of the hash.
     buckets = max(1, -(-n_rows // max(bucket_rows, int(n_rows**0.5))))

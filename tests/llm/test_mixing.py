@@ -5,6 +5,7 @@ from collections import defaultdict
 from itertools import accumulate
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import mixing
 from seqloom.llm.common import ROW, numbered
@@ -117,3 +118,17 @@ def test_training_order_of_odd_rows(odd_docs):
     made = mixing.training_order(rows, plan, ROW).collect()
     assert len(made) == sum(len(r.positions) for r in plan.collect())
     assert sum(len(WORD.findall(r.text)) for r in made) == sum(r.taken for r in plan.collect())
+
+
+def test_rows_without_an_id_are_spread(spark, make_docs, rng):
+    """Half of the rows, one source, have no id: they go to as many buckets as others, and the mix is whole."""
+    texts = [" ".join(["w"] * rng.randint(1, 9)) + f" {i}" for i in range(400)]
+    docs = make_docs(texts, ids=[None if i % 2 else i for i in range(400)])
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("text").cast("string")))
+    assert docs.where("doc_id is null").select(mixing.drawn(own, mixing.SEED)).distinct().count() == 200
+    plan = mixing.mix(docs, bucket_rows=20).collect()
+    sizes = [len(t.split()) for t in texts]
+    assert len(plan) == 400 and sum(r.taken for r in plan) == sum(sizes) and sorted(r.size for r in plan) == sorted(sizes)
+    assert all(r.taken == r.size for r in plan)
+    again = mixing.mix(docs.repartition(3), bucket_rows=20).collect()
+    assert sorted(map(repr, plan)) == sorted(map(repr, again))
