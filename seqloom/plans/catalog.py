@@ -59,12 +59,18 @@ def can(k=K, src="lng"):
 
 
 TERM = can() + f", t AS (SELECT grp, CASE WHEN pos + {K} <= {T} THEN 'left' WHEN pos >= length - {T} THEN 'right' END AS \"end\", kmer FROM c WHERE length >= {2 * T})"
-ANCH = LONG + f""", {win(K)}, anch AS (
-SELECT seq_id, grp, pos, '+' AS strand, kmer AS "window" FROM w WHERE kmer LIKE 'TTGG%' AND pos < length - {K}
-UNION ALL SELECT seq_id, grp, pos + {K - 4}, '-', {rc('kmer')} FROM w WHERE kmer LIKE '%CCAA' AND pos + {K - 4} < length - {K}),
+
+
+def anch_sql(k):
+    return LONG + f""", {win(k)}, anch AS (
+SELECT seq_id, grp, pos, '+' AS strand, kmer AS "window" FROM w WHERE kmer LIKE 'TTGG%' AND pos < length - {k}
+UNION ALL SELECT seq_id, grp, pos + {k - 4}, '-', {rc('kmer')} FROM w WHERE kmer LIKE '%CCAA' AND pos + {k - 4} < length - {k}),
 a AS (SELECT * FROM anch WHERE "window" NOT LIKE '%N%')"""
 
 
+ANCH = anch_sql(K)
+
+
 def spacer_sql(m, base=5):
     return "CASE " + " ".join(f"WHEN substring({m}, {base + s}, 2) = 'TG' THEN {s}" for s in range(1, 5)) + " END"
 
@@ -403,37 +409,49 @@ def pwm_from_oligos(spark, d):
 KNOWN = f"known AS (SELECT * FROM {values([(n, m, V.SPACERS[n]) for n, m in V.KNOWN_MOTIFS.items()], 'name, motif, spacer')})"
 WEIGHT = lambda m, i: {b: f"CASE WHEN substring({m}, {i}, 1) = '{b}' THEN 1.01 / 1.04 ELSE 0.01 / 1.04 END::DOUBLE" for b in "ACGT"}
 KCOL = KNOWN + ", kcol AS (SELECT name, spacer, CAST(i - 1 AS INTEGER) AS pos, length(motif) AS len, " + ", ".join(f"(CASE WHEN substring(motif, i, 1) = '{b}' THEN 1.01 ELSE 0.01 END / 1.04)::DOUBLE AS {b.lower()}" for b in "ACGT") + " FROM known, (SELECT unnest(range(1, 13)) AS i) WHERE i <= length(motif))"
-MOVED = KCOL + """, fr AS (SELECT s.name AS src, s.spacer AS ss, length(s.motif) AS sl, d.name AS dst, d.spacer AS ds, CAST(i AS INTEGER) AS pos FROM known s, known d, (SELECT unnest(range(0, 12)) AS i) WHERE s.name <> d.name AND i < length(d.motif)),
-mv AS (SELECT fr.src, dst, fr.ds, fr.pos, """ + ", ".join(f"coalesce(k.{b}, 0.25) AS {b}" for b in "acgt") + """ FROM fr LEFT JOIN kcol k ON k.name = fr.src AND k.pos = CASE WHEN fr.pos < 4 THEN fr.pos WHEN fr.pos - ds + ss >= 4 AND fr.pos - ds + ss < sl THEN fr.pos - ds + ss END)"""
+#: Matrices of framed windows of twelve letters, by source and spacer.
+FRAME = 12
+FRAMED = anch_sql(FRAME) + f""", fw AS (SELECT grp || '/' || spacer AS name, spacer, word FROM (SELECT grp, "window" AS word, CAST({spacer_sql(chr(34) + 'window' + chr(34))} AS INTEGER) AS spacer FROM a) WHERE spacer IS NOT NULL AND grp IS NOT NULL),
+fm AS (SELECT name, spacer, CAST(i AS INTEGER) AS pos, {', '.join(f"(count(*) FILTER (substring(word, i + 1, 1) = '{b.upper()}') + 0.5) / (count(*) + 2) AS {b}" for b in pwm.ACGT)} FROM fw, (SELECT unnest(range(0, {FRAME})) AS i) GROUP BY ALL)"""
+MOVED = FRAMED + ", " + KCOL + """, fr AS (SELECT s.name AS src, s.spacer AS ss, d.name AS dst, d.spacer AS ds, CAST(i AS INTEGER) AS pos FROM (SELECT DISTINCT name, spacer FROM fw) s, known d, (SELECT unnest(range(0, 12)) AS i) WHERE i < length(d.motif)),
+mv AS (SELECT fr.src, dst, fr.ds, fr.pos, """ + ", ".join(f"coalesce(k.{b}, 0.25) AS {b}" for b in "acgt") + f""" FROM fr LEFT JOIN fm k ON k.name = fr.src AND k.pos = CASE WHEN fr.pos < 4 THEN fr.pos WHEN fr.pos - ds + ss >= 4 AND fr.pos - ds + ss < {FRAME} THEN fr.pos - ds + ss END)"""
+
+
+def framed(spark, d):
+    """(name, spacer, window): windows with a framework, named by source and spacer."""
+    w = kmers.anchored_windows(long_dna(spark, d), FRAME).where("grp is not null").withColumn("spacer", S.framework_spacer(F.col("window"))).where("spacer is not null")
+    return w.select(F.concat_ws("/", "grp", "spacer").alias("name"), "spacer", "window")
 
 
-def _moved(spark):
-    m = D.motifs(spark)
-    s, e = m.select(F.col("name").alias("src"), F.col("spacer").alias("src_spacer"), F.length("motif").alias("src_len")), m.select(F.col("name").alias("dst"), F.col("spacer").alias("dst_spacer"), F.length("motif").alias("dst_len"))
-    pairs = s.crossJoin(e).where("src <> dst").withColumn("case", F.concat_ws(">", "src", "dst"))
-    return pairs, pwm.transfer(pairs, pwm.of_motifs(m.withColumnRenamed("name", "id"), ["id"]))
+def framed_matrix(spark, d):
+    return pwm.from_windows(framed(spark, d), ["name", "spacer"])
+
+
+def _moved(spark, d):
+    """Each source's matrices moved into the frames of the known motifs, of which there are few."""
+    m = framed_matrix(spark, d)
+    s = m.select(F.col("name").alias("src"), F.col("spacer").alias("src_spacer"), F.lit(FRAME).alias("src_len")).distinct()
+    e = D.motifs(spark).select(F.col("name").alias("dst"), F.col("spacer").alias("dst_spacer"), F.length("motif").alias("dst_len"))
+    pairs = s.crossJoin(F.broadcast(e)).withColumn("case", F.concat_ws(">", "src", "dst"))
+    return pairs, pwm.transfer(pairs, m.withColumnRenamed("name", "id"))
 
 
 @query(f"WITH {MOVED} SELECT src, dst, pos, " + ", ".join(f"round({b}, 6) AS {b}" for b in "acgt") + " FROM mv")
 def anchored_transfer(spark, d):
-    pairs, moved = _moved(spark)
+    pairs, moved = _moved(spark, d)
     return moved.join(pairs.select("case", "dst"), "case").select("src", "dst", "pos", *[r6(F.col(b)).alias(b) for b in "acgt"])
 
 
 SKILL = MOVED + ", g AS (SELECT mv.src, dst, count(*) AS n_variable, avg(sqrt(" + " + ".join(f"(mv.{b} - k.{b})^2" for b in "acgt") + ")) AS dist, avg(sqrt(" + " + ".join(f"(0.25 - k.{b})^2" for b in "acgt") + ")) AS base FROM mv JOIN kcol k ON k.name = mv.dst AND k.pos = mv.pos WHERE NOT (mv.pos < 4 OR mv.pos IN (ds + 4, ds + 5)) GROUP BY ALL)"
 
 
-def _scored(spark):
-    pairs, moved = _moved(spark)
-    truth = pwm.of_motifs(D.motifs(spark), ["name"]).withColumnRenamed("name", "dst")
-    t = pairs.select("case", "dst").join(truth, "dst").drop("dst")
-    e = pwm.evaluate(moved, t, pairs.select("case", F.col("dst_spacer").alias("spacer")), ["case"])
-    return e.join(pairs.select("case", "src", "dst"), "case")
-
-
 @query(f"WITH {SKILL} SELECT src, dst, n_variable, round(dist, 6) AS distance, round(1 - dist / base, 6) AS skill FROM g")
 def pwm_skill(spark, d):
-    return _scored(spark).select("src", "dst", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill"))
+    """The moved matrices graded against the known motifs."""
+    pairs, moved = _moved(spark, d)
+    truth = pwm.of_motifs(D.motifs(spark), ["name"]).withColumnRenamed("name", "dst")
+    e = pwm.evaluate(moved, pairs.select("case", "dst").join(truth, "dst").drop("dst"), pairs.select("case", F.col("dst_spacer").alias("spacer")), ["case"])
+    return e.join(pairs.select("case", "src", "dst"), "case").select("src", "dst", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill"))
 
 
 MATCH = MATRIX + ", " + KCOL + """, fr AS (SELECT DISTINCT grp FROM pw), al AS (SELECT grp, name, spacer AS ss, len FROM fr, (SELECT DISTINCT name, spacer, len FROM kcol)),
@@ -448,32 +466,28 @@ def best_match(spark, d):
     return pwm.best_match(m, D.motifs(spark)).withColumn("skill", r6(F.col("skill")))
 
 
-@query(f"WITH {KCOL} SELECT name, count(*) AS n_variable, round(avg(sqrt(" + " + ".join(f"(0.25 - {b})^2" for b in "acgt") + ")), 6) AS distance, 0.0::DOUBLE AS skill FROM kcol WHERE NOT (pos < 4 OR pos IN (spacer + 4, spacer + 5)) GROUP BY name")
+@query(f"WITH {FRAMED} SELECT name, count(*) AS n_variable, round(avg(sqrt(" + " + ".join(f"(0.25 - {b})^2" for b in "acgt") + ")), 6) AS distance, 0.0::DOUBLE AS skill FROM fm WHERE NOT (pos < 4 OR pos IN (spacer + 4, spacer + 5)) GROUP BY name")
 def floor_baseline(spark, d):
-    m = D.motifs(spark)
-    truth = pwm.of_motifs(m, ["name"])
+    """What a matrix that knows nothing gets against each source's."""
+    truth = framed_matrix(spark, d)
     flat = truth.select("name", "pos", *[F.lit(0.25).alias(b) for b in "acgt"])
-    e = pwm.evaluate(flat, truth, m.select("name", "spacer"), ["name"])
+    e = pwm.evaluate(flat, truth, truth.select("name", "spacer").distinct(), ["name"])
     return e.select("name", "n_variable", r6(F.col("distance")).alias("distance"), r6(F.col("skill")).alias("skill"))
 
 
 SLOT = "CASE WHEN pos >= 4 AND pos < 4 + spacer THEN pos - spacer WHEN pos >= 6 + spacer AND pos < 11 + spacer THEN pos - 2 - spacer END"
 
 
-@query(f"WITH {KCOL} SELECT name, CAST({SLOT} AS INTEGER) AS slot, " + ", ".join(f"round({b}, 6) AS {b}" for b in "acgt") + f" FROM kcol WHERE {SLOT} IS NOT NULL")
+@query(f"WITH {FRAMED} SELECT name, CAST({SLOT} AS INTEGER) AS slot, " + ", ".join(f"round({b}, 6) AS {b}" for b in "acgt") + f" FROM fm WHERE {SLOT} IS NOT NULL")
 def canonical_slots(spark, d):
-    m = D.motifs(spark)
-    s = pwm.to_slots(pwm.of_motifs(m, ["name", "spacer"]))
-    return s.select("name", "slot", *[r6(F.col(b)).alias(b) for b in "acgt"])
+    return pwm.to_slots(framed_matrix(spark, d)).select("name", "slot", *[r6(F.col(b)).alias(b) for b in "acgt"])
 
 
-@query(f"WITH {KCOL} SELECT name, pos, " + ", ".join(f"round(CASE WHEN pos >= 11 + spacer THEN 0.25 ELSE {b} END, 6) AS {b}" for b in "acgt") + " FROM kcol")
+@query(f"WITH {FRAMED} SELECT name, pos, " + ", ".join(f"round(CASE WHEN pos >= 11 + spacer THEN 0.25 ELSE {b} END, 6) AS {b}" for b in "acgt") + " FROM fm")
 def slots_round_trip(spark, d):
-    m = D.motifs(spark)
-    full = pwm.of_motifs(m, ["name", "spacer"])
-    frames = m.select(F.col("name").alias("case"), "spacer", F.length("motif").alias("length"))
-    back = pwm.from_slots(pwm.to_slots(full).withColumnRenamed("name", "case"), frames, full.withColumnRenamed("name", "case"))
-    return back.select(F.col("case").alias("name"), "pos", *[r6(F.col(b)).alias(b) for b in "acgt"])
+    full = framed_matrix(spark, d).withColumnRenamed("name", "case")
+    frames = full.select("case", "spacer").distinct().withColumn("length", F.lit(FRAME))
+    return pwm.from_slots(pwm.to_slots(full), frames, full).select(F.col("case").alias("name"), "pos", *[r6(F.col(b)).alias(b) for b in "acgt"])
 
 
 def _pairs_sql():
@@ -486,12 +500,13 @@ def factor_features(spark, d):
     return f.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
 
 
-@query(f"WITH {KCOL}, j AS (SELECT x.name AS p, y.name AS q, x.pos, " + ", ".join(f"x.{b} AS p{b}, y.{b} AS q{b}" for b in "acgt") + " FROM kcol x JOIN kcol y ON x.pos = y.pos AND x.name < y.name) SELECT p, q, round(avg((" + " + ".join(f"p{b} * log2(2 * p{b} / (p{b} + q{b})) + q{b} * log2(2 * q{b} / (p{b} + q{b}))" for b in "acgt") + ") / 2), 6) AS jsd FROM j GROUP BY ALL")
+@query(f"WITH {FRAMED}, {KCOL}, j AS (SELECT x.name AS p, y.name AS q, x.pos, " + ", ".join(f"x.{b} AS p{b}, y.{b} AS q{b}" for b in "acgt") + " FROM fm x JOIN kcol y ON x.pos = y.pos) SELECT p, q, round(avg((" + " + ".join(f"p{b} * log2(2 * p{b} / (p{b} + q{b})) + q{b} * log2(2 * q{b} / (p{b} + q{b}))" for b in "acgt") + ") / 2), 6) AS jsd FROM j GROUP BY ALL")
 def column_divergence(spark, d):
-    m = pwm.of_motifs(D.motifs(spark), ["name"])
-    x, y = (m.select(F.col("name").alias(n), "pos", *[F.col(b).alias(n + b) for b in "acgt"]) for n in "pq")
+    """Each source's matrices and the known motifs, column by column."""
+    side = lambda m, n: m.select(F.col("name").alias(n), "pos", *[F.col(b).alias(n + b) for b in "acgt"])
+    x, y = side(framed_matrix(spark, d), "p"), side(pwm.of_motifs(D.motifs(spark), ["name"]), "q")
     dist = S.column_distance([F.col("p" + b) for b in "acgt"], [F.col("q" + b) for b in "acgt"], "jsd")
-    return x.join(y, "pos").where("p < q").groupBy("p", "q").agg(r6(F.avg(dist)).alias("jsd"))
+    return x.join(y, "pos").groupBy("p", "q").agg(r6(F.avg(dist)).alias("jsd"))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------
@@ -580,9 +595,10 @@ def held_out_features(spark, d):
     return f.select("held", "name", F.posexplode("x").alias("dim", "v")).withColumn("v", r6(F.col("v")))
 
 
-@query(f"WITH {KCOL} SELECT name, CAST({SLOT} AS INTEGER) AS slot, CASE WHEN a > 0.5 THEN 'A' WHEN c > 0.5 THEN 'C' WHEN g > 0.5 THEN 'G' ELSE 'T' END AS letter FROM kcol WHERE {SLOT} IS NOT NULL")
+@query(f"WITH {FRAMED} SELECT name, CAST({SLOT} AS INTEGER) AS slot, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS letter FROM fm WHERE {SLOT} IS NOT NULL")
 def slot_examples(spark, d):
-    m = D.motifs(spark)
+    """The letters that the consensus of each source's framed windows has in the common slots."""
+    m = pwm.consensus(framed_matrix(spark, d), ["name", "spacer"]).withColumnRenamed("consensus", "motif")
     e = vectors.build_examples(m.select("name", F.lit(0).alias("x")), m)
     return e.select("name", "slot", F.element_at(F.array(*[F.lit(b) for b in "ACGT"]), F.array_position("y", 1.0).cast("int")).alias("letter"))
 
@@ -987,11 +1003,14 @@ def summary_totals(spark, d):
     return D.dna(spark, d).agg(F.count(F.lit(1)).alias("sequences"), F.sum(n).alias("letters"), F.max(n).alias("longest"), r6(F.avg(n)).alias("mean_length"))
 
 
-@query(f"WITH {KNOWN}, p AS (SELECT name, spacer, length(motif) AS len, CAST(unnest(range(0, length(motif))) AS INTEGER) AS pos FROM known) SELECT name, pos, CASE WHEN pos < 4 THEN 'anchor' WHEN pos < 4 + spacer THEN 'spacer' WHEN pos < 6 + spacer THEN 'second' ELSE 'tail' END AS part, round(CASE WHEN pos < 4 THEN CASE WHEN substring('TTGG', pos + 1, 1) = 'T' THEN 1.01 / 1.04 ELSE 0.01 / 1.04 END ELSE 0.25 END::DOUBLE, 6) AS t FROM p")
+@query(f"WITH {FRAMED}, p AS (SELECT name, spacer, count(*) AS windows FROM fw GROUP BY ALL), q AS (SELECT *, CAST(unnest(range(0, {FRAME})) AS INTEGER) AS pos FROM p) SELECT name, windows, pos, CASE WHEN pos < 4 THEN 'anchor' WHEN pos < 4 + spacer THEN 'spacer' WHEN pos < 6 + spacer THEN 'second' ELSE 'tail' END AS part, round(CASE WHEN pos < 4 THEN CASE WHEN substring('TTGG', pos + 1, 1) = 'T' THEN 1.01 / 1.04 ELSE 0.01 / 1.04 END ELSE 0.25 END::DOUBLE, 6) AS t FROM q")
 def framework_frames(spark, d):
-    """The parts of each known motif, and the weight of T where the anchor alone is known."""
-    rows = [(n, pos, part, S.framework_columns(len(m))[pos][3]) for n, m in V.KNOWN_MOTIFS.items() for part, at in S.motif_frame(V.SPACERS[n], len(m)).items() for pos in at]
-    return spark.createDataFrame(rows, "name string, pos int, part string, t double").withColumn("t", r6(F.col("t")))
+    """The parts of the frames that windows are found in, and the weight of T where the anchor alone is known."""
+    of = [{p: part for part, at in S.motif_frame(s, FRAME).items() for p in at} for s in range(1, 5)]
+    parts = F.array(*[F.array(*[F.lit(o[p]) for p in range(FRAME)]) for o in of])
+    t = F.array(*[F.lit(c[3]) for c in S.framework_columns(FRAME)])
+    g = framed(spark, d).groupBy("name", "spacer").agg(F.count(F.lit(1)).alias("windows")).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(FRAME - 1))))
+    return g.select("name", "windows", "pos", F.get(F.get(parts, F.col("spacer") - 1), F.col("pos")).alias("part"), r6(F.get(t, F.col("pos"))).alias("t"))
 
 
 def _checkpoints(spark):
