@@ -329,11 +329,14 @@ INDEX_LETTERS = 1 << 20
 
 
 def shared_kmers(queries: DataFrame, targets: DataFrame, k: int = 5, top: int = 30) -> DataFrame:
-    """(qid, tid, shared, rank): the targets that share most distinct k-mers with each query; ties to the larger id."""
-    if (queries.agg(F.sum(F.length("seq")).alias("n")).first().n or 0) <= INDEX_LETTERS:
+    """(qid, tid, shared, rank): the targets that share most distinct k-mers with each query; ties to the larger id. Records
+    of one id are one query or target, with the k-mers of all. Queries of few letters go to every task as an index, where
+    targets are a record an id; else k-mers are joined. Both ways give the same."""
+    small = (queries.agg(F.sum(F.length("seq")).alias("n")).first().n or 0) <= INDEX_LETTERS
+    if small and targets.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         counts = _shared_by_index(queries, targets, k, top)
     else:
-        q, t = kmer_sets(queries, k).withColumnRenamed("id", "qid"), kmer_sets(targets, k).withColumnRenamed("id", "tid")
+        q, t = (kmer_sets(x.where("seq_id is not null"), k).withColumnRenamed("id", name) for x, name in ((queries, "qid"), (targets, "tid")))
         counts = q.join(t, "kmer").groupBy("qid", "tid").agg(F.count(F.lit(1)).alias("shared"))
     return top_per_group(counts, ["qid"], [F.desc("shared"), F.desc("tid")], top)
 
@@ -343,12 +346,14 @@ def _shared_by_index(queries: DataFrame, targets: DataFrame, k: int, top: int) -
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = queries.where("seq is not null").select("seq_id", F.upper("seq").alias("seq")).collect()  # INDEX_LETTERS at most
-    ids, index = [r.seq_id for r in rows], {}
-    for i, r in enumerate(rows):
-        for w in {r.seq[p : p + k] for p in range(len(r.seq) - k + 1)}:
-            index.setdefault(w, []).append(i)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, {w: np.array(x, np.int64) for w, x in index.items()}))
+    rows = queries.where("seq is not null and seq_id is not null").select("seq_id", F.upper("seq").alias("seq")).collect()  # INDEX_LETTERS at most
+    number: dict = {}
+    index: dict[str, set] = {}
+    for r in rows:
+        i = number.setdefault(r.seq_id, len(number))
+        for p in range(len(r.seq) - k + 1):
+            index.setdefault(r.seq[p : p + k], set()).add(i)
+    shared = queries.sparkSession.sparkContext.broadcast((list(number), {w: np.array(sorted(x), np.int64) for w, x in index.items()}))
     kind = to_arrow_type(queries.schema["seq_id"].dataType)
     schema = T.StructType([T.StructField("qid", queries.schema["seq_id"].dataType), T.StructField("tid", targets.schema["seq_id"].dataType), T.StructField("shared", T.LongType())])
 

@@ -26,66 +26,80 @@ def packed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vector"))
 
 
-#: Query vectors that one task holds beside a batch of items.
-QUERY_BLOCK = 2048
+#: Vectors of either side that one task holds, about: it multiplies a block of queries with a block of items.
+BLOCK = 2048
 
 
-def nearest(queries: DataFrame, items: DataFrame, n: int = 1, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, n: int = 1, block: int = BLOCK) -> DataFrame:
     """(qid, tid, cosine, rank): the items of greatest cosine for each query, other than itself; ties to the larger id.
 
-    Exact: all queries against all items. Each block of queries is one broadcast and one pass over the items, which stay
-    where they are; a batch of items gives one matrix product, and of it the best n of each query go on, so the shuffle has
-    n rows a query and batch. Queries are a stated set: their number is a factor of the work, not of a task's memory."""
-    spark = queries.sparkSession
-    q = queries.select(F.col("id").alias("qid"), F.col("vector").cast("array<double>").alias("qv"))
-    blocks = max(1, -(-q.count() // block))
-    q = q.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    schema = T.StructType([T.StructField("qid", q.schema["qid"].dataType), T.StructField("tid", items.schema["id"].dataType), T.StructField("cosine", T.DoubleType())])
-    out = None
-    for i in range(blocks):
-        held = q.where(F.col("_block") == i).select("qid", "qv").toPandas()  # about QUERY_BLOCK vectors
-        if not len(held):
-            continue
-        qv = np.array(held["qv"].tolist(), float)
-        shared = spark.sparkContext.broadcast((held["qid"].to_numpy(), qv / np.linalg.norm(qv, axis=1, keepdims=True)))
-
-        def best(batches, shared=shared):
-            ids, unit = shared.value
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                t = np.array(pdf["vector"].tolist(), float)
-                tid = pdf["id"].to_numpy()
-                order = np.argsort(tid, kind="stable")
-                t, tid = t[order], tid[order]
-                cosine = unit @ (t / np.linalg.norm(t, axis=1, keepdims=True)).T
-                cosine[ids[:, None] == tid[None, :]] = -np.inf
-                rank = np.lexsort((np.broadcast_to(-np.arange(len(tid)), cosine.shape), -cosine))[:, :n]
-                rows = np.repeat(np.arange(len(ids)), rank.shape[1])
-                found = pd.DataFrame({"qid": ids[rows], "tid": tid[rank.ravel()], "cosine": cosine[rows, rank.ravel()]})
-                yield found[np.isfinite(found["cosine"])]
-
-        some = items.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(best, schema)
-        out = some if out is None else out.unionByName(some)
-    if out is None:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    Exact: all queries against all items, in blocks of both (:func:`best_products`). Rows without an id or a vector, vectors
+    with a null, a NaN or no length, and pairs of different lengths have no cosine. Rows that repeat an id count each."""
+
+    def cosines(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        return (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (t / np.linalg.norm(t, axis=1, keepdims=True)).T
+
+    return best_products(queries, items, cosines, n, block)
+
+
+def best_products(queries: DataFrame, items: DataFrame, score, n: int, block: int = BLOCK) -> DataFrame:
+    """(qid, tid, cosine, rank): the n items (id, vector) of greatest score for each query (id, vector), ties to the larger id.
+
+    score takes a matrix of queries and one of items and gives the matrix of their scores; what isn't finite is left out.
+    Both sides are dealt out to blocks by a hash of their ids; each pair of blocks is one group, so work is spread over
+    (queries / block) x (items / block) tasks and none holds more than two blocks and their product. Of each product, a
+    query's best n go on. No vector reaches the driver."""
+    size = lambda df: max(1, -(-df.count() // block))
+    side = lambda df, i, v: df.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(F.col("id").alias(i), F.col("vector").cast("array<double>").alias(v))
+    q, t = side(queries, "qid", "qv"), side(items, "tid", "tv")
+    rows, columns = size(q), size(t)
+    own = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    q = q.withColumns({"_d": F.size("qv"), "_i": own("qid", rows)}).withColumn("_j", each(columns))
+    t = t.withColumns({"_d": F.size("tv"), "_j": own("tid", columns)}).withColumn("_i", each(rows))
+    schema = T.StructType([q.schema["qid"], t.schema["tid"], T.StructField("cosine", T.DoubleType())])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": [], "tid": [], "cosine": []})
+        order = np.argsort(right["tid"].to_numpy(), kind="stable")
+        ids, tid = left["qid"].to_numpy(), right["tid"].to_numpy()[order]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            got = score(np.array(left["qv"].tolist(), float), np.array(right["tv"].tolist(), float)[order])
+        got[(ids[:, None] == tid[None, :]) | ~np.isfinite(got)] = -np.inf
+        rank = np.lexsort((np.broadcast_to(-np.arange(len(tid)), got.shape), -got))[:, :n]
+        at = np.repeat(np.arange(len(ids)), rank.shape[1])
+        found = pd.DataFrame({"qid": ids[at], "tid": tid[rank.ravel()], "cosine": got[at, rank.ravel()]})
+        return found[np.isfinite(found["cosine"])]
+
+    pairs = ["_d", "_i", "_j"]
+    out = q.groupBy(*pairs).cogroup(t.groupBy(*pairs)).applyInPandas(best, schema)
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), F.desc("tid")))
     return out.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def leave_one_out_neighbours(labels: DataFrame, center: bool = True) -> DataFrame:
+def leave_one_out_neighbours(labels: DataFrame, center: bool = True, block: int = BLOCK) -> DataFrame:
     """(held, other, cosine) for each label held out: its nearest other label, by vectors less the mean of the others.
 
-    labels: (label, vector), a row a label. The mean is of the training rows alone, so the held-out vector leaks nothing.
-    Ties go to the larger name."""
-    l_ = labels.select("label", F.posexplode(F.col("vector").cast("array<double>")).alias("dim", "v"))
-    total = l_.groupBy("dim").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    mean = l_.join(F.broadcast(total), "dim").select(F.col("label").alias("held"), "dim", (((F.col("s") - F.col("v")) / (F.col("n") - 1)) if center else F.lit(0.0)).alias("m"))
-    held = mean.join(l_.withColumnRenamed("label", "held"), ["held", "dim"]).select("held", "dim", (F.col("v") - F.col("m")).alias("hv"), "m")
-    pair = held.join(l_, "dim").where("label <> held").select("held", F.col("label").alias("other"), "hv", (F.col("v") - F.col("m")).alias("ov"))
-    g = pair.groupBy("held", "other").agg((F.sum(F.col("hv") * F.col("ov")) / (F.sqrt(F.sum(F.col("hv") ** 2)) * F.sqrt(F.sum(F.col("ov") ** 2)))).alias("cosine"))
-    best = g.groupBy("held").agg(F.max(F.struct("cosine", "other")).alias("b"))
-    return best.select("held", "b.other", "b.cosine")
+    labels: (label, vector), a row a label, of one length. The mean is of the training rows alone, so the held-out vector
+    leaks nothing. It is (sum - held) / (n - 1), so centring corrects the products of uncentred vectors by terms of the
+    held-out vector and the sum, which is all that the driver gets. Ties go to the larger name; one label has no other."""
+    rows = labels.select(F.col("label").alias("id"), "vector")
+    n = rows.count()
+    if center and n > 1:
+        total = np.array([r.s for r in long_form(rows, ["id"], "vector").groupBy("dim").agg(F.sum("v").alias("s")).orderBy("dim").collect()])
+    else:
+        total = None
+
+    def centred(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        mean = np.zeros_like(q) if total is None else (total - q) / (n - 1)
+        held = q - mean
+        products = held @ t.T - (held * mean).sum(axis=1)[:, None]
+        squares = (t * t).sum(axis=1)[None, :] - 2 * mean @ t.T + (mean * mean).sum(axis=1)[:, None]
+        return products / (np.linalg.norm(held, axis=1)[:, None] * np.sqrt(np.maximum(squares, 0)))
+
+    found = best_products(rows, rows, centred, 1, block)
+    return found.select(F.col("qid").alias("held"), F.col("tid").alias("other"), "cosine")
 
 
 #: Rows of a labelled set that is compared with all of another.

@@ -362,11 +362,16 @@ def zinc_fingers(spark, d):
     return p.select("doc_id", F.size(proteins.helices(F.col("seq"))).alias("n_fingers"), proteins.recognition_residues(F.col("seq")).alias("residues"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {PROT}, m AS (SELECT doc_id, seq, regexp_extract_all(seq, '{V.FINGER}') AS whole, regexp_extract_all(seq, '{V.FINGER}', 1) AS helix FROM prot),
+f AS (SELECT doc_id, seq, whole, helix, 0 AS k, 0::BIGINT AS stop, 0::BIGINT AS n_positions, NULL::BIGINT AS tail FROM m
+UNION ALL SELECT doc_id, seq, whole, helix, k + 1, stop + strpos(substring(seq, stop + 1), whole[k + 1]) - 1 + length(whole[k + 1]), n_positions + CASE WHEN k < 2 THEN length(helix[k + 1]) ELSE 0 END, CASE WHEN k = 1 THEN stop + strpos(substring(seq, stop + 1), whole[2]) - 1 + length(whole[2]) ELSE tail END FROM f WHERE k < least(len(whole), 2)),
+l AS (SELECT * FROM f WHERE k = least(len(whole), 2)), g AS (SELECT *, strpos(seq, regexp_extract(seq, '{V.FINGER_GREEDY}')) AS dom, regexp_matches(seq, '{V.FINGER_GREEDY}') AS found FROM l)
+SELECT doc_id, CAST(len(whole) AS INTEGER) AS n, CAST(n_positions AS INTEGER) AS n_positions, CAST(tail AS INTEGER) AS tail_start, CASE WHEN tail IS NOT NULL THEN CAST(length(seq) AS INTEGER) END AS tail_stop, CASE WHEN found THEN CAST(greatest(dom - 6, 0) AS INTEGER) END AS domain_start, CASE WHEN found THEN CAST(length(seq) AS INTEGER) END AS domain_stop FROM g""")
 def finger_regions(spark, d):
     p = D.spread(D.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("seq"))
     f = proteins.with_fingers(p)
-    return f.select("doc_id", F.size("fingers").alias("n"), F.size(proteins.recognition_positions(F.col("fingers"))).alias("n_positions"), proteins.tail_region(F.col("seq"), F.col("fingers")).alias("tail"), proteins.domain(F.col("seq")).alias("domain"))
+    f = f.withColumn("tail", proteins.tail_region(F.col("seq"), F.col("fingers"))).withColumn("domain", proteins.domain(F.col("seq")))
+    return f.select("doc_id", F.size("fingers").alias("n"), F.size(proteins.recognition_positions(F.col("fingers"))).alias("n_positions"), *[F.col(f"{c}.{e}").alias(f"{c}_{e}") for c in ("tail", "domain") for e in ("start", "stop")])
 
 
 # --- matrices ----------------------------------------------------------------------------------------------------
@@ -524,10 +529,10 @@ def label_centroids(spark, d):
     return vectors.centroids(embeddings(spark, d), "label", "embedding").withColumn("v", r6(F.col("v")))
 
 
-@query(f"WITH {EMB}, p AS (SELECT q.vec_id AS qid, t.vec_id AS tid, list_cosine_similarity(q.v, t.v) AS c FROM e q JOIN e t ON q.vec_id <> t.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, tid DESC) AS rank FROM p) SELECT qid, tid, round(c, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
+@query(f"WITH {EMB}, p AS (SELECT q.vec_id AS qid, t.vec_id AS tid, list_cosine_similarity(q.v, t.v) AS c FROM e q JOIN e t ON q.vec_id <> t.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(c, 9) DESC, tid DESC) AS rank FROM p) SELECT qid, tid, round(c, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5")
 def nn_cosine(spark, d):
     v = embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    n = vectors.nearest(v.where("id % 100 = 0"), v, 5)
+    n = vectors.nearest(v, v, 5)
     return n.withColumn("cosine", r6(F.col("cosine")))
 
 

@@ -445,3 +445,47 @@ def test_match_null_of_any_number_of_rows(spark):
     r = discovery.permutation_null(many).first()
     assert r.n == 300 and 0 < r.p_value < 1
     assert discovery.permutation_null(many.limit(0)).first().p_value == 1.0
+
+
+def test_shared_kmers_both_ways(spark, monkeypatch):
+    """By index and by join, with ids that repeat on either side, null ids and null sequences."""
+    rng = random.Random(15)
+    make = lambda n, ids: spark.createDataFrame([(rng.choice(ids), rng.choice([None, rand_dna(rng, rng.randint(0, 60), "ACGT")])) for _ in range(n)], "seq_id long, seq string")
+    for ids in (list(range(400)), [1, 2, 3, None]):
+        q, t = make(12, ids), make(30, ids)
+        got = {}
+        for letters in (1 << 20, 0):
+            monkeypatch.setattr(kmers, "INDEX_LETTERS", letters)
+            got[letters] = sorted(map(tuple, kmers.shared_kmers(q, t, 4, 3).collect()))
+        assert got[0] == got[1 << 20]
+        sets = lambda df: {i: {r.seq[p : p + 4] for r in df.collect() if r.seq_id == i and r.seq for p in range(len(r.seq) - 3)} for i in {r.seq_id for r in df.collect()} - {None}}
+        a, b = sets(q), sets(t)
+        want = []
+        for i in a:
+            best = sorted(((len(a[i] & b[j]), j) for j in b if a[i] & b[j]), reverse=True)[:3]
+            want += [(i, j, n, k + 1) for k, (n, j) in enumerate(best)]
+        assert got[0] == sorted(want)
+
+
+def test_nearest_with_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [1.0, 2.0, 3.0]), (5, [0.0, 0.0]), (6, [1.0, None]), (None, [1.0, 0.0]), (7, []), (8, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    for block in (2048, 2):
+        got = {r.qid: (r.tid, round(r.cosine, 6)) for r in vectors.nearest(df, df, 1, block).collect()}
+        assert got == {1: (8, 1.0), 2: (8, 0.995037), 8: (1, 1.0)}
+    assert vectors.nearest(df.limit(0), df, 2).collect() == [] and vectors.nearest(df, df.limit(0), 2).collect() == []
+
+
+def test_leave_one_out_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = {f"l{i}": rng.normal(size=5) for i in range(30)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "label string, vector array<double>")
+    for center in (True, False):
+        for block in (2048, 7):
+            got = {r.held: (r.other, r.cosine) for r in vectors.leave_one_out_neighbours(df, center, block).collect()}
+            for h in x:
+                m = np.mean([x[o] for o in x if o != h], axis=0) if center else 0
+                cos = {o: (x[h] - m) @ (x[o] - m) / np.linalg.norm(x[h] - m) / np.linalg.norm(x[o] - m) for o in x if o != h}
+                best = max(cos, key=lambda o: (cos[o], o))
+                assert got[h][0] == best and got[h][1] == pytest.approx(cos[best])
+    assert vectors.leave_one_out_neighbours(df.limit(1)).collect() == []
