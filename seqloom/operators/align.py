@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import lcm
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kmers
 
@@ -186,20 +189,88 @@ def best_hits(queries: DataFrame, targets: DataFrame, k: int = 5, prefilter: int
     return kmers.top_per_group(s, ["qid"], [F.desc("score"), "prefilter_rank"], prefilter).drop("prefilter_rank")
 
 
-def assign_one_to_one(scores: DataFrame, queries: list[str], order: str = "ord") -> DataFrame:
-    """(qid, tid): distinct targets for all queries with the largest total score; the first candidates in order among equals.
-
-    scores: (qid, tid, score, ord) of a handful of queries and candidates: one self-join for each query, then the best row."""
-    out = None
-    for i, q in enumerate(queries):
-        s = scores.where(F.col("qid") == q).select(F.col("tid").alias(f"t{i}"), F.col("score").alias(f"s{i}"), F.col(order).alias(f"o{i}"))
-        if out is None:
-            out = s
-        else:
-            out = out.join(s, [F.col(f"t{k}") != F.col(f"t{i}") for k in range(i)])
-    total = sum((F.col(f"s{i}") for i in range(len(queries))), F.lit(0.0))
-    best = out.withColumn("total", total).orderBy(F.desc("total"), *[f"o{i}" for i in range(len(queries))]).limit(1)
-    return best.select(F.explode(F.array(*[F.struct(F.lit(q).alias("qid"), F.col(f"t{i}").alias("tid")) for i, q in enumerate(queries)])).alias("x")).select("x.*")
+#: Cells of queries times candidates of one assignment, which one task solves.
+ASSIGNED = 4_000_000
+
+
+def cheapest_columns(cost: list[list[int | None]]) -> list[int] | None:
+    """A column of its own for each row, of least total cost; None where the allowed cells (not None) leave no such choice.
+
+    Rows join one by one along the cheapest alternating path, with potentials that keep all reduced costs from falling below
+    0. Costs are whole numbers of any size, so the result is exact."""
+    n = len(cost[0]) if cost else 0
+    row_of: list[int | None] = [None] * n
+    u, v = [0] * len(cost), [0] * n
+    for start in range(len(cost)):
+        least: list[int | None] = [None] * n
+        came, done = [-1] * n, [False] * n
+        row, column = start, -1
+        while True:
+            nearest = None
+            for j in range(n):
+                if done[j]:
+                    continue
+                if cost[row][j] is not None:
+                    reduced = cost[row][j] - u[row] - v[j]
+                    if least[j] is None or reduced < least[j]:
+                        least[j], came[j] = reduced, column
+                if least[j] is not None and (nearest is None or least[j] < least[nearest]):
+                    nearest = j
+            if nearest is None:
+                return None
+            step = least[nearest]
+            u[start] += step
+            for j in range(n):
+                if done[j]:
+                    u[row_of[j]] += step
+                    v[j] -= step
+                elif least[j] is not None:
+                    least[j] -= step
+            column, done[nearest] = nearest, True
+            if row_of[column] is None:
+                break
+            row = row_of[column]
+        while column >= 0:
+            before = came[column]
+            row_of[column] = row_of[before] if before >= 0 else start
+            column = before
+    at = {r: j for j, r in enumerate(row_of) if r is not None}
+    return [at[i] for i in range(len(cost))]
+
+
+def _assigned(pdf: pd.DataFrame, queries: list) -> list[tuple]:
+    """The (query, target) pairs of one problem (qid, tid, score, ord)."""
+    from fractions import Fraction
+
+    targets = sorted(pdf["tid"].unique())
+    known = {(q, t): (Fraction(x) if not isinstance(x, float) else Fraction(*x.as_integer_ratio()), int(o)) for q, t, x, o in pdf[["qid", "tid", "score", "ord"]].itertuples(index=False)}
+    if len(queries) * len(targets) > ASSIGNED:
+        raise ValueError(f"more than {ASSIGNED} cells in one assignment")
+    unit = lcm(*(x.denominator for x, _ in known.values()))
+    # Order decides among equal totals, that of the first query first: digits below the scores' last.
+    base = max((o for _, o in known.values()), default=0) + 1
+    above = base ** len(queries)
+    cost = [[None if (q, t) not in known else -int(known[q, t][0] * unit) * above + known[q, t][1] * base ** (len(queries) - 1 - i) for t in targets] for i, q in enumerate(queries)]
+    chosen = cheapest_columns(cost)
+    return [] if chosen is None else [(q, targets[j]) for q, j in zip(queries, chosen)]
+
+
+def assign_one_to_one(scores: DataFrame, queries: list[str], order: str = "ord", by: list[str] | None = None) -> DataFrame:
+    """(by, qid, tid): distinct targets for all queries with the largest total score; the first candidates in order among
+    equals, that of the first query counting most.
+
+    scores: (by, qid, tid, score, ord) of the candidates that a search before left, ord from 0 up and distinct for a query.
+    Each value of ``by`` is a problem of its own, solved by one task within ASSIGNED cells, and problems are spread over
+    tasks. Problems in which some query can get no target have no rows; candidates with a null take no part."""
+    keys = by or []
+    rows = scores.where(F.col("qid").isin(queries)).select(*keys, "qid", "tid", F.col("score").cast("double").alias("score"), F.col(order).cast("long").alias("ord")).dropna(subset=["qid", "tid", "score", "ord"])
+    schema = T.StructType([*(rows.schema[c] for c in keys), rows.schema["qid"], rows.schema["tid"]])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = [pdf[c].iloc[0] for c in keys]
+        return pd.DataFrame([(*same, q, t) for q, t in _assigned(pdf, queries)], columns=schema.names)
+
+    return rows.withColumn("_problem", F.lit(0)).groupBy("_problem", *keys).applyInPandas(solve, schema)
 
 
 def reciprocal(forward: DataFrame, backward: DataFrame) -> DataFrame:

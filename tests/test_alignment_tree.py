@@ -1,6 +1,8 @@
 """Alignments against brute force, trees on additive distances."""
 
 import random
+from fractions import Fraction
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -73,6 +75,37 @@ def test_best_hits_assignment_and_reciprocity(spark):
     assert all(r.reciprocal for r in align.reciprocal(h.where("rank = 1"), back).collect())
 
 
+def test_assignment_is_the_best_of_all(spark):
+    """Random problems with ties and missing candidates, against all choices; the order decides among equals."""
+    rng = random.Random(21)
+    queries, rows, want = [f"q{i}" for i in range(5)], [], {}
+    for p in range(30):
+        n = rng.randint(4, 8)
+        cells = {}
+        for q in queries:
+            some = rng.sample(range(n), rng.randint(1, n))
+            for o, t in enumerate(some):
+                cells[q, f"t{t}"] = (rng.choice([1.0, 2.0, 2.5, 0.1, 0.2, 0.3]) if p % 2 else float(rng.randint(0, 3)), o)
+        rows += [(p, q, t, x, o) for (q, t), (x, o) in cells.items()]
+        best = None
+        for choice in permutations([f"t{t}" for t in range(n)], 5):
+            if all((q, t) in cells for q, t in zip(queries, choice)):
+                total = sum(Fraction(cells[q, t][0]) for q, t in zip(queries, choice))
+                key = (-total, [cells[q, t][1] for q, t in zip(queries, choice)])
+                best = min(best, (key, choice)) if best else (key, choice)
+        if best:
+            want[p] = dict(zip(queries, best[1]))
+    df = spark.createDataFrame(rows, "p long, qid string, tid string, score double, ord int")
+    got = {}
+    for r in align.assign_one_to_one(df, queries, by=["p"]).collect():
+        got.setdefault(r.p, {})[r.qid] = r.tid
+    assert got == want and 5 < len(want) < 30
+    one = {r.qid: r.tid for r in align.assign_one_to_one(df.where(f"p = {min(want)}"), queries).collect()}
+    assert one == want[min(want)]
+    assert "NestedLoop" not in align.assign_one_to_one(df, queries)._jdf.queryExecution().executedPlan().toString()
+    assert align.assign_one_to_one(df.limit(0), queries).collect() == []
+
+
 def test_neighbour_joining_is_exact_on_additive_distances():
     edges = [("#a", "w", 2.0), ("#a", "x", 3.0), ("#b", "#a", 1.5), ("#b", "y", 4.0), ("#b", "z", 9.0)]
     near = tree._around(edges)
