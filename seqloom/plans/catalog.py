@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import reference_values as V
 from ..functions import sequence as S
 from ..operators import align, discovery, hits, kmers, proteins, pwm, tree, vectors
-from ..sources import readers, writers
+from ..sources import readers, rest, writers
 from . import runs
 from . import tables as D
 
@@ -835,6 +835,18 @@ def exploration_run(spark, d):
 # --- files -------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT s_suppkey AS key, md5(s_name) AS value FROM supplier WHERE s_suppkey % 7 <> 0 UNION ALL SELECT s_suppkey, NULL FROM supplier WHERE s_suppkey % 7 = 0")
+def resumed_work(spark, d):
+    """Work in batches that is stopped after some and resumed; what fails each time is set aside, here as null."""
+    s = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_suppkey").alias("ord"), "s_name")
+    fails = F.col("key") % 7 == 0
+    work = lambda df: df.select("key", F.when(~fails, F.md5("s_name")).alias("value"), F.when(fails, "no answer").alias("error"))
+    path = _scratch(spark, "resumed")
+    rest.resume(s.where("key % 3 = 0"), path, "key", work, 20, 10)
+    found = rest.resume(s, path, "key", work, 40)
+    return s.select("key").join(found.select("key", "value"), "key", "left")
+
+
 def shared(spark):
     """The session's shared folder."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _checkpoints(spark)

@@ -1,6 +1,7 @@
 """Readers and sinks on generated files."""
 
 import gzip
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,76 @@ def test_streaming_counts(spark, tmp_path):
     q.stop()
     got = {r.kmer: r.cnt for r in spark.table("k").collect()}
     assert got == {"ACGT": 2, "CGTA": 1, "GTAC": 1, "TACG": 1, "CCAA": 1} or got == {"ACGT": 2, "CGTA": 2, "GTAC": 1, "CCAA": 1}
+
+
+@pytest.fixture
+def listing():
+    """A local server of JSON pages that counts requests, and stops answering after so many."""
+    import http.server
+    import threading
+    from collections import Counter
+
+    asked, left = Counter(), [10**6]
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked[self.path] += 1
+            left[0] -= 1
+            n = int(self.path.rsplit("/", 1)[1])
+            if left[0] < 0 or n == 99:
+                self.send_error(500)
+                return
+            body = b"not json" if n == 13 else json.dumps({"results": [{"id": 2 * n}, {"id": 2 * n + 1}], "next": f"http://127.0.0.1:{self.server.server_port}/p/{n + 1}" if n < 6 else None}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/p/", asked, left
+    server.shutdown()
+
+
+def test_pages_as_partitions_or_by_links(spark, listing):
+    url, asked, _ = listing
+    spark.dataSource.register(rest.PagedJson)
+    read = lambda **o: sorted(json.loads(r.value)["id"] for r in spark.read.format("paged_json").options(**o).load().collect())
+    assert read(url=url + "1") == list(range(2, 14))
+    by_page = spark.read.format("paged_json").options(url=url + "{page}", pages=6).load()
+    assert by_page.rdd.getNumPartitions() == 6
+    asked.clear()
+    assert read(url=url + "{page}", pages=6) == list(range(2, 14)) and set(asked.values()) == {1}
+
+
+def test_fetching_resumes_without_a_second_request(spark, listing, tmp_path):
+    url, asked, left = listing
+    wanted = spark.createDataFrame([(f"{url}{i}", i) for i in [*range(30), 3, 4, 99]] + [(None, 5)], "url string, ord int")
+    path = str(tmp_path / "kept")
+    left[0] = 12
+    first = rest.resume(wanted, path, "url", rest.fetched, 8).collect()
+    assert 10 <= len(first) <= 12
+    known = {r.url for r in first}
+    left[0] = 10**6
+    asked.clear()
+    again = {r.url: r.value for r in rest.resume(wanted, path, "url", rest.fetched, 8).collect()}
+    # One page is no JSON and one always fails: both are set aside, and all others are there.
+    assert set(again) == {f"{url}{i}" for i in range(30) if i != 13} and known <= set(again)
+    assert not [u for u in known if asked[u[u.index("/p/") :]]] and max(asked.values()) == 1
+    asked.clear()
+    rest.resume(wanted, path, "url", rest.fetched, 8).collect()
+    assert set(asked) == {"/p/13", "/p/99"}
+    errors = spark.read.parquet(path).where("error is not null")
+    assert errors.where("url like '%/99'").count() == 3 and json.loads(again[f"{url}2"])["results"] == [{"id": 4}, {"id": 5}]
+
+
+def test_resuming_keeps_to_the_most_by_order(spark, tmp_path):
+    wanted = spark.createDataFrame([(k, o) for o, k in enumerate("badcfeab")], "key string, ord int")
+    work = lambda df: df.select("key", F.upper("key").alias("value"), F.lit(None).cast("string").alias("error"))
+    path = str(tmp_path / "kept")
+    assert {r.key for r in rest.resume(wanted, path, "key", work, 2, 3).collect()} == set("bad")
+    assert {r.key for r in rest.resume(wanted, path, "key", work, 2, 5).collect()} == set("badcf")
+    assert {r.key for r in rest.resume(wanted, path, "key", work, 2, 5).collect()} == set("badcf")
+    assert {r.key for r in rest.resume(wanted.limit(0), str(tmp_path / "none"), "key", work).collect()} == set()
