@@ -697,6 +697,16 @@ def gene_coordinates(spark, d):
     return align.gene_coordinates(g, "start").select("gene", "seqname", "start", "end", "locus")
 
 
+@query("WITH c AS (SELECT concat('WBGene', p_brand) AS gene, CASE WHEN max_by(p_size, p_partkey) % 2 = 0 THEN 'X' ELSE 'I' END AS chrom, max(p_partkey) AS s FROM part GROUP BY p_brand), h AS (SELECT l_orderkey AS hit, concat('WBGene', p_brand) AS gene FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 UNION ALL SELECT o_orderkey, 'unknown' FROM orders WHERE o_orderkey % 50 = 0) SELECT hit, h.gene, chrom, s AS \"start\", CASE WHEN chrom = 'X' THEN round(abs(s - 1000) / 1e6, 3)::DOUBLE END AS distance_mb FROM h LEFT JOIN c ON h.gene = c.gene")
+def gene_distances(spark, d):
+    """Hits with their genes' coordinates, where known, and the distance to a place on one chromosome."""
+    p = D.table(spark, d, "part")
+    g = p.select(F.when(F.col("p_size") % 2 == 0, "X").otherwise("I").alias("seqid"), F.lit("gene").alias("type"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + 10).alias("end"), F.lit("+").alias("strand"), F.concat(F.lit("ID=Gene:WBGene"), "p_brand").alias("attributes"))
+    known = D.table(spark, d, "lineitem").where("l_linenumber = 1").join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("hit"), F.concat(F.lit("WBGene"), "p_brand").alias("gene"))
+    other = D.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("hit"), F.lit("unknown").alias("gene"))
+    return align.with_distance(known.unionByName(other), align.gene_coordinates(g, "start"), ("X", 1000)).select("hit", "gene", "chrom", "start", "distance_mb")
+
+
 @query("WITH h AS (SELECT l_suppkey AS qid, l_partkey AS tid, sum(l_quantity) AS s FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, tid) AS r FROM h) SELECT qid, string_agg(concat(tid, '(', CAST(round(s) AS INTEGER), '%)'), '; ' ORDER BY r) AS top3 FROM k WHERE r <= 3 GROUP BY qid")
 def top_hits_text(spark, d):
     h = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("tid")).agg(F.sum("l_quantity").alias("s"))

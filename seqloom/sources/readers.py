@@ -22,13 +22,16 @@ def read_fasta(spark: SparkSession, path: str, partitions: int | None = None) ->
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.monotonically_increasing_id().alias("file_ord"), F.col("_metadata.file_path").alias("_file"))
     # What comes first in a file has its header mark still, or else it is text before any header. A row a file.
     ahead = raw.groupBy("_file").agg(F.min("file_ord").alias("file_ord")).select("file_ord", F.lit(True).alias("ahead"))
-    raw = raw.join(ahead, "file_ord", "left").withColumn("ahead", F.coalesce("ahead", F.lit(False)))
-    first = F.regexp_replace("value", r"^\s*>", "")
-    has_header = F.regexp_like(F.col("value"), F.lit(r"^\s*>")) | ~F.col("ahead")
+    # A blank before a header mark is no part of the line; such records are split here.
+    parts = F.posexplode(F.split("value", r"\n[^\S\n]+>")).alias("part", "value")
+    raw = raw.join(ahead, "file_ord", "left").select("file_ord", (F.coalesce("ahead", F.lit(False))).alias("ahead"), parts)
+    begins = F.col("ahead") & (F.col("part") == 0)
+    first = F.when(begins, F.regexp_replace("value", r"^\s*>", "")).otherwise(F.col("value"))
+    has_header = F.regexp_like(F.col("value"), F.lit(r"^\s*>")) | ~begins
     head = F.trim(F.regexp_extract(first, r"^([^\n]*)", 1))
-    rows = raw.where(has_header & (F.length(F.trim("value")) > 0)).select("file_ord", head.alias("header"), F.regexp_replace(F.regexp_replace(first, r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+    rows = raw.where(has_header & (F.length(F.trim("value")) > 0)).select("file_ord", "part", head.alias("header"), F.regexp_replace(F.regexp_replace(first, r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
     rows = rows.withColumn("seq_id", F.when(F.length("header") > 0, S.header_id(F.col("header"))).otherwise(F.raise_error(F.lit("empty FASTA header"))))
-    last = rows.groupBy("seq_id").agg(F.max_by(F.struct("header", "seq"), "file_ord").alias("r"), F.min("file_ord").alias("file_ord"))
+    last = rows.groupBy("seq_id").agg(F.max_by(F.struct("header", "seq"), F.struct("file_ord", "part")).alias("r"), F.min("file_ord").alias("file_ord"))
     out = last.select("file_ord", "seq_id", "r.header", "r.seq")
     return out.repartition(partitions) if partitions else out
 

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from seqloom.operators import align, tree
+from pyspark.sql import functions as F
+
+from seqloom.operators import align, proteins, tree
 
 
 def brute(a, b, local, open_, extend, sub):
@@ -75,6 +77,53 @@ def test_best_hits_assignment_and_reciprocity(spark):
     assert all(r.reciprocal for r in align.reciprocal(h.where("rank = 1"), back).collect())
 
 
+def local_score(a, b):
+    """Best local score by plain loops over cells: a pair, a gap in either (-11, then -1 a letter)."""
+    sub = {(x, y): align.BLOSUM62[i][j] for i, x in enumerate(align.RESIDUES) for j, y in enumerate(align.RESIDUES)}
+    known = lambda x: x if x in align.RESIDUES else "X"
+    best, pair, down, side = 0.0, [0.0] * (len(b) + 1), [-1e9] * (len(b) + 1), [-1e9] * (len(b) + 1)
+    for x in a:
+        p2, d2, s2 = [0.0] * (len(b) + 1), [-1e9] * (len(b) + 1), [-1e9] * (len(b) + 1)
+        for j, y in enumerate(b, 1):
+            p2[j] = max(0.0, pair[j - 1], down[j - 1], side[j - 1]) + sub[known(x), known(y)]
+            d2[j] = max(pair[j] - 11, side[j] - 11, down[j] - 1)
+            s2[j] = max(p2[j - 1] - 11, d2[j - 1] - 11, s2[j - 1] - 1)
+            p2[j] = max(p2[j], 0.0)
+            best = max(best, p2[j])
+        pair, down, side = p2, d2, s2
+    return best
+
+
+def test_best_hits_on_given_rows(spark):
+    """Short documents against parts of benchmark passages: every pair that shares a word is scored as by plain loops, and
+    the winners are those of the prefilter with the best scores."""
+    letters = lambda t: "".join(c for c in (t or "").upper() if "A" <= c <= "Z")
+    rows = lambda name, c, t: [(r[0], letters(r[1])) for r in spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(c, t).collect()]
+    queries = [(i, s[:120]) for i, s in sorted(rows("benchmark", "item_id", "text"))[:4]]
+    targets = sorted((r for r in rows("documents", "doc_id", "text") if 60 < len(r[1]) < 220), key=lambda r: r[0])[:12] + [(10**6 + i, s[20:100] + s[10:40]) for i, s in queries]
+    make = lambda x: spark.createDataFrame(x, "seq_id long, seq string")
+    got = align.best_hits(make(queries), make(targets), 5, 6).collect()
+    words = lambda s: {s[p : p + 5] for p in range(len(s) - 4)}
+    for q, s in queries:
+        shared = sorted(((len(words(s) & words(t)), i) for i, t in targets if words(s) & words(t)), reverse=True)[:6]
+        score = {i: local_score(s, dict(targets)[i]) for _, i in shared}
+        order = sorted(range(len(shared)), key=lambda k: (-score[shared[k][1]], k))
+        mine = sorted((r for r in got if r.qid == q), key=lambda r: r.rank)
+        assert [(r.tid, r.shared) for r in mine] == [shared[k][::-1] for k in order] and len(mine) >= 1
+        assert all(r.score == pytest.approx(score[r.tid]) and 0 < r.identity <= 100 and 0 < r.coverage <= 100 for r in mine)
+
+
+def test_conservation_by_hand(spark):
+    """Fingers of two proteins are paired in order; the mean share of equal residues of the pairs that both have."""
+    finger = lambda h: f"CAACK{h}HAAH"
+    left = "MM" + finger("AAAAAAAA") + "GGGGGGGGG" + finger("RRRRRRRR")
+    pairs = [("a", left, left), ("b", left, "MM" + finger("AAAAAARA") + "GGGGGGGGG" + finger("RRRRRRRR") + "GGGGGGGGG" + finger("DDDDDDDD")), ("c", left, finger("WWWWWWWW")), ("d", left, "MMMM"), ("e", None, left)]
+    got = {r.paralog: r.recognition_conservation for r in proteins.conservation(spark.createDataFrame(pairs, "paralog string, left string, right string")).collect()}
+    helix = [r[0] for r in spark.createDataFrame([(left,)], "s string").select(proteins.helices(F.col("s"))).collect()][0]
+    assert [len(h) for h in helix] == [9, 9]
+    assert got == {"a": 1.0, "b": round((8 / 9 + 1) / 2, 2), "c": round(1 / 9, 2)}
+
+
 def test_assignment_is_the_best_of_all(spark):
     """Random problems with ties and missing candidates, against all choices; the order decides among equals."""
     rng = random.Random(21)

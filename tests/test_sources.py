@@ -15,6 +15,9 @@ def test_fasta(spark, tmp_path):
     p.write_text(">s1 k=v x=>y\nACGT\n  ac gt \n>s2\n\n>s1 later\nTTTT\n")
     rows = {r.seq_id: r for r in readers.read_fasta(spark, str(p)).collect()}
     assert rows["s1"].seq == "TTTT" and rows["s1"].header == "s1 later" and rows["s2"].seq == ""
+    blank = tmp_path / "d.fa"
+    blank.write_text("lost\n  >a x\nAC\n \t>b\nGT\n>c\n>a\nTT\n   >b last\nGG")
+    assert {r.seq_id: (r.header, r.seq) for r in readers.read_fasta(spark, str(blank)).collect()} == {"a": ("a", "TT"), "b": ("b last", "GG"), "c": ("c", "")}
     g = tmp_path / "b.fa.gz"
     g.write_bytes(gzip.compress(b"lost\n>p1 a=1 b=2=3 c\nMK\nVL\n"))
     rows = readers.read_fasta(spark, str(g), 2).collect()
