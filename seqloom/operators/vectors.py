@@ -131,6 +131,11 @@ def pool(df: DataFrame, vectors: str, start: str | None = None, stop: str | None
     return df.withColumn("pooled", F.when(n > 0, pooled))
 
 
+def first_token(df: DataFrame, vectors: str) -> DataFrame:
+    """df with pooled: the first of the per-token vectors, where a model puts what it makes of the whole; null without any."""
+    return df.withColumn("pooled", F.transform(F.get(F.col(vectors), F.lit(0)), lambda v: v.cast("double")))
+
+
 HEAD = "fold string, l2 double, slot int, weights array<double>, bias array<double>, dim int"
 
 
@@ -281,13 +286,31 @@ def r_squared(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return per.agg((1 - F.sum("sse") / F.sum("sst")).alias("r2"))
 
 
+def _embedder(key: str, embed, seq: str):
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "vector": [np.asarray(v, float) for v in embed(pdf[seq].tolist())]})
+
+    return run
+
+
 def embed_pending(wanted: DataFrame, cached: DataFrame, key: str, embed, seq: str = "seq", least: int = 40) -> DataFrame:
     """(key, vector) of sequences that the cache lacks, by a function of a list of sequences, loaded once a worker."""
     todo = wanted.where(F.length(seq) >= least).join(cached.select(key), key, "left_anti")
     schema = T.StructType([todo.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return todo.select(key, seq).mapInPandas(_embedder(key, embed, seq), schema)
+
+
+def embed_kept(wanted: DataFrame, path: str, key: str, embed, seq: str = "seq", least: int = 40, batch: int = 16, most: int | None = 300) -> DataFrame:
+    """(key, vector) of wanted (key, ord, seq), kept in a table at path: as :func:`embed_pending`, about ``batch`` sequences a
+    write, so a run that is stopped goes on where it was; up to ``most`` vectors in all, the first by ord."""
+    from ..sources import rest
+
+    schema = T.StructType([wanted.schema[key], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "vector": [np.asarray(v, float) for v in embed(pdf[seq].tolist())]})
+        for pdf in _embedder(key, embed, seq)(batches):
+            yield pdf.assign(error=None)
 
-    return todo.select(key, seq).mapInPandas(run, schema)
+    work = lambda df: df.select(key, seq).mapInPandas(run, schema)
+    return rest.resume(wanted.where(F.length(seq) >= least).select(key, "ord", seq), path, key, work, batch, most).select(key, "vector")

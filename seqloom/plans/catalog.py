@@ -565,6 +565,13 @@ def region_pooling(spark, d):
     return vectors.pool(part, "rows").select("vec_id", rounded("part").alias("pooled"), rounded("pooled").alias("whole"))
 
 
+@query(f"WITH {EMB} SELECT vec_id, list_transform(v[1:4], lambda x: round(x, 6)) AS pooled FROM e")
+def first_token_pooling(spark, d):
+    """Vectors as 16 tokens of 4 values each: the first token's."""
+    rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
+    return vectors.first_token(embeddings(spark, d).select("vec_id", rows.alias("rows")), "rows").select("vec_id", F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"))
+
+
 @query()
 def pls_projection(spark, d):
     e = embeddings(spark, d).select("embedding", F.array(*[(F.col("label") == i).cast("double") for i in range(4)]).alias("y"))
@@ -630,6 +637,24 @@ def embedded_pending(spark, d):
     return vectors.embed_pending(D.dna(spark, d), cached, "seq_id", lambda seqs: [(len(s), s.count("A")) for s in seqs])
 
 
+@query(f"WITH {DNA}, k AS (SELECT seq_id, seq, row_number() OVER (ORDER BY seq_id) AS r FROM dna WHERE length(seq) >= 40) SELECT seq_id, [length(seq) * 1.0::DOUBLE, (length(seq) - length(replace(seq, 'A', ''))) * 1.0::DOUBLE] AS vector FROM k WHERE r <= 150")
+def embedded_in_batches(spark, d):
+    """The first sequences by id, in two runs over one table of vectors: what the first has kept, the second leaves alone."""
+    path, seqs = _scratch(spark, "embedded"), D.dna(spark, d).withColumn("ord", F.col("seq_id"))
+    embed = lambda texts: [(len(s), s.count("A")) for s in texts]
+    vectors.embed_kept(seqs, path, "seq_id", embed, batch=40, most=80)
+    return vectors.embed_kept(seqs, path, "seq_id", embed, batch=40, most=150)
+
+
+ROUTES = [("ECONOMY", "05_small"), ("STAND", "06_stand"), ("STANDARD", "07_standard"), ("PROMO", "")]
+
+
+@query("SELECT p_partkey, CASE " + " ".join(f"WHEN starts_with(p_type, '{a}') THEN '{b}'" for a, b in ROUTES) + " ELSE '' END AS folder FROM part")
+def artifact_folders(spark, d):
+    """The folder of each name by the first prefix that it starts with."""
+    return D.table(spark, d, "part").select("p_partkey", writers.Router("", ROUTES).folders("p_type").alias("folder"))
+
+
 # --- sheets ------------------------------------------------------------------------------------------------------
 
 @query(f"WITH {D.PARALOGS_SQL}, {D.anchored_sql('q', 0)}, {D.anchored_sql('a', 1)}, j AS (SELECT q.*, paralog, ({hamming_sql('q.discovered_motif', 'a.discovered_motif', 12)}) <= 2 AS again, q.downstream_bits >= 6 AND coalesce(q.period_bp <> 0 AND q.period_bp BETWEEN 20 AND 3000, false) AS def, q.dist_from_end_kb <= 1500 AS near FROM q JOIN a USING (chromosome) JOIN para USING (chromosome)) SELECT chromosome, 'Cbr-' || paralog AS binds_protein, discovered_motif AS motif, again AS \"reproduced_on_AF16\", spacer, \"cluster_pos_Mb\" AS \"cluster_Mb\", copies, period_bp, downstream_bits, ce_paralog AS motif_similar_to, ce_match_skill AS similarity_skill, ce_paralog = paralog AS assignment_agrees, CASE WHEN def AND again AND near THEN 'HIGH' WHEN def AND (again OR near) THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM j")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,10 @@ class Router:
 
     def path(self, name: str) -> str:
         return "/".join(x for x in (self.root, self.folder(name), name) if x)
+
+    def folders(self, name: str) -> Column:
+        """The folder of each name of a column; null for null."""
+        out = F.when(F.col(name).isNull(), None)
+        for prefix, folder in self.rules:
+            out = out.when(F.col(name).startswith(prefix), folder)
+        return out.otherwise("")
