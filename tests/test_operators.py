@@ -163,9 +163,13 @@ def test_metric_invariants(spark):
 
 def test_transfer_scores_match_published_ones(spark):
     want = {("ZIM-1", "HIM-8"): 0.9574826113282312, ("ZIM-3", "ZIM-1"): 1.2543999333224651, ("ZIM-3", "ZIM-2"): 1.0962687337295833}
-    from seqloom.plans import catalog
-
-    got = {(r.src, r.dst): r.distance for r in catalog._scored(spark).collect()}
+    m = D.motifs(spark)
+    side = lambda n: m.select(F.col("name").alias(n), F.col("spacer").alias(f"{n}_spacer"), F.length("motif").alias(f"{n}_len"))
+    pairs = side("src").crossJoin(side("dst")).where("src <> dst").withColumn("case", F.concat_ws(">", "src", "dst"))
+    moved = pwm.transfer(pairs, pwm.of_motifs(m.withColumnRenamed("name", "id"), ["id"]))
+    truth = pairs.select("case", "dst").join(pwm.of_motifs(m, ["name"]).withColumnRenamed("name", "dst"), "dst").drop("dst")
+    graded = pwm.evaluate(moved, truth, pairs.select("case", F.col("dst_spacer").alias("spacer")), ["case"])
+    got = {(r.src, r.dst): r.distance for r in graded.join(pairs.select("case", "src", "dst"), "case").collect()}
     for k, v in want.items():
         assert got[k] == pytest.approx(v)
 
