@@ -19,7 +19,7 @@ DOCUMENTS = "doc_id long, source string, text string"
 def sequences(documents: DataFrame) -> DataFrame:
     """(seq_id, grp, seq) of documents: the text's letters as bases; rows without an id are left out, as nothing could name
     what is found in them."""
-    return documents.where("doc_id is not null").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("grp"), tables.bases(F.col("text")).alias("seq"))
+    return tables.as_bases(documents.where("doc_id is not null").select(F.col("doc_id").alias("seq_id"), F.col("source").alias("grp"), "text"))
 
 
 def folder(path: str, name: str) -> str:

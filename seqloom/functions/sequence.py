@@ -36,6 +36,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
 
 
+def hamming_first(a: Column, b: Column, n: int) -> Column:
+    """Places that differ among the first n, over the shorter length; a sum of comparisons, within codegen."""
+    out = F.lit(0)
+    for i in range(n):
+        out = out + ((F.length(a) > i) & (F.length(b) > i) & (F.substring(a, i + 1, 1) != F.substring(b, i + 1, 1))).cast("int")
+    return out
+
+
 def hamming_to(a: Column, word: str) -> Column:
     """Places of a that differ from a fixed word, over the shorter length; a sum of comparisons, within codegen."""
     out = F.lit(0)

@@ -37,8 +37,8 @@ def refine_anchored(windows: DataFrame, seeds: DataFrame, rounds: int = 3, near:
     ``keep_score``, or, where fewer than ``least`` pass, the best max(20, first set) by score, window and position. The
     last matrix gives motif, bits and copies; keys whose motif is of low complexity or whose period is below 15 are dropped."""
     j = windows.join(F.broadcast(seeds) if _small(seeds) else seeds, "grp")
-    is_near = S.hamming(F.substring("window", 1, core), F.substring("seed", 1, core)) <= near
-    j = j.withColumn("near", is_near)
+    # Of the windows, made once, the near ones are counted, the densest place is sought, and the pool is taken.
+    j = j.withColumn("near", S.hamming_first(F.col("window"), F.col("seed"), core) <= near).drop("seed").checkpoint()
     best = hits.densest_window(j.where("near"), KEY, "pos", width, step).select(*KEY, "w0")
     pool = j.join(best, KEY).where((F.col("pos") >= F.col("w0")) & (F.col("pos") < F.col("w0") + width))
     pool = pool.where(S.framework_spacer(F.substring("window", 1, core)).isNotNull())
@@ -79,10 +79,15 @@ def end_hits(seqs: DataFrame, candidates: DataFrame, k: int, terminal: int) -> D
     """(grp, kmer, seq_id, end, pos): exact hits of each candidate (grp, kmer), on either strand, in both ends of its group's
     sequences, from the sequence's begin. A candidate that is its own reverse complement hits a place twice."""
     pieces = kmers.end_pieces(seqs.withColumn("seq_id", F.struct("seq_id", (F.length("seq") - terminal).alias("begin"))), k, terminal)
-    w = kmers.known(kmers.windows(pieces, k, ["grp", "seq_id", "end"])).withColumn("kmer", S.canonical_kmer(F.col("kmer")))
+    candidates = kmers.settled(candidates.select("grp", "kmer"))
+    words = [r.kmer for r in candidates.select("kmer").distinct().limit(kmers.PATTERNS + 1).collect()]
+    if not words or len(words) > kmers.PATTERNS or k > kmers.PACKED or any(len(x) != k or set(x) - set(S.BASES) for x in words):
+        w = kmers.known(kmers.windows(pieces, k, ["grp", "seq_id", "end"])).withColumn("kmer", S.canonical_kmer(F.col("kmer")))
+    else:  # the search leaves only the windows that some group wants
+        w = kmers.places(pieces, words, ["grp", "seq_id", "end"])
     wanted = candidates.select("grp", "kmer", F.explode(F.when(F.col("kmer") == S.reverse_complement(F.col("kmer")), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_strand"))
     found = w.join(F.broadcast(wanted) if _small(wanted) else wanted, ["grp", "kmer"])
-    return found.select("grp", "kmer", "seq_id.seq_id", "end", (F.col("pos") + F.when(F.col("end") == "right", F.col("seq_id.begin")).otherwise(0)).alias("pos"))
+    return kmers.settled(found.select("grp", "kmer", "seq_id.seq_id", "end", (F.col("pos") + F.when(F.col("end") == "right", F.col("seq_id.begin")).otherwise(0)).alias("pos")))
 
 
 def located(seqs: DataFrame, candidates: DataFrame, k: int, terminal: int, width: int = WIDTH, step: int = STEP, least: int = 5) -> DataFrame:

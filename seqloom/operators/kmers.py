@@ -50,7 +50,7 @@ def _with(df: DataFrame, keys: list[str], made: str) -> T.StructType:
 
 
 #: Letters that are packed at a time, and the longest word that a long holds at two bits a letter.
-PIECE, PACKED = 1 << 20, 31
+PIECE, PACKED = 1 << 17, 31
 #: A, C, G, T, N, anything else.
 _CODES = np.full(256, 5, np.int64)
 _CODES[list(b"ACGTN")] = range(5)
@@ -70,30 +70,51 @@ def packed_windows(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return f, r
 
 
-def _counted(seqs: list[str], k: int) -> tuple[list, list, list]:
-    """(codes, words, counts) of the canonical windows without N: packed, or as text where a letter is no base."""
-    codes, odd = [], {}
-    for seq in seqs:
-        for at in range(0, len(seq) - k + 1, PIECE):
-            text = seq[at : at + PIECE + k - 1]
-            c = _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-            bad = np.concatenate([[0], np.cumsum(c > 3)])
-            f, r = packed_windows(np.minimum(c, 3), k)
-            codes.append(np.minimum(f, r)[bad[k:] == bad[:-k]])
-            if (c == 5).any():
-                n = np.concatenate([[0], np.cumsum(c == 4)])
-                for i in np.flatnonzero((bad[k:] > bad[:-k]) & (n[k:] == n[:-k])).tolist():
-                    word = min(text[i : i + k], opposite(text[i : i + k]))
-                    odd[word] = odd.get(word, 0) + 1
-    values, counts = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64),) * 2
-    return [*values.tolist(), *[-1] * len(odd)], [*[""] * len(values), *odd], [*counts.tolist(), *odd.values()]
+#: Letters up to which words are counted in an array of all words, and not by sorting; words that are sorted at a time.
+DENSE, SORTED = 8, 1 << 21
+
+
+def _counted(seqs: list[str], k: int):
+    """(codes, words, counts) of the canonical windows without N, so many at a time: packed, or as text where a letter is no
+    base. Sequences are joined by N, which no window crosses, so many short ones are a piece."""
+    whole, odd = "N".join(seqs), {}
+    every, waiting = np.zeros(4**k if k <= DENSE else 0, np.int64), []
+    for at in range(0, len(whole) - k + 1, PIECE):
+        text = whole[at : at + PIECE + k - 1]
+        c = _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        if k < 16:  # words fit 32 bits
+            c = c.astype(np.int32)
+        bad = np.concatenate([[0], np.cumsum(c > 3, dtype=np.int32)])
+        f, r = packed_windows(np.minimum(c, 3), k)
+        codes = np.minimum(f, r)[bad[k:] == bad[:-k]]
+        if (c == 5).any():
+            n = np.concatenate([[0], np.cumsum(c == 4)])
+            for i in np.flatnonzero((bad[k:] > bad[:-k]) & (n[k:] == n[:-k])).tolist():
+                word = min(text[i : i + k], opposite(text[i : i + k]))
+                odd[word] = odd.get(word, 0) + 1
+        if k <= DENSE:
+            every += np.bincount(codes, minlength=len(every))
+        else:
+            waiting.append(codes)
+            if sum(map(len, waiting)) >= SORTED:
+                values, counts = np.unique(np.concatenate(waiting), return_counts=True)
+                yield values, [""] * len(values), counts
+                waiting = []
+    if k <= DENSE:
+        values = np.flatnonzero(every)
+        yield values, [""] * len(values), every[values]
+    elif waiting:
+        values, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        yield values, [""] * len(values), counts
+    if odd:
+        yield np.full(len(odd), -1), [*odd], np.array([*odd.values()])
 
 
 def packed_counts(seqs: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """(keys, code, word, n): canonical k-mers without N of upper-case sequences (keys, seq), as numbers of two bits a letter;
     a window with a letter other than a base is a word, with code -1.
 
-    A task counts a batch of sequences by sorting numbers; counts add up before the shuffle, whose rows are numbers."""
+    A task counts a piece of a batch's sequences at a time; counts add up before the shuffle, whose rows are numbers."""
     if not 1 <= k <= PACKED:
         raise ValueError(f"k is not between 1 and {PACKED}")
     def run(batches):
@@ -105,9 +126,9 @@ def packed_counts(seqs: DataFrame, k: int, keys: list[str]) -> DataFrame:
                 of.setdefault(key, []).append(i)
             texts = batch.column(len(keys)).to_pylist()
             for rows in of.values() if keys else [range(len(texts))]:
-                codes, words, counts = _counted([texts[i] for i in rows], k)
-                same = pa.array([rows[0]] * len(codes), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in range(len(keys))), pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
+                for codes, words, counts in _counted([texts[i] for i in rows], k):
+                    same = pa.array(np.full(len(codes), rows[0], np.int64))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in range(len(keys))), pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
 
     whole = seqs.where("seq is not null").select(*keys, "seq")
     return whole.mapInArrow(run, _with(whole, keys, "code long, word string, n long")).groupBy(*keys, "code", "word").agg(F.sum("n").alias("n"))
@@ -125,6 +146,57 @@ def count_kmers(seqs: DataFrame, k: int = 12) -> DataFrame:
     return packed_counts(seqs.select(F.upper("seq").alias("seq")), k, []).select(unpacked(k).alias("kmer"), F.col("n").alias("cnt"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the session's checkpoint folder if it has one; else as it is."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df
+
+
+def places(seqs: DataFrame, words: list[str], carried: list[str]) -> DataFrame:
+    """(carried, pos, kmer): the windows without N of upper-case sequences (carried, seq) that are, on either strand, one of
+    the canonical words: of bases alone, of one length of at most 31. Windows are compared as numbers; only hits leave a task."""
+    k = len(words[0])
+    meant = sorted((int(w.translate(str.maketrans("ACGT", "0123")), 4), w) for w in words)
+
+    def run(batches):
+        import pyarrow as pa
+
+        wanted, names = np.array([x for x, _ in meant], np.int64), pa.array([w for _, w in meant], pa.string())
+
+        def rows(batch, at, texts):
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            c = _CODES[np.frombuffer("N".join(texts).encode("ascii", "replace"), np.uint8)]
+            if len(c) < k:
+                return
+            bad = np.concatenate([[0], np.cumsum(c > 3)])
+            f, r = packed_windows(np.minimum(c, 3), k)
+            codes = np.minimum(f, r)
+            hits = np.flatnonzero(np.isin(codes, wanted) & (bad[k:] == bad[:-k]))
+            if len(hits):
+                text = np.searchsorted(begins, hits, "right") - 1
+                where = pa.array(np.array(at, np.int64)[text])
+                found = names.take(pa.array(np.searchsorted(wanted, codes[hits])))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(where) for i in range(len(carried))), pa.array(hits - begins[text], pa.int64()), found], [*carried, "pos", "kmer"])
+
+        for batch in batches:
+            at, texts, size = [], [], 0
+            for i, seq in enumerate(batch.column(len(carried)).to_pylist()):
+                at.append(i)
+                texts.append(seq)
+                size += len(seq)
+                if size >= PIECE:
+                    yield from rows(batch, at, texts)
+                    at, texts, size = [], [], 0
+            if at:
+                yield from rows(batch, at, texts)
+
+    whole = seqs.where("seq is not null").select(*carried, "seq")
+    return whole.mapInArrow(run, _with(whole, carried, "pos long, kmer string"))
+
+
 def end_pieces(seqs: DataFrame, k: int, terminal: int) -> DataFrame:
     """(seq_id, grp, end, seq): both ends of the sequences that are long enough for them, in upper case. What lies between is
     cut off before any window is made."""
@@ -137,12 +209,20 @@ def terminal_enrichment(seqs: DataFrame, k: int = 12, terminal: int = 2_000_000,
     """(grp, end, kmer, terminal_count, fold_enrichment, anchored): share of a k-mer at an end over its share in all of
     the sequences of at least min_length, ends included. Shares are of all k-mers, not only of those that are frequent.
 
-    The background is one count of all windows, a row a k-mer; the ends are cut out before their windows are made. Totals
-    are sums of the counts. K-mers are numbers until the last step; k is at most 31."""
+    The background and the ends are counted in one pass over the sequences, a row an end and k-mer, which is settled
+    before shares are taken; the ends are cut out before their windows are made. Totals are sums of the counts. K-mers are
+    numbers until the last step; k is at most 31."""
     long_ = seqs.where(F.length("seq") >= min_length)
-    bg = packed_counts(long_.select(F.upper("seq").alias("seq")), k, []).withColumnRenamed("n", "bg")
+    n = F.length("seq")
+    # The whole, and both ends of sequences that are long enough for them.
+    part = lambda end, seq: F.struct(F.lit(end).alias("end"), seq.alias("seq"))
+    whole, left, right = part("", F.col("seq")), part("left", F.substring("seq", F.lit(1), F.lit(terminal))), part("right", F.right("seq", F.lit(terminal)))
+    parts = F.explode(F.when(n >= 2 * terminal, F.array(whole, left, right)).otherwise(F.array(whole)))
+    pieces = long_.select("grp", parts.alias("_p")).select(F.when(F.col("_p.end") != "", F.col("grp")).alias("grp"), "_p.end", F.upper("_p.seq").alias("seq"))
+    counts = settled(packed_counts(pieces, k, ["grp", "end"]))
+    bg = counts.where("end = ''").select("code", "word", F.col("n").alias("bg"))
     total = bg.agg(F.sum("bg").alias("bg_total"))
-    ends = packed_counts(end_pieces(long_, k, terminal), k, ["grp", "end"]).withColumnRenamed("n", "cnt")
+    ends = counts.where("end <> ''").withColumnRenamed("n", "cnt")
     totals = ends.groupBy(F.col("grp").alias("_grp"), F.col("end").alias("_end")).agg(F.sum("cnt").alias("end_total"))  # two rows a group
     j = ends.where(F.col("cnt") >= min_count).join(bg, ["code", "word"]).join(totals, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("end") == F.col("_end"))).crossJoin(F.broadcast(total))
     fold = (F.col("cnt") / F.col("end_total")) / (F.col("bg") / F.col("bg_total"))
@@ -174,6 +254,7 @@ def interior_counts(seqs: DataFrame, k: int, interior: int) -> DataFrame:
 def enriched_vs_interior(ends: DataFrame, middle: DataFrame, top: int = 60, min_count: int = 10) -> DataFrame:
     """(grp, kmer, n, enrichment, rank): share at the ends over the share inside, the latter's count raised by one; the
     most enriched of each group that are frequent and not of low complexity. Totals are a row a group."""
+    ends, middle = settled(ends), settled(middle)
     tt, it = ends.groupBy("grp").agg(F.sum("n").alias("t_total")), middle.groupBy("grp").agg(F.sum("n").alias("i_total"))
     inner = middle.withColumnRenamed("n", "inside")
     # One condition on the count, so that it stays above the aggregate, whose shuffle then serves the totals as well.
@@ -324,6 +405,42 @@ def kmer_sets(seqs: DataFrame, k: int = 5) -> DataFrame:
     return windows(seqs.select(F.col("seq_id"), F.lit(0).alias("grp"), F.upper("seq").alias("seq")), k).select(F.col("seq_id").alias("id"), "kmer").distinct()
 
 
+def set_sizes(seqs: DataFrame, k: int = 5) -> DataFrame:
+    """(id, n): how many distinct k-mers each id has, N and other letters counting as letters; ids without any are left out.
+
+    A record's are counted where it is and only the number leaves the task; k-mers are shuffled for ids of several records
+    alone, null among them."""
+    table = 5**k if k <= 6 else 0
+
+    def size(seq: str) -> int:
+        if len(seq) < k:
+            return 0
+        c = _CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+        if not table or c.max() > 4:
+            return len({seq[p : p + k] for p in range(len(seq) - k + 1)})
+        code = np.zeros(len(c) - k + 1, np.int64)
+        for i in range(k):
+            code = code * 5 + c[i : i + len(code)]
+        seen = np.zeros(table, bool)
+        seen[code] = True
+        return int(np.count_nonzero(seen))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size(s) for s in batch.column(1).to_pylist()], pa.int64())], ["seq_id", "n"])
+
+    whole = seqs.where(F.length("seq") >= k).select("seq_id", F.upper("seq").alias("seq"))
+    each = settled(whole.mapInArrow(run, _with(whole, ["seq_id"], "n long")).groupBy("seq_id").agg(F.count(F.lit(1)).alias("records"), F.max("n").alias("n")))
+    one = each.where("records = 1").select(F.col("seq_id").alias("id"), "n")
+    several = each.where("records > 1").select(F.col("seq_id").alias("_id"))
+    if several.isEmpty():
+        return one
+    again = whole.join(several, F.col("seq_id").eqNullSafe(F.col("_id")), "left_semi")
+    return one.unionByName(kmer_sets(again, k).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+
+
 #: Letters of the queries up to which their k-mers go to every task.
 INDEX_LETTERS = 1 << 20
 

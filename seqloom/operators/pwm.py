@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from . import kmers
 
 ACGT = ["a", "c", "g", "t"]
 SLOTS, SPACER_SLOTS, TAIL_SLOTS = 9, 4, 5
@@ -153,7 +154,7 @@ def best_match(cases: DataFrame, known: DataFrame, columns: int | None = 12) ->
     name. The known motifs are KNOWN at most, so each case has a bounded number of rows."""
     if known.count() > KNOWN:
         raise ValueError(f"more than {KNOWN} known motifs")
-    c = cases if columns is None else cases.where(F.col("pos") < columns)
+    c = kmers.settled(cases if columns is None else cases.where(F.col("pos") < columns))
     frame = c.groupBy("case", "spacer").agg((F.max("pos") + 1).alias("dst_len"))
     k = F.broadcast(known.select(F.col("name"), "motif", F.col("spacer").alias("src_spacer"), F.length("motif").alias("src_len")))
     pairs = frame.crossJoin(k).select(F.concat_ws("|", "case", "name").alias("pair"), "case", "name", "spacer", "src_spacer", "src_len", "dst_len")
