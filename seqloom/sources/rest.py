@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators import kmers
 from . import readers
 
 
@@ -53,24 +54,32 @@ class _Reader(DataSourceReader):
             url = None if self.pages else found.get("next")
 
 
+#: Writes of a run at most.
+WRITES = 16
+
+
 def resume(wanted: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], batch: int = 100, most: int | None = None) -> DataFrame:
     """The rows of work for the wanted keys, kept in a table at path: (key, ..., error) without those that failed.
 
     wanted: (key, ord, ...); of a key, the row that came first. work gives each row of its input one row, with the reason in
-    error if it failed. About ``batch`` keys are worked at a time and appended as one write of Spark's, so a run that is
+    error if it failed. About ``batch`` keys are worked at a time and appended as one write of Spark's, or more where that would
+    be over WRITES writes, so that what a write costs beside its work doesn't grow with the keys. A run that is
     stopped loses one batch at most: the next one takes what has no row without an error. Failures are set aside as rows with
     the error and tried once a run. most: rows without an error that the table may come to, the first by ord."""
     spark = wanted.sparkSession
-    first = wanted.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*[c for c in wanted.columns if c != key]), "ord").alias("_r")).select(key, "_r.*")
-    schema = work(first.limit(0)).schema
+    named = wanted.where(F.col(key).isNotNull())
+    schema = work(named.limit(0)).schema
     spark.createDataFrame([], schema).write.mode("append").parquet(path)
     kept = lambda: spark.read.schema(schema).parquet(path).where("error is null")
     done = kept().select(key).distinct()  # of the files that are there now
-    todo = readers.pending(first, done, key)
+    # Keys are chosen before the other columns come, which only the chosen ones need.
+    todo = readers.pending(named.select(key, "ord"), done, key)
     if most is not None:
         todo = todo.limit(max(0, most - done.count()))
-    left = first.join(todo.select(key), key, "left_semi")
-    parts = -(-left.count() // batch)
+    todo = kmers.settled(todo.select(key))
+    first = named.join(todo, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*[c for c in wanted.columns if c != key]), "ord").alias("_r")).select(key, "_r.*")
+    left = kmers.settled(first)
+    parts = min(WRITES, -(-todo.count() // batch))
     for i in range(parts):
         work(left.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)).write.mode("append").parquet(path)
     return kept().dropDuplicates([key])
