@@ -93,3 +93,10 @@ def test_mismatches_of_the_first_letters(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     both = df.select(S.hamming_first(F.col("a"), F.col("b"), 4).alias("x"), S.hamming(F.substring("a", 1, 4), F.substring("b", 1, 4)).alias("y")).collect()
     assert [r.x for r in both] == [r.y for r in both] == [1, 1, 0, 0]
+
+
+def test_pooled_means_just_below_zero_keep_their_sign(spark, tmp_path):
+    rows = [(1, [-1e-7] * 64), (2, [1e-7] * 64), (3, [-0.0000015] * 64)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: (repr(r.pooled[0]), repr(r.whole[3])) for r in C.region_pooling(spark, str(tmp_path)).collect()}
+    assert got[1] == ("-0.0", "-0.0") and got[2] == ("0.0", "0.0")
