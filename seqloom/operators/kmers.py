@@ -74,11 +74,25 @@ def packed_windows(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 DENSE, SORTED = 8, 1 << 21
 
 
-def _counted(seqs: list[str], k: int):
-    """(codes, words, counts) of the canonical windows without N, so many at a time: packed, or as text where a letter is no
-    base. Sequences are joined by N, which no window crosses, so many short ones are a piece."""
-    whole, odd = "N".join(seqs), {}
-    every, waiting = np.zeros(4**k if k <= DENSE else 0, np.int64), []
+#: Letters of a batch that are Python's own text at a time, and numbers that a task's counts may hold, a word being sixteen.
+LETTERS, HELD = 1 << 22, 1 << 23
+
+
+def portions(batch, column: int):
+    """The batch in runs of rows whose texts have LETTERS bytes together at most, or in single rows."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LETTERS, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _codes_of(whole: str, k: int, odd: dict[str, int]):
+    """The canonical windows without N as numbers, a piece of the text at a time; those where a letter is no base are counted
+    in ``odd``."""
     for at in range(0, len(whole) - k + 1, PIECE):
         text = whole[at : at + PIECE + k - 1]
         c = _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
@@ -86,52 +100,101 @@ def _counted(seqs: list[str], k: int):
             c = c.astype(np.int32)
         bad = np.concatenate([[0], np.cumsum(c > 3, dtype=np.int32)])
         f, r = packed_windows(np.minimum(c, 3), k)
-        codes = np.minimum(f, r)[bad[k:] == bad[:-k]]
         if (c == 5).any():
             n = np.concatenate([[0], np.cumsum(c == 4)])
             for i in np.flatnonzero((bad[k:] > bad[:-k]) & (n[k:] == n[:-k])).tolist():
                 word = min(text[i : i + k], opposite(text[i : i + k]))
                 odd[word] = odd.get(word, 0) + 1
-        if k <= DENSE:
-            every += np.bincount(codes, minlength=len(every))
-        else:
-            waiting.append(codes)
-            if sum(map(len, waiting)) >= SORTED:
-                values, counts = np.unique(np.concatenate(waiting), return_counts=True)
-                yield values, [""] * len(values), counts
-                waiting = []
-    if k <= DENSE:
-        values = np.flatnonzero(every)
-        yield values, [""] * len(values), every[values]
-    elif waiting:
-        values, counts = np.unique(np.concatenate(waiting), return_counts=True)
+        yield np.minimum(f, r)[bad[k:] == bad[:-k]]
+
+
+class _Tally:
+    """Counts of the windows of texts that come one after the other. They wait as numbers, and are added up in an array of all
+    words once they are as many, or, where words are too many for one, are passed on when SORTED of them wait."""
+
+    def __init__(self, k: int):
+        self.k, self.every, self.waiting, self.n, self.odd = k, None, [], 0, {}
+
+    def held(self) -> int:
+        return self.n + 16 * len(self.odd) + (0 if self.every is None else len(self.every))
+
+    def add(self, seqs: list[str]):
+        """Joined by N, which no window crosses, so many short ones are a piece."""
+        for codes in _codes_of("N".join(seqs), self.k, self.odd):
+            self.waiting.append(codes)
+            self.n += len(codes)
+            if self.k <= DENSE and self.n >= 4**self.k:
+                every = np.bincount(np.concatenate(self.waiting), minlength=4**self.k)
+                self.every = every if self.every is None else self.every + every
+                self.waiting, self.n = [], 0
+            elif self.k > DENSE and self.n >= SORTED:
+                yield from self._sorted()
+
+    def _sorted(self):
+        values, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.n = [], 0
         yield values, [""] * len(values), counts
-    if odd:
-        yield np.full(len(odd), -1), [*odd], np.array([*odd.values()])
+
+    def rest(self):
+        if self.every is not None:
+            every = self.every + (np.bincount(np.concatenate(self.waiting), minlength=len(self.every)) if self.waiting else 0)
+            values = np.flatnonzero(every)
+            yield values, [""] * len(values), every[values]
+        elif self.waiting:
+            yield from self._sorted()
+        if self.odd:
+            yield np.full(len(self.odd), -1), [*self.odd], np.array([*self.odd.values()])
+
+
+def _counted(seqs: list[str], k: int):
+    """(codes, words, counts) of the canonical windows without N, so many at a time: packed, or as text where a letter is no
+    base."""
+    tally = _Tally(k)
+    yield from tally.add(seqs)
+    yield from tally.rest()
 
 
 def packed_counts(seqs: DataFrame, k: int, keys: list[str]) -> DataFrame:
     """(keys, code, word, n): canonical k-mers without N of upper-case sequences (keys, seq), as numbers of two bits a letter;
     a window with a letter other than a base is a word, with code -1.
 
-    A task counts a piece of a batch's sequences at a time; counts add up before the shuffle, whose rows are numbers."""
+    A task keeps a tally a key over all its sequences, and passes all on when they hold HELD numbers, so a k-mer leaves a
+    task about once a key however many sequences the task has; the shuffle's rows are numbers."""
     if not 1 <= k <= PACKED:
         raise ValueError(f"k is not between 1 and {PACKED}")
+    whole = seqs.where("seq is not null").select(*keys, "seq")
+    made = _with(whole, keys, "code long, word string, n long")
+
     def run(batches):
         import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in batches:
-            of: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(keys))))) if keys else ():
-                of.setdefault(key, []).append(i)
-            texts = batch.column(len(keys)).to_pylist()
-            for rows in of.values() if keys else [range(len(texts))]:
-                for codes, words, counts in _counted([texts[i] for i in rows], k):
-                    same = pa.array(np.full(len(codes), rows[0], np.int64))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in range(len(keys))), pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
+        kinds = [to_arrow_type(f.dataType) for f in made[: len(keys)]]
+        tallies: dict[tuple, _Tally] = {}
 
-    whole = seqs.where("seq is not null").select(*keys, "seq")
-    return whole.mapInArrow(run, _with(whole, keys, "code long, word string, n long")).groupBy(*keys, "code", "word").agg(F.sum("n").alias("n"))
+        def rows(key, counted):
+            for codes, words, counts in counted:
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(v, t), len(codes)) for v, t in zip(key, kinds)), pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
+
+        held = 0
+        for batch in batches:
+            for part in portions(batch, len(keys)):
+                texts, of = part.column(len(keys)).to_pylist(), {}
+                for i, key in enumerate(zip(*(part.column(c).to_pylist() for c in range(len(keys)))) if keys else [()] * len(texts)):
+                    of.setdefault(key, []).append(texts[i])
+                for key, own in of.items():
+                    tally = tallies.setdefault(key, _Tally(k))
+                    held -= tally.held()
+                    yield from rows(key, tally.add(own))
+                    held += tally.held()
+                    if held + len(tallies) >= HELD:
+                        for done, t in tallies.items():
+                            yield from rows(done, t.rest())
+                        tallies, held = {}, 0
+        for done, t in tallies.items():
+            yield from rows(done, t.rest())
+
+    return whole.mapInArrow(run, made).groupBy(*keys, "code", "word").agg(F.sum("n").alias("n"))
 
 
 def unpacked(k: int):

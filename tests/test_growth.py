@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
@@ -100,3 +101,33 @@ def test_pooled_means_just_below_zero_keep_their_sign(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.vec_id: (repr(r.pooled[0]), repr(r.whole[3])) for r in C.region_pooling(spark, str(tmp_path)).collect()}
     assert got[1] == ("-0.0", "-0.0") and got[2] == ("0.0", "0.0")
+
+
+def task_of(monkeypatch, make):
+    """The function that a query's last Arrow step runs in a task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    taken, real = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, *rest, **more: taken.append(run) or real(self, run, *rest, **more))
+    make()
+    monkeypatch.setattr(DataFrame, "mapInArrow", real)
+    return taken[-1]
+
+
+def test_a_kmer_leaves_a_task_once_a_key(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), "".join(rng.choices("ACGTNR", [9, 9, 9, 9, 1, 1], k=rng.choice([0, 2, 60, 300])))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "grp string, seq string")
+    for k, held in ((4, 1 << 23), (9, 1 << 23), (4, 300), (9, 300)):
+        want = Counter()
+        for grp, t in rows:
+            for w in (t[i : i + k] for i in range(len(t) - k + 1)):
+                if "N" not in w:
+                    want[grp, min(w, kmers.opposite(w))] += 1
+        run = task_of(monkeypatch, lambda: kmers.packed_counts(df, k, ["grp"]))
+        monkeypatch.setattr(kmers, "HELD", held, raising=False)
+        out = [b for b in run(iter([pa.RecordBatch.from_pylist([{"grp": g, "seq": t} for g, t in rows[i : i + 10]], pa.schema([("grp", pa.string()), ("seq", pa.string())])) for i in range(0, 200, 10)]))]
+        got = Counter()
+        for r in (r for b in out for r in b.to_pylist()):
+            got[r["grp"], r["word"] or "".join("ACGT"[int(d)] for d in np.base_repr(r["code"], 4).zfill(k))] += r["n"]
+        assert got == want and (held == 300 or sum(b.num_rows for b in out) == len(want))
