@@ -244,7 +244,7 @@ def places(seqs: DataFrame, words: list[str], carried: list[str]) -> DataFrame:
                 found = names.take(pa.array(np.searchsorted(wanted, codes[hits])))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(where) for i in range(len(carried))), pa.array(hits - begins[text], pa.int64()), found], [*carried, "pos", "kmer"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, len(carried))):
             at, texts, size = [], [], 0
             for i, seq in enumerate(batch.column(len(carried)).to_pylist()):
                 at.append(i)
@@ -365,7 +365,7 @@ def anchored_windows(seqs: DataFrame, length: int = 16, anchor: str = "TTGG") ->
             where = pa.array(at, pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(places, pa.int64()), pa.array(strands, pa.string()), pa.array(windows_, pa.string())], ["seq_id", "grp", "pos", "strand", "window"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 2)):
             at, hits = [], []
             for i, seq in enumerate(batch.column(2).to_pylist()):
                 for hit in found(seq):
@@ -418,7 +418,7 @@ def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> D
             where = pa.array(at, pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(names, pa.string()), pa.array(motifs, pa.string()), pa.array(places, pa.int64()), pa.array(strands, pa.string())], ["seq_id", "grp", "name", "motif", "position", "strand"])
 
-        for batch in batches if words else ():
+        for batch in (part for whole in batches if words for part in portions(whole, 2)):
             at, hits = [], []
             for i, seq in enumerate(batch.column(2).to_pylist()):
                 for last, (size, meant) in automaton.iter(seq):
@@ -491,7 +491,7 @@ def set_sizes(seqs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size(s) for s in batch.column(1).to_pylist()], pa.int64())], ["seq_id", "n"])
 
     whole = seqs.where(F.length("seq") >= k).select("seq_id", F.upper("seq").alias("seq"))

@@ -1,6 +1,7 @@
 """What keeps queries in proportion to their input: passes, rows and writes, with the results of the plain way."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -131,3 +132,31 @@ def test_a_kmer_leaves_a_task_once_a_key(spark, monkeypatch):
         for r in (r for b in out for r in b.to_pylist()):
             got[r["grp"], r["word"] or "".join("ACGT"[int(d)] for d in np.base_repr(r["code"], 4).zfill(k))] += r["n"]
         assert got == want and (held == 300 or sum(b.num_rows for b in out) == len(want))
+
+
+def test_texts_become_pythons_own_a_portion_at_a_time(spark, monkeypatch):
+    few = spark.createDataFrame([(1, "a", "TTGGACGTACGTACGTACGTA")], "seq_id long, grp string, seq string")
+    bases = task_of(monkeypatch, lambda: D.as_bases(few.withColumnRenamed("seq", "text")))
+    search = task_of(monkeypatch, lambda: kmers.anchored_windows(few, 12))
+    seqs = ["ACGTTTGGACGTACGTACGTAC" + "A" * (1 << 18)] * 128 + [None, ""]
+    whole = pa.RecordBatch.from_pydict({"seq_id": range(130), "grp": ["a"] * 130, "seq": seqs}, pa.schema([("seq_id", pa.int64()), ("grp", pa.string()), ("seq", pa.string())]))
+    made = []
+    for b in bases(iter([whole])):
+        assert b.column(2).get_total_buffer_size() <= (1 << 22) + (1 << 16)
+        made += b.column(0).to_pylist()
+    assert made == list(range(130))
+    whole = whole.slice(0, 128)
+    tracemalloc.start()
+    found = [(s, p, w) for b in search(iter([whole])) for s, p, w in zip(*(b.column(c).to_pylist() for c in ("seq_id", "pos", "window")))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [(i, 4, "TTGGACGTACGT") for i in range(128)] and most < 1 << 24  # of 32 MB of text
+
+
+def test_portions_are_the_whole(monkeypatch):
+    monkeypatch.setattr(kmers, "LETTERS", 10)
+    for texts in ([], [None], ["a" * 30], ["", "abc", "x" * 7, "y", None, "z" * 10, "é" * 6, "b"]):
+        batch = pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())})
+        parts = [p.column(0).to_pylist() for p in kmers.portions(batch, 0)]
+        assert [t for p in parts for t in p] == texts
+        assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in parts)
