@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequence as S
@@ -160,3 +161,12 @@ def test_portions_are_the_whole(monkeypatch):
         parts = [p.column(0).to_pylist() for p in kmers.portions(batch, 0)]
         assert [t for p in parts for t in p] == texts
         assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 10 for p in parts)
+
+
+@pytest.mark.parametrize("name", ["seeds_per_group", "top_candidates", "exploration_run", "terminal_enrichment", "terminal_enrichment_full"])
+def test_queries_of_enriched_ends_count_over_a_whole_task(spark, monkeypatch, name):
+    run = task_of(monkeypatch, lambda: getattr(C, name)(spark, SF))
+    schema = pa.schema([("grp", pa.string()), ("end", pa.string()), ("seq", pa.string())])
+    batch = pa.RecordBatch.from_pylist([{"grp": g, "end": e, "seq": "ACGTTGGACTNACGTTGGACT"} for g, e in ((None, ""), ("a", "left"), ("a", "right"))], schema)
+    rows = [tuple(r.values()) for b in run(iter([batch] * 5)) for r in b.to_pylist()]
+    assert len({r[:4] for r in rows}) == len(rows) == 9 and {r[4] for r in rows} == {10}
