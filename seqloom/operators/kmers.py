@@ -390,12 +390,8 @@ def opposite(motif: str) -> str:
     return "".join({"A": "T", "C": "G", "G": "C", "T": "A"}.get(c, "N") for c in reversed(motif.upper()))
 
 
-def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> DataFrame:
-    """(seq_id, grp, name, motif, position, strand): exact hits of patterns (name, motif), overlapping ones too; a
-    palindrome is reported on both strands. Positions are starts on the forward strand.
-
-    One automaton with failure links holds both strands of all patterns, whatever their lengths; it reads each sequence
-    once and only hits leave it. Null sequences and empty motifs have no hits; repeated patterns are reported each."""
+def _meant(patterns: DataFrame) -> dict[str, list[tuple]]:
+    """(name, motif, strand) of each word that patterns (name, motif) look for; an error beyond PATTERNS patterns."""
     found = patterns.where("length(motif) > 0").select("name", "motif").limit(PATTERNS + 1).collect()
     if len(found) > PATTERNS:
         raise ValueError(f"more than {PATTERNS} patterns")
@@ -403,15 +399,31 @@ def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> D
     for name, motif in found:
         words.setdefault(motif.upper(), []).append((name, motif, "+"))
         words.setdefault(opposite(motif), []).append((name, motif, "-"))
+    return words
+
+
+def _automaton(words: dict[str, list[tuple]]):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for word, meant in words.items():
+        automaton.add_word(word, (len(word), meant))
+    automaton.make_automaton()
+    return automaton
+
+
+def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> DataFrame:
+    """(seq_id, grp, name, motif, position, strand): exact hits of patterns (name, motif), overlapping ones too; a
+    palindrome is reported on both strands. Positions are starts on the forward strand.
+
+    One automaton with failure links holds both strands of all patterns, whatever their lengths; it reads each sequence
+    once and only hits leave it. Null sequences and empty motifs have no hits; repeated patterns are reported each."""
+    words = _meant(patterns)
 
     def run(batches):
-        import ahocorasick
         import pyarrow as pa
 
-        automaton = ahocorasick.Automaton()
-        for word, meant in words.items():
-            automaton.add_word(word, (len(word), meant))
-        automaton.make_automaton()
+        automaton = _automaton(words)
 
         def rows(batch, at, hits):
             names, motifs, places, strands = zip(*hits)
@@ -435,6 +447,24 @@ def scan(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> D
     return up.mapInArrow(run, _with(up, ["seq_id", "grp"], "name string, motif string, position long, strand string"))
 
 
+def hit_numbers(seqs: DataFrame, patterns: DataFrame, min_length: int = 1_000_000) -> DataFrame:
+    """(seq_id, grp, letters, hits): of each sequence of min_length at least its length and how many hits :func:`scan` has
+    in it. Hits are counted where they are found, and a sequence is read once for both."""
+    words = _meant(patterns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        automaton = _automaton(words)
+        for batch in (part for whole in batches for part in portions(whole, 3)):
+            hits = [sum(len(meant) for _, (_, meant) in automaton.iter(seq)) if words else 0 for seq in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hits, pa.int64())], ["seq_id", "grp", "letters", "hits"])
+
+    n = F.length("seq")
+    up = seqs.where((n >= min_length) & F.col("seq").isNotNull()).select("seq_id", "grp", n.cast("long").alias("letters"), F.upper("seq").alias("seq"))
+    return up.mapInArrow(run, _with(up, ["seq_id", "grp", "letters"], "hits long"))
+
+
 def near_windows(w: DataFrame, core: str, most: int, column: str = "window") -> DataFrame:
     """Windows within ``most`` mismatches of a fixed core."""
     return w.where(S.hamming_to(F.substring(column, 1, len(core)), core) <= most)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import sequence as S
 from seqloom.operators import discovery, kmers
 from seqloom.plans import catalog as C
+from seqloom.plans import runs
 from seqloom.plans import tables as D
 from seqloom.sources import rest
 
@@ -170,3 +171,17 @@ def test_queries_of_enriched_ends_count_over_a_whole_task(spark, monkeypatch, na
     batch = pa.RecordBatch.from_pylist([{"grp": g, "end": e, "seq": "ACGTTGGACTNACGTTGGACT"} for g, e in ((None, ""), ("a", "left"), ("a", "right"))], schema)
     rows = [tuple(r.values()) for b in run(iter([batch] * 5)) for r in b.to_pylist()]
     assert len({r[:4] for r in rows}) == len(rows) == 9 and {r[4] for r in rows} == {10}
+
+
+def test_sizes_and_hits_are_one_reading(spark):
+    assert plan(C.exploration_run(spark, SF)).count("FileScan") == 1  # besides that of the counts, which are settled
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b", None]), "".join(rng.choices("ACGTNé", [9, 9, 9, 9, 1, 1], k=n))) for i, n in enumerate((0, 3, 4, 5, 40, 200, 900))] + [(8, "a", None), (9, "b", "ßacgtacgt")]
+    seqs = spark.createDataFrame(rows, "seq_id long, grp string, seq string")
+    for words in ([], ["ACGT", "acg", "CGT", "ACG", ""]):
+        patterns = spark.createDataFrame([(f"p{i % 3}", w) for i, w in enumerate(words)], "name string, motif string")
+        hits = Counter(r.seq_id for r in kmers.scan(seqs, patterns, 4).collect())
+        want = sorted((i, g, len(s), hits[i]) for i, g, s in rows if s is not None and len(s) >= 4)
+        assert sorted(map(tuple, kmers.hit_numbers(seqs, patterns, 4).collect())) == want and bool(words) == bool(hits)
+        sheet = {r.grp: r for r in runs.explore(seqs, patterns, 4, 10, 1, 4).collect()}
+        assert {g: (r.sequences, r.letters, r.hits) for g, r in sheet.items()} == {g: (sum(w[1] == g for w in want), sum(w[2] for w in want if w[1] == g), sum(w[3] for w in want if w[1] == g and g)) for g in {w[1] for w in want}}
