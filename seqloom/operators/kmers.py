@@ -54,6 +54,7 @@ PIECE, PACKED = 1 << 17, 31
 #: A, C, G, T, N, anything else.
 _CODES = np.full(256, 5, np.int64)
 _CODES[list(b"ACGTN")] = range(5)
+_CODE_BYTES = _CODES.astype(np.uint8).tobytes()
 
 
 def packed_windows(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +71,25 @@ def packed_windows(c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return f, r
 
 
+def forward_windows(c: np.ndarray, k: int) -> np.ndarray:
+    """The first of the two that :func:`packed_windows` makes."""
+    if k == 1:
+        return c
+    h = k // 2
+    f = forward_windows(c, h)
+    f = (f[:-h] << 2 * h) | f[h:]
+    return (f[: len(f) - 1] << 2) | c[2 * h :] if k % 2 else f
+
+
+def turned(words: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complements of packed words of k letters."""
+    left, out = words.astype(np.int64), np.zeros(len(words), np.int64)
+    for _ in range(k):
+        out = (out << 2) | (3 - (left & 3))
+        left >>= 2
+    return out
+
+
 #: Letters up to which words are counted in an array of all words, and not by sorting; words that are sorted at a time.
 DENSE, SORTED = 8, 1 << 21
 
@@ -91,26 +111,30 @@ def portions(batch, column: int):
 
 
 def _codes_of(whole: str, k: int, odd: dict[str, int]):
-    """The canonical windows without N as numbers, a piece of the text at a time; those where a letter is no base are counted
-    in ``odd``."""
+    """The windows without N as numbers, a piece of the text at a time: as they read if k is at most DENSE, else canonical.
+    Those where a letter is no base are counted in ``odd``."""
     for at in range(0, len(whole) - k + 1, PIECE):
         text = whole[at : at + PIECE + k - 1]
-        c = _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
-        if k < 16:  # words fit 32 bits
-            c = c.astype(np.int32)
-        bad = np.concatenate([[0], np.cumsum(c > 3, dtype=np.int32)])
-        f, r = packed_windows(np.minimum(c, 3), k)
-        if (c == 5).any():
+        c = np.frombuffer(text.encode("ascii", "replace").translate(_CODE_BYTES), np.uint8)
+        bad, plain, known = np.flatnonzero(c > 3), np.minimum(c, 3), np.ones(len(c) + k - 1, bool)
+        for i in range(k):  # windows from k - 1 letters before the text on
+            known[bad + i] = False
+        known = known[k - 1 : len(c)]
+        if (c[bad] == 5).any():
             n = np.concatenate([[0], np.cumsum(c == 4)])
-            for i in np.flatnonzero((bad[k:] > bad[:-k]) & (n[k:] == n[:-k])).tolist():
+            for i in np.flatnonzero(~known & (n[k:] == n[:-k])).tolist():
                 word = min(text[i : i + k], opposite(text[i : i + k]))
                 odd[word] = odd.get(word, 0) + 1
-        yield np.minimum(f, r)[bad[k:] == bad[:-k]]
+        if k <= DENSE:  # words fit 16 bits
+            yield forward_windows(plain.astype(np.uint16), k)[known]
+        else:  # up to 15 letters fit 32 bits
+            yield np.minimum(*packed_windows(plain.astype(np.int32 if k < 16 else np.int64), k))[known]
 
 
 class _Tally:
     """Counts of the windows of texts that come one after the other. They wait as numbers, and are added up in an array of all
-    words once they are as many, or, where words are too many for one, are passed on when SORTED of them wait."""
+    words once they are as many, or, where words are too many for one, are passed on when SORTED of them wait. Words of an
+    array are counted as they read; those of the other strand join theirs when all are passed on."""
 
     def __init__(self, k: int):
         self.k, self.every, self.waiting, self.n, self.odd = k, None, [], 0, {}
@@ -131,13 +155,17 @@ class _Tally:
                 yield from self._sorted()
 
     def _sorted(self):
-        values, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
+        words = np.concatenate(self.waiting)
+        values, counts = np.unique(np.minimum(words, turned(words, self.k)) if self.k <= DENSE else words, return_counts=True)
         self.waiting, self.n = [], 0
         yield values, [""] * len(values), counts
 
     def rest(self):
         if self.every is not None:
             every = self.every + (np.bincount(np.concatenate(self.waiting), minlength=len(self.every)) if self.waiting else 0)
+            words = np.arange(len(every))
+            other = turned(words, self.k)
+            every = np.where(words < other, every + every[other], np.where(words == other, every, 0))
             values = np.flatnonzero(every)
             yield values, [""] * len(values), every[values]
         elif self.waiting:
@@ -174,7 +202,8 @@ def packed_counts(seqs: DataFrame, k: int, keys: list[str]) -> DataFrame:
 
         def rows(key, counted):
             for codes, words, counts in counted:
-                yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(v, t), len(codes)) for v, t in zip(key, kinds)), pa.array(codes, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
+                texts = pa.array(words, pa.string()) if any(words) else pa.repeat("", len(words))
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(v, t), len(codes)) for v, t in zip(key, kinds)), pa.array(codes, pa.int64()), texts, pa.array(counts, pa.int64())], [*keys, "code", "word", "n"])
 
         held = 0
         for batch in batches:

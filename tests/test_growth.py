@@ -185,3 +185,21 @@ def test_sizes_and_hits_are_one_reading(spark):
         assert sorted(map(tuple, kmers.hit_numbers(seqs, patterns, 4).collect())) == want and bool(words) == bool(hits)
         sheet = {r.grp: r for r in runs.explore(seqs, patterns, 4, 10, 1, 4).collect()}
         assert {g: (r.sequences, r.letters, r.hits) for g, r in sheet.items()} == {g: (sum(w[1] == g for w in want), sum(w[2] for w in want if w[1] == g), sum(w[3] for w in want if w[1] == g and g)) for g in {w[1] for w in want}}
+
+
+def test_short_words_are_turned_once_and_not_a_window(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ACGTNR", [9, 9, 9, 9, 1, 1], k=n)) for n in (0, 1, 7, 8, 400, 3000)] + ["ACGT" * 50, "N" * 30, "R", "TTTTTTTTT", "é" * 9]
+    pairs = kmers.packed_windows
+    for k in range(1, kmers.DENSE + 1):
+        words = np.array([rng.randrange(4) for _ in range(200)], np.uint16)
+        assert all((x == y).all() for x, y in zip(pairs(words.astype(np.int64), k), (kmers.forward_windows(words, k), kmers.turned(kmers.forward_windows(words, k), k))))
+        monkeypatch.setattr(kmers, "packed_windows", None)
+        want = Counter(min(w, kmers.opposite(w)) for t in texts for w in (t[i : i + k] for i in range(len(t) - k + 1)) if "N" not in w)
+        for times in (1, 30):  # few windows, which wait as numbers, and more than there are words
+            got = Counter()
+            for codes, odd, counts in kmers._counted(texts * times, k):
+                for code, word, n in zip(codes.tolist(), odd, counts.tolist()):
+                    got[word or "".join("ACGT"[code >> 2 * i & 3] for i in reversed(range(k)))] += n
+            assert got == Counter({w: n * times for w, n in want.items()})
+        monkeypatch.undo()
