@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reference_values as V
 from ..functions import sequence as S
-from . import hits, kmers, pwm
+from . import hits, kmers, matches, pwm
 
 KEY = ["grp", "seq_id", "end"]
 WIDTH, STEP = 50_000, 5_000
@@ -225,26 +225,36 @@ def best_candidates(candidates: DataFrame) -> DataFrame:
     return hits.first_non_null(c, ["chromosome"], [("score", True), ("end", False)], ["end", "candidate_motif", "spacer", "fold_enrichment", "chrom_specificity", "median_spacing_bp", "best_ce_paralog", "convergent", "score"])
 
 
+#: Up to so many rows, the chance of matches is taken from whole numbers alone.
+WHOLE_ROWS = 1000
+
+
 def permutation_null(pairs: DataFrame, observed: int | None = None) -> DataFrame:
     """(n, matches, mean_null, p_value): how often a random assignment of the expected labels matches the predicted ones as
-    often as the true one does, exactly. pairs: (predicted, expected), any number of rows; null matches null.
+    often as the true one does. pairs: (predicted, expected), any number of rows; null matches null.
 
     Only the labels' counts matter: a label that a rows predict and b rows expect is an a x b board, on which k rooks that
     attack none other stand in C(a, k) C(b, k) k! ways. The boards' polynomials multiply; k rooks in r_k ways, and any order of
     the other n - k rows, give by inclusion and exclusion the orders with exactly m matches:
-    sum over k of (-1)^(k - m) C(k, m) r_k (n - k)!. Whole numbers throughout; what comes to the driver is a row a label that
-    both sides have. The product is taken by halves, so its cost is that of multiplying numbers of n digits. No rows: no
-    matches, so every order has as many."""
-    seen = pairs.where(F.col("predicted").eqNullSafe(F.col("expected"))).count() if observed is None else observed
-    n = pairs.count()
+    sum over k of (-1)^(k - m) C(k, m) r_k (n - k)!. What comes to the driver is a row a pair of counts that labels of both
+    sides have. Up to ``WHOLE_ROWS`` rows these are whole numbers throughout, and the product is taken by halves, so its
+    cost is that of multiplying numbers of n digits. Beyond, the same sum is taken by :func:`matches.tail`, to 10 digits
+    and in time that grows with the rows; where that does not hold (labels with more than about a seventh of the rows), by
+    whole numbers again. No rows: no matches, so every order has as many."""
+    same = F.col("predicted").eqNullSafe(F.col("expected"))
+    n, true = pairs.agg(F.count(F.lit(1)), F.count(F.when(same, 1))).first()
+    seen = true if observed is None else observed
     side = lambda c, name: pairs.groupBy(F.col(c).alias("label")).agg(F.count(F.lit(1)).alias(name))
     a, b = side("predicted", "a"), side("expected", "b")
     boards = a.join(b, a["label"].eqNullSafe(b["label"])).select("a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).collect()
-    r = rooks([(x.a, x.b) for x in boards for _ in range(x.times)])
-    orders = factorial(n)
-    at_least = sum(_matches(r, n, seen)) if seen > 0 else orders
-    mean = Fraction(r[1] * factorial(n - 1), orders) if n and len(r) > 1 else Fraction(0)
-    return pairs.sparkSession.createDataFrame([(n, seen, float(mean), float(Fraction(at_least, orders)))], "n long, matches long, mean_null double, p_value double")
+    mean = Fraction(sum(x.a * x.b * x.times for x in boards), n or 1)
+    p = 1.0 if seen <= 0 else None
+    if p is None and n > WHOLE_ROWS:
+        p = matches.tail(pairs.sparkSession, [tuple(x) for x in boards], n, seen)
+    if p is None:
+        r = rooks([(x.a, x.b) for x in boards for _ in range(x.times)])
+        p = float(Fraction(sum(_matches(r, n, seen)), factorial(n)))
+    return pairs.sparkSession.createDataFrame([(n, seen, float(mean), p)], "n long, matches long, mean_null double, p_value double")
 
 
 def rooks(boards: list[tuple[int, int]]) -> list[int]:

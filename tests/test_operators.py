@@ -2,7 +2,9 @@
 
 import random
 from collections import Counter
+from fractions import Fraction
 from itertools import permutations
+from math import comb, factorial
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import reference_values as V
 from seqloom.functions import sequence as S
-from seqloom.operators import discovery, hits, kmers, proteins, pwm, vectors
+from seqloom.operators import discovery, hits, kmers, matches, proteins, pwm, vectors
 from seqloom.plans import tables as D
 
 COMP = str.maketrans("ACGTN", "TGCAN")
@@ -451,6 +453,46 @@ def test_match_null_of_any_number_of_rows(spark):
     assert discovery.permutation_null(many.limit(0)).first().p_value == 1.0
 
 
+def test_match_null_of_many_rows_makes_no_long_numbers(spark, monkeypatch):
+    """One shared label is a hypergeometric tail; labels that are all different match as Poisson's law says."""
+    monkeypatch.delattr(discovery, "rooks")
+    n, a, b = 60_000, 3000, 2500
+    i = spark.range(n)
+    one = i.select(F.when(F.col("id") < a, "x").otherwise("y").alias("predicted"), F.when(F.col("id") % 24 == 0, "x").alias("expected"))
+    pmf = lambda k: comb(b, k) * comb(n - b, a - k)
+    for least in (None, 100, 190, 600):
+        r = discovery.permutation_null(one, least).first()
+        right = float(Fraction(sum(pmf(k) for k in range(r.matches, min(a, b, r.matches + 400) + 1)), comb(n, a)))
+        assert (r.n, r.mean_null) == (n, 125.0) and r.p_value == pytest.approx(right, rel=1e-10)
+    ids = i.select(F.col("id").alias("predicted"), (n - 1 - F.col("id")).alias("expected"))
+    assert discovery.permutation_null(ids).first().p_value == 1.0
+    assert discovery.permutation_null(ids, 3).first().p_value == pytest.approx(1 - 2.5 / np.e, rel=1e-10)
+    assert discovery.permutation_null(ids, n).first().p_value == 0.0
+
+
+def test_match_null_equals_whole_numbers(spark):
+    rng = random.Random(15)
+    for n, labels in ((1200, 20), (1500, 11), (700, 150)):
+        side = lambda: Counter(int(labels * rng.random() ** 1.2) for _ in range(n))  # noqa: B023, E731
+        x, y = side(), side()
+        boards = [(a, b, t) for (a, b), t in Counter((x[k], y[k]) for k in x if k in y).items()]
+        r = discovery.rooks([(a, b) for a, b, t in boards for _ in range(t)])
+        mean = sum(a * b * t for a, b, t in boards) / n
+        for least in {1, round(0.7 * mean), round(mean), round(mean + 2 * mean**0.5)}:
+            right = float(Fraction(sum(discovery._matches(r, n, least)), factorial(n)))
+            assert matches.tail(spark, boards, n, least) == pytest.approx(right, rel=1e-10)
+    assert matches.tail(spark, [(500, 500, 2)], 1000, 600) is None
+    assert matches.tail(spark, [(20, 30, 1)], 2000, 21) == 0.0
+
+
+def test_match_null_of_few_labels(spark):
+    """A label with half of the rows, beyond the rows that are taken by whole numbers alone."""
+    pairs = spark.range(1400).select((F.col("id") % 2).alias("predicted"), (F.col("id") % 4 < 2).cast("long").alias("expected"))
+    r = discovery.permutation_null(pairs).first()
+    right = Fraction(sum(comb(700, k) ** 2 for k in range(350, 701)), comb(1400, 700))
+    assert (r.matches, r.mean_null) == (700, 700.0) and r.p_value == pytest.approx(float(right), rel=1e-10)
+
+
 def test_shared_kmers_both_ways(spark, monkeypatch):
     """By index and by join, with ids that repeat on either side, null ids and null sequences."""
     rng = random.Random(15)
